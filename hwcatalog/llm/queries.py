@@ -18,6 +18,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_lines
+
+    out = drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -50,8 +57,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "action string, host string, path string"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_rules, op4_byte_bpe, op8_source_mixing, op9_url_filter)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_rules, op4_byte_bpe, op8_source_mixing, op9_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
