@@ -113,7 +113,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, i, j, side, id, comp, s) of block pairs: links (u, v) between side q and side m in different components."""
+    """Rows (main, i, j, side, id, comp, s, h) of block pairs: links (u, v) between side q and side m in different components."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,20 +125,24 @@ def _compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             comps, ids = m.comp.to_numpy(), m.id.to_numpy()
-            for one, comp, s in zip(q.id, q.comp, q.s, strict=True):
+            hashes = np.array(list(m.h))
+            for one, comp, s, h in zip(q.id, q.comp, q.s, q.h, strict=True):
+                likely = (comps != comp) & ((hashes == h).sum(axis=1) >= 3) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s)))
+                if not likely.any():
+                    continue
                 lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 inter = np.bincount(owner[at], minlength=len(m))
-                hit = np.flatnonzero((100 * inter >= percent * (sizes + len(s) - inter)) & (comps != comp))
+                hit = np.flatnonzero(likely & (100 * inter >= percent * (sizes + len(s) - inter)))
                 _, first = np.unique(comps[hit], return_index=True)  # one link joins two components as well as many
                 found += [(int(one), int(ids[k])) for k in hit[first]]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
+    return rows.groupBy("main", "i", "j").applyInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = 8, rows: int = 2, orders: int = 6, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = 8, rows: int = 2, orders: int = 6, block: int = 512) -> DataFrame:
     """Components of documents linked by shingle sets with ``100 * intersection >= percent * union``.
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns one row per row of ``docs``:
@@ -173,13 +177,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     # buckets with members in several components: all that is not yet compared there
     placed = buckets.select("key", "set_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    state = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1 AND size > 2").select("key", "size", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.c")).alias("outside"))
-    members = cut(placed.join(state, "key").join(sets.select("set_id"), "set_id", "left_semi"), "open")
+    state = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1 AND size > 2").select("key", F.col("top.comp").alias("main"))
+    # the buckets that lie around one component are compared together, so a pair that met in many tables is compared once
+    members = placed.join(state, "key").select("main", "set_id", "comp").distinct().join(sets.select("set_id"), "set_id", "left_semi")
+    members = cut(members, "open")
+    sizes = members.groupBy("main").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("main")).alias("outside")).where("outside > 0")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     own = lambda n, salt: F.pmod(F.xxhash64("set_id", F.lit(salt)), blocks(n)).cast("int")
-    m = members.select("key", F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("i"), own("size", 1).alias("j"), F.lit("m").alias("side"), "set_id", "comp")
-    q = members.where("comp != main").select("key", own("outside", 2).alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"), F.lit("q").alias("side"), "set_id", "comp")
-    both = m.union(q).join(sets, "set_id").withColumnRenamed("set_id", "id")
+    near = members.join(sizes, "main")
+    m = near.select("main", F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("i"), own("size", 1).alias("j"), F.lit("m").alias("side"), "set_id", "comp")
+    q = near.where("comp != main").select("main", own("outside", 2).alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"), F.lit("q").alias("side"), "set_id", "comp")
+    both = m.union(q).join(sets, "set_id").join(small.select("set_id", "h"), "set_id").withColumnRenamed("set_id", "id")
     more = cut(_compare_blocks(both, percent), "links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))

@@ -47,6 +47,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_edits
+
+    return compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_rules, op4_byte_bpe, op5_warc, op7_token_counts, op8_source_mixing, op9_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_rules, op4_byte_bpe, op5_warc, op6_syncmer_fingerprints, op7_token_counts, op8_source_mixing, op9_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
