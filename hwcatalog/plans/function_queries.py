@@ -338,3 +338,19 @@ def _(c: Catalog):
 @query("prj_state_eligibility", "SELECT concat('drivers_', min(i)) AS name FROM (SELECT unnest(range(2, 100)) AS i) AS t WHERE i NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey >= 1)")
 def _(c: Catalog):
     return shards.next_archive_repo(c.nation.where("n_nationkey >= 1").select(F.when(F.col("n_nationkey") == 1, "drivers").otherwise(F.concat(F.lit("drivers_"), F.col("n_nationkey").cast("string"))).alias("name")))
+
+
+@query("fn_category_file", "SELECT DISTINCT category, concat('manifests/', regexp_replace(category, '[^A-Za-z0-9]', '', 'g'), '.manifest.json') AS file FROM drivers", "drivers")
+def _(c: Catalog):
+    return c.drivers.select("category").distinct().select("category", ids.category_file(F.col("category")).alias("file"))
+
+
+@query("fn_is_driver_id", "SELECT driver_id, true AS a, false AS b FROM drivers", "drivers")
+def _(c: Catalog):
+    return c.drivers.select("driver_id", hwid.looks_like_driver_id(F.concat(F.lit(" "), F.upper("driver_id"))).alias("a"), hwid.looks_like_driver_id(F.col("pack")).alias("b"))
+
+
+@query("dst_criteria", "SELECT 'amd' AS value UNION ALL SELECT 'radeon'")
+def _(c: Catalog):
+    found = search.parse_query("amd AMD radeon amd")
+    return c.spark.createDataFrame([(x.value,) for x in found], "value string")

@@ -320,3 +320,43 @@ def _(c: Catalog):
 @query("search_browse_mode", "SELECT driver_id FROM drivers WHERE enabled ORDER BY lower(display_name) NULLS FIRST, driver_id LIMIT 25", "drivers")
 def _(c: Catalog):
     return search.search(c.drivers, c.hwids, "").select("driver_id")
+
+
+@query("fn_inf_hwids", "SELECT pos, concat('PCI\\VEN_', printf('%04X', pos), '&DEV_', printf('%04X', pos + 1), ',USB\\VID_', printf('%04X', pos), '&PID_', printf('%04X', pos)) AS hwids FROM drivers", "drivers")
+def _(c: Catalog):
+    return inf_texts(c).select("pos", F.array_join(inf.hwids(F.col("text")), ",").alias("hwids"))
+
+
+@query("fn_inf_desc", "SELECT pos, concat_ws(',', nullif(provider, ''), coalesce(display_name, 'dev'), 'Other') AS names FROM drivers", "drivers")
+def _(c: Catalog):
+    d = inf_texts(c).withColumn("s", inf.strings(F.col("text")))
+    return d.select("pos", F.array_join(inf.descriptions(F.col("text"), F.col("s")), ",").alias("names"))
+
+
+@query("join_parts_map", "SELECT d.driver_id, count(*) AS parts FROM drivers d JOIN driver_parts p ON d.driver_id = p.driver_id GROUP BY d.driver_id", "drivers driver_parts")
+def _(c: Catalog):
+    g = c.driver_parts.groupBy("driver_id").agg(F.count("*").alias("parts"))
+    return c.drivers.select("driver_id").join(g, "driver_id")
+
+
+@query("src_pe_files")
+def _(c: Catalog):
+    path = shared_path(c.spark, "exes")
+    c.drivers.where("pos <= 10").select(F.concat(F.lit("MZ NSIS Error "), "driver_id")).coalesce(1).write.text(path)
+    files = binary_files.read_files(c.spark, path, "*.txt")
+    return files.select(binary_files.installer_type(F.col("content")).alias("type"), "size")
+
+
+@query("snk_sqlite_installers", "SELECT concat('inst-', substr(sha256(sha256(html)), 1, 12)) AS id, count(*) AS n FROM pages GROUP BY html")
+def _(c: Catalog):
+    from ..functions.ids import installer_id
+
+    path = shared_path(c.spark, "installers")
+    rows = c.pages.select(installer_id(F.sha2("html", 256)).alias("driver_id"))
+    load.upsert(rows.limit(0), rows.dropDuplicates(), keep=()).write.parquet(path)
+    return c.spark.read.parquet(path).groupBy(F.col("driver_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("snk_badge", "SELECT concat('drivers-', count(*), '-blue') AS badge FROM entries WHERE enabled", "entries")
+def _(c: Catalog):
+    return c.entries.where("enabled").agg(F.count("*").alias("n")).select(F.regexp_replace(F.lit("drivers-0-blue"), F.lit(r"(?<=drivers-)\d+"), F.col("n").cast("string")).alias("badge"))
