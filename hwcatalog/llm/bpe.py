@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space in the tokenizers' regular expressions: the characters of the Unicode property, for a class.
 WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -323,7 +324,8 @@ def encoder(path: str, pattern: str) -> TextEncoder:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its texts as array<int>; null texts count as empty."""
+    """``docs`` with the token ids of its texts as array<int>; null texts count as empty. A column named as ``ids`` is replaced."""
+    docs = docs.drop(ids)
     at = docs.columns.index(text)
 
     def run(batches):
@@ -335,8 +337,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 lists = pa.array(enc.encode_batch(texts[i:j]), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
 
-    docs = docs.drop(ids)
-    return docs.mapInArrow(run, docs.schema.add(ids, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -350,7 +351,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
             found = pa.array([enc.decode(x or ()) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, rows.schema.add(out, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
