@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+_SINGLE = r"\u3040-\u30FF\u3400-\u9FFF"
 SYMBOL = rf"[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}]{{1,32}}"
 #: k-mers of K symbols, inner s-mers of 2: INNER of them in a k-mer.
 K = 8
@@ -28,13 +28,15 @@ def inner_hashes(text: Column | str) -> Column:
     """Hashes of all runs of two symbols of a text column."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.transform(F.regexp_extract_all(text, F.lit(f"({SYMBOL})"), F.lit(1)), lambda x: F.xxhash64(x))
-    return F.zip_with(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 1)), lambda a, b: F.xxhash64(a, b))
+    # bound once: the words would be found anew for each mention
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), lambda a, b: F.xxhash64(a, b))
+    return F.get(F.transform(F.array(words), pairs), F.lit(0))
 
 
 def anchor_places(g: str) -> Column:
     """Places (from 0, in symbols) of the closed syncmers of a text whose inner hashes are in column ``g``."""
     least = "least(" + ", ".join(f"get({g}, i + {j})" for j in range(INNER)) + ")"
-    return F.expr(f"filter(if(size({g}) >= {INNER}, sequence(0, size({g}) - {INNER}), cast(array() as array<int>)), i -> {least} = get({g}, i) or {least} = get({g}, i + {INNER - 1}))")
+    return F.expr(f"filter(if(size({g}) >= {INNER}, sequence(0, size({g}) - {INNER}), cast(array() as array<int>)), i -> {least} in (get({g}, i), get({g}, i + {INNER - 1})))")
 
 
 def anchor_hash(g: str, i: str) -> str:
