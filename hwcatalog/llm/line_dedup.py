@@ -6,7 +6,7 @@ index a line and the substrings of another line at the places that length and se
 the index. Candidates are verified by a banded bit-parallel edit distance. Shorter lines match when equal.
 
 Exact copies of a line are one distinct line throughout. Buckets of the index compare with one pivot
-first; only lines that are then still in different components of a bucket are paired.
+first; lines that are then still in different components of a bucket are looked through in blocks.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, release
 
 TRIMMED = " \t\x0b\x0c\r"
+#: Lines of a bucket that are looked through together.
+BLOCK = 64
 _LAST = 2**63 - 1  # stands for a null doc_id: after all others
 
 
-def banded_distance(a: str, b: str, k: int) -> Column:
-    """Edit distance of two string columns if it is at most k (up to 31), else some number above k.
+def banded_distance(a: str, b: str, k: int) -> str:
+    """SQL for the edit distance of two strings, given as SQL if it is at most k (up to 31), else some number above k.
 
     Bit-parallel dynamic programming on a band of 2k + 1 diagonals: bit i of a column's words stands for the
     row i - k below the diagonal; ``p`` and ``m`` hold where a cell is one more or one less than the cell above it.
@@ -40,7 +42,22 @@ def banded_distance(a: str, b: str, k: int) -> Column:
     start = f"named_struct('p', {((1 << w) - 1) & ~((1 << k) - 1)}L, 'm', 0L, 'n', {k})"
     run = f"aggregate(if(size(vb) = 0, array(), sequence(1, size(vb))), {start}, (s, j) -> {step}, s -> s.n)"
     bound = f"transform(array(named_struct('a', split({a}, ''), 'b', split({b}, ''))), v -> {run.replace('va', 'v.a').replace('vb', 'v.b')})[0]"
-    return F.expr(f"if(abs(length({a}) - length({b})) > {k}, {k + 1}, {bound})")
+    return f"if(abs(length({a}) - length({b})) > {k}, {k + 1}, {bound})"
+
+
+def near(a: str, b: str, k: int) -> str:
+    """SQL for whether two strings are within k edits.
+
+    k edits touch k of the segments of a at most, and the others are in b within k places of their own. That is asked of
+    2k + 2 segments, then of 12k, before the distance is computed.
+    """
+
+    def untouched(n: int) -> str:
+        at = [f"cast(floor(length({a}) * {i} / {n}) as int)" for i in range(n + 1)]
+        hits = " + ".join(f"if(locate(substring({a}, {at[i]} + 1, {at[i + 1]} - {at[i]}), substring({b}, greatest(1, {at[i]} + 1 - {k}), {at[i + 1]} - {at[i]} + {2 * k})) > 0, 1, 0)" for i in range(n))
+        return f"({hits}) >= {n - k}"
+
+    return f"{untouched(2 * k + 2)} AND {untouched(12 * k)} AND {banded_distance(a, b, k)} <= {k}"
 
 
 def segment_keys(line: str, length: str, k: int) -> Column:
@@ -85,18 +102,21 @@ def line_links(lines: DataFrame, max_edits: int, edit_chars: int) -> DataFrame:
 
     def verified(p: DataFrame) -> DataFrame:
         both = p.join(texts.select(F.col("lid").alias("u"), F.col("line").alias("lu")), "u").join(texts.select(F.col("lid").alias("v"), F.col("line").alias("lv")), "v")
-        return both.where(banded_distance("lu", "lv", k) <= k).select("u", "v")
+        return both.where(near("lu", "lv", k)).select("u", "v")
 
     links = cut(verified(pairs), "links")
     comps = connected_components(links)
     placed = buckets.join(comps.withColumnRenamed("node", "lid"), "lid", "left").withColumn("comp", F.coalesce("comp", "lid"))
     open_ = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count_if("indexed").alias("i"), F.count("*").alias("n")).where("a != b AND n > 2 AND i > 1").select("key")
-    left = placed.join(open_, "key", "left_semi")
-    x = left.where("indexed AND lid != pivot").select("key", F.col("lid").alias("x"), F.col("comp").alias("cx"))
-    y = left.where("lid != pivot").select("key", F.col("lid").alias("y"), F.col("comp").alias("cy"))
-    more = x.join(y, "key").where("cx != cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    out = cut(links.union(verified(more)), "links")
-    for t in (buckets, pairs, texts, links):
+    left = cut(placed.where("lid != pivot").join(open_, "key", "left_semi").join(texts, "lid").select("key", "lid", "comp", "line", "indexed"), "open")
+    # indexed lines in blocks of bounded size, each looked through by the bucket's other lines: pairs become rows only where they are near
+    x = left.where("indexed")
+    sizes = x.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = x.join(sizes, "key").groupBy("key", F.pmod(F.xxhash64("lid"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("lid", "comp", "line")).alias("block"))
+    hits = left.join(blocks, "key").select(F.col("lid").alias("y"), F.explode(F.expr(f"filter(block, o -> o.comp <> comp AND {near('o.line', 'line', k)})")).alias("o"))
+    more = hits.select(F.least("y", "o.lid").alias("u"), F.greatest("y", "o.lid").alias("v")).distinct()
+    out = cut(links.union(more), "links")
+    for t in (buckets, pairs, texts, links, left):
         release(t)
     return out
 
