@@ -110,10 +110,15 @@ def line_links(lines: DataFrame, max_edits: int, edit_chars: int) -> DataFrame:
     open_ = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count_if("indexed").alias("i"), F.count("*").alias("n")).where("a != b AND n > 2 AND i > 1").select("key")
     left = cut(placed.where("lid != pivot").join(open_, "key", "left_semi").join(texts, "lid").select("key", "lid", "comp", "line", "indexed"), "open")
     # indexed lines in blocks of bounded size, each looked through by the bucket's other lines: pairs become rows only where they are near
-    x = left.where("indexed")
+    n = 2 * k + 2
+    x = left.where("indexed").withColumn("cuts", F.expr(f"transform(sequence(0, {n}), i -> cast(floor(length(line) * i / {n}) as int))"))
+    x = x.withColumn("segs", F.expr(f"transform(sequence(0, {n - 1}), i -> substring(line, get(cuts, i) + 1, get(cuts, i + 1) - get(cuts, i)))"))
     sizes = x.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = x.join(sizes, "key").groupBy("key", F.pmod(F.xxhash64("lid"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("lid", "comp", "line")).alias("block"))
-    hits = left.join(blocks, "key").select(F.col("lid").alias("y"), F.explode(F.expr(f"filter(block, o -> o.comp <> comp AND {near('o.line', 'line', k)})")).alias("o"))
+    blocks = x.join(sizes, "key").groupBy("key", F.pmod(F.xxhash64("lid"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("lid", "comp", "line", "cuts", "segs")).alias("block"))
+    # the first test of near() on segments cut once a line; two indexed lines meet once
+    held = " + ".join(f"if(locate(get(o.segs, {i}), substring(line, greatest(1, get(o.cuts, {i}) + 1 - {k}), get(o.cuts, {i + 1}) - get(o.cuts, {i}) + {2 * k})) > 0, 1, 0)" for i in range(n))
+    test = f"o.comp <> comp AND (NOT indexed OR o.lid < lid) AND ({held}) >= {n - k} AND {near('o.line', 'line', k)}"
+    hits = left.join(blocks, "key").select(F.col("lid").alias("y"), F.explode(F.expr(f"filter(block, o -> {test})")).alias("o"))
     more = hits.select(F.least("y", "o.lid").alias("u"), F.greatest("y", "o.lid").alias("v")).distinct()
     out = cut(links.union(more), "links")
     for t in (buckets, pairs, texts, links, left):
