@@ -7,15 +7,26 @@ with an explicit allow is allowed, one with a block and no allow is blocked.
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.entities import html5
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Links in a page's head that name another address of the same page: canonical links and refreshes to an address.
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+#: Tags that name another address of the same page (canonical links, refreshes) or the base that such addresses are relative to.
+TAG = re.compile(r"<(link|meta|base)(?=[\s/])", re.I)
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+TAG_END = re.compile(r"[\s/]*>")
+REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;?)")
+#: The address in a refresh's content: all that follows the seconds and ``url=``.
+REFRESH = re.compile(r"\s*+(?:[\d.]++(?:\s*+[;,]\s*+|\s++)(?:url\s*+=\s*+)?+|(?:[;,]\s*+)?url\s*+=\s*+)(.+)", re.I | re.S)
+ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 
 
 def host_and_path(url):
@@ -26,11 +37,67 @@ def host_and_path(url):
     return host, path
 
 
+def decoded(value: str) -> str:
+    """An attribute's value with its character references decoded; ``&name`` without ``;`` stays before ``=``, as in ``?a=1&copy=2``."""
+
+    def one(m: re.Match) -> str:
+        name = m[0][1:]
+        if name[0] == "#" or (name in html5 and (name[-1] == ";" or value[m.end() : m.end() + 1] != "=")):
+            return unescape(m[0])
+        return m[0]
+
+    return REFERENCE.sub(one, value)
+
+
+def attributes(html: str, at: int) -> dict[str, str]:
+    """The attributes of the tag whose name ends at ``at``, the first of equal names; none if the tag doesn't end."""
+    out: dict[str, str] = {}
+    while m := ATTRIBUTE.match(html, at):
+        out.setdefault(m[1].lower(), decoded(m[2] or m[3] or m[4] or ""))
+        at = m.end()
+    return out if TAG_END.match(html, at) else {}
+
+
+def resolved(base: str, target: str) -> str | None:
+    """A target as an address: absolute ones as they are, others relative to ``base``; None if that gives none."""
+    target = target.strip(" \t\n\r\f").translate({9: None, 10: None, 13: None})
+    if ABSOLUTE.match(target):
+        return target
+    try:
+        out = urljoin(base, target)
+    except ValueError:
+        return None
+    return out if ABSOLUTE.match(out) else None
+
+
+def targets(url: str, html: str) -> list[str]:
+    """The addresses that a page's canonical links and refreshes name, each once."""
+    base, found = None, []
+    for tag in TAG.finditer(html):
+        a, name = attributes(html, tag.end()), tag[1].lower()
+        if name == "base":
+            if base is None and "href" in a:
+                base = resolved(url, a["href"])
+        elif name == "link":
+            if "canonical" in a.get("rel", "").lower().split() and a.get("href", "").strip():
+                found.append(a["href"])
+        elif a.get("http-equiv", "").strip().lower() == "refresh" and (m := REFRESH.match(a.get("content", ""))):
+            t = m[1]
+            found.append(t[1:].split(t[0], 1)[0] if t[0] in "\"'" else t)
+    return list(dict.fromkeys(v for t in found if (v := resolved(base or url, t))))
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v) between a page's url and the absolute addresses that its canonical link or refresh names."""
-    marked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|refresh"))
-    hit = marked.select(F.col(url).alias("u"), F.explode(F.array_union(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))).alias("v"))
-    return hit.where(F.col("v").contains("://") & (F.col("u") != F.col("v")))
+    """(u, v) between a page's url and the addresses that its canonical link or refresh names, relative ones resolved."""
+    marked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).cast("string"), F.col(html).cast("string"))
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            hits = [(u, v) for u, h in rows for v in targets(u, h) if u != v]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in hits], pa.string()) for i in (0, 1)], names=["u", "v"])
+
+    return marked.mapInArrow(run, "u string, v string")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

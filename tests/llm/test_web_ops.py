@@ -117,6 +117,23 @@ def test_aliases_follow_edges(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES), rules).count() == 0
 
 
+def test_alias_targets_are_decoded_and_resolved(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    fresh = lambda u: f'<meta content="0; URL={u}" http-equiv=Refresh>'
+    cases = {
+        link("http://x.com/de/1?a=1&amp;b=2"): "http://x.com/de/1?a=1&b=2", link("/de/3"): "http://h.com/de/3", link("//x.com/de/4"): "http://x.com/de/4", link("?q&copy=1"): "http://h.com/p/q?q&copy=1",
+        link("http://x.com/it's"): "http://x.com/it's", fresh("http://x.com/de/5;jsessionid=1?a=1&amp;b=2"): "http://x.com/de/5;jsessionid=1?a=1&b=2", fresh("'../de/6'"): "http://h.com/de/6",
+        '<base href="http://b.com/r/">' + link("s"): "http://b.com/r/s", fresh("&#x2F;de&#47;7"): "http://h.com/de/7", '<meta http-equiv="refresh" content="5">': None, link("mailto:a@b"): None, link("http://[bad"): "http://[bad", link("//[bad"): None,
+    }
+    for html, want in cases.items():
+        assert url_filter.targets("http://h.com/p/q", html) == ([want] if want else [])
+    # a block reaches a page through an alias that is relative, decoded, or has a ';'
+    rows = [(1, "http://a.com/p", link("/de/1")), (2, "http://a.net/p", link("//b.com/de/2")), (3, "http://c.net/x?a=1&b=2", "<p>"), (4, "http://c.net/y", link("http://c.net/x?a=1&amp;b=2") + link("http://b.com/de/9")), (5, "http://d.net/s", "<p>"), (6, "http://b.com/de/6", fresh("http://d.net/s;v=1"))]
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, PAGES), rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
+
+
 # ---- HTML
 
 
