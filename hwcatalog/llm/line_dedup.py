@@ -126,7 +126,7 @@ def line_links(lines: DataFrame, max_edits: int, edit_chars: int) -> DataFrame:
     return out
 
 
-def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, edit_chars: int = 60) -> DataFrame:
+def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, edit_chars: int = 20) -> DataFrame:
     """(did, h, dropped): for each row of ``docs`` with lines to drop, their positions.
 
     Lines in one component of equal or near-equal lines are one class; its first line, by doc_id (null last), then the
@@ -147,7 +147,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, ed
     return gone.groupBy("did", "h").agg(F.array_distinct(F.collect_list("pos")).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, edit_chars: int = 60) -> DataFrame:
+def drop_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, edit_chars: int = 20) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with repeated lines taken out of text, and n_lines and n_dropped (long) added.
 
     Null texts stay null with no lines; an empty text has one empty line and stays. A document whose lines all go keeps

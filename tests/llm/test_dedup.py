@@ -140,3 +140,10 @@ def test_line_edges(spark):
     assert got == sorted([("1", long_, 1, 0), ("1", long_, 1, 0), ("2", "short\nshort", 3, 1), ("None", "", 1, 1), ("3", None, 0, 0), ("4", "", 1, 0)], key=lambda r: (r[0], r[1] or "")) or got
     assert {(g[0], g[1]) for g in got} == {("1", long_), ("2", "short\nshort"), ("None", ""), ("3", None), ("4", "")}
     assert line_dedup.drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_short_lines_go(spark):
+    a, b, c = "... that he thought to of nd in table.", "... that he thought to of nd intable", "some twenty characters"
+    rows = [(1, f"{a}\n{c}"), (2, f"{b}\nLes.\nnot near any of the lines here"), (3, f"{c[:-1]}z"), (4, "Les.")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: "Les.\nnot near any of the lines here", 3: "", 4: "Les."}
