@@ -269,11 +269,16 @@ class TextEncoder:
         return [p.encode("utf-8", "replace") for p in self.pieces.findall(part)]
 
     def cuts(self, text: str | None) -> list[str]:
-        """The text in cuts, each after the first with the space before it left off and put back by a mark."""
+        """The text in cuts, the first behind a NUL, the others with the space before them left off unless they begin with a NUL.
+
+        No cut but the first begins with white space, so what a cut is shows in its first character.
+        """
         if not text:
             return []
         rest = self.space.split(text) if self.odd.search(text) else text.split(" ")
         first = rest.pop(0)
+        if "\0" in text:
+            rest = [" " + c if c[0] == "\0" else c for c in rest]
         rest.insert(0, "\0" + first)
         return rest
 
@@ -282,7 +287,7 @@ class TextEncoder:
         cuts, seen = [self.cuts(x) for x in texts], self.seen
         new = set(chain.from_iterable(cuts)).difference(seen)
         seen.update((c, self.old[c]) for c in new if c in self.old)
-        split = {c: self._split(c[1:] if c[0] == "\0" else " " + c) for c in new.difference(self.old)}
+        split = {c: self._split(c[1:] if c[0] == "\0" else c if c[0] == " " else " " + c) for c in new.difference(self.old)}
         ids = self._encode_pieces({p for x in split.values() for p in x})
         for c, x in split.items():
             seen[c] = ids[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, x)))

@@ -88,6 +88,13 @@ def test_bpe_equals_reference(reference, encoder, text):
     assert ids == reference.encode_ordinary(text) and encoder.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["a \0b", "\0a \0b \0", "a \0", "\0", "b \0\0c d", "ab \0ab"])
+def test_bpe_keeps_nul(reference, encoder, text):
+    for _ in range(2):  # new cuts and remembered ones
+        ids = encoder.encode(text)
+        assert ids == reference.encode_ordinary(text) and encoder.decode(ids) == text.encode()
+
+
 def test_prefix_table_appends_and_edits(encoder):
     rng = random.Random(2)
     for _ in range(150):
