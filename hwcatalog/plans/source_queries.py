@@ -200,7 +200,7 @@ for _name, _sql, _col in (
 @query("src_inf_files")
 def _(c: Catalog):
     path = shared_path(c.spark, "infs")
-    inf_texts(c).where("pos <= 20").select("text").write.option("lineSep", "\n").text(path)
+    inf_texts(c).select("text").write.option("lineSep", "\n").option("maxRecordsPerFile", 1000).text(path)
     files = binary_files.read_files(c.spark, path, "*.txt")
     return inf.parse_inf(files.select(F.explode(F.split(binary_files.decode_text("content"), r"(?=\[Version\])")).alias("text")).where("text <> ''")).select("version", "provider")
 
@@ -342,7 +342,7 @@ def _(c: Catalog):
 @query("src_pe_files")
 def _(c: Catalog):
     path = shared_path(c.spark, "exes")
-    c.drivers.where("pos <= 10").select(F.concat(F.lit("MZ NSIS Error "), "driver_id")).coalesce(1).write.text(path)
+    c.drivers.repartition("driver_id").select(F.concat(F.lit("MZ NSIS Error "), "driver_id")).write.option("maxRecordsPerFile", 1).text(path)
     files = binary_files.read_files(c.spark, path, "*.txt")
     return files.select(binary_files.installer_type(F.col("content")).alias("type"), "size")
 

@@ -147,3 +147,10 @@ def test_query_equals_sql(spark, name):
     mine = sorted(([normal(r[c]) for c in names] for r in rows), key=repr)
     theirs = sorted(([normal(r[at[c]]) for c in names] for r in want.fetchall()), key=repr)
     assert mine == theirs
+
+
+def test_file_sources_read_all_drivers(spark):
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert registry.queries()["src_inf_files"](spark, SF).count() == n
+    exes = registry.queries()["src_pe_files"](spark, SF)
+    assert exes.count() == n and {r.type for r in exes.collect()} == {"NSIS"}
