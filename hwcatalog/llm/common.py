@@ -61,6 +61,18 @@ def release(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Components of an undirected graph by alternating large and small stars: (node, comp), comp the least node.
 

@@ -94,12 +94,15 @@ def test_banded_distance(spark, k):
         assert r.n == (lev(a, b) <= k)
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize(("block", "split"), [(512, 8192), (3, 4)])
+def test_lines_equal_brute_force(spark, monkeypatch, block, split):
     rng = random.Random(9)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 9))) for _ in range(30)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    # many lines with a third of their text in common, few of them near each other
+    base += ["the same beginning of all of these lines " + "".join(rng.choice("abcé") for _ in range(40)) for _ in range(25)]
     docs = []
-    for d in range(50):
+    for d in range(80):
         lines = []
         for _ in range(rng.randint(0, 8)):
             s = list(rng.choice(base))
@@ -108,8 +111,9 @@ def test_lines_equal_brute_force(spark):
                 s[at : at + rng.randint(0, 1)] = rng.choice("xyz")
             lines.append("  " * rng.randint(0, 1) + "".join(s))
         docs.append((d, "\n".join(lines)))
-    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_lines(spark.createDataFrame(docs, SCHEMA), 2, 10, 18).collect()}
-    occ = [(d, i, x.strip()) for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= 10]
+    monkeypatch.setattr(line_dedup.line_links, "__defaults__", (block, split, 2))
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    occ = [(d, i, x.strip()) for d, t in docs for i, x in enumerate(t.split("\n")) if x.strip()]
     names = sorted({x for *_, x in occ})
     up = {x: x for x in names}
 
@@ -120,7 +124,7 @@ def test_lines_equal_brute_force(spark):
 
     for i, a in enumerate(names):
         for b in names[:i]:
-            if min(len(a), len(b)) >= 18 and abs(len(a) - len(b)) <= 2 and lev(a, b) <= 2:
+            if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and lev(a, b) <= 2:
                 up[find(a)] = find(b)
     seen, gone = set(), {}
     for d, i, x in occ:
@@ -134,16 +138,29 @@ def test_lines_equal_brute_force(spark):
 
 def test_line_edges(spark):
     long_ = "the same line of some length, which all have"
-    rows = [(1, long_), (1, long_), (2, f"short\n{long_}\nshort"), (None, long_), (3, None), (4, "")]
-    out = line_dedup.drop_lines(spark.createDataFrame(rows, SCHEMA).withColumn("dropped_x", F.lit(0)))
-    got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in out.collect())
-    assert got == sorted([("1", long_, 1, 0), ("1", long_, 1, 0), ("2", "short\nshort", 3, 1), ("None", "", 1, 1), ("3", None, 0, 0), ("4", "", 1, 0)], key=lambda r: (r[0], r[1] or "")) or got
-    assert {(g[0], g[1]) for g in got} == {("1", long_), ("2", "short\nshort"), ("None", ""), ("3", None), ("4", "")}
+    rows = [(1, long_), (1, long_), (2, f"short\n{long_}\n\nshort\n"), (None, long_), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("dropped", "_dropped", "_did", "_h", "h", "pos", "line", "name", "lid", "n_lines"):  # names used within
+        df = df.withColumn(c, F.lit("mine"))
+    out = line_dedup.drop_lines(df)
+    assert out.columns == [*(c for c in df.columns if c != "n_lines"), "n_lines", "n_dropped"]
+    got = out.collect()
+    assert all(r.dropped == r._did == r.pos == "mine" for r in got)
+    want = [("1", long_, 1, 0), ("1", long_, 1, 0), ("2", "short\n\n", 5, 2), ("None", "", 1, 1), ("3", None, 0, 0), ("4", "", 1, 0)]
+    assert sorted((str(r.doc_id), r.text or "", r.text is None, r.n_lines, r.n_dropped) for r in got) == sorted((a, b or "", b is None, c, d) for a, b, c, d in want)
     assert line_dedup.drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_common_lines_and_long_texts(spark):
+    rows = [(i, f"the line that every one of the documents has\nline number {i * 977} of its own {i * 31} kind {i}") for i in range(300)]
+    rows.append((1000, "\n".join(f"{i * 7919 % 100003} is said in {i} ways by {i * 31}" for i in range(3000)) + "\nthe line that every one of the documents had"))
+    got = {r.doc_id: r for r in line_dedup.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].n_dropped == 0 and all(got[i].text.startswith("line number") for i in range(1, 300))
+    assert not got[1000].text.endswith("had") and got[1000].n_lines == 3001
+
+
 def test_near_short_lines_go(spark):
     a, b, c = "... that he thought to of nd in table.", "... that he thought to of nd intable", "some twenty characters"
-    rows = [(1, f"{a}\n{c}"), (2, f"{b}\nLes.\nnot near any of the lines here"), (3, f"{c[:-1]}z"), (4, "Les.")]
+    rows = [(1, f"{a}\n{c}\nYes."), (2, f"{b}\nLes.\nnot near any of the lines here"), (3, f"{c[:-1]}z"), (4, "Les.")]
     got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {1: rows[0][1], 2: "Les.\nnot near any of the lines here", 3: "", 4: "Les."}
+    assert got == {1: rows[0][1], 2: "Les.\nnot near any of the lines here", 3: "", 4: ""}
