@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over their elements.
 
-Every element that is not mere text markup is a node that is content or not. A node's own potential is a
-weighted sum of features (tag, words of its class, id and role, the share of links in its text and in that below it); a parent and a child have a
+Every element that is not mere text markup is a node, and every block of text a leaf below its element; a node is
+content or not. A node's own potential is a weighted sum of features (tag, words of its class, id and role, the share of links in
+the text below it; for a leaf its element's tag, its length, its links and how it ends); a parent and a child have a
 potential for each pair of labels, by the child's tag. Sum-product messages go up and down the tree, so the
 marginals are exact. The weights are fitted by gradient ascent on the likelihood of labelled pages,
 which ``labelled_pages`` makes: many layouts with menus, notices, adverts, sidebars, forms and comments.
@@ -20,19 +21,21 @@ from pyspark.sql import functions as F
 
 #: Elements without content of their own (fixed by HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't markup; their text is never page text.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "noembed", "noframes", "object", "canvas", "head")
+#: Elements whose content isn't markup, or never shown; their text is never page text.
+RAW = ("script", "style", "template", "iframe", "textarea", "title", "select", "noembed", "noframes")
 #: Elements that only mark up text within a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark meter nobr output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
+#: Elements that are nested deeper than this hang from the element at this depth, as in browsers.
+DEEPEST = 512
 #: A start tag on the left ends an open element on the right (fixed by HTML, in the cases that matter for text).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
-KNOWN = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre figure figcaption nav header footer aside form button fieldset address details summary dialog center".split()
+KNOWN = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre figure figcaption nav header footer aside form button fieldset address details summary dialog center button label svg noscript object canvas video audio hr pre section #text".split()
 TAGS = {t: i for i, t in enumerate(KNOWN)}
 OTHER = len(KNOWN)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW[:-1]) + r")(?=[\s>/])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s>/])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?][^>]*+(?:>|\Z)"
@@ -45,18 +48,38 @@ SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """Nodes of a page in page order, and its blocks of text."""
+    """Nodes of a page in page order, and its blocks of text, which are nodes too."""
 
-    __slots__ = ("parent", "tag", "names", "blocks", "links")
+    __slots__ = ("parent", "depth", "tag", "names", "blocks")
 
     def __init__(self):
-        self.parent, self.tag, self.names = [-1], ["html"], [()]
+        self.parent, self.depth, self.tag, self.names = [-1], [0], ["html"], [()]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
 
+    def add(self, parent: int, tag: str, names: tuple[str, ...] = ()) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tag.append(tag)
+        self.names.append(names)
+        return len(self.tag) - 1
+
+
+def _names(attrs: str) -> tuple[str, ...]:
+    """Words of an element's class, id, role and label, and whether it is hidden."""
+    found = []
+    for a in ATTR.finditer(attrs):
+        key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            found.append("hidden")
+        elif key != "style":
+            found += [n.lower() for n in NAME.findall(value)]
+    return tuple(dict.fromkeys(found))
+
 
 def parse(source: str | None) -> Page:
     """Read a page, however broken: unknown end tags are passed over, open elements end with their parents, a cut tag is dropped."""
     page, stack, text, linked, anchors, at = Page(), [(0, "html")], [], 0, 0, 0
+    opened: dict[str, int] = {}
     source = source or ""
 
     def say(raw: str) -> None:
@@ -72,10 +95,15 @@ def parse(source: str | None) -> Page:
         if text:
             block = SPACE.sub(" ", "".join(text)).strip()
             if block:
-                page.blocks.append((stack[-1][0], block, linked))
+                page.blocks.append((page.add(stack[-1][0], "#text"), block, linked))
             text.clear()
         linked = 0
 
+    def pop(to: int) -> None:
+        for _, tag in stack[to:]:
+            opened[tag] -= 1
+        del stack[to:]
+
     for m in TOKEN.finditer(source):
         say(source[at : m.start()])
         at = m.end()
@@ -83,6 +111,7 @@ def parse(source: str | None) -> Page:
         if not tag:
             continue
         tag = tag.lower()
+        attrs = m["attrs"] or m["attrs2"] or ""
         if tag in INLINE:
             if tag == "a":
                 anchors = 0 if (m["end"] or m["end2"]) else 1
@@ -93,39 +122,28 @@ def parse(source: str | None) -> Page:
             continue
         close()
         if m["end"] or m["end2"]:
-            anchors = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                anchors = 0
+                k = len(stack) - 1
+                while stack[k][1] != tag:
+                    k -= 1
+                pop(k)
             continue
-        if tag in VOID:
+        if tag in VOID or attrs.endswith("/") and (tag == "svg" or tag not in TAGS):
             continue
-        if stack[-1][1] == "p" and tag != "p" or stack[-1][1] == tag == "p":
-            stack.pop()
+        if stack[-1][1] == "p":
+            pop(len(stack) - 1)
         for ended in ENDS.get(tag, ()):
             if stack[-1][1] == ended:
-                stack.pop()
+                pop(len(stack) - 1)
                 if ended in ("td", "th") and tag in ("tr", "tbody") and stack[-1][1] == "tr":
-                    stack.pop()
+                    pop(len(stack) - 1)
                 break
-        if tag in ("html", "body") and tag in page.tag[1:] or tag == "html":
+        if tag == "html" or tag == "body" and opened.get("body"):
             continue
-        names: tuple[str, ...] = ()
-        attrs = m["attrs"] or m["attrs2"]
-        if attrs:
-            found = []
-            for a in ATTR.finditer(attrs):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    found.append("hidden")
-                elif key != "style":
-                    found += [n.lower() for n in NAME.findall(value)]
-            names = tuple(dict.fromkeys(found))
-        page.parent.append(stack[-1][0])
-        page.tag.append(tag)
-        page.names.append(names)
-        stack.append((len(page.tag) - 1, tag))
+        node = page.add(stack[min(len(stack), DEEPEST) - 1][0], tag, _names(attrs) if attrs else ())
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append((node, tag))
     say(source[at:])
     close()
     return page
@@ -135,32 +153,39 @@ class Forest:
     """Nodes of many pages as arrays: parents, levels, and a list of (node, feature)."""
 
     def __init__(self, pages: list[Page], words: dict[str, int]):
-        n = np.array([len(p.tag) for p in pages])
-        start = np.concatenate([[0], np.cumsum(n)])
+        start = np.concatenate([[0], np.cumsum([len(p.tag) for p in pages])]).astype(np.int64)
         self.start, total = start, int(start[-1])
         self.parent = np.concatenate([np.array(p.parent, np.int64) + s for p, s in zip(pages, start, strict=False)]) if total else np.zeros(0, np.int64)
         self.parent[start[:-1]] = -1
         self.tag = np.array([TAGS.get(t, OTHER) for p in pages for t in p.tag], np.int64)
+        depth = np.array([d for p in pages for d in p.depth], np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if total else []
         own, linked = np.zeros(total), np.zeros(total)
+        leaf, size, end = [], [], []
         for p, s in zip(pages, start, strict=False):
             for node, text, links in p.blocks:
-                own[s + node] += len(text)
-                linked[s + node] += links
-        depth = np.zeros(total, np.int64)
-        for p, s in zip(pages, start, strict=False):
-            for k in range(1, len(p.parent)):
-                depth[s + k] = depth[s + p.parent[k]] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if total else []
-        below, below_l = own.copy(), linked.copy()
+                own[s + node], linked[s + node] = len(text), links
+                leaf.append(s + node)
+                size.append(len(text))
+                end.append(text[-1] in ".!?…:;\"'”»)。")
+        leaf = np.array(leaf, np.int64)
         for level in self.levels[:0:-1]:
-            np.add.at(below, self.parent[level], below[level])
-            np.add.at(below_l, self.parent[level], below_l[level])
-        share = lambda a, b: np.where(b > 0, np.digitize(a / np.maximum(b, 1), [0.1, 0.5, 0.9]), 4)
+            np.add.at(own, self.parent[level], own[level])
+            np.add.at(linked, self.parent[level], linked[level])
+        # of the elements that hold an article their tag tells more than their links
+        frame = np.isin(self.tag, [TAGS[t] for t in ("html", "body", "main", "article")])
+        share = np.where((own > 0) & ~frame, np.digitize(linked / np.maximum(own, 1), [0.1, 0.5, 0.9]), 4)
         tags = OTHER + 1
-        columns = [self.tag, tags + share(linked, own), tags + 5 + share(below_l, below), tags + 10 + (own > 0)]
-        base = tags + 12
-        node = np.repeat(np.arange(total), len(columns))
-        feature = np.stack(columns, 1).reshape(-1) if total else np.zeros(0, np.int64)
+        text = TAGS["#text"]
+        is_leaf = self.tag == text
+        # an element's tag, or that of a leaf's element; links apart for elements and leaves
+        column = [np.where(is_leaf, tags + self.tag[self.parent], self.tag), 2 * tags + share + 5 * is_leaf]
+        node, feature = np.repeat(np.arange(total), 2), np.stack(column, 1).reshape(-1) if total else np.zeros(0, np.int64)
+        base = 2 * tags + 10
+        length = base + np.digitize(np.array(size, np.int64), [12, 40, 120, 400]) + 5 * np.array(end, np.int64)
+        node, feature = np.concatenate([node, leaf]), np.concatenate([feature, length.astype(np.int64)])
+        base += 10
         more = [(s + k, base + words[x]) for p, s in zip(pages, start, strict=False) for k, names in enumerate(p.names) for x in names if x in words]
         extra = np.array(more, np.int64).reshape(-1, 2)
         self.node, self.feature = np.concatenate([node, extra[:, 0]]), np.concatenate([feature, extra[:, 1]])
@@ -200,16 +225,16 @@ class Model:
         return forest, forest.marginals(unary, self.pair)[0][:, 1]
 
     def texts(self, sources: list[str | None]) -> list[str]:
-        """Main text of each page: its blocks in page order whose element is content with a marginal of at least a half."""
+        """Main text of each page: its blocks in page order that are content with a marginal of at least a half."""
         pages = [parse(x) for x in sources]
         forest, p = self.marginals(pages)
         return ["\n".join(text for node, text, _ in page.blocks if p[s + node] >= 0.5) for page, s in zip(pages, forest.start, strict=False)]
 
 
-def fit(labelled: list[tuple[str, set[str]]], rounds: int = 250, ridge: float = 0.02) -> Model:
+def fit(labelled: list[tuple[str, set[str]]], rounds: int = 300, ridge: float = 0.001) -> Model:
     """Fit a model to labelled pages: (html, the texts of its content blocks). Ascent with adaptive steps on the exact gradient.
 
-    A node with text is content if its blocks are; one without takes the label that most of the text below it has. Words of class, id
+    A leaf is content if its text is; an element takes the label that most of the text below it has. Words of class, id
     and role are those that at least three pages use.
     """
     pages = [parse(h) for h, _ in labelled]
@@ -219,12 +244,11 @@ def fit(labelled: list[tuple[str, set[str]]], rounds: int = 250, ridge: float =
             used[x] = used.get(x, 0) + 1
     words = {x: i for i, x in enumerate(sorted(x for x, n in used.items() if n >= 3))}
     forest = Forest(pages, words)
-    score = np.zeros(len(forest.tag))
     own = np.zeros(len(forest.tag))
     for page, s, (_, good) in zip(pages, forest.start, labelled, strict=False):
         for node, text, _ in page.blocks:
-            own[s + node] += (1 if text in good else -1) * len(text)
-    score[:] = own
+            own[s + node] = (1 if text in good else -1) * len(text)
+    score = own.copy()
     for level in forest.levels[:0:-1]:
         np.add.at(score, forest.parent[level], score[level])
     label = np.where(own != 0, own > 0, score > 0).astype(np.int64)
@@ -249,7 +273,7 @@ def fit(labelled: list[tuple[str, set[str]]], rounds: int = 250, ridge: float =
 
 
 @functools.cache
-def trained(pages: int = 400, seed: int = 1) -> Model:
+def trained(pages: int = 1000, seed: int = 1) -> Model:
     """The model fitted to ``pages`` pages of ``labelled_pages``: a fixed number, whatever the input."""
     from .html_training import labelled_pages
 

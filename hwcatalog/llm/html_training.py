@@ -19,6 +19,9 @@ _NAMES = {
     "content": "content article post entry entry-content post-content article-body story main text body-text page-content single",
 }
 NAMES = {k: v.split() for k, v in _NAMES.items()}
+#: Roles of such parts (fixed by ARIA).
+_ROLES = {"menu": "navigation menu menubar", "header": "banner", "footer": "contentinfo", "side": "complementary", "notice": "dialog alertdialog alert status", "form": "search form", "share": "toolbar group", "content": "main article"}
+ROLES = {k: v.split() for k, v in _ROLES.items()}
 
 
 def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
@@ -35,13 +38,19 @@ def _sentence(rng: random.Random, low: int = 3, high: int = 18) -> str:
 
 
 def _prose(rng: random.Random) -> str:
-    return " ".join(_sentence(rng, *rng.choice([(1, 2), (3, 18), (5, 25)])) for _ in range(rng.choice([1, 1, 2, 3, 5, 9])))
+    text = " ".join(_sentence(rng, *rng.choice([(1, 2), (3, 18), (5, 25)])) for _ in range(rng.choice([1, 1, 2, 3, 5, 9])))
+    return text.rstrip(".") if rng.random() < 0.25 else text
 
 
 def _label(rng: random.Random, kind: str) -> str:
-    if rng.random() < 0.15:
+    r = rng.random()
+    if r < 0.1:
         return ""
+    if r < 0.35 and kind in ROLES:
+        return f' role="{rng.choice(ROLES[kind])}"'
     names = " ".join(rng.sample(NAMES[kind], rng.choice([1, 1, 2])))
+    if r < 0.42 and kind != "content":
+        return f' aria-label="{names}"'
     return f' {rng.choice(["class", "class", "class", "id"])}="{names}"'
 
 
@@ -71,6 +80,12 @@ def _junk(rng: random.Random, kind: str) -> str:
         one = lambda: rng.choice([f"<article{_label(rng, 'comments')}><p>{say()}</p></article>", f"<li{_label(rng, 'comments')}><p>{say()}</p></li>", f"<div{_label(rng, 'comments')}><h4>{rng.choice(_WORDS)}</h4><p>{say()}</p></div>", f"<p>{say()}</p>"])
         tag = rng.choice(["section", "div", "div", "ol"])
         return f"<{tag}{a or ' class=comments'}>{rng.choice(['', '<h2>' + _sentence(rng, 1, 3) + '</h2>', '<h3>Comments</h3>'])}{''.join(one() for _ in range(rng.randint(1, 5)))}</{tag}>"
+    if kind == "notice" and rng.random() < 0.2:
+        return f"<dialog open>{wrap(say())}<button>{rng.choice(_WORDS)}</button></dialog>"
+    if kind == "share" and rng.random() < 0.4:
+        return rng.choice([f"<button>{_sentence(rng, 1, 2)}</button>", f"<label>{_sentence(rng, 1, 3)}</label>", f"<button{a}>{rng.choice(_WORDS)}</button><label>{rng.choice(_WORDS)}</label>"])
+    if kind == "ad" and rng.random() < 0.1:
+        return rng.choice([f"<noscript>{wrap(say())}</noscript>", f"<svg><text>{_sentence(rng, 1, 3)}</text></svg>", f"<object>{say()}</object>"])
     tag = rng.choice(["div", "div", "section", "aside", "p"] if kind != "share" else ["div", "ul", "p"])
     return f"<{tag}{a or f' class={NAMES[kind][0]}'}>{say() if tag in ('p', 'ul') else wrap(say())}</{tag}>" if kind != "share" else f"<div{a or ' class=share'}>{_links(rng)}</div>"
 
@@ -84,15 +99,28 @@ def _article(rng: random.Random, good: set[str]) -> str:
 
     out = []
     if rng.random() < 0.85:
-        out.append(f"<h1>{keep(_sentence(rng, 1, 9))}</h1>")
+        out.append(f"<h1>{keep(_sentence(rng, 1, 9).rstrip('.' * rng.randint(0, 1)))}</h1>")
         if rng.random() < 0.15:
             out[-1] = f"<header>{out[-1]}</header>"
-    for _ in range(rng.choice([0, 1, 2, 4, 8, 14])):
-        r = rng.random()
-        if r < 0.7:
+    linked = rng.random() < 0.1  # an article of links
+    for _ in range(rng.choice([0, 1, 2, 2, 4, 8, 14])):
+        r = 0.55 + rng.random() * 0.15 if linked else rng.random()
+        if r < 0.55:
             text = rng.choice([_prose, _prose, lambda g: _sentence(g, 1, 2)])(rng)
             form = rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p>{} </p>\n"])
             out.append(form.format(keep(text)))
+        elif r < 0.66:  # links in the text, or a text that is a link
+            text = rng.choice([_prose, _prose, lambda g: _sentence(g, 1, 5)])(rng)
+            words = text.split(" ")
+            i = rng.choice([0, rng.randrange(len(words))])
+            j = rng.choice([len(words), rng.randrange(i, len(words)) + 1])
+            linked = " ".join(words[i:j])
+            out.append(f"<p>{' '.join(words[:i])}{' ' * (i > 0)}<a href='/{i}'>{linked}</a>{' ' * (j < len(words))}{' '.join(words[j:])}</p>")
+            keep(text)
+        elif r < 0.7:  # a list of linked sources
+            items = [rng.choice([_sentence(rng, 2, 9), _sentence(rng, 1, 3).rstrip(".")]) for _ in range(rng.randint(1, 6))]
+            tag = rng.choice(["ul", "ol"])
+            out.append(rng.choice(["", f"<h2>{keep(_sentence(rng, 1, 2).rstrip('.'))}</h2>"]) + f"<{tag}>" + "".join(f"<li><a href='/s'>{keep(x)}</a></li>" for x in items) + f"</{tag}>")
         elif r < 0.78:
             out.append(f"<h2>{keep(_sentence(rng, 1, 6))}</h2>")
         elif r < 0.86:
@@ -102,19 +130,24 @@ def _article(rng: random.Random, good: set[str]) -> str:
         elif r < 0.93:
             out.append(f"<figure><img src=x><figcaption>{keep(_sentence(rng))}</figcaption></figure>")
         elif r < 0.96:
-            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{keep(_sentence(rng, 1, 3))}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>")
+            cell = lambda: keep(rng.choice([_sentence(rng, 1, 3), rng.choice(_WORDS), str(rng.randint(1, 9999))]))
+            top = "<tr>" + "".join(f"<th>{cell()}</th>" for _ in range(3)) + "</tr>" if rng.random() < 0.6 else ""
+            rows = "".join("<tr>" + "".join(f"<td>{cell()}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 3)))
+            out.append(rng.choice([f"<table>{top}{rows}</table>", f"<table><thead>{top}</thead><tbody>{rows}</tbody></table>"]))
+        elif r < 0.98:
+            out.append(rng.choice([f"<pre>{keep(rng.choice(_WORDS) + ' = ' + str(rng.randint(1, 99)))}</pre>", f"<dl><dt>{keep(rng.choice(_WORDS))}</dt><dd>{keep(_sentence(rng))}</dd></dl>", f"<h3>{keep(_sentence(rng, 1, 5).rstrip('.'))}</h3>", f"<section><h2>{keep(_sentence(rng, 1, 5))}</h2><p>{keep(_prose(rng))}</p></section>"]))
         else:
             out.append(f"<div>{keep(_prose(rng))}</div>")
-        if rng.random() < 0.06:
-            out.append(_junk(rng, rng.choice(["ad", "side", "share", "notice", "form", "menu"])))
+        if rng.random() < 0.08:
+            out.append(_junk(rng, rng.choice(["ad", "side", "share", "share", "notice", "form", "menu"])))
     return "".join(out)
 
 
 def _page(rng: random.Random) -> tuple[str, set[str]]:
     good: set[str] = set()
-    tag = rng.choice(["article"] * 12 + ["main"] * 3 + ["div"] * 4 + [""])
-    named = _label(rng, "content") if tag == "div" or rng.random() < 0.4 else ""
-    body = f"<{tag}{named or (' class=content' if tag == 'div' else '')}>{_article(rng, good)}"
+    tag = rng.choice(["article"] * 12 + ["main"] * 3 + ["div"] * 4 + ["section"] * 2 + [""])
+    named = _label(rng, "content") if tag in ("div", "section") or tag and rng.random() < 0.4 else ""
+    body = f"<{tag}{named or (' class=content' if tag in ('div', 'section') else '')}>{_article(rng, good)}"
     if rng.random() < 0.1:
         body += _junk(rng, rng.choice(["comments", "share", "side"]))
     body += f"</{tag}>"
