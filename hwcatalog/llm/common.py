@@ -44,13 +44,13 @@ def remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
-    The collection that follows lets Spark drop the shuffle files that only the cut plan used.
+    The collection of garbage before it lets Spark drop the shuffle files that only earlier plans used.
     """
     spark = df.sparkSession
     path = new_path(spark, what)
+    spark._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    spark._jvm.System.gc()
     out._cut_path = path
     return out
 
@@ -102,6 +102,24 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select("b", "b").distinct())
 
 
+def blocked_pairs(rows: DataFrame, left: str, condition: str, block: int) -> DataFrame:
+    """Distinct pairs (u, v) of ids of ``rows`` (key, id and others) with one key, the first with ``left``, for which ``condition`` holds.
+
+    The condition names the two rows' columns x_name and y_name. The rows of a key are dealt to blocks of about ``block`` on
+    either side, so no key is looked through in one task, and only pairs that pass become rows.
+    """
+    rows = rows.withColumn("l", F.expr(left))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count_if("l") / block).cast("int").alias("ni"), F.ceil(F.count("*") / block).cast("int").alias("nj"), F.count("*").alias("c")).where("ni > 0 AND c > 1")
+    dealt = rows.join(sizes.drop("c"), "key")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = [n for n in rows.columns if n != "key"]
+    x = dealt.where("l").select("key", own("ni").alias("i"), upto("nj").alias("j"), *(F.col(n).alias(f"x_{n}") for n in names))
+    y = dealt.select("key", upto("ni").alias("i"), own("nj").alias("j"), *(F.col(n).alias(f"y_{n}") for n in names))
+    hits = x.join(y, ["key", "i", "j"]).where(f"({condition}) AND x_id != y_id AND (NOT y_l OR x_id < y_id)")
+    return hits.select(F.least("x_id", "y_id").alias("u"), F.greatest("x_id", "y_id").alias("v")).distinct()
+
+
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -152,6 +170,19 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple
     return h, np.searchsorted(s, ends)
 
 
+def long_word_hashes(data: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
+    """Hashes of all words of one text of any length, piece by piece: cuts fall on white space, so memory follows the number of words."""
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + piece, len(data))
+        while end < len(data) and not _SPACE[data[end]]:  # to the end of the word, however long
+            step = np.flatnonzero(_SPACE[data[end : end + 65536]])
+            end += int(step[0]) if len(step) else min(65536, len(data) - end)
+        found.append(word_hashes(data[at:end], np.array([end - at]))[0])
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def text_slices(column, most: int = 1 << 20):
     """Cut an Arrow text column into runs of whole texts of about ``most`` bytes: (first row, bytes, ends of the texts)."""
     import pyarrow as pa

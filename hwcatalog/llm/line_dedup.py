@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, fresh, release
+from .common import blocked_pairs, connected_components, cut, fresh, release
 
 TRIMMED = " \t\x0b\x0c\r"
 #: Lines of either side of a block that is looked through.
@@ -157,7 +157,7 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
         index = segment_keys(parts, k, own=True).groupBy("key").agg(F.min("lid").alias("pivot"))
         buckets = keep(segment_keys(parts, k).join(index, "key").where("lid != pivot"), "buckets")
         if texts is None:
-            names = buckets.select("lid").union(buckets.select("pivot")).distinct()
+            names = keep(buckets.select("lid").union(buckets.select("pivot")).distinct(), "names")
             texts = keep(long_.join(names, "lid", "left_semi").select("lid", "name", "line", parities("line", k).alias("bits")), "texts")
         pairs = keep(buckets.select(F.least("lid", "pivot").alias("u"), F.greatest("lid", "pivot").alias("v")).distinct(), "pairs")
         found = _verified(pairs, texts, k)
@@ -177,29 +177,15 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
         if level == levels or large.isEmpty():
             break
         parts = keep(large.join(parts, ["bucket", "lid"]).select(F.col("key").alias("bucket"), "lid", without_shared(k).alias("part")).distinct(), "parts")
-    more = _verified(_block_pairs(rest.join(placed, "lid"), texts, k, block), texts, k)
+    # of a pair one line is indexed, and the parities are near
+    rest = keep(rest.join(placed, "lid").join(texts.select("lid", "bits"), "lid").withColumnRenamed("lid", "id"), "rest")
+    more = _verified(blocked_pairs(rest, "indexed", f"x_comp != y_comp AND bit_count(x_bits ^ y_bits) <= {4 * k}", block), texts, k)
     out = cut(links.union(more), "links")
     for t in held:
         release(t)
     return out
 
 
-def _block_pairs(rows: DataFrame, texts: DataFrame, k: int, block: int) -> DataFrame:
-    """Pairs (u, v) of rows (key, lid, indexed, comp) of one key, in different components, of which one is indexed and whose parities are near.
-
-    Blocks of indexed lines meet blocks of all lines; a pair becomes a row only if its parities allow it.
-    """
-    rows = cut(rows.join(texts.select("lid", "bits"), "lid"), "blocks")
-    sizes = rows.groupBy("key").agg(F.ceil(F.count_if("indexed") / block).cast("int").alias("ni"), F.ceil(F.count("*") / block).cast("int").alias("nj"))
-    near_ = rows.join(sizes, "key")
-    own = lambda n: F.pmod(F.xxhash64("lid"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = near_.where("indexed").select("key", own("ni").alias("i"), upto("nj").alias("j"), F.col("lid").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("bx"))
-    y = near_.where("ni > 0").select("key", upto("ni").alias("i"), own("nj").alias("j"), F.col("lid").alias("y"), "comp", "bits", "indexed")
-    hits = x.join(y, ["key", "i", "j"]).where(f"cx != comp AND (NOT indexed OR x < y) AND bit_count(bx ^ bits) <= {4 * k}")
-    return hits.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-
-
 def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, hot: int = 1000) -> DataFrame:
     """(did, h, dropped): for each row of ``docs`` with lines to drop, their positions.
 
@@ -212,8 +198,9 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, ho
     occ = cut(lines.select("did", "h", "pos", "name"), "occurrences")
     distinct = cut(distinct_lines(lines), "distinct")
     comps = connected_components(line_links(distinct, max_edits, min_chars))
-    known = distinct.drop("line", "lid").join(comps.withColumnRenamed("node", "name"), "name", "left").where("n > 1 OR comp IS NOT NULL")
-    known = cut(known.select("name", "n", "first", F.coalesce("comp", "name").alias("comp")), "classes")
+    plain, comps = distinct.select("name", "n", "first"), comps.withColumnRenamed("node", "name")
+    known = plain.where("n > 1").join(comps, "name", "left").select("name", "n", "first", F.coalesce("comp", "name").alias("comp"))
+    known = cut(known.union(plain.where("n = 1").join(comps, "name")), "classes")
     heads = known.groupBy("comp").agg(F.min("first").alias("head"))
     known = cut(known.join(heads, "comp").select("name", "n", "comp", "head"), "classes")
     total = distinct.agg(F.sum("n")).first()[0] or 0
