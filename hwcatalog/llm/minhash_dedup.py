@@ -6,9 +6,13 @@ about the square root of what independent tables would need. A pair of similarit
 table with probability ``(1 - (1 - s**rows) ** groups) ** 2`` (0.9994 at 0.8 with 8 groups of 2).
 
 Buckets are never expanded into all pairs. Members are compared with pivots first (linear in the
-bucket); buckets whose members are then in one component are done. In the others, members outside
-the pivot's component are compared with the whole bucket in blocks of bounded size, so no link
-between different texts is lost and no group meets in one task.
+bucket); buckets whose members are then in one component are done. In the others, whoever is outside
+the bucket's largest component is compared with those around it by an exact prefix join: of two sets
+of that similarity the rarest shingles, a fifth of a set and one more, have one in common. Lists of a
+shingle are looked through in blocks of bounded size, so no group meets in one task. So of the pairs that
+meet in a table, all that reach the similarity end in one component.
+
+A set is named by 128 bits of a digest; its first 64 only find candidates.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, connected_components, cut, mix, release, text_slices, word_hashes
+from .common import _U, blocked_pairs, connected_components, cut, fresh, long_word_hashes, mix, release, text_slices, word_hashes
 
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _SEEDS[1] = _SEEDS[1] * _U(2) + _U(1)
@@ -34,7 +38,11 @@ def shingle_sets(column, width: int):
     A text with fewer words has one shingle, its whole sequence; a text without words (or null) has none.
     """
     for _, data, ends in text_slices(column):
-        h, last = word_hashes(data, ends)
+        if len(ends) == 1:
+            h = long_word_hashes(data)
+            last = np.array([len(h)])
+        else:
+            h, last = word_hashes(data, ends)
         n = len(h) - width + 1
         with np.errstate(over="ignore"):
             s = mix(sum((h[i : i + n] * _MULT[i] for i in range(width)), np.zeros(n, np.uint64))) if n > 0 else _EMPTY
@@ -49,21 +57,24 @@ def shingle_sets(column, width: int):
                 a = b
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 63-bit name of a shingle set: equal sets, and only those but for chance (one in 2**63 a pair), share it."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big") >> 1
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a 128-bit name of a shingle set."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def signatures(docs: DataFrame, width: int, groups: int, rows: int) -> DataFrame:
-    """(doc_id, set_id, n_shingles, a, b) per row of ``docs`` (doc_id, text); a, b: the two hash collections."""
+    """(doc_id, set_id, alt, n_shingles, a, b) per row of ``docs`` (doc_id, text); a, b: the two hash collections."""
     x, m = _SEEDS[0, : 2 * groups * rows, None], _SEEDS[1, : 2 * groups * rows, None]
 
     def run(batches):
         for batch in batches:
-            ids, sizes, hashes = [], [], []
+            ids, alts, sizes, hashes = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(batch.column(1), width):
-                    ids.append(set_id(s))
+                    one, two = set_name(s)
+                    ids.append(one)
+                    alts.append(two)
                     sizes.append(len(s))
                     if len(s):
                         low = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
@@ -74,72 +85,65 @@ def signatures(docs: DataFrame, width: int, groups: int, rows: int) -> DataFrame
                         hashes.append(np.zeros(2 * groups, np.int64))
             flat = np.array(hashes, np.int64).reshape(-1, 2, groups)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(flat[:, k].reshape(-1)), groups).cast(pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "set_id", "n_shingles", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "set_id", "alt", "n_shingles", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_id long, n_shingles long, a array<long>, b array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_id long, alt long, n_shingles long, a array<long>, b array<long>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, s) for each row of ``docs`` (doc_id, text)."""
+    """(set_id, alt, s) for each row of ``docs`` (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
-            ids, parts = [], []
+            ids, alts, parts = [], [], []
 
             def out():
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32), pa.array(np.concatenate([*parts, _EMPTY]).view(np.int64)))
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["set_id", "s"])
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), lists], names=["set_id", "alt", "s"])
 
             held = 0
             for s in shingle_sets(batch.column(1), width):
-                ids.append(set_id(s))
+                one, two = set_name(s)
+                ids.append(one)
+                alts.append(two)
                 parts.append(s)
                 held += len(s)
                 if held > 2_000_000:
                     yield out()
-                    ids, parts, held = [], [], 0
+                    ids, alts, parts, held = [], [], [], 0
             if ids:
                 yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "set_id long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "set_id long, alt long, s array<long>")
+
+
+def _name():
+    return F.struct("set_id", "alt")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose sets reach the similarity."""
-    left = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("s").alias("su")), "u")
-    both = left.join(sets.select(F.col("set_id").alias("v"), F.col("s").alias("sv")), "v")
+    """Of pairs (u, v) of set ids, the names (u, v) of those whose sets reach the similarity."""
+    left = pairs.join(sets.select(F.col("set_id").alias("u"), _name().alias("nu"), F.col("s").alias("su")), "u")
+    both = left.join(sets.select(F.col("set_id").alias("v"), _name().alias("nv"), F.col("s").alias("sv")), "v")
     n = F.size(F.array_intersect("su", "sv"))
-    return both.select("u", "v", n.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("u", "v")
-
-
-def _compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (main, i, j, side, id, comp, s, h) of block pairs: links (u, v) between side q and side m in different components."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, m = pdf[pdf.side == "q"], pdf[pdf.side == "m"]
-        found: list[tuple[int, int]] = []
-        if len(q) and len(m):
-            sizes = np.array([len(x) for x in m.s])
-            flat, owner = np.concatenate(list(m.s)), np.repeat(np.arange(len(m)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            comps, ids = m.comp.to_numpy(), m.id.to_numpy()
-            hashes = np.array(list(m.h))
-            for one, comp, s, h in zip(q.id, q.comp, q.s, q.h, strict=True):
-                likely = (comps != comp) & ((hashes == h).sum(axis=1) >= 3) & (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s)))
-                if not likely.any():
-                    continue
-                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                inter = np.bincount(owner[at], minlength=len(m))
-                hit = np.flatnonzero(likely & (100 * inter >= percent * (sizes + len(s) - inter)))
-                _, first = np.unique(comps[hit], return_index=True)  # one link joins two components as well as many
-                found += [(int(one), int(ids[k])) for k in hit[first]]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    return rows.groupBy("main", "i", "j").applyInPandas(run, "u long, v long")
+    both = both.select(F.col("nu").alias("u"), F.col("nv").alias("v"), n.alias("i"), (F.size("su") + F.size("sv")).alias("t"))
+    return both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("u", "v")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (u, v) of set ids in different components among ``members`` (main, set_id, comp) of one main, that may reach the similarity.
+
+    The rarest ``n - ceil(percent * n / 100) + 1`` shingles of either set, in the same order, must have one in common.
+    """
+    size = F.size("s")
+    rows = members.join(sets.select("set_id", "s", size.alias("n")), "set_id")
+    each = rows.select("main", "set_id", F.explode("s").alias("g"))
+    df = each.groupBy("main", "g").agg(F.count("*").alias("df"))
+    ranked = each.join(df, ["main", "g"]).groupBy("main", "set_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("df", "g"))).alias("by"))
+    first = ranked.select("main", "set_id", "n", F.explode(F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("e")).where("e.df > 1")
+    first = first.join(members, ["main", "set_id"]).select(F.struct("main", "e.g").alias("key"), F.col("set_id").alias("id"), "n", "comp", (F.col("comp") != F.col("main")).alias("out"))
+    first = cut(first, "prefixes")
+    return blocked_pairs(first, "out", f"x_comp != y_comp AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)", block)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = 8, rows: int = 2, orders: int = 6, block: int = 512) -> DataFrame:
@@ -153,7 +157,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     over all tables, ``block`` the most rows of either side in a block comparison.
     """
     sig = cut(signatures(docs, width, groups, rows), "signatures")
-    classes = cut(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id", "alt").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = cut(classes, "classes")
     # tensored keys: every pair of one hash of a with one of b; the places are part of the key
     i, j = F.sequence(F.lit(0), F.lit(groups - 1)), F.sequence(F.lit(0), F.lit(groups - 1))
     pair = F.transform(i, lambda x: F.transform(j, lambda y: F.xxhash64(F.get("a", x), F.get("b", y), x * groups + y)))
@@ -161,43 +166,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     turn = F.xxhash64("set_id", F.pmod("key", F.lit(orders)))
     pivots = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(turn.alias("o"), "set_id"))["set_id"].alias("pivot")).where("size > 1")
     buckets = cut(keys.join(pivots, "key"), "buckets")
-    # cheap refusals before sets move: sizes too far apart, or almost no hash in common
-    small = classes.select("set_id", "n", F.concat("a", "b").alias("h"))
+    # refused before sets move: sizes too far apart
+    small = classes.select("set_id", "n").groupBy("set_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    side = lambda x: small.select(F.col("set_id").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
     pairs = buckets.where("set_id != pivot").select(F.least("set_id", "pivot").alias("u"), F.greatest("set_id", "pivot").alias("v")).distinct()
-    pairs = pairs.join(small.select(F.col("set_id").alias("u"), F.col("n").alias("nu"), F.col("h").alias("hu")), "u").join(small.select(F.col("set_id").alias("v"), F.col("n").alias("nv"), F.col("h").alias("hv")), "v")
-    shared = F.aggregate(F.zip_with("hu", "hv", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    # chance that a pair at the threshold shares fewer than 3 of its 16 hashes: below 1e-5
-    pairs = cut(pairs.where((100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (shared >= 3)).select("u", "v"), "pairs")
-    need = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
-    want = classes.join(need, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id"), F.col("set_id").alias("want"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(want.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(sets_of(text, width).join(need, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * u_high >= {percent} * v_low AND 100 * v_high >= {percent} * u_low")
+    pairs = cut(pairs.select("u", "v"), "pairs")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def sets_for(ids: DataFrame) -> DataFrame:
+        """The sets of some set ids, each from its first document."""
+        # written, so that Spark knows how many they are when it picks the join
+        want = cut(classes.join(ids, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct(), "want")
+        text = plain.join(want, "doc_id", "left_semi")
+        return cut(sets_of(text, width).join(ids, "set_id", "left_semi").dropDuplicates(["set_id", "alt"]), "sets")
+
+    need = cut(pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct(), "need")
+    sets = sets_for(need)
     links = cut(_confirmed(pairs, sets, percent), "links")
     comps = connected_components(links)
     # buckets with members in several components: all that is not yet compared there
-    placed = buckets.select("key", "set_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    named = classes.select("set_id", "alt", _name().alias("node")).join(comps, "node", "left").select("set_id", F.xxhash64(F.coalesce("comp", "node")).alias("comp"))
+    placed = buckets.select("key", "set_id").join(named, "set_id")
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     state = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1 AND size > 2").select("key", F.col("top.comp").alias("main"))
     # the buckets that lie around one component are compared together, so a pair that met in many tables is compared once
-    members = placed.join(state, "key").select("main", "set_id", "comp").distinct().join(sets.select("set_id"), "set_id", "left_semi")
-    members = cut(members, "open")
-    sizes = members.groupBy("main").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("main")).alias("outside")).where("outside > 0")
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    own = lambda n, salt: F.pmod(F.xxhash64("set_id", F.lit(salt)), blocks(n)).cast("int")
-    near = members.join(sizes, "main")
-    m = near.select("main", F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("i"), own("size", 1).alias("j"), F.lit("m").alias("side"), "set_id", "comp")
-    q = near.where("comp != main").select("main", own("outside", 2).alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"), F.lit("q").alias("side"), "set_id", "comp")
-    both = m.union(q).join(sets, "set_id").join(small.select("set_id", "h"), "set_id").withColumnRenamed("set_id", "id")
-    more = cut(_compare_blocks(both, percent), "links")
+    members = cut(placed.join(state, "key").select("main", "set_id", "comp").distinct(), "open")
+    others = cut(members.select("set_id").distinct().join(need, "set_id", "left_anti"), "need")
+    if not others.isEmpty():
+        sets = sets.union(sets_for(others))
+    more = cut(_confirmed(_prefix_pairs(members, sets, percent, block), sets, percent), "links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
-    of = classes.select("set_id", "first_doc").join(comps.withColumnRenamed("node", "set_id"), "set_id")
+    of = classes.select("first_doc", _name().alias("node")).join(comps, "node")
     heads = of.groupBy("comp").agg(F.min("first_doc").alias("head"))
-    heads = of.join(heads, "comp").select("set_id", "head")
-    firsts = classes.select("set_id", "first_doc").join(heads, "set_id", "left").select("set_id", F.coalesce("head", "first_doc").alias("head"))
-    for x in (buckets, pairs, sets, members):
+    heads = of.join(heads, "comp").select("node", "head")
+    firsts = classes.select("set_id", "alt", "first_doc", _name().alias("node")).join(heads, "node", "left").select("set_id", "alt", F.coalesce("head", "first_doc").alias("head"))
+    for x in (buckets, pairs, need, sets, members, others):
         release(x)
-    out = sig.select("doc_id", "set_id", "n_shingles").join(firsts, "set_id", "left")
+    out = sig.select("doc_id", "set_id", "alt", "n_shingles").join(firsts, ["set_id", "alt"], "left")
     comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
@@ -207,5 +214,6 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
 
     All columns stay as they are. Rows that repeat a doc_id stay or go together.
     """
-    gone = near_duplicates(docs, **params).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    out = near_duplicates(docs.select("doc_id", "text"), **params).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

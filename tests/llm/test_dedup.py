@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hwcatalog.llm import line_dedup, minhash_dedup
+from hwcatalog.llm import common, line_dedup, minhash_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -58,13 +58,43 @@ def test_minhash_equals_brute_force(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_minhash_joins_twins_that_no_pivot_joins(spark):
+    # a notice, the same with one more word, and many pages that begin with the notice: near-twins differ from all pivots
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    docs = []
+    for g in range(4):
+        notice = [word() for _ in range(30)]
+        base = g * 1000
+        docs += [(base + 1 + i, " ".join([*notice, *(word() for _ in range(9))])) for i in range(150)]
+        docs += [(base + 602, " ".join(notice)), (base + 603, " ".join([*notice, word()]))]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(docs, SCHEMA), width=4).collect()}
+    want = {i: c for i, (_, c) in components(docs, 4, 80).items()}
+    assert got == want and all(got[g * 1000 + 603] == g * 1000 + 602 for g in range(4))
+
+
+def test_long_texts_have_the_same_shingles():
+    import numpy as np
+
+    rng = random.Random(6)
+    data = bytearray()
+    while len(data) < 200_000:
+        data += bytes(rng.choices(b"abc xyzABC\n", k=1000)) + b" " * rng.choice([0, 0, 70]) + b"w" * rng.choice([0, 9, 9000])
+    data = np.frombuffer(bytes(data), np.uint8)
+    whole, _ = common.word_hashes(data, np.array([len(data)]))
+    assert (common.long_word_hashes(data, 777) == whole).all() and len(whole) == len(bytes(data).split())
+
+
 def test_minhash_edges(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "A B C D E F")]
     out = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=4).collect())
     assert out == [("5", 5, True), ("5", 5, True), ("7", 5, False), ("None", None, True)]
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
-    kept = minhash_dedup.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["5", "5", "None"]
+    mine = spark.createDataFrame(rows, SCHEMA)
+    for c in ("gone", "_gone", "kept", "set_id", "alt", "component_id"):  # names used within
+        mine = mine.withColumn(c, F.lit("mine"))
+    kept = minhash_dedup.keep_first(mine)
+    assert kept.columns == mine.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "5", "None"]
 
 
 def lev(a, b):
