@@ -1,56 +1,77 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-The alphabet is words: runs of up to 32 characters without white space, or single ideographs and kana. Of the k-mers of
-a text those are anchors whose least inner s-mer, by hash, is the first or the last: a test that looks at
-the k-mer alone, so an anchor stays wherever its words go, and texts with a passage in common have its
-anchors in common, at places that differ by one shift. A fingerprint keeps, for each of 64 ranges of anchor
-hashes, the least anchor; likeness is the share of ranges, of those with an anchor in either text,
-whose least anchors agree, an estimate of the Jaccard similarity of the anchor sets.
+The alphabet is characters. Of the k-mers of a text those are anchors whose least inner s-mer, by hash, is the first or the
+last: a test that looks at the k-mer alone, so an anchor stays wherever its characters go, and texts with a passage in
+common have its anchors in common, at places that differ by one shift. Anchors of a text that is put together
+from others are theirs, but for those over the seams.
+
+A fingerprint keeps, for each of 64 ranges of anchor hashes, the least anchor and its place. Likeness matches two
+fingerprints by position: a common anchor counts if it is about as far from the common anchor before or after it
+in both texts; the count is taken of the ranges with an anchor in either text.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SINGLE = r"\u3040-\u30FF\u3400-\u9FFF"
-SYMBOL = rf"[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}]{{1,32}}"
-#: k-mers of K symbols, inner s-mers of 2: INNER of them in a k-mer.
-K = 8
-INNER = K - 1
-#: Hex digits of a fingerprint's entry: 6 bits of range, 16 of the least anchor in it, in 6 digits.
-DIGITS = 6
+from .common import cut
 
+#: k-mers of K characters, inner s-mers of S: INNER of them in a k-mer.
+K, S = 10, 6
+INNER = K - S + 1
+#: Hex digits of a fingerprint's entry: 6 bits of range and 16 of the least anchor in it, in 6 digits, and its place in 8.
+DIGITS = 14
+#: Two common anchors keep their distance if it differs by at most so many characters, or this share of it.
+SLACK, SHARE = 16, 8
+_PLACE = 0xFFFFFFFF
 
-def inner_hashes(text: Column | str) -> Column:
-    """Hashes of all runs of two symbols of a text column."""
-    text = F.col(text) if isinstance(text, str) else text
-    words = F.transform(F.regexp_extract_all(text, F.lit(f"({SYMBOL})"), F.lit(1)), lambda x: F.xxhash64(x))
-    # bound once: the words would be found anew for each mention
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), lambda a, b: F.xxhash64(a, b))
-    return F.get(F.transform(F.array(words), pairs), F.lit(0))
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-def anchor_places(g: str) -> Column:
-    """Places (from 0, in symbols) of the closed syncmers of a text whose inner hashes are in column ``g``."""
-    least = "least(" + ", ".join(f"get({g}, i + {j})" for j in range(INNER)) + ")"
-    return F.expr(f"filter(if(size({g}) >= {INNER}, sequence(0, size({g}) - {INNER}), cast(array() as array<int>)), i -> {least} in (get({g}, i), get({g}, i + {INNER - 1})))")
 
+def _upto(last: Column) -> Column:
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-def anchor_hash(g: str, i: str) -> str:
-    """SQL for the hash of the k-mer at place i; every other inner hash tells it all."""
-    return "xxhash64(" + ", ".join(f"get({g}, {i} + {j})" for j in range(0, INNER, 2)) + ")"
+
+def inner_hashes(text: Column) -> Column:
+    """Hashes of all runs of S characters; in UTF-32 a place is an offset."""
+
+    def runs(u: Column) -> Column:
+        last = F.octet_length(u) - 4 * S + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last, F.lit(4))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.xxhash64(F.substring(u, at, F.lit(4 * S))))
+
+    return let(F.encode(text, "UTF-32"), runs)
+
+
+def _at_anchors(text: Column, make) -> Column:
+    """``make(first inner hash, last, place)`` for each closed syncmer of a text, in text order."""
+
+    def found(g: Column) -> Column:
+        first, last = lambda i: F.get(g, i), lambda i: F.get(g, i + (INNER - 1))
+
+        def closed(i: Column) -> Column:
+            below = lambda x: reduce(Column.__and__, (x <= F.get(g, i + j) for j in range(1, INNER - 1)))
+            return F.when(first(i) <= last(i), below(first(i))).otherwise(below(last(i)))
+
+        return F.transform(F.filter(_upto(F.size(g) - INNER), closed), lambda i: make(first(i), last(i), i))
+
+    return let(inner_hashes(text), found)
 
 
 def anchors(docs: DataFrame, text: str = "text", out: str = "anchors") -> DataFrame:
     """``docs`` with its anchors, array<struct<hash bigint, pos int>> in text order. Null texts have none."""
-    return docs.withColumn("_g", inner_hashes(F.coalesce(F.col(text), F.lit("")))).withColumn("_p", anchor_places("_g")).withColumn(out, F.expr(f"transform(_p, i -> named_struct('hash', {anchor_hash('_g', 'i')}, 'pos', i))")).drop("_g", "_p")
+    return docs.withColumn(out, _at_anchors(F.coalesce(F.col(text), F.lit("")), lambda a, b, i: F.struct(F.xxhash64(a, b).alias("hash"), i.alias("pos"))))
 
 
 def positional_matches(a: str, b: str) -> Column:
-    """For two anchors columns the shift that most shared anchors agree on and their number: struct<shift, matches>; null without any.
+    """For two anchors columns the shift that most shared anchors agree on and their number: struct<matches, shift>; null without any.
 
     Anchors that repeat within a text are taken at their first place.
     """
@@ -58,73 +79,134 @@ def positional_matches(a: str, b: str) -> Column:
     return F.expr(f"array_max(transform(array_distinct({shifts}), d -> named_struct('matches', size(filter({shifts}, s -> s = d)), 'shift', d)))")
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column. Equal texts have equal ones; one without words has the empty string.
+def _top(x: Column) -> Column:
+    """The top 22 bits of a hash, above 32 bits for a place."""
+    return F.shiftleft(F.shiftrightunsigned(x, 42), 32)
+
+
+def entries(text: Column) -> Column:
+    """The anchors of a text as numbers: 22 bits of the hash, 32 of the place."""
+    return _at_anchors(text, lambda a, b, i: _top(F.xxhash64(a, b)).bitwiseOR(i.cast("long")))
 
-    A text without an anchor (few words) is its own single anchor.
-    """
-    whole = "xxhash64(_g, size(_g), regexp_replace(coalesce({t}, ''), '[\\\\x20\\\\x09-\\\\x0D]+', ' '))".format(t=f"`{text}`")
-    df = df.withColumn("_g", inner_hashes(F.coalesce(F.col(text), F.lit("")))).withColumn("_p", anchor_places("_g"))
-    hashes = F.expr(f"if(size(_p) > 0, transform(_p, i -> {anchor_hash('_g', 'i')}), if(coalesce(`{text}`, '') rlike '[^\\\\x20\\\\x09-\\\\x0D]', array({whole}), cast(array() as array<bigint>)))")
-    # unsigned order: entries are the top 22 bits, so sorting them puts each range's least anchor first
-    df = df.withColumn("_e", F.sort_array(F.transform(hashes, lambda x: F.shiftrightunsigned(x, 42))))
-    entry = F.expr(f"concat_ws('', transform(filter(_e, (x, i) -> i = 0 or shiftright(x, 16) != shiftright(get(_e, i - 1), 16)), x -> lpad(lower(hex(x)), {DIGITS}, '0')))")
-    return df.withColumn(out, entry).drop("_g", "_p", "_e")
+
+def _sketch(found: Column, text: Column) -> Column:
+    """Of the entries of a text the least of each range; a text without an anchor is its own single one, the empty text has none."""
+    whole = F.when(text != "", F.array(_top(F.xxhash64(text)))).otherwise(F.array().cast("array<bigint>"))
+    least = lambda e: F.filter(e, lambda x, i: (i == 0) | (F.shiftright(x, 48) != F.shiftright(F.get(e, i - 1), 48)))
+    return let(let(found, lambda e: F.when(F.size(e) > 0, F.sort_array(e)).otherwise(whole)), least)
+
+
+def sketch(text: Column) -> Column:
+    """The fingerprint of a text column as an array of entries. Equal texts have equal ones; the empty text, and null, none."""
+    return let(F.coalesce(text, F.lit("")), lambda t: _sketch(entries(t), t))
+
+
+def written(entries_: Column) -> Column:
+    """A fingerprint as a string of hex digits."""
+    return F.array_join(F.transform(entries_, lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
+
+
+def read(fingerprint: Column) -> Column:
+    """The entries of a fingerprint that is written as a string."""
+    return F.transform(_upto((F.length(fingerprint) / DIGITS).cast("int") - 1), lambda i: F.conv(F.substring(fingerprint, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("long"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprint columns; 1 for two empty ones, 0 if one is empty."""
+    """0 to 1 for the entries of two fingerprints; 1 for two empty ones, 0 if one is empty."""
+    keys = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
+    ranges = F.size(F.array_union(F.transform(a, lambda v: F.shiftright(v, 48)), F.transform(b, lambda v: F.shiftright(v, 48))))
+    place = lambda x, of, key: F.get(x, (F.array_position(of, key) - 1).cast("int")).bitwiseAND(F.lit(_PLACE))
 
-    def entries(x: Column) -> Column:
-        return F.transform(F.when(F.length(x) > 0, F.sequence(F.lit(0), (F.length(x) / DIGITS).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(x, i * DIGITS + 1, F.lit(DIGITS)), 16, 10).cast("int"))
+    def pairs(ka: Column, kb: Column) -> Column:
+        both = F.transform(F.array_intersect(ka, kb), lambda key: F.struct(place(a, ka, key).alias("at"), place(b, kb, key).alias("to")))
+        return F.sort_array(both)
 
-    x, y = entries(a), entries(b)
-    ranges = F.size(F.array_union(F.transform(x, lambda v: F.shiftright(v, 16)), F.transform(y, lambda v: F.shiftright(v, 16))))
-    return F.when(ranges == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / ranges)
+    def held(s: Column) -> Column:
+        def near(p: Column, q: Column) -> Column:
+            there, here = p["to"] - q["to"], p["at"] - q["at"]
+            return F.abs(there - here) <= F.greatest(F.lit(SLACK), F.floor(F.abs(here) / SHARE))
 
+        return F.when(F.size(s) == 1, 1).otherwise(F.size(F.filter(s, lambda p, i: near(p, F.get(s, i - 1)) | near(p, F.get(s, i + 1)))))
 
-def _bucket(did: Column, bounds: list[int], at: int = 0) -> Column:
-    """How many bounds are at or above did, by halving."""
-    if not bounds:
-        return F.lit(at)
-    mid = len(bounds) // 2
-    return F.when(did > bounds[mid], _bucket(did, bounds[mid + 1 :], at)).otherwise(_bucket(did, bounds[:mid], at + len(bounds) - mid))
+    common = let(keys(a), lambda ka: let(keys(b), lambda kb: pairs(ka, kb)))
+    return F.when(a == b, 1.0).otherwise(let(common, held) / ranges)
 
 
-def with_next(docs: DataFrame, per_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
-    """``docs`` (doc_id, text, fp) with next_text and next_fp, those of the next row by descending doc_id; after the last comes the first.
+def _ranged(docs: DataFrame, per_range: int, most_ranges: int) -> DataFrame:
+    """``docs`` (doc_id, text) with did (null last in descending order), h, the text's hash, and range, which numbers ranges of (did, h).
 
-    Rows of one doc_id follow each other by their text's hash, null ids come last. Ranges of ids are ordered apart;
-    each also holds the first row of the range after it, so no task sees all rows and texts move once. The driver gathers
-    one pair of numbers a range, ``most_buckets`` at most.
+    Ranges are as many as the table's rows call for; one id that would fill several is dealt to as many by h.
     """
     did = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    keyed = docs.withColumn("_did", did).withColumn("_h", F.xxhash64("text"))
+    keyed = docs.withColumn("did", did).withColumn("h", F.xxhash64("text"))
     n = docs.count()
-    buckets = max(1, min(most_buckets, math.ceil(n / per_bucket)))
-    cuts = docs.select(did.alias("d")).agg(F.percentile_approx("d", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(10 * buckets)) if buckets > 1 else F.array()).first()[0]
-    keyed = keyed.withColumn("_b", _bucket(F.col("_did"), sorted(set(cuts or []))))
-    tops = keyed.groupBy("_b").agg(F.max(F.struct("_did", "_h")).alias("t")).orderBy("_b").collect()
-    rows = [(tops[i - 1]._b, x._b, x.t._did, x.t._h) for i, x in enumerate(tops)]
-    firsts = docs.sparkSession.createDataFrame(rows, "_before int, _fb int, _fd long, _fh long")
-    placed = keyed.join(F.broadcast(firsts), (F.col("_b") == F.col("_fb")) & (F.col("_did") == F.col("_fd")) & (F.col("_h") == F.col("_fh")), "left")
-    to = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("guest"))))
-    placed = placed.withColumn("_to", F.explode(to)).withColumn("_b", F.col("_to.b")).withColumn("_guest", F.col("_to.guest"))
-    w = Window.partitionBy("_b").orderBy("_guest", F.desc("_did"), F.desc("_h"))
-    out = placed.select(*docs.columns, "_guest", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp"))
-    return out.where("_guest = 0").drop("_guest")
-
-
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+    ranges = max(1, min(most_ranges, math.ceil(n / per_range)))
+    cuts = docs.select(did.alias("d")).agg(F.percentile_approx("d", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(10 * ranges)) if ranges > 1 else F.array()).first()[0]
+    bounds = sorted(cuts or [])
+    # two steps: which run of bounds, then where in the run
+    step = math.isqrt(len(bounds)) + 1
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    longs = lambda x: F.expr(f"cast(array({', '.join(f'{v}L' if v > -(2**63) else '-9223372036854775807L - 1L' for v in x)}) as array<bigint>)")
+    below = lambda x: F.size(F.filter(x, lambda v: v < F.col("did")))
+    if not bounds:
+        return keyed.withColumn("range", F.lit(0).cast("long"))
+    run = below(longs([r[-1] for r in runs]))
+    inner = F.coalesce(F.get(F.array(*map(longs, runs)), F.col("run")), F.array().cast("array<bigint>"))
+    keyed = keyed.withColumn("run", run).withColumn("range", (F.col("run") * step + below(inner)).cast("long"))
+    often = {v: bounds.count(v) for v in dict.fromkeys(bounds) if bounds.count(v) > 1} if len(set(bounds)) < len(bounds) else {}
+    if often:  # h in equal shares, upwards
+        times = F.element_at(F.create_map(*(F.lit(x) for p in often.items() for x in p)), F.col("did"))
+        share = F.floor((F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 32) * times) / F.lit(2.0**32)).cast("long")
+        keyed = keyed.withColumn("range", F.col("range") + F.coalesce(share, F.lit(0)))
+    return keyed.drop("run")
+
+
+def _with_next(rows: DataFrame, tops: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` (did, h, range, ...) with ``column`` of the next row, by descending (did, h); after the last comes the first.
+
+    Each range also gets the first row of the range after it as a guest, so no task sees all rows. ``tops`` names these: a row a range.
+    """
+    marked = rows.join(F.broadcast(tops), ["range", "did", "h"], "left")
+    guest = F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))
+    own = F.struct(F.col("range"), F.lit(False).alias("guest"))
+    names = [c for c in rows.columns if c != "range"]
+    dealt = marked.select(*names, F.inline(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
+    w = Window.partitionBy("range").orderBy("guest", F.desc("did"), F.desc("h"))
+    return dealt.select(*names, "range", "guest", F.lead(column).over(w).alias(out)).where("NOT guest").drop("guest")
+
+
+def compare_with_edits(docs: DataFrame, per_range: int = 2000, most_ranges: int = 65536) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its fingerprint, that of its edited text, and how like they and the next document's are.
 
     The edited text has the last third of its characters replaced by the first as many (or all) of the next document. Null
     texts are empty. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A table of
-    one row is its own next; an empty table gives an empty result.
+    one row is its own next; an empty table gives an empty result. Rows of one doc_id follow each other by their text's hash,
+    null ids come last. Texts move once, to ranges of about ``per_range`` rows; the driver holds a number a range.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "fp"))
-    n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    rows = with_fingerprint(rows.select("doc_id", n.cast("long").alias("n_chars"), "edited", "fp", "next_fp"), "edited", "efp")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    rows = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), per_range, most_ranges)
+    tops = rows.groupBy("range").agg(F.max(F.struct("did", "h")).alias("t"))
+    order = Window.orderBy("range")  # one row a range
+    # in descending order a range comes before the one below it, and the lowest before the highest
+    before = F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy()))
+    tops = cut(tops.select("range", F.col("t.did").alias("did"), F.col("t.h").alias("h"), before.alias("before")), "tops")
+    both = _with_next(rows, tops, "text", "next_text")
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    both = both.select("doc_id", "did", "h", "range", "text", n.alias("n"), (n - third).alias("kept"), F.substring("next_text", F.lit(1), third).alias("tail"))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("kept")), F.col("tail")))
+    start = F.greatest(F.lit(0), F.col("kept") - (K - 1))
+    seam = F.substring("edited", start + 1, F.col("kept") + (K - 1) - start)
+    moved = lambda e, by: F.transform(e, lambda x: x + by.cast("long"))
+
+    def two(mine: Column) -> Column:
+        before = F.filter(mine, lambda x: x.bitwiseAND(F.lit(_PLACE)) <= F.col("kept") - K)
+        theirs = F.concat(before, moved(entries(seam), start), moved(entries(F.col("tail")), F.col("kept")))
+        return F.struct(_sketch(mine, F.col("text")).alias("fp"), _sketch(theirs, F.col("edited")).alias("efp"))
+
+    done = both.select("doc_id", "did", "h", "range", "n", F.sha2("edited", 256).alias("sha"), let(entries(F.col("text")), two).alias("f"))
+    done = cut(done.select("doc_id", "did", "h", "range", "n", "sha", "f.fp", "f.efp"), "fingerprints")
+    out = _with_next(done, tops, "fp", "next_fp")
+    return out.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), written(F.col("fp")).alias("fingerprint"), written(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )

@@ -9,6 +9,7 @@ import re
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -155,41 +156,92 @@ def test_token_counts_query(spark, reference):
 # ---- fingerprints
 
 
+K, S = fingerprints.K, fingerprints.S
+
+
+def xx(data, seed=42):
+    v = xxhash.xxh64(data, seed=seed & (2**64 - 1)).intdigest()
+    return v - 2**64 if v >= 2**63 else v
+
+
+def long_hash(a, b):
+    return xx(b.to_bytes(8, "little", signed=True), xx(a.to_bytes(8, "little", signed=True)))
+
+
+def plain_anchors(text):
+    g = [xx(text[i : i + S].encode("utf-32-be")) for i in range(len(text) - S + 1)]
+    w = K - S + 1
+    return [(long_hash(g[i], g[i + w - 1]), i) for i in range(len(g) - w + 1) if min(g[i : i + w]) in (g[i], g[i + w - 1])]
+
+
+def plain_fingerprint(text):
+    found = plain_anchors(text) or ([(xx(text.encode()), 0)] if text else [])
+    best = {}
+    for h, i in sorted(((h % 2**64) >> 42, i) for h, i in found):
+        best.setdefault(h >> 16, (h, i))
+    return sorted(best.values())
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    at = dict(b)
+    ranges = len({h >> 16 for h, _ in a} | {h >> 16 for h, _ in b})
+    common = sorted((i, at[h] - i) for h, i in a if h in at)
+    near = lambda p, q: abs(p[1] - q[1]) <= max(16, abs(p[0] - q[0]) // 8)
+    held = sum(any(near(common[k], common[j]) for j in (k - 1, k + 1) if 0 <= j < len(common)) for k in range(len(common)))
+    return (1 if len(common) == 1 else held) / ranges
+
+
+def shown(found):
+    return "".join(f"{h:06x}{i:08x}" for h, i in found)
+
+
 def test_anchors_are_closed_syncmers(spark):
     rng = random.Random(6)
-    words = [rng.choice("a bb ccc dd e ff ggg 日 本".split()) + str(rng.randint(0, 9)) for _ in range(120)]
-    text = " ".join(words)
-    r = fingerprints.anchors(spark.createDataFrame([(text,)], "text string").withColumn("g", fingerprints.inner_hashes("text"))).first()
-    g, w = r.g, fingerprints.INNER
-    want = [i for i in range(len(g) - w + 1) if min(g[i : i + w]) in (g[i], g[i + w - 1])]
-    assert [a.pos for a in r.anchors] == want and 0.2 < len(want) / len(g) < 0.5
-    shifted = fingerprints.anchors(spark.createDataFrame([("new words in front here " + text,)], "text string")).first()
-    assert {a.hash for a in r.anchors} <= {a.hash for a in shifted.anchors}
+    text = " ".join(rng.choice("a bb ccc dd e ff ggg 日 本😀".split()) + str(rng.randint(0, 9)) for _ in range(120))
+    r = fingerprints.anchors(spark.createDataFrame([(text,)], "text string")).first()
+    assert [(a.hash, a.pos) for a in r.anchors] == plain_anchors(text)
+    assert 0.25 < len(r.anchors) / len(text) < 0.55
     both = spark.createDataFrame([(text, "new words in front here " + text)], "x string, y string")
     both = fingerprints.anchors(fingerprints.anchors(both, "x", "ax"), "y", "ay")
-    assert both.select(fingerprints.positional_matches("ax", "ay").alias("m")).first().m.shift == 5
+    assert both.select(fingerprints.positional_matches("ax", "ay").alias("m")).first().m.shift == 24
 
 
-@pytest.mark.parametrize("per_bucket", [3, 2000])
-def test_fingerprint_query(spark, per_bucket, monkeypatch):
-    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (per_bucket, 4096))
+@pytest.mark.parametrize("per_range", [3, 2000])
+def test_fingerprint_query(spark, per_range):
     rng = random.Random(7)
     text = lambda: " ".join(rng.choice("alpha beta gamma delta".split()) + str(rng.randint(0, 50)) for _ in range(rng.randint(0, 80)))
     docs = [(i * i % 97 + i * 100, text()) for i in range(40)]
-    docs += [(9000, docs[3][1]), (9001, None), (9002, ""), (9003, "é😀"), (9004, docs[3][1])]
-    got = {r.doc_id: r for r in fingerprints.compare_with_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert len(got) == len(docs)
-    order = sorted(((i, t or "") for i, t in docs), reverse=True)
-    for k, (i, t) in enumerate(order):
-        nxt = order[(k + 1) % len(order)]
+    docs += [(9000, docs[3][1]), (9001, None), (9002, ""), (9003, "é😀"), (9004, docs[3][1]), (9005, "twelve chars"), (None, text())]
+    docs += [(5050, text()) for _ in range(25)]  # one id for many texts
+    docs += [docs[-1]] * 2  # and a row thrice
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("range", F.lit("mine"))
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.compare_with_edits(df, per_range).collect()), key=str)
+    order = sorted(((-(2**63) if i is None else i, xx((t or "").encode()), t or "") for i, t in docs), reverse=True)
+    want = []
+    for k, (i, _, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][2]
         third = len(t) // 3
-        assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - third] + nxt[1][:third]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        if nxt[1] == t:
-            assert got[i].near_next == 1
-    assert got[9000].fingerprint == got[9004].fingerprint == got[docs[3][0]].fingerprint
-    assert got[9001].fingerprint == "" and got[9003].fingerprint != ""
+        edited = t[: len(t) - third] + nxt[:third]
+        fp, efp = plain_fingerprint(t), plain_fingerprint(edited)
+        want.append((max(i, -1), len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(fp), shown(efp), round(plain_likeness(fp, efp), 9), round(plain_likeness(fp, plain_fingerprint(nxt)), 9)))
+    assert got == sorted(want, key=str)
+
+
+def test_fingerprints_of_near_texts(spark):
+    rng = random.Random(8)
+    thai = "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(4000))
+    words = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(7)) for _ in range(30)]
+    long_ = " ".join(words * 2)
+    pairs = [(thai, "x" + thai), (long_, long_[:400] + " put between " + long_[400:]), (thai, thai[::-1]), (long_, thai)]
+    pairs += [(w, " ".join(["changed" if k == 3 else x for k, x in enumerate(w.split())])) for w in words]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = df.select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
+    assert df.where(fingerprints.read(fingerprints.written(F.col("a"))) != F.col("a")).count() == 0
+    near = [r.n for r in df.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert near[0] > 0.9 and near[1] > 0.8 and near[2] < 0.05 and near[3] < 0.05
+    assert sum(n > 0 for n in near[4:]) >= 27 and all(0 <= n < 1 for n in near[4:])
 
 
 def test_fingerprint_tables_of_none_and_one(spark):
