@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import tempfile
 import uuid
@@ -41,14 +42,18 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+def cut(df: DataFrame, what: str = "cut", rows: int | None = None, per_file: int = 100_000) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
+    ``rows``, where it is known, is the most rows that ``df`` may have: it is then written in files of about ``per_file``
+    rows, not one for each partition of whatever was shuffled last.
     The collection of garbage before it lets Spark drop the shuffle files that only earlier plans used.
     """
     spark = df.sparkSession
     path = new_path(spark, what)
     spark._jvm.System.gc()
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / per_file)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -81,7 +86,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     can split), and a round's edges are written to the shared folder before the next begins.
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e, "edges")
+    e = cut(e, "edges", rows=edges.count())
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -93,7 +98,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
-        nxt = cut(small, "edges")
+        nxt = cut(small, "edges", rows=2 * now[0])
         then = state(nxt)
         release(e)
         e, same, now = nxt, then == now, then

@@ -27,6 +27,8 @@ TRIMMED = " \t\x0b\x0c\r"
 BLOCK = 512
 #: A bucket of more lines is split before it is looked through.
 SPLIT = 8192
+#: Pairs that are verified in a task.
+VERIFIED = 5000
 #: How often a bucket may be split by what its lines hold besides what they share.
 LEVELS = 3
 _LAST = 2**63 - 1  # stands for a null doc_id: after all others
@@ -145,8 +147,8 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
     """(u, v): names of distinct lines of at least ``min_chars`` within ``max_edits`` edits; enough of them to join what belongs together."""
     k, held = max_edits, []
 
-    def keep(df: DataFrame, what: str) -> DataFrame:
-        held.append(cut(df, what))
+    def keep(df: DataFrame, what: str, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+        held.append(cut(df, what, rows, per_file))
         return held[-1]
 
     long_ = distinct.where(F.length("line") >= min_chars)
@@ -156,31 +158,33 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
         # one row a key: its least indexed line is the pivot, whom all the others of the bucket meet
         index = segment_keys(parts, k, own=True).groupBy("key").agg(F.min("lid").alias("pivot"))
         buckets = keep(segment_keys(parts, k).join(index, "key").where("lid != pivot"), "buckets")
+        n = buckets.count()
         if texts is None:
-            names = keep(buckets.select("lid").union(buckets.select("pivot")).distinct(), "names")
+            names = keep(buckets.select("lid").union(buckets.select("pivot")).distinct(), "names", 2 * n)
             texts = keep(long_.join(names, "lid", "left_semi").select("lid", "name", "line", parities("line", k).alias("bits")), "texts")
-        pairs = keep(buckets.select(F.least("lid", "pivot").alias("u"), F.greatest("lid", "pivot").alias("v")).distinct(), "pairs")
+            few = texts.count()
+        pairs = keep(buckets.select(F.least("lid", "pivot").alias("u"), F.greatest("lid", "pivot").alias("v")).distinct(), "pairs", n)
         found = _verified(pairs, texts, k)
-        links = keep(found if links is None else links.union(found), "links")
+        links = keep(found, "links", n, VERIFIED) if links is None else keep(links.union(found), "links", links.count() + n, VERIFIED)
         comps = connected_components(links)
         placed = texts.select("lid", "name").join(comps.withColumnRenamed("node", "name"), "name", "left").select("lid", F.coalesce("comp", "name").alias("comp")).dropDuplicates(["lid"])
-        placed = keep(placed, "placed")
+        placed = keep(placed, "placed", few)
         of = buckets.join(placed, "lid").join(placed.select(F.col("lid").alias("pivot"), F.col("comp").alias("head")), "pivot")
         state = of.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("at") <= k).alias("indexed"), F.count_if(F.col("comp") != F.col("head")).alias("out"))
         state = state.where("out > 0 AND size > 1 AND indexed > 0").select("key", "size")
         # the pivot has met all; of the others some still may be near each other
-        open_ = keep(of.join(state, "key").select("bucket", "key", "lid", "at", "size", "comp").dropDuplicates(["key", "lid", "at"]), "open")
+        open_ = keep(of.join(state, "key").select("bucket", "key", "lid", "at", "size", "comp").dropDuplicates(["key", "lid", "at"]), "open", n)
         small = open_ if level == levels else open_.where(F.col("size") <= split)
         small = small.select("key", "lid", (F.col("at") <= k).alias("indexed")).distinct()
         rest = small if rest is None else rest.union(small)
         large = open_.where(F.col("size") > split)
         if level == levels or large.isEmpty():
             break
-        parts = keep(large.join(parts, ["bucket", "lid"]).select(F.col("key").alias("bucket"), "lid", without_shared(k).alias("part")).distinct(), "parts")
+        parts = keep(large.join(parts, ["bucket", "lid"]).select(F.col("key").alias("bucket"), "lid", without_shared(k).alias("part")).distinct(), "parts", n)
     # of a pair one line is indexed, and the parities are near
-    rest = keep(rest.join(placed, "lid").join(texts.select("lid", "bits"), "lid").withColumnRenamed("lid", "id"), "rest")
+    rest = keep(rest.join(placed, "lid").join(texts.select("lid", "bits"), "lid").withColumnRenamed("lid", "id"), "rest", rest.count())
     more = _verified(blocked_pairs(rest, "indexed", f"x_comp != y_comp AND bit_count(x_bits ^ y_bits) <= {4 * k}", block), texts, k)
-    out = cut(links.union(more), "links")
+    out = cut(links.union(more), "links", rows=links.count() + rest.count(), per_file=VERIFIED)
     for t in held:
         release(t)
     return out
@@ -202,7 +206,7 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, ho
     known = plain.where("n > 1").join(comps, "name", "left").select("name", "n", "first", F.coalesce("comp", "name").alias("comp"))
     known = cut(known.union(plain.where("n = 1").join(comps, "name")), "classes")
     heads = known.groupBy("comp").agg(F.min("first").alias("head"))
-    known = cut(known.join(heads, "comp").select("name", "n", "comp", "head"), "classes")
+    known = cut(known.join(heads, "comp").select("name", "n", "comp", "head"), "classes", rows=known.count())
     total = distinct.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * hot > total
     heavy = F.broadcast(known.where(often).drop("n"))

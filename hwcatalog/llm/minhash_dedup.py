@@ -166,24 +166,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     turn = F.xxhash64("set_id", F.pmod("key", F.lit(orders)))
     pivots = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(turn.alias("o"), "set_id"))["set_id"].alias("pivot")).where("size > 1")
     buckets = cut(keys.join(pivots, "key"), "buckets")
+    n = buckets.count()
     # refused before sets move: sizes too far apart
     small = classes.select("set_id", "n").groupBy("set_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     side = lambda x: small.select(F.col("set_id").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
     pairs = buckets.where("set_id != pivot").select(F.least("set_id", "pivot").alias("u"), F.greatest("set_id", "pivot").alias("v")).distinct()
     pairs = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * u_high >= {percent} * v_low AND 100 * v_high >= {percent} * u_low")
-    pairs = cut(pairs.select("u", "v"), "pairs")
+    pairs = cut(pairs.select("u", "v"), "pairs", rows=n)
+    few = pairs.count()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sets_for(ids: DataFrame) -> DataFrame:
         """The sets of some set ids, each from its first document."""
         # written, so that Spark knows how many they are when it picks the join
-        want = cut(classes.join(ids, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct(), "want")
+        want = cut(classes.join(ids, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct(), "want", rows=ids.count())
         text = plain.join(want, "doc_id", "left_semi")
         return cut(sets_of(text, width).join(ids, "set_id", "left_semi").dropDuplicates(["set_id", "alt"]), "sets")
 
-    need = cut(pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct(), "need")
+    need = cut(pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct(), "need", rows=2 * few)
     sets = sets_for(need)
-    links = cut(_confirmed(pairs, sets, percent), "links")
+    links = cut(_confirmed(pairs, sets, percent), "links", rows=few, per_file=5000)
     comps = connected_components(links)
     # buckets with members in several components: all that is not yet compared there
     named = classes.select("set_id", "alt", _name().alias("node")).join(comps, "node", "left").select("set_id", F.xxhash64(F.coalesce("comp", "node")).alias("comp"))
@@ -191,8 +193,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     state = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1 AND size > 2").select("key", F.col("top.comp").alias("main"))
     # the buckets that lie around one component are compared together, so a pair that met in many tables is compared once
-    members = cut(placed.join(state, "key").select("main", "set_id", "comp").distinct(), "open")
-    others = cut(members.select("set_id").distinct().join(need, "set_id", "left_anti"), "need")
+    members = cut(placed.join(state, "key").select("main", "set_id", "comp").distinct(), "open", rows=n)
+    others = cut(members.select("set_id").distinct().join(need, "set_id", "left_anti"), "need", rows=members.count())
     if not others.isEmpty():
         sets = sets.union(sets_for(others))
     more = cut(_confirmed(_prefix_pairs(members, sets, percent, block), sets, percent), "links")
