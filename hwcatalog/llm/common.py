@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import os
 import tempfile
@@ -17,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own if that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "hwcatalog-shared")
         os.makedirs(found, exist_ok=True)
         found = f"file://{found}"
@@ -51,6 +54,7 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None, per_file: int
     """
     spark = df.sparkSession
     path = new_path(spark, what)
+    gc.collect()  # Python's hold on earlier plans first
     spark._jvm.System.gc()
     if rows is not None:
         df = df.coalesce(max(1, math.ceil(rows / per_file)))

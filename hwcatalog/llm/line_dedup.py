@@ -161,7 +161,8 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
         n = buckets.count()
         if texts is None:
             names = keep(buckets.select("lid").union(buckets.select("pivot")).distinct(), "names", 2 * n)
-            texts = keep(long_.join(names, "lid", "left_semi").select("lid", "name", "line", parities("line", k).alias("bits")), "texts")
+            # the names grow with the table: hashed by partition at any size, not broadcast
+            texts = keep(long_.join(names.hint("shuffle_hash"), "lid", "left_semi").select("lid", "name", "line", parities("line", k).alias("bits")), "texts")
             few = texts.count()
         pairs = keep(buckets.select(F.least("lid", "pivot").alias("u"), F.greatest("lid", "pivot").alias("v")).distinct(), "pairs", n)
         found = _verified(pairs, texts, k)

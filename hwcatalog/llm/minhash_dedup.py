@@ -175,16 +175,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     pairs = cut(pairs.select("u", "v"), "pairs", rows=n)
     few = pairs.count()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def sets_for(ids: DataFrame) -> DataFrame:
-        """The sets of some set ids, each from its first document."""
-        # written, so that Spark knows how many they are when it picks the join
-        want = cut(classes.join(ids, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct(), "want", rows=ids.count())
-        text = plain.join(want, "doc_id", "left_semi")
-        return cut(sets_of(text, width).join(ids, "set_id", "left_semi").dropDuplicates(["set_id", "alt"]), "sets")
-
-    need = cut(pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct(), "need", rows=2 * few)
-    sets = sets_for(need)
+    # the sets of all that share a bucket, each from its first document; these ids grow with the table, so they are hashed by partition
+    need = cut(buckets.select("set_id").distinct(), "need", rows=n)
+    want = classes.join(need, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct()
+    text = plain.join(want.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = cut(sets_of(text, width).join(need, "set_id", "left_semi").dropDuplicates(["set_id", "alt"]), "sets")
     links = cut(_confirmed(pairs, sets, percent), "links", rows=few, per_file=5000)
     comps = connected_components(links)
     # buckets with members in several components: all that is not yet compared there
@@ -194,9 +189,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     state = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1 AND size > 2").select("key", F.col("top.comp").alias("main"))
     # the buckets that lie around one component are compared together, so a pair that met in many tables is compared once
     members = cut(placed.join(state, "key").select("main", "set_id", "comp").distinct(), "open", rows=n)
-    others = cut(members.select("set_id").distinct().join(need, "set_id", "left_anti"), "need", rows=members.count())
-    if not others.isEmpty():
-        sets = sets.union(sets_for(others))
     more = cut(_confirmed(_prefix_pairs(members, sets, percent, block), sets, percent), "links")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
@@ -204,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     heads = of.groupBy("comp").agg(F.min("first_doc").alias("head"))
     heads = of.join(heads, "comp").select("node", "head")
     firsts = classes.select("set_id", "alt", "first_doc", _name().alias("node")).join(heads, "node", "left").select("set_id", "alt", F.coalesce("head", "first_doc").alias("head"))
-    for x in (buckets, pairs, need, sets, members, others):
+    for x in (buckets, pairs, need, sets, members):
         release(x)
     out = sig.select("doc_id", "set_id", "alt", "n_shingles").join(firsts, ["set_id", "alt"], "left")
     comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("head")).otherwise(F.col("doc_id"))
