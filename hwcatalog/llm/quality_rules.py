@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, fresh
 
 #: Fixed by the contract.
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,31 +43,32 @@ def text_counts(text: str | None) -> tuple[int, int]:
     return n, int(covered.sum())
 
 
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "n_repeat_words")]))
+def _counts(texts: pa.Array) -> pa.Array:
+    n, r = zip(*(text_counts(x.as_py()) for x in texts), strict=True) if len(texts) else ((), ())
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(r, pa.int64())], names=["n_words", "n_repeat_words"])
+
+
 def with_counts(df: DataFrame) -> DataFrame:
     """``df`` (with a text column) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, all long.
 
-    Null texts count as empty. Columns of ``df`` by those names are replaced.
+    Null texts count as empty. Columns of ``df`` by those names are replaced. Python gets the text alone and gives back two numbers.
     """
     names = ["n_words", "n_repeat_words"]
     df = df.drop(*names, "word_chars", "n_symbols", "n_dup_lines")
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    at = df.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            n, r = zip(*map(text_counts, batch.column(at).to_pylist()), strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(r, pa.int64())], names=[*batch.schema.names, *names])
-
+    (both,) = fresh(df, "counts")
     text = F.coalesce("text", F.lit(""))
     blank = F.translate(text, SPACES, "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    return df.mapInArrow(run, schema).withColumns(
+    counted = df.withColumn(both, _counts("text"))
+    return counted.withColumns(
         {
+            **{n: F.col(both)[n] for n in names},
             "word_chars": F.length(blank).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         }
-    )
+    ).drop(both)
 
 
 def base_failed(min_words: int = MIN_WORDS, repeat_percent: int = MAX_REPEAT_PERCENT):
@@ -107,9 +108,10 @@ def judge(docs: DataFrame, host: str = "source", symbol_percent: int = 50, dup_l
     soft = (100 * F.col("n_symbols") > symbol_percent * F.col("n_words")) | (100 * F.col("n_dup_lines") > dup_line_percent * lines)
     counted = counted.withColumn("rule_failed", F.col("base_failed") | soft)
     counted = cut(counted.drop("text") if drop_text else counted, "counted")
-    hosts = host_verdicts(counted, host, "rule_failed", reject_over).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("_rejected"))
-    out = counted.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("_rejected", F.lit(False))).drop("_host", "_rejected")
+    name, rejected = fresh(counted, "host", "rejected")
+    hosts = host_verdicts(counted, host, "rule_failed", reject_over).select(F.col("host").alias(name), F.col("rate").alias("host_rate"), F.col("rejected").alias(rejected))
+    out = counted.join(hosts, F.col(host).eqNullSafe(F.col(name)), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).drop(name, rejected)
 
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
