@@ -26,6 +26,9 @@ from pyspark.sql import types as T
 WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces of more bytes are encoded one by one.
 LONG = 24
+#: The alternatives of the pattern whose matches never cross a single space between other characters, and for which a word, or a
+#: word and a mark, is told without it (fixed by the tokenizers that use it). Texts are not cut for other patterns.
+CUT = (" ?\\p{L}+", " ?\\p{N}+", " ?[^\\s\\p{L}\\p{N}]+", "\\s+(?!\\S)", "\\s+")
 
 
 class Ranks:
@@ -238,6 +241,7 @@ class TextEncoder:
         self.ranks = Ranks(path)
         self.table = TokenTable(self.ranks)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WS}").replace(r"\s", f"[{WS}]").replace(r"\S", f"[^{WS}]"))
+        self.plain = tuple(x for x in pattern.split("|") if not re.fullmatch(r"'(?:\w+|\(\?:\[?\w+\]?)\)?", x)) == CUT
         self.odd = re.compile(rf"\A | \Z| [{WS}]|[{WS}] ")
         self.space = re.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
         self.text = [str(i) for i in range(max(self.ranks.bytes) + 1)]
@@ -262,6 +266,8 @@ class TextEncoder:
     def _split(self, part: str) -> list[bytes]:
         """The pieces of a cut; most are a word, or a word and a mark."""
         word = part[1:] if part[:1] == " " else part
+        if not self.plain:
+            return [p.encode("utf-8", "replace") for p in self.pieces.findall(part)]
         if word.isalpha():
             return [part.encode()]
         if word[:-1].isalpha() and word[-1] in ".,;:!?":
@@ -275,6 +281,8 @@ class TextEncoder:
         """
         if not text:
             return []
+        if not self.plain:
+            return ["\0" + text]
         rest = self.space.split(text) if self.odd.search(text) else text.split(" ")
         first = rest.pop(0)
         if "\0" in text:
