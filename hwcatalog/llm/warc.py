@@ -5,6 +5,9 @@ record's headers first and inflates the rest of it only where a wanted record's
 of compressed files written here carry their compressed length (the LX extra field of gzip headers), so
 an unwanted record is stepped over; members without it are inflated and thrown away, which is all that
 the format allows. Uncompressed files are stepped over by Content-Length.
+
+A record whose Content-Length is missing or no number is left out, and so is one that the file's end cuts short: reading goes
+on at the next member, or at the next line of an uncompressed file that begins a record. A length header that is no number is null.
 """
 
 from __future__ import annotations
@@ -96,6 +99,24 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def number(value: str | None) -> int | None:
+    """A length header's value; None if it is missing or no number."""
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
+def _resync(b: Buffered) -> None:
+    """To the next line that begins a record, or the file's end."""
+    while True:
+        at = b.buf.find(b"\nWARC/", b.at)
+        if at >= 0:
+            b.at = at + 1
+            return
+        b.at = max(b.at, len(b.buf) - 5)
+        if not b.need(len(b.buf) - b.at + 1):
+            b.at = len(b.buf)
+            return
+
+
 def records(f, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the records for which ``wanted(headers)``; payload is None unless ``payloads``."""
     b = Buffered(f)
@@ -111,14 +132,19 @@ def records(f, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes |
                 n *= 2
             end = b.buf.find(b"\r\n\r\n", b.at)
             if end < 0:
-                raise ValueError("a record's headers don't end")
+                return
             h = parse_headers(b.buf[b.at : end])
             b.skip(end + 4 - b.at)
-            size, ok = int(h["content-length"]), wanted(h)
+            size = number(h.get("content-length"))
+            if size is None:
+                b.at = max(0, b.at - 4)
+                _resync(b)
+                continue
+            ok = wanted(h)
             data = None
             if ok and payloads:
                 if not b.need(size):
-                    raise ValueError("a record is cut short")
+                    return
                 data = b.buf[b.at : b.at + size]
             b.skip(size)
             if ok:
@@ -138,11 +164,13 @@ def _member(b: Buffered, wanted, payloads: bool):
             feed = b.buf[b.at + used : b.at + used + 4096]
             used += len(feed)
             if not feed:
-                raise ValueError("a compressed record is cut short")
+                b.skip(used)
+                return
         out += inflate.decompress(feed, 8192)
     head, _, rest = out.partition(b"\r\n\r\n")
     h = parse_headers(head)
-    ok = wanted(h)
+    size = number(h.get("content-length"))
+    ok = size is not None and wanted(h)
     if length and not (ok and payloads):
         b.skip(length)
     else:
@@ -154,14 +182,15 @@ def _member(b: Buffered, wanted, payloads: bool):
                 feed = b.buf[b.at + used : b.at + used + CHUNK]
                 used += len(feed)
                 if not feed:
-                    raise ValueError("a compressed record is cut short")
+                    b.skip(used)
+                    return
             more = inflate.decompress(feed, CHUNK)
             if ok and payloads:
                 parts.append(more)
         b.skip(used - len(inflate.unused_data))
         rest = b"".join(parts)
     if ok:
-        yield h, rest[: int(h["content-length"])] if payloads else None
+        yield h, rest[:size] if payloads else None
 
 
 class FilePartition(InputPartition):
@@ -203,7 +232,7 @@ class WarcReader(DataSourceReader):
                 return data
             v = h.get(HEADERS[name].lower())
             if name.endswith("_length"):
-                return None if v is None else int(v)
+                return number(v)
             return v
 
         if partition is None:
