@@ -2,7 +2,8 @@
 
 Rules name a host and a path; the longest that fits a url decides. A url that no rule fits takes the
 decision of its aliases: redirect and canonical-link edges join urls into components, and a component
-with an explicit allow is allowed, one with a block and no allow is blocked.
+with an explicit allow is allowed, one with a block and no allow is blocked. Urls that differ only in the case of
+scheme and host, a default port, a fragment or an empty path are one node.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ TAG_END = re.compile(r"[\s/]*>")
 REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;?)")
 #: The address in a refresh's content: all that follows the seconds and ``url=``.
 REFRESH = re.compile(r"\s*+(?:[\d.]++(?:\s*+[;,]\s*+|\s++)(?:url\s*+=\s*+)?+|(?:[;,]\s*+)?url\s*+=\s*+)(.+)", re.I | re.S)
+#: What is no markup of the page: comments, and scripts and styles with what they hold.
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template)(?=[\s>/]).*?(?:</\1\s*>|\Z)", re.I | re.S)
 ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 
 
@@ -37,6 +40,15 @@ def host_and_path(url):
     return host, path
 
 
+def node(url):
+    """The name of a url column's node: scheme and host in lower case, no default port, no fragment, at least the path ``/``."""
+    whole = F.regexp_extract(url, r"(?s)^([^:/?#]+)://([^/?#]*)([^#]*)", 0)
+    part = lambda i: F.regexp_extract(url, r"(?s)^([^:/?#]+)://([^/?#]*)([^#]*)", i)
+    scheme, rest = F.lower(part(1)), part(3)
+    host = F.regexp_replace(F.lower(part(2)), F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise("(?!)"), F.lit(""))
+    return F.when(whole == "", url).otherwise(F.concat(scheme, F.lit("://"), host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
 def decoded(value: str) -> str:
     """An attribute's value with its character references decoded; ``&name`` without ``;`` stays before ``=``, as in ``?a=1&copy=2``."""
 
@@ -72,7 +84,7 @@ def resolved(base: str, target: str) -> str | None:
 
 def targets(url: str, html: str) -> list[str]:
     """The addresses that a page's canonical links and refreshes name, each once."""
-    base, found = None, []
+    base, found, html = None, [], HIDDEN.sub("", html)
     for tag in TAG.finditer(html):
         a, name = attributes(html, tag.end()), tag[1].lower()
         if name == "base":
@@ -128,12 +140,12 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, de
     if edges is not None:
         found = found.union(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    comps = connected_components(cut(found, "urls"))
-    names = rows.select("url").where("url IS NOT NULL").union(comps.select("node")).distinct()
+    comps = connected_components(cut(found.select(node(F.col("u")).alias("u"), node(F.col("v")).alias("v")), "urls"))
     host, path = host_and_path(F.col("url"))
-    ruled = match_rules(names.select(F.col("url").alias("key"), host.alias("host"), path.alias("path")), rules)
-    ruled = cut(ruled, "ruled")
-    voted = comps.join(ruled, comps.node == ruled.key, "left").groupBy("comp").agg(F.max((F.col("action") == "allow").cast("int")).alias("a"), F.max((F.col("action") == "block").cast("int")).alias("b"))
+    match = lambda urls: match_rules(urls.distinct().select(F.col("url").alias("key"), host.alias("host"), path.alias("path")), rules)
+    ruled = cut(match(rows.select("url").where("url IS NOT NULL")), "ruled")
+    nodes = match(comps.select(F.col("node").alias("url")))
+    voted = comps.join(nodes, comps.node == nodes.key, "left").groupBy("comp").agg(F.max((F.col("action") == "allow").cast("int")).alias("a"), F.max((F.col("action") == "block").cast("int")).alias("b"))
     inherited = comps.join(voted, "comp").select(F.col("node").alias("_n"), F.when(F.col("a") == 1, "allow").when(F.col("b") == 1, "block").alias("alias_action"))
-    out = rows.join(ruled.withColumnRenamed("key", "_u"), F.col("url") == F.col("_u"), "left").join(inherited, F.col("url") == F.col("_n"), "left")
+    out = rows.join(ruled.withColumnRenamed("key", "_u"), F.col("url") == F.col("_u"), "left").join(inherited, node(F.col("url")) == F.col("_n"), "left")
     return out.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("action", "alias_action", F.lit(default)).alias("verdict"))

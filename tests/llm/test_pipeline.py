@@ -34,3 +34,20 @@ def test_stages(spark):
     assert ids("source_mixing") <= {*range(20)}
     enc = bpe.TextEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert sorted(r.n_tokens for r in seen["byte_bpe"]) == sorted(len(enc.encode(r.text)) for r in seen["source_mixing"])
+
+
+def test_stages_of_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table: every stage takes them."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long_ = "\n".join(" ".join(f"w{i}x{k}" for k in range(20)) for i in range(400))
+    rows = [(None, long_, None, None, None), (1, long_, "en", "s", 3), (1, long_, "en", "s", 3), (2, None, None, "s", None), (3, "", "en", None, 0), (4, long_ + "\nand one line more that no other text has", "en", "t", 1)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        counts = []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            if name != "byte_bpe":
+                assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            counts.append(docs.count())
+        assert counts[0] == (4 if table else 0) and all(a >= b for a, b in zip(counts, counts[1:3], strict=False))

@@ -55,7 +55,11 @@ def quality_docs():
 
 def test_quality_counts_and_hosts(spark):
     docs = quality_docs()
-    out = quality_rules.judge(spark.createDataFrame(docs, SCHEMA).withColumn("n_words", F.lit(-1)).withColumn("kept", F.lit("x"))).collect()
+    df = spark.createDataFrame(docs, SCHEMA).withColumn("n_words", F.lit(-1)).withColumn("kept", F.lit("x"))
+    for c in ("host", "_host", "_rejected", "_counts", "rejected"):  # names used within
+        df = df.withColumn(c, F.lit("mine"))
+    out = quality_rules.judge(df).collect()
+    assert {(r["host"], r["_host"], r["_rejected"]) for r in out} == {("mine",) * 3}
     assert len(out) == len(docs)
     for r in out:
         n, chars, symbols, dup, rep = counts(r.text)
@@ -96,6 +100,15 @@ def test_bpe_keeps_nul(reference, encoder, text):
         assert ids == reference.encode_ordinary(text) and encoder.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [r".", r"\p{N}{1,3}|[^\r\n\p{L}\p{N}]?\p{L}+|\s+|[^\s]"])
+def test_bpe_with_other_patterns(reference, pattern):
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    enc = bpe.TextEncoder(PATH, pattern)
+    for text in ("hello there", "a  b c, d 12345 été", "x\n\n y", "", " lead and trail "):
+        assert enc.encode(text) == other.encode_ordinary(text)
+    assert pattern != "." or len(enc.encode("hello there")) == 11
+
+
 def test_prefix_table_appends_and_edits(encoder):
     rng = random.Random(2)
     for _ in range(150):

@@ -85,6 +85,22 @@ def test_warc_of_others(spark, tmp_path, kind):
     assert sorted((r.record_id, len(r.payload)) for r in df.collect()) == [("<urn:1>", 100_000), ("<urn:2>", 0)]
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_of_broken_records(spark, tmp_path, packed):
+    good = [warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>"), ("X-Payload-Length", "many")], b"y" * 10_000) for i in range(3)]
+    none = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:none>\r\n\r\nWARC is no header\r\n\r\n"
+    odd = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: ten\r\n\r\n0123456789\r\n\r\n"
+    parts = [good[0], none, odd, good[1], good[2]]
+    data = b"".join(map(gzip.compress, parts)) if packed else b"".join(parts)
+    cut_ = len(gzip.compress(good[2])) // 2 if packed else 5000
+    (tmp_path / ("a.warc.gz" if packed else "a.warc")).write_bytes(data[:-cut_])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "junk.warc").write_bytes(b"no archive at all")
+    warc.register(spark)
+    rows = spark.read.format("warc").load(f"file://{tmp_path}").collect()
+    assert sorted((r.record_id, len(r.payload), r.payload_length) for r in rows) == [("<urn:0>", 10_000, None), ("<urn:1>", 10_000, None)]
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -143,6 +159,40 @@ def test_alias_targets_are_decoded_and_resolved(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
 
 
+def test_spellings_of_a_url_are_one_node(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://a.net/x", link("HTTP://X.com:80/de/1#top")), (2, "http://x.COM/de/1", "<p>"), (3, "http://b.net", link("http://c.net/y")), (4, "http://c.net:80/y#z", link("http://x.com/de/2")),
+        (5, "http://d.net/", "<!-- " + link("http://x.com/de/3") + " -->"), (6, "http://e.net/", "<script>var s = '" + link("http://x.com/de/4") + "';</script>"), (7, "HTTP://B.net/#f", "<p>"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, PAGES), spark.createDataFrame(RULES, "action string, host string, path string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block"}
+
+
+def test_aliases_equal_plain_closure(spark):
+    rng = __import__("random").Random(5)
+    urls = [f"http://{rng.choice(['a.net', 'b.com', 'c.org', 'example.org'])}{rng.choice(['/de/', '/fr/', '/es/', '/x/'])}{i}" for i in range(120)]
+    rows = [(i, u, f'<link rel="canonical" href="{rng.choice(urls)}">' if rng.random() < 0.6 else None) for i, u in enumerate(urls)]
+    up = {u: u for u in urls}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for _, u, h in rows:
+        if h:
+            up[find(u)] = find(h.split('href="')[1][:-2])
+    rule = lambda u: plain_rule(u.split("/")[2], "/" + u.split("/", 3)[3])
+    want = {}
+    for i, u, _ in rows:
+        votes = {rule(v)[0] for v in urls if find(v) == find(u) and rule(v)}
+        own = rule(u)
+        want[i] = own[0] if own else "allow" if "allow" in votes or not votes else "block"
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, PAGES), spark.createDataFrame(RULES, "action string, host string, path string")).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
 # ---- HTML
 
 
