@@ -2,29 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import HWID_PREFIXES, NT_RELEASES
 from .hwid import is_generic, is_valid
 
-DEVICE = r"(?m)^[ \t]*(%[^%\r\n]+%)\s*=\s*[^,\r\n]+,\s*(\S[^\r\n]*)"
-HWID = r"(?i)\b(?:" + "|".join(HWID_PREFIXES) + r")\\[A-Z0-9_&%{}.*+\-\\]+"
-STRINGS = r"(?ims)^\[Strings\](.*?)(?=^\[|\z)"
+
+
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(F.translate(text, "\r", "\n"), "\n"), lambda x: F.ltrim(F.translate(x, "\t", " ")))
+
+
+def _pairs(lines: Column) -> Column:
+    """The lines ``key = value`` as structs k (as written) and v."""
+    there = F.filter(lines, lambda x: F.instr(x, "=") > 1)
+    return F.transform(there, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.ltrim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
+
+
+def _section(text: Column, name: str) -> Column:
+    """The lines between a section's header and the next header."""
+    lines = _lines(text)
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("[")), F.struct(i.alias("i"), F.startswith(F.lower(x), F.lit(f"[{name}]")).alias("own")))), lambda h: h.isNotNull())
+    start = F.get(F.filter(heads, lambda h: h["own"]), F.lit(0))["i"]
+    stop = F.coalesce(F.get(F.filter(heads, lambda h: h["i"] > start), F.lit(0))["i"], F.size(lines))
+    return F.coalesce(F.slice(lines, start + 2, F.greatest(F.lit(0), stop - start - 1)), F.array().cast("array<string>"))
 
 
 def field(text: Column, name: str) -> Column:
-    """First value of a line ``name = value``, up to a semicolon; the version line runs to its end."""
-    tail = r"([^\r\n]+)" if name == "DriverVer" else r"([^\r\n;]+)"
-    return F.regexp_extract(text, rf"(?im)^{name}\s*=\s*{tail}", 1)
+    """First value of a line ``name = value``, up to a semicolon; the version line runs to its end. Blank if there is none."""
+    value = F.get(F.filter(_pairs(_lines(text)), lambda p: (F.lower(p["k"]) == name.lower()) & (p["v"] != "")), F.lit(0))["v"]
+    return F.coalesce(value if name == "DriverVer" else F.substring_index(value, ";", 1), F.lit(""))
 
 
 def strings(text: Column) -> Column:
     """Entries of the [Strings] section: array of (upper-cased key, value), the last of a key counts."""
-    block = F.regexp_extract(text, STRINGS, 1)
-    pattern = r'(?m)^([A-Za-z0-9_.]+)\s*=\s*"?([^"\r\n]*)"?'
-    keys, values = (F.regexp_extract_all(block, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(F.upper(k).alias("k"), F.btrim(F.trim(v), F.lit('"')).alias("v")))
+    entries = F.filter(_pairs(_section(text, "strings")), lambda p: ~p["k"].rlike("[^A-Za-z0-9_.]"))
+    quoted = lambda v: F.when(F.startswith(v, F.lit('"')), F.substring_index(F.substring(v, 2, F.length(v)), '"', 1)).otherwise(F.substring_index(v, '"', 1))
+    return F.transform(entries, lambda p: F.struct(F.upper(p["k"]).alias("k"), F.trim(quoted(p["v"])).alias("v")))
+
+
+def devices(text: Column) -> Column:
+    """Device lines ``%name% = section, id, ...``: structs of the name in its signs and the ids."""
+    named = lambda p: F.startswith(p["k"], F.lit("%")) & F.endswith(p["k"], F.lit("%")) & (F.length(p["k"]) > 2) & (F.instr(p["v"], ",") > 1)
+    found = F.filter(_pairs(_lines(text)), named)
+    return F.filter(F.transform(found, lambda p: F.struct(p["k"].alias("name"), F.trim(F.substring(p["v"], F.instr(p["v"], ",") + 1, F.length(p["v"]))).alias("ids"))), lambda d: d["ids"] != "")
 
 
 def resolve(text: Column, table: Column) -> Column:
@@ -72,16 +96,16 @@ def os_targets(text: Column) -> Column:
 
 def hwids(text: Column) -> Column:
     """Valid ids of the text and of its device lines, upper-cased, sorted."""
-    plain = F.regexp_extract_all(text, F.lit(f"({HWID})"), F.lit(1))
-    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(DEVICE), F.lit(2)), lambda x: F.split(x, ",")))
-    listed = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)DEV_|VID_|PID_|CC_"))
-    both = F.transform(F.array_union(plain, listed), lambda x: F.upper(F.trim(x)))
-    return F.array_sort(F.array_distinct(F.filter(both, is_valid)))
+    words = F.split(F.upper(F.translate(text, "\t\r\n,;=\"()[]<>'", "               ")), " ")
+    plain = F.filter(words, lambda x: (F.instr(x, "\\") > 1) & F.substring_index(x, "\\", 1).isin(*HWID_PREFIXES))
+    listed = F.flatten(F.transform(devices(text), lambda d: F.split(d["ids"], ",")))
+    listed = F.filter(F.transform(listed, lambda x: F.upper(F.trim(x))), lambda x: reduce(Column.__or__, (x.contains(part) for part in ("DEV_", "VID_", "PID_", "CC_"))))
+    return F.array_sort(F.array_distinct(F.filter(F.array_union(plain, listed), is_valid)))
 
 
 def descriptions(text: Column, table: Column) -> Column:
     """Names of the device lines, resolved, distinct, the first ten."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(DEVICE), F.lit(1)), lambda x: resolve(F.concat(F.lit("%"), F.btrim(F.trim(x), F.lit("%")), F.lit("%")), table))
+    names = F.transform(devices(text), lambda d: resolve(F.concat(F.lit("%"), F.trim(F.btrim(d["name"], F.lit("%"))), F.lit("%")), table))
     return F.slice(F.array_distinct(F.filter(names, lambda x: x != "")), 1, 10)
 
 

@@ -55,13 +55,14 @@ def unique_key(driver_id: Column, basis: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in the largest unit below 1024 of it, with two decimals from KB on."""
-    x = n.cast("double")
+    """Bytes in the largest unit below 1024 of it, with two decimals from KB on; a tie goes to the even digit."""
+    x = n.cast("decimal(20,0)")
+    # the divisor's seventeen digits give the quotient eighteen places, enough to tell a tie
+    amount = lambda i: F.bround(x / F.lit(1024**i).cast("decimal(17,0)"), 2).cast("decimal(30,2)").cast("string")
     out = F.when(x < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-    units = ("KB", "MB", "GB", "TB")
-    for i, unit in enumerate(units, 1):
-        out = out.when(x < 1024.0 ** (i + 1), F.format_string(f"%.2f {unit}", x / 1024.0**i))
-    return out.otherwise(F.format_string("%.2f PB", x / 1024.0**5))
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = out.when(x < 1024 ** (i + 1), F.concat(amount(i), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(amount(5), F.lit(" PB")))
 
 
 def human_time(s: Column) -> Column:

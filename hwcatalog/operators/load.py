@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import literals
 from ..functions.hwid import is_generic
 from ..functions.ids import display_name
 
+# fixed values: the columns of the store's tables
+DRIVER_COLUMNS = "driver_id pack driver_type provider category version arch display_name descriptions os_targets primary_url zip_parts date_added enabled supersedes superseded_by notes source_manifest updated_at".split()
+HWID_COLUMNS = "hwid_string driver_id is_generic".split()
+PART_COLUMNS = "driver_id part_num filename size_bytes sha256 url".split()
+
 
 def reject_reason(items: DataFrame) -> DataFrame:
     """``items`` (value: an entry's JSON text) with why it can't be loaded, or null: no id, or hwids that aren't a list."""
@@ -75,8 +81,37 @@ def counters(rows: DataFrame) -> DataFrame:
     )
 
 
+def statements(drivers: DataFrame, hwids: DataFrame, parts: DataFrame) -> DataFrame:
+    """(driver_id, source_manifest, n, bytes, value) per driver: its upsert, and its ids and parts deleted and put in anew, a statement a line.
+
+    Columns that ``drivers`` lacks are null. A driver's statements stay together, so that a retry finds no half of them.
+    """
+    d = drivers.select(*(F.col(c) if c in drivers.columns else F.lit(None).cast("string").alias(c) for c in DRIVER_COLUMNS))
+    rows = lambda t, table, columns, order: t.select("driver_id", F.struct(*order, literals.insert(t, table, columns).alias("s")).alias("r")).groupBy("driver_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["s"]).alias("s"))
+    h = rows(hwids, "HWIDs", HWID_COLUMNS, ["hwid_string"]).withColumnRenamed("s", "h")
+    p = rows(parts, "DriverParts", PART_COLUMNS, ["part_num", "filename"]).withColumnRenamed("s", "p")
+    own = d.select("driver_id", "source_manifest", literals.upsert(d, "Drivers", DRIVER_COLUMNS, "driver_id").alias("u"), literals.delete(d, "HWIDs", "driver_id").alias("dh"), literals.delete(d, "DriverParts", "driver_id").alias("dp"))
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array("u", "dh"), F.coalesce("h", none), F.array("dp"), F.coalesce("p", none))
+    out = own.join(h, "driver_id", "left").join(p, "driver_id", "left").select("driver_id", "source_manifest", every.alias("all"))
+    text = F.concat(F.array_join("all", "\n"), F.lit("\n"))
+    return out.select("driver_id", "source_manifest", F.size("all").alias("n"), F.octet_length(text).alias("bytes"), text.alias("value"))
+
+
+def chunk_texts(blocks: DataFrame, batch: int = 5000, max_bytes: int = 40_000_000) -> DataFrame:
+    """(source_manifest, chunk, value): the files of ``statements`` in order of driver_id, each of bounded size."""
+    order = blocks.select("source_manifest", F.col("driver_id").alias("pos"), "n", "bytes")
+    placed = chunks(order, batch, max_bytes).withColumnRenamed("pos", "driver_id")
+    rows = blocks.join(placed, ["source_manifest", "driver_id"])
+    by = rows.groupBy("source_manifest", "chunk").agg(F.array_sort(F.collect_list(F.struct("driver_id", "value"))).alias("v"))
+    return by.select("source_manifest", "chunk", F.array_join(F.transform("v", lambda x: x["value"]), "").alias("value"))
+
+
 def chunks(statements: DataFrame, batch: int, max_bytes: int) -> DataFrame:
-    """(pos, chunk) for blocks (pos, n, bytes): a chunk closes before the block that would reach ``batch`` statements or ``max_bytes``."""
+    """(source_manifest, pos, chunk) for blocks (source_manifest, pos, n, bytes): a chunk closes before the block that would reach ``batch`` statements or ``max_bytes``.
+
+    Where a chunk ends depends on all blocks before it, so a manifest's sizes are read in one task; its texts aren't.
+    """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +124,8 @@ def chunks(statements: DataFrame, batch: int, max_bytes: int) -> DataFrame:
             out.append(chunk)
         return pd.DataFrame({"source_manifest": pdf.source_manifest, "pos": pdf.pos, "chunk": out})
 
-    return statements.groupBy("source_manifest").applyInPandas(run, "source_manifest string, pos long, chunk int")
+    kind = statements.schema["pos"].dataType.simpleString()
+    return statements.groupBy("source_manifest").applyInPandas(run, f"source_manifest string, pos {kind}, chunk int")
 
 
 def guard_never_shrink(before: int, added: int, after: int) -> None:

@@ -22,35 +22,65 @@ def reconcile(local: DataFrame, repo: DataFrame) -> DataFrame:
     score, then the newest version, then the first entry goes. No step compares all with all: overlaps come from shared ids.
     """
     prep = lambda d: d.withColumn("k", _set_key()).withColumn("c", F.lower(F.coalesce("category", F.lit("")))).withColumn("p", normalize_provider(F.coalesce("provider", F.lit("")))).withColumn("v", version_digits(F.col("version")))
-    l = prep(local)  # noqa: E741
-    r = prep(repo.where("enabled")).select(F.col("driver_id"), F.col("pos"), F.col("k").alias("rk"), F.col("c").alias("rc"), F.col("p").alias("rp"), F.col("arch").alias("ra"), F.col("v").alias("rv"), F.col("hwids").alias("rh"))
-    ids = (F.col("k") == F.col("rk")) & (F.col("k") != "")
-    same_arch, same_cat = F.col("arch") == F.col("ra"), F.col("c") == F.col("rc")
-    prov = (F.col("p") == F.col("rp")) & (F.col("p") != "") & (F.col("c") != "")
-    keep = ["local_id", "driver_id", "pos", "rv"]
-    base = l.select("local_id", "k", "c", "p", "arch")
-    exact = base.join(r, ids).select(*keep, F.when(same_arch & same_cat, 1).when(same_arch, 2).otherwise(3).alias("step"), F.lit(0.0).alias("score"))
-    le = l.select("local_id", "arch", F.explode(F.array_distinct(F.transform("hwids", lambda x: F.upper(F.trim(x))))).alias("h"))
-    re_ = r.select("driver_id", "pos", "rv", "ra", F.explode(F.array_distinct(F.transform("rh", lambda x: F.upper(F.trim(x))))).alias("h"))
-    shared = le.join(re_, "h").groupBy("local_id", "driver_id", "pos", "rv", "arch", "ra").agg(F.count("*").alias("s"))
-    nl, nr = l.select("local_id", F.size(F.array_distinct("hwids")).alias("nl")), r.select("driver_id", F.size(F.array_distinct("rh")).alias("nr"))
-    j = shared.join(nl, "local_id").join(nr, "driver_id").withColumn("score", F.col("s") / (F.col("nl") + F.col("nr") - F.col("s")) * F.when(same_arch, ARCH_BONUS).otherwise(1.0))
-    overlap = j.where(F.col("score") >= JACCARD_THRESHOLD).select(*keep, F.lit(4).alias("step"), "score")
-    named = base.join(r, prov & same_cat).select(*keep, F.when(same_arch, 5).otherwise(6).alias("step"), F.lit(0.0).alias("score"))
-    w = Window.partitionBy("local_id").orderBy("step", F.desc("score"), F.desc("rv"), "pos")
-    best = exact.union(overlap).union(named).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    out = l.select("local_id", "v").join(best, "local_id", "left")
-    status = F.when(F.col("driver_id").isNull(), "NEW").when(compare(F.col("v"), F.col("rv")) > 0, "OUTDATED").otherwise("CURRENT")
-    return out.select("local_id", "driver_id", "step", F.round("score", 6).alias("score"), status.alias("status"))
-
-
-def overlaps(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a_id, b_id, jaccard) of records (id, hwids) that share at least that part of their ids, through an inverted index."""
-    x = a.select(F.col("id").alias("a_id"), F.explode(F.array_distinct("hwids")).alias("h"))
-    y = b.select(F.col("id").alias("b_id"), F.explode(F.array_distinct("hwids")).alias("h"))
-    n = lambda d, i: d.groupBy(i).agg(F.count("*").alias(f"n_{i}"))
-    s = x.join(y, "h").groupBy("a_id", "b_id").agg(F.count("*").alias("s")).join(n(x, "a_id"), "a_id").join(n(y, "b_id"), "b_id")
-    return s.select("a_id", "b_id", F.round(F.col("s") / (F.col("n_a_id") + F.col("n_b_id") - F.col("s")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    ids = F.array_distinct(F.transform("hwids", lambda x: F.upper(F.trim(x))))
+    l = prep(local).select("local_id", "k", "c", "p", "arch", "v", ids.alias("h"))  # noqa: E741
+    r = prep(repo.where("enabled")).select("driver_id", "pos", "k", "c", "p", "arch", "v", ids.alias("h"))
+    entry = F.struct("v", (-F.col("pos")).alias("first"), "driver_id")
+
+    def best_of(keys: list[str], such: str) -> DataFrame:
+        return r.where(such).groupBy(*keys).agg(F.max(entry).alias("e"))
+
+    out = l
+    some_ids, some_name = "k <> ''", "p <> '' AND c <> ''"
+    for step, keys, such in ((1, ["k", "arch", "c"], some_ids), (2, ["k", "arch"], some_ids), (3, ["k"], some_ids), (5, ["p", "c", "arch"], some_name), (6, ["p", "c"], some_name)):
+        out = out.join(best_of(keys, such).withColumnRenamed("e", f"e{step}"), keys, "left")
+    # overlaps only for what no set of ids settles, against one entry for each set and arch
+    reps = r.where(some_ids).groupBy("k", "arch").agg(F.max(entry).alias("e"), F.first("h").alias("h"))
+    left = out.where("e1 IS NULL AND e2 IS NULL AND e3 IS NULL AND size(h) > 0")
+    j = overlaps(left.select(F.col("local_id").alias("id"), F.col("h").alias("hwids")), reps.select(F.col("e.driver_id").alias("id"), F.col("h").alias("hwids")), JACCARD_THRESHOLD / ARCH_BONUS)
+    j = j.join(left.select(F.col("local_id").alias("a_id"), F.col("arch").alias("la")), "a_id").join(reps.select(F.col("e.driver_id").alias("b_id"), "arch", "e"), "b_id")
+    j = j.withColumn("score", F.col("exact") * F.when(F.col("la") == F.col("arch"), ARCH_BONUS).otherwise(1.0)).where(F.col("score") >= JACCARD_THRESHOLD)
+    near = j.groupBy(F.col("a_id").alias("local_id")).agg(F.max(F.struct("score", "e")).alias("near"))
+    out = out.join(near, "local_id", "left")
+    step = F.coalesce(*(F.when(F.col(c).isNotNull(), n) for n, c in ((1, "e1"), (2, "e2"), (3, "e3"), (4, "near"), (5, "e5"), (6, "e6"))))
+    hit = F.coalesce("e1", "e2", "e3", "near.e", "e5", "e6")
+    score = F.when(step == 4, F.col("near.score")).when(step.isNotNull(), 0.0)
+    status = F.when(step.isNull(), "NEW").when(compare(F.col("v"), hit["v"]) > 0, "OUTDATED").otherwise("CURRENT")
+    return out.select("local_id", hit["driver_id"].alias("driver_id"), step.alias("step"), F.round(score, 6).alias("score"), status.alias("status"))
+
+
+def overlaps(a: DataFrame, b: DataFrame, least: float, ordered: bool = False) -> DataFrame:
+    """(a_id, b_id, jaccard, exact) of records (id, hwids: distinct) that share at least that part of their ids; with ``ordered`` a_id < b_id.
+
+    Of two such sets the rarest ids of either, ``n - ceil(least * n) + 1`` of n in one order for all, have one in common, and the
+    smaller has at least that part of the larger's size: only pairs that pass both are made and compared, so an id that
+    many records have, being last in the order, is hardly ever looked up.
+    """
+    each = lambda d: d.select("id", F.explode("hwids").alias("h"))
+    often = (each(a) if ordered else each(a).union(each(b))).groupBy("h").agg(F.count("*").alias("f"))
+
+    def prefixes(d: DataFrame, name: str) -> DataFrame:
+        by = each(d).join(often, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x"))
+        n = F.size("x")
+        kept = F.slice("x", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+        return by.select(F.col("id").alias(f"{name}_id"), n.alias(f"{name}_n"), F.explode(kept).alias("e")).select(f"{name}_id", f"{name}_n", F.col("e.h").alias("h"))
+
+    x, y = prefixes(a, "a"), prefixes(b, "b")
+    near = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least - 1e-9
+    pairs = x.join(y, "h").where(near & (F.col("a_id") < F.col("b_id") if ordered else F.lit(True))).select("a_id", "b_id").distinct()
+    both = pairs.join(a.select(F.col("id").alias("a_id"), F.col("hwids").alias("x")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("hwids").alias("y")), "b_id")
+    s = F.size(F.array_intersect("x", "y"))
+    exact = s / (F.size("x") + F.size("y") - s)
+    return both.select("a_id", "b_id", F.round(exact, 6).alias("jaccard"), exact.alias("exact")).where(F.col("exact") >= least - 1e-12)
+
+
+def self_overlaps(records: DataFrame, least: float) -> DataFrame:
+    """(a_id, b_id, jaccard) among records (id, hwids: distinct): pairs of classes of equal sets, each named by its least id, and each class with its other members."""
+    keyed = records.select("id", F.array_sort("hwids").alias("hwids"))
+    classes = keyed.groupBy("hwids").agg(F.min("id").alias("rep"))
+    members = keyed.join(classes, "hwids").where("id <> rep").select(F.col("rep").alias("a_id"), F.col("id").alias("b_id"), F.lit(1.0).alias("jaccard"))
+    reps = classes.select(F.col("rep").alias("id"), "hwids")
+    return overlaps(reps, reps, least, ordered=True).drop("exact").union(members)
 
 
 def duplicate_audit(incoming: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CANDIDATE_CAP, DEFAULT_PAGE_SIZE, FIELD_ALIASES, FIELD_WEIGHTS, MATCH_THRESHOLD, MAX_CRITERIA, MAX_PAGE, MAX_PAGE_SIZE, PREFILTER_FIELDS
@@ -191,6 +191,21 @@ def text_search(drivers: DataFrame, q: str, candidates: str | None = None, cap:
     return scored.orderBy(F.desc("score"), F.desc("enabled"), F.desc_nulls_last("date_added"), "driver_id")
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """Search results with their rank from 1. Ranges of the order are sorted apart and numbered on from the counts of those before, so no task sees all."""
+    from ..sources.scratch import shared_path
+
+    order = [F.desc("score"), F.desc_nulls_last("date_added"), F.asc("driver_id")]
+    path = shared_path(found.sparkSession, "ranked")
+    # the number of a row tells its range in the upper bits and its place there in the lower 33
+    found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = found.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))  # one row a range
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(before, "_range").withColumn("rank", rank).drop("_at", "_range", "_before")
+
+
 def browse(drivers: DataFrame, page: int | None = None, size: int | None = None) -> DataFrame:
     """A page by name, without regard to case."""
     offset, limit = page_of(page, size)
@@ -225,6 +240,17 @@ def id_lookup(drivers: DataFrame, q: str, limit: int = 50) -> DataFrame:
     return exact.unionByName(started.join(none, how="left_anti", on=F.lit(True))).orderBy("driver_id").limit(limit)
 
 
+def read_pages(fetch, size: int = MAX_PAGE_SIZE, most: int = MAX_PAGE) -> DataFrame:
+    """All rows of a paged service, with their page: ``fetch(page, size)`` is asked from page 1 on, up to a page that isn't full."""
+    out = None
+    for page in range(1, most + 1):
+        got = fetch(page, size).withColumn("page", F.lit(page))
+        out = got if out is None else out.unionByName(got)
+        if got.count() < size:
+            break
+    return out
+
+
 def search(drivers: DataFrame, hwids: DataFrame, q: str = "", page: int | None = None, size: int | None = None, apply_facets: bool = False, candidates: str | None = None, **facets) -> DataFrame:
     """The search service: hardware ids, driver ids, free text or browsing, whichever the query looks like.
 

@@ -37,10 +37,9 @@ def _(c: Catalog):
     return hits.join(d.select("driver_id", "display_name", "hwid_count"), "driver_id")
 
 
-@query("join_ids_ordered", "SELECT d.pos AS p, row_number() OVER (ORDER BY d.pos DESC) - 1 AS pos, d.driver_id, display_name FROM drivers d WHERE d.enabled AND d.pos % 9 = 0", "drivers")
+@query("join_ids_ordered", "SELECT d.pos AS p, -d.pos AS pos, d.driver_id, display_name FROM drivers d WHERE d.enabled", "drivers")
 def _(c: Catalog):
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("pos"))
-    wanted = c.drivers.where("pos % 9 = 0 AND enabled").select((F.row_number().over(w) - 1).alias("n"), "driver_id")
+    wanted = c.drivers.select((-F.col("pos")).alias("n"), "driver_id")  # asked for from the last to the first
     return search.by_ids(c.drivers.withColumnRenamed("pos", "p"), wanted.withColumnRenamed("n", "pos")).select("p", "pos", "driver_id", "display_name")
 
 
@@ -52,17 +51,16 @@ def _(c: Catalog):
     return c.drivers.select("driver_id").join(p, "driver_id", "left").join(h, "driver_id", "left").select("driver_id", text("p", "filename").alias("parts"), text("h", "hwid_string").alias("hwids"))
 
 
-@query("join_live_bulk", "SELECT d.driver_id, count(*) AS parts FROM drivers d JOIN driver_parts p ON d.driver_id = p.driver_id WHERE d.enabled AND d.pos % 5 = 1 GROUP BY d.driver_id", "drivers driver_parts")
+@query("join_live_bulk", "SELECT d.driver_id, count(*) AS parts FROM drivers d JOIN driver_parts p ON d.driver_id = p.driver_id WHERE d.enabled GROUP BY d.driver_id", "drivers driver_parts")
 def _(c: Catalog):
-    asked = c.drivers.where("pos % 5 = 1").select("driver_id")
+    asked = c.drivers.select("driver_id")
     live = asked.join(c.drivers.where("enabled").select("driver_id"), "driver_id")
     return live.join(c.driver_parts, "driver_id").groupBy("driver_id").agg(F.count("*").alias("parts"))
 
 
-@query("anti_no_hwid", "SELECT e.driver_id FROM entries e WHERE NOT EXISTS (SELECT 1 FROM hwids h JOIN entries x ON h.driver_id = x.driver_id WHERE x.driver_id = e.driver_id AND x.pos % 3 <> 0)", "entries hwids")
+@query("anti_no_hwid", "SELECT e.driver_id FROM entries e LEFT JOIN (SELECT DISTINCT driver_id FROM hwids WHERE NOT is_generic) h ON h.driver_id = e.driver_id WHERE h.driver_id IS NULL", "entries hwids")
 def _(c: Catalog):
-    some = c.hwids.join(c.entries.where("pos % 3 <> 0").select("driver_id"), "driver_id").select("driver_id").distinct()
-    return c.entries.select("driver_id").join(some, "driver_id", "left_anti")
+    return c.entries.select("driver_id").join(c.hwids.where("NOT is_generic").select("driver_id").distinct(), "driver_id", "left_anti")
 
 
 VALID = "SELECT driver_id, source_manifest FROM drivers WHERE pos % 4 <> 0"
@@ -100,18 +98,19 @@ def _local(c: Catalog):
     p = F.col("pos")
     h = F.when(p % 5 == 1, F.slice("hwids", 1, F.greatest(F.lit(1), F.size("hwids") - 1))).when(p % 5 == 2, F.array().cast("array<string>")).otherwise(F.col("hwids"))
     arch = F.when(p % 7 == 0, "ia64").otherwise(F.col("arch"))
-    return c.entries.where("pos % 3 = 1").select(F.concat(F.lit("l"), p.cast("string")).alias("local_id"), h.alias("hwids"), arch.alias("arch"), "category", F.when(p % 2 == 0, F.concat("version", F.lit(".1"))).otherwise(F.col("version")).alias("version"), "provider")
+    return c.entries.select(F.concat(F.lit("l"), p.cast("string")).alias("local_id"), h.alias("hwids"), arch.alias("arch"), "category", F.when(p % 2 == 0, F.concat("version", F.lit(".1"))).otherwise(F.col("version")).alias("version"), "provider")
 
 
-LOCAL = ", l AS (SELECT concat('l', pos) AS local_id, CASE WHEN pos % 5 = 1 THEN hwids[1:greatest(1, len(hwids) - 1)] WHEN pos % 5 = 2 THEN [] ELSE hwids END AS hwids, CASE WHEN pos % 7 = 0 THEN 'ia64' ELSE arch END AS arch, category, CASE WHEN pos % 2 = 0 THEN concat(version, '.1') ELSE version END AS version, provider FROM entries WHERE pos % 3 = 1)"
+LOCAL = ", l AS (SELECT concat('l', pos) AS local_id, CASE WHEN pos % 5 = 1 THEN hwids[1:greatest(1, len(hwids) - 1)] WHEN pos % 5 = 2 THEN [] ELSE hwids END AS hwids, CASE WHEN pos % 7 = 0 THEN 'ia64' ELSE arch END AS arch, category, CASE WHEN pos % 2 = 0 THEN concat(version, '.1') ELSE version END AS version, provider FROM entries)"
 SAME_PROVIDER = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(
     "join_reconcile",
-    LOCAL + f""", r AS (SELECT * FROM entries WHERE enabled), x AS (
+    LOCAL + f""", r AS (SELECT * FROM entries WHERE enabled),
+    s AS (SELECT a.local_id, b.driver_id, count(*) AS n FROM (SELECT local_id, unnest(hwids) AS h FROM l) a JOIN (SELECT driver_id, unnest(hwids) AS h FROM r) b ON a.h = b.h GROUP BY 1, 2), x AS (
       SELECT local_id, driver_id, r.pos, r.version AS rv, CASE WHEN l.arch = r.arch AND lower(l.category) = lower(r.category) THEN 1 WHEN l.arch = r.arch THEN 2 ELSE 3 END AS step, 0.0 AS score FROM l JOIN r ON l.hwids = r.hwids AND len(l.hwids) > 0
-      UNION ALL SELECT local_id, driver_id, pos, rv, 4, score FROM (SELECT local_id, driver_id, r.pos, r.version AS rv, len(list_intersect(l.hwids, r.hwids)) / len(list_distinct(list_concat(l.hwids, r.hwids))) * CASE WHEN l.arch = r.arch THEN 1.2 ELSE 1.0 END AS score FROM l JOIN r ON list_has_any(l.hwids, r.hwids)) AS t WHERE score >= 0.25
+      UNION ALL SELECT local_id, driver_id, pos, rv, 4, score FROM (SELECT l.local_id, r.driver_id, r.pos, r.version AS rv, n / (len(l.hwids) + len(r.hwids) - n) * CASE WHEN l.arch = r.arch THEN 1.2 ELSE 1.0 END AS score FROM s JOIN l ON l.local_id = s.local_id JOIN r ON r.driver_id = s.driver_id) AS t WHERE score >= 0.25
       UNION ALL SELECT local_id, driver_id, r.pos, r.version, CASE WHEN l.arch = r.arch THEN 5 ELSE 6 END, 0.0 FROM l JOIN r ON {SAME_PROVIDER.format('l.provider')} = {SAME_PROVIDER.format('r.provider')} AND l.provider <> '' AND lower(l.category) = lower(r.category) AND l.category <> ''),
     b AS (SELECT *, row_number() OVER (PARTITION BY local_id ORDER BY step, score DESC, {fill(VER_A, 'rv')} DESC, pos) AS n FROM x)
     SELECT l.local_id, b.driver_id, step, round(score, 6) AS score, CASE WHEN b.driver_id IS NULL THEN 'NEW' WHEN {fill(VER_A, 'l.version')} > {fill(VER_A, 'rv')} THEN 'OUTDATED' ELSE 'CURRENT' END AS status FROM l LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON l.local_id = b.local_id""",
@@ -121,13 +120,15 @@ def _(c: Catalog):
     return reconcile.reconcile(_local(c), c.entries)
 
 
-BASKETS = ", s AS (SELECT l_orderkey AS id, list(DISTINCT concat('p', l_partkey % 50)) AS hwids FROM lineitem WHERE l_orderkey % 8 = 0 GROUP BY l_orderkey)"
+BASKETS = ", s AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT concat('p', l_partkey))) AS hwids FROM lineitem GROUP BY l_orderkey), c AS (SELECT min(id) AS id, hwids FROM s GROUP BY hwids)"
 
 
-@query("join_jaccard", BASKETS + ", e AS (SELECT id, unnest(hwids) AS h FROM s), n AS (SELECT id, count(*) AS n FROM e GROUP BY id), p AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS s FROM e a JOIN e b ON a.h = b.h GROUP BY 1, 2) SELECT a_id, b_id, round(s / (x.n + y.n - s), 6) AS jaccard FROM p JOIN n x ON x.id = a_id JOIN n y ON y.id = b_id WHERE round(s / (x.n + y.n - s), 6) >= 0.5")
+@query("join_jaccard", BASKETS + """, e AS (SELECT id, unnest(hwids) AS h FROM c), p AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS n FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2)
+SELECT a_id, b_id, round(n / (len(x.hwids) + len(y.hwids) - n), 6) AS jaccard FROM p JOIN c x ON x.id = a_id JOIN c y ON y.id = b_id WHERE n >= 0.5 * (len(x.hwids) + len(y.hwids) - n)
+UNION ALL SELECT c.id, s.id, 1.0 FROM s JOIN c ON s.hwids = c.hwids WHERE s.id <> c.id""")
 def _(c: Catalog):
-    s = c.lineitem.where("l_orderkey % 8 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string"))).alias("hwids"))
-    return reconcile.overlaps(s, s, 0.5)
+    s = c.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("hwids"))
+    return reconcile.self_overlaps(s, 0.5)
 
 
 @query("join_hwid_class", LOCAL + " SELECT DISTINCT l.local_id, e.driver_id FROM (SELECT local_id, category, unnest(hwids) AS h FROM l) l JOIN (SELECT driver_id, CASE WHEN pos % 4 = 0 THEN '' ELSE category END AS category, unnest(hwids) AS h FROM entries) e ON l.h = e.h WHERE e.category = '' OR lower(l.category) = lower(e.category)", "entries")
@@ -190,14 +191,14 @@ def _(c: Catalog):
     return c.entries.where("enabled").agg(F.count("*").alias("n"))
 
 
-VOTES = ", v AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, CASE l_suppkey % 5 WHEN 0 THEN 'USB' WHEN 1 THEN 'HDAUDIO' WHEN 2 THEN 'PCI' WHEN 3 THEN 'HID' ELSE 'FOO' END AS p FROM lineitem WHERE l_orderkey % 3 = 0)"
+VOTES = ", v AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, CASE l_suppkey % 5 WHEN 0 THEN 'USB' WHEN 1 THEN 'HDAUDIO' WHEN 2 THEN 'PCI' WHEN 3 THEN 'HID' ELSE 'FOO' END AS p FROM lineitem)"
 
 
 def _votes(c: Catalog):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     m = F.col("l_suppkey") % 5
     p = F.when(m == 0, "USB").when(m == 1, "HDAUDIO").when(m == 2, "PCI").when(m == 3, "HID").otherwise("FOO")
-    return c.lineitem.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("pos"), p.alias("p"))
+    return c.lineitem.select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("pos"), p.alias("p"))
 
 
 @query("agg_vote_type", VOTES + ", t AS (SELECT k, pos, CASE p WHEN 'USB' THEN 'USB' WHEN 'HDAUDIO' THEN 'Audio' WHEN 'PCI' THEN 'Chipset' WHEN 'HID' THEN 'Input' END AS t FROM v), g AS (SELECT k, t, count(*) AS n, min(pos) AS f FROM t WHERE t IS NOT NULL GROUP BY k, t), b AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY n DESC, f) AS r FROM g) SELECT a.k, CASE WHEN a.k % 6 = 0 THEN 'Net' ELSE coalesce(b.t, 'Other') END AS driver_type FROM (SELECT DISTINCT k FROM v) a LEFT JOIN (SELECT * FROM b WHERE r = 1) b ON a.k = b.k")
@@ -353,8 +354,7 @@ def _search_sql(tokens: list[str]) -> str:
 @query("srt_text_rank", _search_sql(["wigdet", "blue"]) + " SELECT driver_id, round(s0 + s1, 6) AS score, row_number() OVER (ORDER BY s0 + s1 DESC, date_added DESC NULLS LAST, driver_id) AS rank FROM s WHERE s0 > 0.0001 AND s1 > 0.0001", "drivers")
 def _(c: Catalog):
     found = search.text_search(search.facet_filter(c.drivers), "wigdet blue")
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.desc_nulls_last("date_added"), "driver_id")
-    return found.select("driver_id", F.round("score", 6).alias("score"), F.row_number().over(w).alias("rank"))
+    return search.ranked(found).select("driver_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("search_negation", _search_sql(["blue", "x64"]) + " SELECT driver_id, round(s0, 6) AS score FROM s WHERE s0 > 0.0001 AND s1 <= 0.0001", "drivers")

@@ -269,9 +269,9 @@ def _(c: Catalog):
     return c.hwids.select("driver_id", "hwid_string", hwid.is_valid(h).alias("ok"))
 
 
-@query("flt_enabled_ids", "SELECT count(*) FILTER (coalesce(enabled, true)) AS kept, (SELECT count(*) FROM part WHERE p_partkey % 3 = 0) * 2 - count(*) FILTER (coalesce(enabled, true)) AS skipped FROM drivers WHERE pos % 3 = 0", "drivers")
+@query("flt_enabled_ids", "SELECT count(*) FILTER (coalesce(enabled, true)) AS kept, (SELECT count(*) FROM part) * 2 - count(*) FILTER (coalesce(enabled, true)) AS skipped FROM drivers", "drivers")
 def _(c: Catalog):
-    asked = c.drivers.where("pos % 3 = 0").select("driver_id").union(c.drivers.where("pos % 3 = 0").select(F.concat("driver_id", F.lit("x"))))
+    asked = c.drivers.select("driver_id").union(c.drivers.select(F.concat("driver_id", F.lit("x"))))
     kept = asked.join(c.drivers.where(load.enabled(F.col("enabled"))).select("driver_id"), "driver_id", "left_semi")
     return kept.agg(F.count("*").alias("kept")).crossJoin(asked.agg(F.count("*").alias("asked"))).select("kept", (F.col("asked") - F.col("kept")).alias("skipped"))
 

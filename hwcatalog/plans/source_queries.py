@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import inf
+from ..functions import inf, literals
 from ..operators import load, search, shards
 from ..sources import binary_files, listings, manifests
 from ..sources.scratch import shared_path
@@ -121,9 +121,9 @@ def _(c: Catalog):
     return c.drivers.select("pos", F.get(manifests.entries_key(a(p % 3 == 0, "d"), a(p % 2 == 0, "i"), F.array(F.lit("x"))), F.lit(0)).alias("first"))
 
 
-@query("src_volume_set", "SELECT lower(concat(pack, '.7z')) AS stem, count(*) AS volumes, string_agg(cast(pos AS varchar), ',' ORDER BY pos) AS numbers FROM drivers WHERE pos >= 100 AND pos < 1000 GROUP BY pack", "drivers")
+@query("src_volume_set", "SELECT lower(concat(pack, '_', pos // 1000, '.7z')) AS stem, count(*) AS volumes, string_agg(cast(pos % 1000 AS varchar), ',' ORDER BY pos) AS numbers FROM drivers GROUP BY 1", "drivers")
 def _(c: Catalog):
-    files = c.drivers.select(F.concat(F.initcap("pack"), F.lit(".7Z."), F.col("pos").cast("string")).alias("file"), "pos").where("pos < 1000")
+    files = c.drivers.select(F.concat(F.initcap("pack"), F.expr("concat('_', pos div 1000, '.7Z.', lpad(pos % 1000, 3, '0'))")).alias("file"), "pos")
     stem, number = listings.volume_name(F.col("file"))
     v = files.select(stem.alias("stem"), number.alias("number")).where("stem IS NOT NULL")
     return v.groupBy("stem").agg(F.count("*").alias("volumes"), F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda x: x.cast("string")), ",").alias("numbers"))
@@ -243,6 +243,43 @@ def _(c: Catalog):
     return load.replace_children(c.hwids.select("driver_id", "hwid_string"), touched.select("driver_id", F.lit("X").alias("hwid_string")), touched)
 
 
+def _lit(c: str, kind: str) -> str:
+    """DuckDB SQL for a literal."""
+    quoted = "concat('''', replace({}, '''', ''''''), '''')"
+    body = {"bool": f"CASE WHEN {c} THEN '1' ELSE '0' END", "num": f"cast({c} AS varchar)", "list": quoted.format(f"cast(to_json({c}) AS varchar)"), "text": quoted.format(c)}[kind]
+    return f"CASE WHEN {c} IS NULL THEN 'NULL' ELSE {body} END"
+
+
+@query("snk_sql_literal", f"SELECT pos, {_lit('date_added', 'text')} AS date_added, {_lit('zip_parts', 'num')} AS zip_parts, {_lit('enabled', 'bool')} AS enabled, {_lit('descriptions', 'list')} AS descriptions, {_lit('q', 'text')} AS q FROM (SELECT *, display_name || '''s ''new'' one' AS q FROM drivers) AS d", "drivers")
+def _(c: Catalog):
+    d = c.drivers.withColumn("q", F.concat("display_name", F.lit("'s 'new' one")))
+    return d.select("pos", *(literals.sql_literal(F.col(x), d.schema[x].dataType).alias(x) for x in ("date_added", "zip_parts", "enabled", "descriptions", "q")))
+
+
+_KINDS = {"descriptions": "list", "os_targets": "list", "zip_parts": "num", "enabled": "bool"}
+_HERE = "driver_id pack driver_type provider category version arch display_name descriptions os_targets primary_url zip_parts date_added enabled source_manifest".split()
+_ROW = ", ', ', ".join(_lit(f"d.{x}", _KINDS.get(x, "text")) if x in _HERE else "'NULL'" for x in load.DRIVER_COLUMNS)
+_UPSERT = f"concat('INSERT INTO Drivers ({', '.join(load.DRIVER_COLUMNS)}) VALUES (', {_ROW}, ') ON CONFLICT(driver_id) DO UPDATE SET {', '.join(f'{x} = excluded.{x}' for x in load.DRIVER_COLUMNS[1:])};')"
+
+
+@query(
+    "snk_sql_statements",
+    f""", hs AS (SELECT driver_id, string_agg(concat('INSERT INTO HWIDs (hwid_string, driver_id, is_generic) VALUES (''', hwid_string, ''', ''', driver_id, ''', ', CASE WHEN is_generic THEN '1' ELSE '0' END, ');', chr(10)), '' ORDER BY hwid_string) AS t, count(*) AS n FROM hwids GROUP BY driver_id),
+    ps AS (SELECT driver_id, string_agg(concat('INSERT INTO DriverParts (driver_id, part_num, filename, size_bytes, sha256, url) VALUES (''', driver_id, ''', ', part_num, ', ''', filename, ''', ', size_bytes, ', ''', sha256, ''', ''', url, ''');', chr(10)), '' ORDER BY part_num) AS t, count(*) AS n FROM driver_parts GROUP BY driver_id)
+    SELECT d.driver_id, 3 + coalesce(hs.n, 0) + coalesce(ps.n, 0) AS n, concat({_UPSERT}, chr(10), 'DELETE FROM HWIDs WHERE driver_id = ''', d.driver_id, ''';', chr(10), coalesce(hs.t, ''), 'DELETE FROM DriverParts WHERE driver_id = ''', d.driver_id, ''';', chr(10), coalesce(ps.t, '')) AS value
+    FROM drivers d LEFT JOIN hs ON hs.driver_id = d.driver_id LEFT JOIN ps ON ps.driver_id = d.driver_id""",
+    "drivers hwids driver_parts",
+)
+def _(c: Catalog):
+    return load.statements(c.drivers, c.hwids, c.driver_parts).select("driver_id", "n", "value")
+
+
+@query("src_api_client", "SELECT driver_id FROM drivers WHERE enabled AND category LIKE 'PROMO%'", "drivers")
+def _(c: Catalog):
+    kept = c.drivers.where("category LIKE 'PROMO%'")
+    return search.read_pages(lambda page, size: search.search(kept, c.hwids, page=page, size=size)).select("driver_id")
+
+
 @query("snk_chunked_sql")
 def _(c: Catalog):
     blocks = c.drivers.select("source_manifest", "pos", (F.col("zip_parts") + 2).alias("n"), (F.col("zip_parts") * 100 + 300).alias("bytes"))

@@ -45,7 +45,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN part_num % 5 = 0 THEN 'bad' ELSE <sha:concat(driver_id, cast(part_num as <str>))> END AS sha256,
         CASE WHEN part_num % 7 = 0 THEN 'ftp://x' WHEN part_num % 11 = 0 THEN '' ELSE concat('https://example.org/p/', cast(part_num as <str>)) END AS url
         FROM (SELECT concat('drv-', substr(<sha:cast(l_partkey as <str>)>, 1, 16)) AS driver_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS part_num,
-              cast(l_quantity * 1000 as <long>) AS size_bytes FROM lineitem WHERE l_partkey % 4 <> 0) AS numbered WHERE part_num <= 12""",
+              cast(l_quantity * 1000 as <long>) AS size_bytes FROM lineitem) AS numbered""",
     ),
     "chains": (
         ("orders",),
@@ -53,7 +53,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         lag(concat('v', cast(o_orderkey as <str>))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes,
         lead(concat('v', cast(o_orderkey as <str>))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS superseded_by,
         substr(cast(o_orderdate as <str>), 1, 10) AS date_added, o_orderkey % 3 <> 0 AS enabled, concat(cast(o_orderkey % 9 as <str>), '.', cast(o_orderkey % 4 as <str>)) AS version
-        FROM orders WHERE o_custkey % 10 = 1""",
+        FROM orders""",
     ),
     "sync_log": (
         ("events",),
@@ -62,7 +62,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "entries": (
         ("drivers", "hwids"),
         """SELECT d.driver_id, d.pack, d.driver_type, d.provider, d.category, d.version, d.arch, d.date_added, coalesce(d.enabled, true) AS enabled, d.pos, coalesce(h.hwids, <list:>) AS hwids
-        FROM drivers d LEFT JOIN (SELECT driver_id, <sort:<agg:hwid_string>> AS hwids FROM hwids WHERE driver_id IN (SELECT driver_id FROM drivers WHERE pos % 3 <> 0) GROUP BY driver_id) h ON d.driver_id = h.driver_id""",
+        FROM drivers d LEFT JOIN (SELECT driver_id, <sort:<agg:hwid_string>> AS hwids FROM hwids GROUP BY driver_id) h ON d.driver_id = h.driver_id""",
     ),
 }
 

@@ -21,7 +21,7 @@ LOOK_AT = 131072
 
 def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, content, size) of the files below a folder that match."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content", F.col("length").alias("size")).orderBy("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content", F.col("length").alias("size"))
 
 
 @F.pandas_udf(T.StringType())
@@ -44,14 +44,15 @@ def decode_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def _kind(head: pd.Series) -> pd.Series:
+    signatures = (*INSTALLER_SIGNATURES, (SEVEN_ZIP, "7z-SFX"))
+    return head.map(lambda b: next((name for sig, name in signatures if sig in (b or b"")), "PE-installer"))
+
+
 def installer_type(content: Column) -> Column:
-    """Kind of an executable by the first signature in its head."""
-    head = F.hex(F.substring(content, 1, LOOK_AT))
-    out = None
-    for sig, name in (*INSTALLER_SIGNATURES, (SEVEN_ZIP, "7z-SFX")):
-        hit = head.rlike(f"^(?:..)*?{sig.hex().upper()}")  # on a byte border
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("PE-installer")
+    """Kind of an executable by the first signature in its head; only the head goes to Python."""
+    return _kind(F.substring(content, 1, LOOK_AT))
 
 
 def _version_strings(b: bytes) -> dict[str, str]:

@@ -10,8 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under ``spark.checkpoint.dir``, or under a temporary folder where that is unset and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "hwcatalog")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -1,13 +1,14 @@
 """Scalar functions, load, lineage, INF parsing and files on hand-made rows; and every query against its SQL."""
 
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from hwcatalog.functions import ids, inf, text, versions
-from hwcatalog.operators import aggregates, lineage, load, reconcile, shards
+from hwcatalog.functions import ids, inf, registered, text, versions
+from hwcatalog.operators import aggregates, lineage, load, reconcile, search, shards
 from hwcatalog.plans import registry
 from hwcatalog.sources import manifests
 
@@ -121,6 +122,81 @@ def test_votes(spark):
     assert got == {1: "Chipset", 2: "USB", 3: "Net", 4: "Other", 5: "Chipset"}
 
 
+def test_human_size_ties_go_to_even(spark):
+    sizes = [0, 1023, 1024, 1152, 1157, 1029, 5 * 2**20 + 5243, 3 * 2**30, 2**40 * 7, 2**50 * 9]
+    got = [r.s for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(text.human_size(F.col("n")).alias("s")).collect()]
+
+    def plain(n):
+        for i, unit in enumerate(["B", "KB", "MB", "GB", "TB"]):
+            if n < 1024 ** (i + 1):
+                return f"{n} B" if i == 0 else f"{n / 1024**i:.2f} {unit}"
+        return f"{n / 1024**5:.2f} PB"
+
+    assert got == [plain(n) for n in sizes] and got[3] == "1.12 KB"
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(3)
+    sets = {i: sorted({min(int(rng.expovariate(0.15)), 60) for _ in range(rng.randint(1, 9))}) for i in range(150)}
+    df = spark.createDataFrame([(i, [f"h{x}" for x in s]) for i, s in sets.items()], "id int, hwids array<string>")
+    for least in (0.2, 0.5, 0.8):
+        share = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+        want = {(a, b) for a in sets for b in sets if share(a, b) >= least}
+        assert {(r.a_id, r.b_id) for r in reconcile.overlaps(df, df, least).collect()} == want
+        rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+        mine = {(a, b) for a, b in want if a < b and rep[a] == a and rep[b] == b} | {(rep[i], i) for i in sets if rep[i] != i}
+        assert {(r.a_id, r.b_id) for r in reconcile.self_overlaps(df, least).collect()} == mine
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(f"m{i % 3}", i, rng.randint(1, 9), rng.randint(50, 900)) for i in range(200)]
+    got = {r.pos: r.chunk for r in load.chunks(spark.createDataFrame(rows, "source_manifest string, pos long, n int, bytes int"), 50, 4000).collect()}
+    for m in ("m0", "m1", "m2"):
+        chunk = n = b = 0
+        for _, pos, k, size in sorted(r for r in rows if r[0] == m):
+            if n and (n + k >= 50 or b + size >= 4000):
+                chunk, n, b = chunk + 1, 0, 0
+            n, b = n + k, b + size
+            assert got[pos] == chunk
+
+
+def test_statements_make_the_store(spark):
+    import sqlite3
+
+    drivers = spark.createDataFrame([("d1", "O'Neil", ["a", "b's"], True), ("d2", None, [], False)], "driver_id string, provider string, descriptions array<string>, enabled boolean").withColumn("source_manifest", F.lit("m"))
+    hwids = spark.createDataFrame([("PCI\\A", "d1", True), ("PCI\\A&B", "d1", False)], "hwid_string string, driver_id string, is_generic boolean")
+    parts = spark.createDataFrame([("d2", 1, "f", 5, None, "u")], "driver_id string, part_num int, filename string, size_bytes long, sha256 string, url string")
+    con = sqlite3.connect(":memory:")
+    con.execute(f"CREATE TABLE Drivers ({', '.join(load.DRIVER_COLUMNS)}, created_at DEFAULT 'then', UNIQUE (driver_id))")
+    con.execute("CREATE TABLE HWIDs (hwid_string, driver_id, is_generic, UNIQUE (hwid_string, driver_id))")
+    con.execute("CREATE TABLE DriverParts (driver_id, part_num, filename, size_bytes, sha256, url, UNIQUE (driver_id, part_num))")
+    for _ in range(2):  # a second time changes nothing
+        for r in load.chunk_texts(load.statements(drivers, hwids, parts), 4, 10_000).orderBy("chunk").collect():
+            con.executescript(r.value)
+    assert con.execute("SELECT driver_id, provider, descriptions, enabled, notes, created_at FROM Drivers ORDER BY 1").fetchall() == [("d1", "O'Neil", '["a","b\'s"]', 1, None, "then"), ("d2", None, "[]", 0, None, "then")]
+    assert con.execute("SELECT * FROM HWIDs ORDER BY 1").fetchall() == [("PCI\\A", "d1", 1), ("PCI\\A&B", "d1", 0)]
+    assert con.execute("SELECT * FROM DriverParts").fetchall() == [("d2", 1, "f", 5, None, "u")]
+
+
+def test_registered_functions(spark):
+    registered.register(spark)
+    r = spark.sql(r"SELECT osa_distance('crescendo', 'crsecendo') AS a, osa_distance('ca', 'abc') AS b, version_key('10/15/2023, 31.0-x.2') AS v, hwid_ladder('PCI\\VEN_1&DEV_2&&REV_3') AS l, osa_distance(NULL, 'a') AS n").first()
+    assert (r.a, r.b, r.v, r.n) == (1, 3, [31, 0, 2], None) and r.l == ["PCI\\VEN_1&DEV_2&REV_3", "PCI\\VEN_1&DEV_2", "PCI\\VEN_1"]
+    words = ["geforce", "gefroce", "radeon", "", "g", "wigdet"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for t in ("geforce", "widget"):
+        same = df.select("b", search.osa_distance(t, F.col("b")).alias("x"), F.call_function("osa_distance", F.lit(t), F.col("b")).alias("y")).collect()
+        assert all(r.x == r.y for r in same if r.b)
+
+
+def test_ranks_are_one_order(spark):
+    rows = [(f"d{i:03}", float(i % 7), None if i % 5 == 0 else f"20{i % 20:02}") for i in range(200)]
+    got = search.ranked(spark.createDataFrame(rows, "driver_id string, score double, date_added string")).collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[2] is None, "".join(chr(255 - ord(c)) for c in r[2] or ""), r[0]))
+    assert [r.driver_id for r in sorted(got, key=lambda r: r.rank)] == [w[0] for w in want] and sorted(r.rank for r in got) == list(range(1, 201))
+
+
 def normal(v):
     if isinstance(v, float) or type(v).__name__ == "Decimal":
         v = float(v)
