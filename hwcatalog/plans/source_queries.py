@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import inf, literals
 from ..operators import load, search, shards
-from ..sources import binary_files, listings, manifests
+from ..sources import binary_files, listings, manifests, pe_image
 from ..sources.scratch import shared_path
 from .registry import query
 from .views import Catalog
@@ -36,7 +37,7 @@ def stored(c: Catalog) -> DataFrame:
 FILES = ", f AS (SELECT DISTINCT source_manifest AS file FROM drivers)"
 
 
-@query("src_manifest_discover")
+@query("src_manifest_discover", FILES + " SELECT file FROM f UNION ALL SELECT 'installers.manifest.json' UNION ALL SELECT 'BROKEN.manifest.json' UNION ALL SELECT 'TEXT.manifest.json'", "drivers")
 def _(c: Catalog):
     return manifests.discover(stored(c)).select("file")
 
@@ -205,26 +206,32 @@ def _(c: Catalog):
     return inf.parse_inf(files.select(F.explode(F.split(binary_files.decode_text("content"), r"(?=\[Version\])")).alias("text")).where("text <> ''")).select("version", "provider")
 
 
-@query("src_decode")
+@query("src_decode", "SELECT * FROM (VALUES (1, 'abc'), (2, 'äb'), (3, 'äb'), (4, 'äb'), (5, chr(129) || 'b'), (6, NULL)) AS t(n, text)")
 def _(c: Catalog):
     rows = [(1, b"\xef\xbb\xbfabc"), (2, "äb".encode("utf-16")), (3, "äb".encode()), (4, b"\xe4b"), (5, b"\x81b"), (6, None)]
     return c.spark.createDataFrame(rows, "n int, content binary").select("n", binary_files.decode_text("content").alias("text"))
 
 
-@query("fn_installer_type")
+_KIND = "CASE pos % 7 WHEN 0 THEN 'NSIS' WHEN 1 THEN 'InnoSetup' WHEN 2 THEN '7z-SFX' WHEN 3 THEN 'WinRAR-SFX' WHEN 4 THEN 'WiX-Bootstrapper' WHEN 5 THEN 'InstallShield' ELSE 'PE-installer' END"
+
+
+@query("fn_installer_type", f"SELECT pos, {_KIND} AS type FROM drivers", "drivers")
 def _(c: Catalog):
-    rows = [(1, b"MZ..Nullsoft.NSIS.exehead"), (2, b"MZ\0Inno Setup Setup Data"), (3, b"MZ7z\xbc\xaf\x27\x1c"), (4, b"MZ"), (5, b"MZ WiX Burn InstallShield")]
-    return c.spark.createDataFrame(rows, "n int, content binary").select("n", binary_files.installer_type(F.col("content")).alias("type"))
+    marks = [b"NSIS Error InstallShield", b"\0Inno Setup Setup Data", b"7z\xbc\xaf\x27\x1c", b"WinRAR SFX", b"WiX Burn", b"InstallShield", b"nothing"]
+    mark = F.get(F.array(*(F.lit(m) for m in marks)), (F.col("pos") % 7).cast("int"))
+    return c.drivers.select("pos", binary_files.installer_type(F.concat(F.encode(F.concat(F.lit("MZ "), "pack"), "UTF-8"), mark)).alias("type"))
 
 
-@query("fn_pe_meta")
+@query("fn_pe_meta", "SELECT pos, concat(pos // 1000, '.', pos % 1000, '.', zip_parts, '.7') AS file_version, CASE WHEN provider = '' THEN '' ELSE provider END AS company, category AS description, substr(sha256(rpad(concat('icon ', pack), 256, ' ')), 1, 16) AS icon_sha256 FROM drivers", "drivers")
 def _(c: Catalog):
-    import struct
+    # an executable for each driver, with its facts as resources
+    @F.pandas_udf("binary")
+    def image(pos: pd.Series, parts: pd.Series, provider: pd.Series, category: pd.Series, pack: pd.Series) -> pd.Series:
+        rows = zip(pos, parts, provider, category, pack, strict=True)
+        return pd.Series([pe_image.sample((p // 1000, p % 1000, z, 7), {"CompanyName": v, "FileDescription": k}, f"icon {f}".ljust(256).encode(), p % 2 == 0) for p, z, v, k, f in rows])
 
-    fixed = b"\xbd\x04\xef\xfe" + struct.pack("<5I", 0x10000, 0x00020001, 0x00040003, 0, 0)
-    text = "CompanyName".encode("utf-16-le") + b"\0\0\0\0" + "Acme".encode("utf-16-le") + b"\0\0"
-    rows = [(1, b"MZ" + b"\0" * 20 + fixed + text), (2, b"MZ"), (3, b"no"), (4, None)]
-    return c.spark.createDataFrame(rows, "n int, content binary").select("n", binary_files.pe_metadata("content").alias("m")).select("n", "m.*")
+    files = c.drivers.select("pos", image("pos", "zip_parts", "provider", "category", "pack").alias("content"))
+    return files.select("pos", binary_files.pe_metadata("content").alias("m")).select("pos", "m.file_version", "m.company", "m.description", "m.icon_sha256")
 
 
 # ---- sinks

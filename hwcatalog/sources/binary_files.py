@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pe_image
+
 # fixed values: byte signatures of installer kinds, in the order in which they are tried
 INSTALLER_SIGNATURES = (
     (b"Nullsoft.NSIS.exehead", "NSIS"), (b"NSIS Error", "NSIS"), (b"\x00Inno Setup Setup Data", "InnoSetup"), (b"Inno Setup Setup Data", "InnoSetup"),
@@ -55,39 +55,7 @@ def installer_type(content: Column) -> Column:
     return _kind(F.substring(content, 1, LOOK_AT))
 
 
-def _version_strings(b: bytes) -> dict[str, str]:
-    """Values of CompanyName and FileDescription in a version resource's string table."""
-    out = {}
-    for name in ("CompanyName", "FileDescription"):
-        key = name.encode("utf-16-le") + b"\0\0"
-        at = b.find(key)
-        if at >= 0:
-            start = at + len(key)
-            while start + 1 < len(b) and b[start : start + 2] == b"\0\0":
-                start += 2
-            end = start
-            while end + 1 < len(b) and b[end : end + 2] != b"\0\0":
-                end += 2
-            value = b[start:end].decode("utf-16-le", "replace").strip()
-            if 2 <= len(value) <= 199:
-                out[name] = value
-    return out
-
-
-def version_resource(b: bytes | None) -> tuple[str, str, str]:
-    """(version, company, description) of an executable; blanks where it can't be read."""
-    blank = ("", "", "")
-    if not b or b[:2] != b"MZ":
-        return blank
-    at = b.find(b"\xbd\x04\xef\xfe")
-    version = ""
-    if at >= 0 and at + 16 <= len(b):
-        ms, ls = struct.unpack_from("<II", b, at + 8)
-        version = f"{ms >> 16}.{ms & 0xFFFF}.{ls >> 16}.{ls & 0xFFFF}"
-    names = _version_strings(b)
-    return version, names.get("CompanyName", ""), names.get("FileDescription", "")
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("version", "company", "description")]))
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in pe_image.FIELDS]))
 def pe_metadata(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([version_resource(b) for b in content], columns=["version", "company", "description"])
+    """Versions, company, description and the icon's digest of executables, by their resource tree."""
+    return pd.DataFrame([pe_image.metadata(b) for b in content], columns=list(pe_image.FIELDS))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hwcatalog.functions import ids, inf, registered, text, versions
 from hwcatalog.operators import aggregates, lineage, load, reconcile, search, shards
 from hwcatalog.plans import registry
-from hwcatalog.sources import manifests
+from hwcatalog.sources import manifests, pe_image
 
 SF = "/root/testdata/sf0.001"
 
@@ -230,3 +230,35 @@ def test_file_sources_read_all_drivers(spark):
     assert registry.queries()["src_inf_files"](spark, SF).count() == n
     exes = registry.queries()["src_pe_files"](spark, SF)
     assert exes.count() == n and {r.type for r in exes.collect()} == {"NSIS"}
+
+
+def test_executables_cut_short_or_hostile():
+    whole = pe_image.sample((31, 0, 101, 2111), {"CompanyName": "Acme GmbH é", "FileDescription": "Setup", "Other": "x"}, b"icon" * 100)
+    assert pe_image.metadata(whole)[:4] == ("31.0.101.2111", "31.0.101.2111", "Acme GmbH é", "Setup")
+    assert pe_image.metadata(whole.replace("Setup".encode("utf-16-le"), "S\0\0\0\0".encode("utf-16-le")))[3] == ""  # too short a name
+    # the same bytes outside of the resource tree say nothing
+    assert pe_image.metadata(b"MZ" + b"\0" * 100 + whole[200:]) == ("",) * 5
+    rng = random.Random(2)
+    for n in range(0, len(whole), 7):
+        pe_image.metadata(whole[:n])
+    for _ in range(500):
+        b = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        pe_image.metadata(bytes(b))
+    loop = bytearray(whole)
+    root = whole.index(b".rsrc") + 40
+    loop[root + 16 + 4 : root + 16 + 8] = (0x80000000).to_bytes(4, "little")  # a directory that is its own child
+    assert pe_image.metadata(bytes(loop))[4] == ""
+
+
+def test_pages_are_read_to_a_short_one(spark):
+    rows = spark.range(57).select(F.col("id").alias("n"))
+    asked = []
+
+    def fetch(page, size):
+        asked.append(page)
+        return rows.orderBy("n").offset((page - 1) * size).limit(size)
+
+    got = search.read_pages(fetch, 20).collect()
+    assert sorted(r.n for r in got) == list(range(57)) and asked == [1, 2, 3] and {r.page for r in got} == {1, 2, 3}
