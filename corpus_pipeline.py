@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next one's docs. All but the last return the columns of ``documents``.
+
+This module belongs to the subpackage ``hwcatalog.llm`` and can't be imported without it; nothing else needs either.
+Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables as its operator's docstring says:
+null and empty texts fail the quality rules, a document whose lines all go stays with an empty text, and a document
+without words is never taken by the mix.
 """
 
 from __future__ import annotations
