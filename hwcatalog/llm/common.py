@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import math
 import os
 import tempfile
@@ -16,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word, as every operator here reads it (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which the shuffle files of a query are deleted when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own if that is unset and Spark is local."""
@@ -50,15 +52,18 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None, per_file: int
 
     ``rows``, where it is known, is the most rows that ``df`` may have: it is then written in files of about ``per_file``
     rows, not one for each partition of whatever was shuffled last.
-    The collection of garbage before it lets Spark drop the shuffle files that only earlier plans used.
+    The shuffle files of the write go when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, what)
-    gc.collect()  # Python's hold on earlier plans first
-    spark._jvm.System.gc()
     if rows is not None:
         df = df.coalesce(max(1, math.ceil(rows / per_file)))
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
