@@ -181,13 +181,17 @@ def page_of(page: int | None, size: int | None) -> tuple[int, int]:
     return (min(MAX_PAGE, max(1, page or 1)) - 1) * size, size
 
 
+def _candidates(drivers: DataFrame, criteria: list[Criterion], candidates: str | None, cap: int = CANDIDATE_CAP) -> DataFrame:
+    if candidates == "reference":
+        return drivers.where(prefilter(criteria)).orderBy(F.desc("updated_at"), "driver_id").limit(cap)
+    return drivers
+
+
 def text_search(drivers: DataFrame, q: str, candidates: str | None = None, cap: int = CANDIDATE_CAP) -> DataFrame:
     """``drivers`` that match the query, with their score, best first. By default all drivers are scored; candidates="reference" first
     takes the ``cap`` newest that pass the prefilter, as the service does."""
     criteria = parse_query(q)
-    if candidates == "reference":
-        drivers = drivers.where(prefilter(criteria)).orderBy(F.desc("updated_at"), "driver_id").limit(cap)
-    scored = drivers.withColumn("score", row_score(criteria)).where("score >= 0")
+    scored = _candidates(drivers, criteria, candidates, cap).withColumn("score", row_score(criteria)).where("score >= 0")
     return scored.orderBy(F.desc("score"), F.desc("enabled"), F.desc_nulls_last("date_added"), "driver_id")
 
 
@@ -251,20 +255,42 @@ def read_pages(fetch, size: int = MAX_PAGE_SIZE, most: int = MAX_PAGE) -> DataFr
     return out
 
 
-def search(drivers: DataFrame, hwids: DataFrame, q: str = "", page: int | None = None, size: int | None = None, apply_facets: bool = False, candidates: str | None = None, **facets) -> DataFrame:
-    """The search service: hardware ids, driver ids, free text or browsing, whichever the query looks like.
-
-    Hardware-id and driver-id searches look only at enabled_only, as the service's do, unless ``apply_facets``.
-    """
+def _answer(drivers: DataFrame, hwids: DataFrame, q: str, apply_facets: bool, candidates: str | None, facets: dict) -> tuple[str, DataFrame, DataFrame]:
+    """(mode, all results in order, rows that were scored) of a query, whichever kind it looks like."""
     q = q.strip()
-    offset, limit = page_of(page, size)
     kept = facet_filter(drivers, **facets)
     direct = kept if apply_facets else facet_filter(drivers, enabled_only=facets.get("enabled_only", True))
     if q and re.search(r"VEN_|DEV_|SUBSYS_|\\", q, re.I):
         asked = drivers.sparkSession.createDataFrame([(q,)], "query string")
-        return hwid_lookup(hwids, asked).join(direct, "driver_id").orderBy("driver_id").offset(offset).limit(limit)
+        return "hwid", hwid_lookup(hwids, asked).join(direct, "driver_id").orderBy("driver_id"), direct
     if re.match(r"drv-[0-9a-f]{6,}", q, re.I):
-        return id_lookup(direct, q).offset(offset).limit(limit)
-    if not any(not c.negate for c in parse_query(q)):
-        return browse(kept, page, size)
-    return text_search(kept, q, candidates).offset(offset).limit(limit)
+        return "id", id_lookup(direct, q), direct
+    criteria = parse_query(q)
+    if not any(not c.negate for c in criteria):
+        return "browse", kept, kept
+    return "text", text_search(kept, q, candidates), _candidates(kept, criteria, candidates)
+
+
+def search(drivers: DataFrame, hwids: DataFrame, q: str = "", page: int | None = None, size: int | None = None, apply_facets: bool = False, candidates: str | None = None, **facets) -> DataFrame:
+    """The search service: hardware ids, driver ids, free text or browsing, whichever the query looks like.
+
+    Hardware-id and driver-id searches look only at enabled_only, as the service's do, unless ``apply_facets``.
+    """
+    mode, found, _ = _answer(drivers, hwids, q, apply_facets, candidates, facets)
+    if mode == "browse":
+        return browse(found, page, size)
+    offset, limit = page_of(page, size)
+    return found.offset(offset).limit(limit)
+
+
+def envelope(drivers: DataFrame, hwids: DataFrame, q: str = "", page: int | None = None, size: int | None = None, apply_facets: bool = False, candidates: str | None = None, **facets) -> DataFrame:
+    """What the service says beside a page of results, in one row: total, page, page_size, mode; and for text how many rows were scored and whether that is the cap."""
+    mode, found, scanned = _answer(drivers, hwids, q, apply_facets, candidates, facets)
+    offset, limit = page_of(page, size)
+    total = found.agg(F.count("*").alias("total"))
+    seen = scanned.agg(F.count("*").alias("n"))  # two rows of one
+    text = F.lit(mode == "text")
+    return total.crossJoin(seen).select(
+        "total", F.lit(offset // limit + 1).alias("page"), F.lit(limit).alias("page_size"), F.lit(mode).alias("mode"), F.when(text, F.col("n")).alias("candidates_scanned"),
+        F.when(text, (F.lit(candidates == "reference")) & (F.col("n") >= CANDIDATE_CAP)).alias("candidate_cap_hit"),
+    )

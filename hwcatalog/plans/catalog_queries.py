@@ -357,6 +357,11 @@ def _(c: Catalog):
     return search.ranked(found).select("driver_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("search_envelope", _search_sql(["wigdet", "blue"]) + " SELECT count(*) FILTER (s0 > 0.0001 AND s1 > 0.0001) AS total, 2 AS page, 10 AS page_size, 'text' AS mode, count(*) AS candidates_scanned, false AS candidate_cap_hit FROM s", "drivers")
+def _(c: Catalog):
+    return search.envelope(c.drivers, c.hwids, "wigdet blue", page=2, size=10)
+
+
 @query("search_negation", _search_sql(["blue", "x64"]) + " SELECT driver_id, round(s0, 6) AS score FROM s WHERE s0 > 0.0001 AND s1 <= 0.0001", "drivers")
 def _(c: Catalog):
     return search.text_search(search.facet_filter(c.drivers), "blue -x64").select("driver_id", F.round("score", 6).alias("score"))
