@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word, as every operator here reads it (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Documents of a file, where a stage works on whole texts.
+DOCS = 2000
 #: Spark's setting by which the shuffle files of a query are deleted when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,8 +52,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, what: str = "cut", rows: int | None = None, per_file: int = 100_000) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
-    ``rows``, where it is known, is the most rows that ``df`` may have: it is then written in files of about ``per_file``
-    rows, not one for each partition of whatever was shuffled last.
+    ``rows``, where it is known, is about how many rows ``df`` may have: it is then written in files of about ``per_file``
+    rows, not one for each partition of whatever was read or shuffled last; more than that many files are never made.
     The shuffle files of the write go when it ends, as nothing reads them again.
     """
     spark = df.sparkSession

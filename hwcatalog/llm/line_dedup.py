@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked_pairs, connected_components, cut, fresh, release
+from .common import DOCS, blocked_pairs, connected_components, cut, fresh, release
 
 TRIMMED = " \t\x0b\x0c\r"
 #: Lines of either side of a block that is looked through.
@@ -152,12 +152,13 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
         return held[-1]
 
     long_ = distinct.where(F.length("line") >= min_chars)
+    size = distinct.count()
     parts = long_.select(F.lit(0).cast("long").alias("bucket"), "lid", F.col("line").alias("part"))
     texts = links = rest = None
     for level in range(levels + 1):
         # one row a key: its least indexed line is the pivot, whom all the others of the bucket meet
         index = segment_keys(parts, k, own=True).groupBy("key").agg(F.min("lid").alias("pivot"))
-        buckets = keep(segment_keys(parts, k).join(index, "key").where("lid != pivot"), "buckets")
+        buckets = keep(segment_keys(parts, k).join(index, "key").where("lid != pivot"), "buckets", size, 20_000)
         n = buckets.count()
         if texts is None:
             names = keep(buckets.select("lid").union(buckets.select("pivot")).distinct(), "names", 2 * n)
@@ -200,19 +201,19 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, ho
     the same lines. A line with more than one of ``hot`` occurrences of all lines is looked up by broadcast: there are fewer than ``hot``.
     """
     lines = lines_of(docs)
-    occ = cut(lines.select("did", "h", "pos", "name"), "occurrences")
-    distinct = cut(distinct_lines(lines), "distinct")
+    occ = cut(lines.select("did", "h", "pos", "name"), "occurrences", rows=docs.count(), per_file=DOCS)
+    total = occ.count()
+    distinct = cut(distinct_lines(lines), "distinct", rows=total, per_file=50_000)
     comps = connected_components(line_links(distinct, max_edits, min_chars))
     plain, comps = distinct.select("name", "n", "first"), comps.withColumnRenamed("node", "name")
     known = plain.where("n > 1").join(comps, "name", "left").select("name", "n", "first", F.coalesce("comp", "name").alias("comp"))
-    known = cut(known.union(plain.where("n = 1").join(comps, "name")), "classes")
+    known = cut(known.union(plain.where("n = 1").join(comps, "name")), "classes", rows=total)
     heads = known.groupBy("comp").agg(F.min("first").alias("head"))
     known = cut(known.join(heads, "comp").select("name", "n", "comp", "head"), "classes", rows=known.count())
-    total = distinct.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * hot > total
     heavy = F.broadcast(known.where(often).drop("n"))
     members = occ.join(heavy, "name").union(occ.join(heavy.select("name"), "name", "left_anti").join(known.where(~often).drop("n"), "name"))
-    members = cut(members.select("did", "h", "pos", "comp", "head"), "members")
+    members = cut(members.select("did", "h", "pos", "comp", "head"), "members", rows=total)
     at_head = members.where("did = head")
     firsts = at_head.groupBy("comp").agg(F.min(F.struct("h", "pos")).alias("keep"))
     gone = members.where("did != head").select("did", "h", "pos").union(at_head.join(firsts, "comp").where(F.struct("h", "pos") != F.col("keep")).select("did", "h", "pos"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, blocked_pairs, connected_components, cut, fresh, long_word_hashes, mix, release, text_slices, word_hashes
+from .common import _U, DOCS, blocked_pairs, connected_components, cut, fresh, long_word_hashes, mix, release, text_slices, word_hashes
 
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _SEEDS[1] = _SEEDS[1] * _U(2) + _U(1)
@@ -156,16 +156,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     component_id is null and they are kept. ``orders`` is how many pivots a bucket's members may meet
     over all tables, ``block`` the most rows of either side in a block comparison.
     """
-    sig = cut(signatures(docs, width, groups, rows), "signatures")
+    size = docs.count()
+    sig = cut(signatures(docs, width, groups, rows), "signatures", rows=size, per_file=DOCS)
     classes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id", "alt").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    classes = cut(classes, "classes")
+    classes = cut(classes, "classes", rows=size)
     # tensored keys: every pair of one hash of a with one of b; the places are part of the key
     i, j = F.sequence(F.lit(0), F.lit(groups - 1)), F.sequence(F.lit(0), F.lit(groups - 1))
     pair = F.transform(i, lambda x: F.transform(j, lambda y: F.xxhash64(F.get("a", x), F.get("b", y), x * groups + y)))
     keys = classes.select("set_id", F.explode(F.flatten(pair)).alias("key"))
     turn = F.xxhash64("set_id", F.pmod("key", F.lit(orders)))
     pivots = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(turn.alias("o"), "set_id"))["set_id"].alias("pivot")).where("size > 1")
-    buckets = cut(keys.join(pivots, "key"), "buckets")
+    buckets = cut(keys.join(pivots, "key"), "buckets", rows=size * groups * groups)
     n = buckets.count()
     # refused before sets move: sizes too far apart
     small = classes.select("set_id", "n").groupBy("set_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     need = cut(buckets.select("set_id").distinct(), "need", rows=n)
     want = classes.join(need, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct()
     text = plain.join(want.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(sets_of(text, width).join(need, "set_id", "left_semi").dropDuplicates(["set_id", "alt"]), "sets")
+    sets = cut(sets_of(text, width).join(need, "set_id", "left_semi").dropDuplicates(["set_id", "alt"]), "sets", rows=need.count(), per_file=DOCS)
     links = cut(_confirmed(pairs, sets, percent), "links", rows=few, per_file=5000)
     comps = connected_components(links)
     # buckets with members in several components: all that is not yet compared there

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, release
+from .common import DOCS, WORD, cut, fresh, release
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     An empty table gives an empty result. A null source is a source of its own, last in order.
     """
     size = F.coalesce(F.size(F.expr(f"regexp_extract_all(text, r'({WORD})', 1)")), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")).alias("row_key"), size.alias("size")), "sized")
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")).alias("row_key"), size.alias("size")), "sized", rows=docs.count(), per_file=DOCS)
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "_s")
     wanted = cut(sized.join(targets, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("wanted", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)), "wanted")
     part = F.col("wanted") - F.floor("wanted")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import DOCS, cut, fresh
 
 #: Fixed by the contract.
 SPACES = " \t\n\x0b\x0c\r"
@@ -107,7 +107,7 @@ def judge(docs: DataFrame, host: str = "source", symbol_percent: int = 50, dup_l
     counted = with_counts(docs.drop(*mine)).withColumn("base_failed", base_failed())
     soft = (100 * F.col("n_symbols") > symbol_percent * F.col("n_words")) | (100 * F.col("n_dup_lines") > dup_line_percent * lines)
     counted = counted.withColumn("rule_failed", F.col("base_failed") | soft)
-    counted = cut(counted.drop("text") if drop_text else counted, "counted")
+    counted = cut(counted.drop("text") if drop_text else counted, "counted", rows=docs.count(), per_file=DOCS)
     name, rejected = fresh(counted, "host", "rejected")
     hosts = host_verdicts(counted, host, "rule_failed", reject_over).select(F.col("host").alias(name), F.col("rate").alias("host_rate"), F.col("rejected").alias(rejected))
     out = counted.join(hosts, F.col(host).eqNullSafe(F.col(name)), "left")
