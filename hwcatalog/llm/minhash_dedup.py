@@ -90,8 +90,19 @@ def signatures(docs: DataFrame, width: int, groups: int, rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_id long, alt long, n_shingles long, a array<long>, b array<long>")
 
 
+#: Longs of the parities of a set: 1024 bits.
+WORDS = 16
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS bits whether an odd number of shingles falls on it: two sets differ in no more bits than shingles."""
+    out = np.zeros(WORDS, np.uint64)
+    np.bitwise_xor.at(out, (s & _U(WORDS - 1)).astype(np.int64), _U(1) << ((s >> _U(8)) & _U(63)))
+    return out
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, alt, s) for each row of ``docs`` (doc_id, text)."""
+    """(set_id, alt, s, bits) for each row of ``docs`` (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -99,7 +110,8 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 
             def out():
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32), pa.array(np.concatenate([*parts, _EMPTY]).view(np.int64)))
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), lists], names=["set_id", "alt", "s"])
+                bits = pa.ListArray.from_arrays((np.arange(len(parts) + 1) * WORDS).astype(np.int32), pa.array(np.concatenate([parities(p) for p in parts]).view(np.int64)))
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), lists, bits], names=["set_id", "alt", "s", "bits"])
 
             held = 0
             for s in shingle_sets(batch.column(1), width):
@@ -114,7 +126,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
             if ids:
                 yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "set_id long, alt long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "set_id long, alt long, s array<long>, bits array<long>")
 
 
 def _name():
@@ -133,17 +145,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs (u, v) of set ids in different components among ``members`` (main, set_id, comp) of one main, that may reach the similarity.
 
-    The rarest ``n - ceil(percent * n / 100) + 1`` shingles of either set, in the same order, must have one in common.
+    The rarest ``n - ceil(percent * n / 100) + 1`` shingles of either set, in the same order, must have one in common, the sizes must
+    allow the similarity, and so must the parities: sets that reach it differ in at most ``(100 - percent) / (100 + percent)`` of
+    their sizes' sum. Only pairs that pass all become rows.
     """
-    size = F.size("s")
-    rows = members.join(sets.select("set_id", "s", size.alias("n")), "set_id")
+    rows = members.join(sets.select("set_id", "s"), "set_id")
     each = rows.select("main", "set_id", F.explode("s").alias("g"))
     df = each.groupBy("main", "g").agg(F.count("*").alias("df"))
     ranked = each.join(df, ["main", "g"]).groupBy("main", "set_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("df", "g"))).alias("by"))
     first = ranked.select("main", "set_id", "n", F.explode(F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("e")).where("e.df > 1")
-    first = first.join(members, ["main", "set_id"]).select(F.struct("main", "e.g").alias("key"), F.col("set_id").alias("id"), "n", "comp", (F.col("comp") != F.col("main")).alias("out"))
+    words = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)]
+    first = first.join(members, ["main", "set_id"]).join(sets.select("set_id", *words), "set_id")
+    first = first.select(F.struct("main", "e.g").alias("key"), F.col("set_id").alias("id"), "n", "comp", (F.col("comp") != F.col("main")).alias("out"), *(f"b{i}" for i in range(WORDS)))
     first = cut(first, "prefixes")
-    return blocked_pairs(first, "out", f"x_comp != y_comp AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)", block)
+    differ = " + ".join(f"bit_count(x_b{i} ^ y_b{i})" for i in range(WORDS))
+    near = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {100 + percent} * ({differ}) <= {100 - percent} * (x_n + y_n)"
+    return blocked_pairs(first, "out", f"x_comp != y_comp AND {near}", block)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = 8, rows: int = 2, orders: int = 6, block: int = 512) -> DataFrame:
