@@ -194,3 +194,14 @@ def test_near_short_lines_go(spark):
     rows = [(1, f"{a}\n{c}\nYes."), (2, f"{b}\nLes.\nnot near any of the lines here"), (3, f"{c[:-1]}z"), (4, "Les.")]
     got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: rows[0][1], 2: "Les.\nnot near any of the lines here", 3: "", 4: ""}
+
+
+def test_parities_lose_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 60, 3000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: len(x) * 4 // 5 + 1], rng.integers(0, 2**63, n // 5 + 1, dtype=np.uint64)]))
+        bits = sum(int(a ^ b).bit_count() for a, b in zip(minhash_dedup.parities(x), minhash_dedup.parities(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y)) and (bits > 0 or n == 1)
