@@ -83,6 +83,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .log_replay import log_of, replay
+
+    return replay(log_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import trie
+
+    return trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_table
+
+    return shard_table(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_rules, op4_byte_bpe, op5_warc, op6_syncmer_fingerprints, op7_token_counts, op8_source_mixing, op9_url_filter, op10_html_text, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_rules, op4_byte_bpe, op5_warc, op6_syncmer_fingerprints, op7_token_counts, op8_source_mixing, op9_url_filter, op10_html_text, op11_log_replay, op12_conversation_trie, op13_feistel_shards, pipeline)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -128,4 +146,6 @@ SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op3_quality_rules": OP3, "op5_warc": OP5, "op9_url_filter": OP9}
+    from .oracles import OP11, OP12, OP13
+
+    return {"op1_minhash_near_dedup": OP1, "op3_quality_rules": OP3, "op5_warc": OP5, "op9_url_filter": OP9, "op11_log_replay": OP11, "op12_conversation_trie": OP12, "op13_feistel_shards": OP13}
