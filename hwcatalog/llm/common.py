@@ -71,8 +71,8 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None, per_file: int
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``df``."""
+def release(df: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote for ``df``, if it did."""
     if path := getattr(df, "_cut_path", None):
         remove(df.sparkSession, path)
 
@@ -115,7 +115,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         e, same, now = nxt, then == now, then
         if same:
             break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select("b", "b").distinct())
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select("b", "b").distinct())
+    out._cut_path = e._cut_path
+    return out
 
 
 def blocked_pairs(rows: DataFrame, left: str, condition: str, block: int) -> DataFrame:

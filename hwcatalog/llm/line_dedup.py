@@ -165,17 +165,22 @@ def line_links(distinct: DataFrame, max_edits: int, min_chars: int, block: int =
             # the names grow with the table: hashed by partition at any size, not broadcast
             texts = keep(long_.join(names.hint("shuffle_hash"), "lid", "left_semi").select("lid", "name", "line", parities("line", k).alias("bits")), "texts")
             few = texts.count()
+            release(names)
         pairs = keep(buckets.select(F.least("lid", "pivot").alias("u"), F.greatest("lid", "pivot").alias("v")).distinct(), "pairs", n)
-        found = _verified(pairs, texts, k)
+        found, before = _verified(pairs, texts, k), links
         links = keep(found, "links", n, VERIFIED) if links is None else keep(links.union(found), "links", links.count() + n, VERIFIED)
+        for t in (pairs, before):
+            release(t)
         comps = connected_components(links)
         placed = texts.select("lid", "name").join(comps.withColumnRenamed("node", "name"), "name", "left").select("lid", F.coalesce("comp", "name").alias("comp")).dropDuplicates(["lid"])
         placed = keep(placed, "placed", few)
+        release(comps)
         of = buckets.join(placed, "lid").join(placed.select(F.col("lid").alias("pivot"), F.col("comp").alias("head")), "pivot")
         state = of.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("at") <= k).alias("indexed"), F.count_if(F.col("comp") != F.col("head")).alias("out"))
         state = state.where("out > 0 AND size > 1 AND indexed > 0").select("key", "size")
         # the pivot has met all; of the others some still may be near each other
         open_ = keep(of.join(state, "key").select("bucket", "key", "lid", "at", "size", "comp").dropDuplicates(["key", "lid", "at"]), "open", n)
+        release(buckets)
         small = open_ if level == levels else open_.where(F.col("size") <= split)
         small = small.select("key", "lid", (F.col("at") <= k).alias("indexed")).distinct()
         rest = small if rest is None else rest.union(small)
@@ -204,16 +209,22 @@ def duplicate_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, ho
     occ = cut(lines.select("did", "h", "pos", "name"), "occurrences", rows=docs.count(), per_file=DOCS)
     total = occ.count()
     distinct = cut(distinct_lines(lines), "distinct", rows=total, per_file=50_000)
-    comps = connected_components(line_links(distinct, max_edits, min_chars))
-    plain, comps = distinct.select("name", "n", "first"), comps.withColumnRenamed("node", "name")
+    links = line_links(distinct, max_edits, min_chars)
+    found = connected_components(links)
+    plain, comps = distinct.select("name", "n", "first"), found.withColumnRenamed("node", "name")
     known = plain.where("n > 1").join(comps, "name", "left").select("name", "n", "first", F.coalesce("comp", "name").alias("comp"))
-    known = cut(known.union(plain.where("n = 1").join(comps, "name")), "classes", rows=total)
-    heads = known.groupBy("comp").agg(F.min("first").alias("head"))
-    known = cut(known.join(heads, "comp").select("name", "n", "comp", "head"), "classes", rows=known.count())
+    placed = cut(known.union(plain.where("n = 1").join(comps, "name")), "classes", rows=total)
+    for t in (distinct, links, found):  # what nothing reads any more goes, not only at the end
+        release(t)
+    heads = placed.groupBy("comp").agg(F.min("first").alias("head"))
+    known = cut(placed.join(heads, "comp").select("name", "n", "comp", "head"), "classes", rows=placed.count())
+    release(placed)
     often = F.col("n") * hot > total
     heavy = F.broadcast(known.where(often).drop("n"))
     members = occ.join(heavy, "name").union(occ.join(heavy.select("name"), "name", "left_anti").join(known.where(~often).drop("n"), "name"))
     members = cut(members.select("did", "h", "pos", "comp", "head"), "members", rows=total)
+    for t in (occ, known):
+        release(t)
     at_head = members.where("did = head")
     firsts = at_head.groupBy("comp").agg(F.min(F.struct("h", "pos")).alias("keep"))
     gone = members.where("did != head").select("did", "h", "pos").union(at_head.join(firsts, "comp").where(F.struct("h", "pos") != F.col("keep")).select("did", "h", "pos"))
