@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import literals
 from ..functions.hwid import is_generic
 from ..functions.ids import display_name
+from .packing import greedy_bins
 
 # fixed values: the columns of the store's tables
 DRIVER_COLUMNS = "driver_id pack driver_type provider category version arch display_name descriptions os_targets primary_url zip_parts date_added enabled supersedes superseded_by notes source_manifest updated_at".split()
@@ -110,22 +111,10 @@ def chunk_texts(blocks: DataFrame, batch: int = 5000, max_bytes: int = 40_000_00
 def chunks(statements: DataFrame, batch: int, max_bytes: int) -> DataFrame:
     """(source_manifest, pos, chunk) for blocks (source_manifest, pos, n, bytes): a chunk closes before the block that would reach ``batch`` statements or ``max_bytes``.
 
-    Where a chunk ends depends on all blocks before it, so a manifest's sizes are read in one task; its texts aren't.
+    A block at or above a limit has a chunk of its own. Where chunks end is found by many tasks, however many blocks a manifest has.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, chunk, n, b = [], 0, 0, 0
-        for k, size in zip(pdf.n, pdf.bytes, strict=True):
-            if n and (n + k >= batch or b + size >= max_bytes):
-                chunk, n, b = chunk + 1, 0, 0
-            n, b = n + k, b + size
-            out.append(chunk)
-        return pd.DataFrame({"source_manifest": pdf.source_manifest, "pos": pdf.pos, "chunk": out})
-
-    kind = statements.schema["pos"].dataType.simpleString()
-    return statements.groupBy("source_manifest").applyInPandas(run, f"source_manifest string, pos {kind}, chunk int")
+    out = greedy_bins(statements.select("source_manifest", "pos", "n", "bytes"), "source_manifest", ["pos"], {"n": batch - 1, "bytes": max_bytes - 1})
+    return out.select("source_manifest", "pos", F.col("bin").alias("chunk"))
 
 
 def guard_never_shrink(before: int, added: int, after: int) -> None:

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SHARD_LIMIT, SHARD_SPLIT
+from .packing import greedy_bins
 
 
-def pack(entries: DataFrame, limit: int = SHARD_SPLIT, overhead: int = 2048, tail: str | None = None) -> DataFrame:
+def pack(entries: DataFrame, limit: int = SHARD_SPLIT, overhead: int = 2048) -> DataFrame:
     """(category, pos, bytes, shard) of ``entries`` (category, pos, bytes): entries fill shards in order, none above ``limit`` unless one entry is.
 
-    Where a shard ends depends on all before it, so a category is packed in one pass; only positions and sizes go there.
+    A shard holds ``overhead`` bytes besides, and one more for each entry. As a loop over a category would do it, but by many tasks.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, shard, held = [], 1, overhead
-        for size in pdf.bytes:
-            if held > overhead and held + size + 1 > limit:
-                shard, held = shard + 1, overhead
-            held += size + 1
-            out.append(shard)
-        return pd.DataFrame({"category": pdf.category, "pos": pdf.pos, "bytes": pdf.bytes, "shard": out})
-
-    return entries.select("category", "pos", "bytes").groupBy("category").applyInPandas(run, "category string, pos long, bytes long, shard int")
+    sized = entries.select("category", "pos", "bytes", (F.col("bytes") + 1).alias("_held"))
+    out = greedy_bins(sized, "category", ["pos"], {"_held": limit - overhead})
+    return out.select("category", "pos", "bytes", (F.col("bin") + 1).alias("shard"))
 
 
 def shard_file(category: Column, shard: Column) -> Column:
