@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import scan
 from .common import cut, release
-from .scans import scan
 
 #: Conversation ids that are joined to one string before they meet the hash.
 RUN = 20_000

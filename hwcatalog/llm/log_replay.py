@@ -20,8 +20,8 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import scan
 from .common import cut, release
-from .scans import scan
 
 #: Kinds of log records.
 CHANGE, COMMIT, ABORT, SAVEPOINT, ROLLBACK = range(5)

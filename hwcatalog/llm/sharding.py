@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import scan
 from .common import fresh, release
-from .scans import scan
 
 #: An odd number below 2**63 that spreads bits.
 SPREAD = 0x6B74_7FDC_34B7_FEC9

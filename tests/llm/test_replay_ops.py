@@ -1,4 +1,4 @@
-"""Scans, log replay, the conversation trie and shards against plain versions."""
+"""Log replay, the conversation trie and shards against plain versions."""
 
 import collections
 import hashlib
@@ -12,32 +12,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hwcatalog.llm import conversation_trie, log_replay, sharding
-from hwcatalog.llm.scans import scan
 
 crc = lambda x: zlib.crc32(x.encode())
 
 
-# ---- scans
-
-
-@pytest.mark.parametrize("segments", [1, 3, 200])
-def test_scan(spark, segments):
-    rng = random.Random(segments)
-    rows = [(rng.randrange(segments), i, rng.randint(-9, 9) if rng.random() < 0.8 else None, i if rng.random() < 0.02 else None) for i in range(3000)]
-    shuffled = rng.sample(rows, len(rows))
-    df = spark.createDataFrame(shuffled, "s long, part long, x long, y long")  # part: a name used within
-    out = scan(df, ["s"], ["part"], {"total": ("sum", "x"), "odd": ("xor", "x"), "seen": ("last", "y")}, parts=11)
-    want, state = set(), {}
-    for s, i, x, y in rows:
-        a, b, c = state.get(s, (0, 0, None))
-        state[s] = a + (x or 0), b ^ (x or 0), c if y is None else y
-        want.add((s, i, x, y, *state[s]))
-    assert set(map(tuple, out.collect())) == want
-    whole = scan(df, [], ["part"], {"n": ("sum", "one")}, parts=7) if "one" in df.columns else scan(df.withColumn("one", F.lit(1)), [], ["part"], {"n": ("sum", "one")}, parts=7)
-    assert sorted((r.part, r.n) for r in whole.collect()) == [(i, i + 1) for i in range(3000)]
-    assert scan(df.limit(0), ["s"], ["part"], {"total": ("sum", "x")}).collect() == []
-
-
 # ---- shards
 
 
