@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SHARD_LIMIT, SHARD_SPLIT
+from ..sources.scratch import cut
 from .packing import greedy_bins
 
 
@@ -34,6 +35,75 @@ def manifest_documents(entries: DataFrame, packed: DataFrame) -> DataFrame:
     return docs.select(shard_file(F.col("category"), F.col("shard")).alias("file"), F.to_json(doc).alias("value"))
 
 
+def _quoted(text: Column) -> Column:
+    """A JSON string; null of null."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.when(text.isNotNull(), F.substring(whole, 6, F.length(whole) - 6))
+
+
+def shard_document(category: Column, shard: Column, total: Column, updated: Column, entries: Column, history: Column, next_file: Column) -> Column:
+    """JSON text of a shard from the JSON texts of its entries and of its history; with a file that follows it is sealed."""
+    head = F.concat(F.lit('{"schema":"3","category":'), _quoted(category), F.lit(',"shard_index":'), shard.cast("string"), F.lit(',"total_shards":'), total.cast("string"), F.lit(',"updated":'), _quoted(updated))
+    sealed = F.concat(F.lit(',"note":'), _quoted(F.concat(F.lit("Sealed \u2014 continued in "), next_file)), F.lit(',"next_shard":'), _quoted(next_file))
+    return F.concat(head, F.lit(',"drivers":['), F.array_join(entries, ","), F.lit('],"version_history":'), history, F.coalesce(sealed, F.lit("")), F.lit("}"))
+
+
+def save(docs: DataFrame, new: DataFrame, history: DataFrame | None = None, updated: str = "", split: int = SHARD_SPLIT, share: float = 0.9) -> DataFrame:
+    """(file, value, state): the documents to write so that ``new`` (category, pos, id, entry: JSON text) joins the stored shards ``docs`` (file, value).
+
+    The last shard of a category is active. If it can take the new entries within ``split`` bytes it is ``grown``: entries whose id it has are replaced in
+    place, others follow in order of pos. Else it is ``sealed`` with its entries as they are, and entries that it hasn't fill ``new`` shards in order, each to
+    ``share`` of ``split`` bytes at most, or one entry larger than that. Earlier shards are never written again. The last shard takes the
+    category's ``history`` (category, history: JSON text; by default what the active shard had); where it doesn't fit there a shard of its own follows.
+    Sizes are of the written bytes, a line end included. Categories without new entries aren't written. Where ``new`` repeats an id the last by pos counts.
+    """
+    new = new.where("category IS NOT NULL AND id IS NOT NULL").groupBy("category", "id").agg(F.max("pos").alias("pos"), F.max_by("entry", "pos").alias("entry"))
+    stored = docs.where("file LIKE '%.manifest%.json'").withColumns({"category": F.regexp_replace("file", r"\.manifest(\.\d+)?\.json$", ""), "shard": F.coalesce(F.regexp_extract("file", r"manifest\.(\d+)\.json$", 1).try_cast("int"), F.lit(1))})
+    last = stored.groupBy("category").agg(F.max("shard").alias("shard"))
+    # the one shard of a category that may be written again; nothing else is parsed
+    active = stored.join(last, ["category", "shard"]).join(new.select("category").distinct(), "category", "left_semi")
+    parsed = F.from_json("value", "drivers array<string>, version_history string, updated string")
+    active = active.withColumn("d", parsed).select("category", "shard", F.coalesce("d.drivers", F.array().cast("array<string>")).alias("entries"), F.coalesce("d.version_history", F.lit("{}")).alias("had"), F.coalesce("d.updated", F.lit("")).alias("was"))
+    active = cut(active, "active")
+    given = history if history is not None else new.select("category").distinct().withColumn("history", F.lit(None).cast("string"))
+    heads = new.select("category").distinct().join(active.drop("entries"), "category", "left").join(given.select("category", "history"), "category", "left")
+    heads = heads.select("category", F.coalesce("shard", F.lit(0)).alias("shard"), "was", "had", F.coalesce("history", "had", F.lit("{}")).alias("history"))
+    old = active.select("category", F.posexplode("entries").alias("at", "entry")).withColumn("id", F.get_json_object("entry", "$.id"))
+    known = old.join(new.select("category", "id", F.col("entry").alias("now")), ["category", "id"], "left")
+    fresh = new.join(old.select("category", "id"), ["category", "id"], "left_anti")
+    line = known.select("category", F.lit(0).alias("part"), F.col("at").cast("long").alias("pos"), F.coalesce("now", "entry").alias("entry")).union(fresh.select("category", F.lit(1), F.col("pos").cast("long"), "entry"))
+    line = cut(line, "entries")
+    none, today, no_file = F.array().cast("array<string>"), F.lit(updated), F.lit(None).cast("string")
+    grown_size = F.octet_length(shard_document(F.col("category"), F.greatest(F.col("shard"), F.lit(1)), F.greatest(F.col("shard"), F.lit(1)), today, none, F.col("history"), no_file)) + 1
+    sums = line.groupBy("category").agg((F.sum(F.octet_length("entry") + 1) - 1).alias("held"))
+    heads = heads.join(sums, "category").withColumn("fits", grown_size + F.col("held") <= split)
+    # numbers as long as any may get, so a document is never larger than reckoned
+    most = F.lit(10_000_000)
+    room = F.floor(F.lit(split * share)) - F.octet_length(shard_document(F.col("category"), most, most, today, none, F.lit("{}"), shard_file(F.col("category"), most)))
+    heads = cut(heads.withColumn("room", room.cast("long")), "heads")
+    whole = lambda rows, *by: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part", "pos", "entry"))).alias("e")).withColumn("e", F.transform("e", lambda x: x["entry"]))
+    at = F.greatest(F.col("shard"), F.lit(1))
+    grown = whole(line.join(heads.where("fits").select("category"), "category"), "category").join(heads, "category")
+    grown = grown.select(shard_file(F.col("category"), at).alias("file"), shard_document(F.col("category"), at, at, today, F.col("e"), F.col("history"), no_file).alias("value"), F.when(F.col("shard") == 0, "new").otherwise("grown").alias("state"))
+    full = heads.where("NOT fits")
+    rest = line.where("part = 1").join(full.select("category", "room", F.col("shard").alias("sealed")), "category").withColumn("_held", F.octet_length("entry") + 1)
+    bins = greedy_bins(rest, "category", ["pos"], {"_held": F.col("room")})
+    made = cut(whole(bins.withColumn("shard", F.col("sealed") + F.col("bin") + 1), "category", "shard"), "made")
+    ends = full.select("category", F.col("shard").alias("first"), "history", "had", "was").join(made.groupBy("category").agg(F.max("shard").alias("end")), "category", "left").withColumn("end", F.coalesce("end", "first"))
+    # the last shard takes the history, or one more does
+    tail = made.join(ends.select("category", F.col("end").alias("shard"), "history"), ["category", "shard"])
+    size = F.octet_length(shard_document(F.col("category"), F.col("shard"), F.col("shard"), today, F.col("e"), F.col("history"), no_file)) + 1
+    ends = cut(ends.join(tail.select("category", (size <= split).alias("takes")), "category", "left").withColumn("total", F.col("end") + F.when(F.coalesce("takes", F.lit(False)), 0).otherwise(1)), "ends")
+    alone = ends.where("total > end").select("category", F.col("total").alias("shard"), none.alias("e"))
+    every = made.unionByName(alone).join(ends.select("category", "total", "history"), "category")
+    is_last = F.col("shard") == F.col("total")
+    following = F.when(~is_last, shard_file(F.col("category"), F.col("shard") + 1))
+    added = every.select(shard_file(F.col("category"), F.col("shard")).alias("file"), shard_document(F.col("category"), F.col("shard"), F.col("total"), today, F.col("e"), F.when(is_last, F.col("history")).otherwise("{}"), following).alias("value"), F.lit("new").alias("state"))
+    closed = active.join(ends.select("category", "total"), "category")
+    closed = closed.select(shard_file(F.col("category"), F.col("shard")).alias("file"), shard_document(F.col("category"), F.col("shard"), F.col("total"), F.col("was"), F.col("entries"), F.col("had"), shard_file(F.col("category"), F.col("shard") + 1)).alias("value"), F.lit("sealed").alias("state"))
+    return grown.union(closed).union(added)
+
+
 def seal(shards: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
     """``shards`` (category, shard, filename, size_bytes) with sealed: at the limit, or not the last of its chain."""
     nxt = F.lead("shard").over(Window.partitionBy("category").orderBy("shard"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import inf, literals
 from ..operators import load, search, shards
-from ..sources import binary_files, listings, manifests, pe_image
+from ..sources import binary_files, executables, listings, manifests, pe_image
 from ..sources.scratch import shared_path
 from .registry import query
 from .views import Catalog
@@ -287,18 +287,57 @@ def _(c: Catalog):
     return search.read_pages(lambda page, size: search.search(kept, c.hwids, page=page, size=size)).select("driver_id")
 
 
-@query("snk_chunked_sql")
+def _loop(entries: str, group: str, start: str, step: str, names: str) -> str:
+    """DuckDB SQL of a loop over each group's entries in order of pos: ``start`` and ``step`` give ``names`` of the first entry and of one after another (r)."""
+    return f""", e AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY pos) AS i FROM ({entries})),
+    r({group}, i, {names}) AS (SELECT {group}, i, {start} FROM e WHERE i = 1 UNION ALL SELECT e.{group}, e.i, {step} FROM r JOIN e ON e.{group} = r.{group} AND e.i = r.i + 1)"""
+
+
+def _packed(entries: str, limit: int, overhead: int) -> str:
+    new = f"r.held + e.bytes + 1 > {limit}"
+    return _loop(entries, "category", f"1, {overhead} + bytes + 1", f"CASE WHEN {new} THEN shard + 1 ELSE shard END, CASE WHEN {new} THEN {overhead} ELSE held END + e.bytes + 1", "shard, held") + " SELECT category, pos, bytes, shard FROM r JOIN e USING (category, i)"
+
+
+_FULL = "r.n + e.n >= 50 OR r.b + e.bytes >= 4000"
+
+
+@query(
+    "snk_chunked_sql",
+    _loop("SELECT source_manifest, pos, zip_parts + 2 AS n, zip_parts * 100 + 300 AS bytes FROM drivers", "source_manifest", "0, n, bytes", f"CASE WHEN {_FULL} THEN chunk + 1 ELSE chunk END, CASE WHEN {_FULL} THEN e.n ELSE r.n + e.n END, CASE WHEN {_FULL} THEN e.bytes ELSE r.b + e.bytes END", "chunk, n, b")
+    + " SELECT source_manifest, pos, chunk FROM r JOIN e USING (source_manifest, i)",
+    "drivers",
+)
 def _(c: Catalog):
     blocks = c.drivers.select("source_manifest", "pos", (F.col("zip_parts") + 2).alias("n"), (F.col("zip_parts") * 100 + 300).alias("bytes"))
     return load.chunks(blocks, 50, 4000)
 
 
-@query("snk_manifest_shards")
+@query("snk_manifest_shards", _packed("""SELECT category, pos, length(concat('{"driver_id":"', driver_id, '","version":"', version, '","provider":"', provider, '"}')) AS bytes FROM drivers""", 6000, 200), "drivers")
 def _(c: Catalog):
     e = c.drivers.withColumn("entry", F.struct("driver_id", "version", "provider"))
     return shards.pack(e.withColumn("bytes", F.length(F.to_json("entry")).cast("long")), limit=6000, overhead=200)
 
 
+def _saved(c: Catalog):
+    """The drivers saved in two goes, those of even pos first, to shards of 6,000 bytes: the folder, and the states of the second save."""
+    path = shared_path(c.spark, "saves")
+    e = c.drivers.select("category", "pos", F.col("driver_id").alias("id"), F.to_json(F.struct(F.col("driver_id").alias("id"), "version", "provider")).alias("entry"))
+    manifests.rewrite_documents(shards.save(c.spark.createDataFrame([], "file string, value string"), e.where("pos % 2 = 0"), split=6000), path)
+    second = shards.save(manifests.read_documents(c.spark, path), e.where("pos % 2 = 1"), split=6000)
+    manifests.rewrite_documents(second, path)
+    return path
+
+
+@query("snk_manifest_append", "SELECT driver_id, category, row_number() OVER (PARTITION BY category ORDER BY pos % 2, pos) AS n, true AS fits FROM drivers", "drivers")
+def _(c: Catalog):
+    """Each driver's place among its category's shards, in order, after two saves; every file is within its limit."""
+    docs = manifests.read_documents(c.spark, _saved(c)).withColumn("fits", F.octet_length("value") <= 6000)
+    d = F.from_json("value", "category string, shard_index int, drivers array<struct<id: string>>")
+    rows = docs.select("fits", d.alias("d")).select("fits", "d.category", "d.shard_index", "d.drivers")
+    before = F.coalesce(F.sum(F.size("drivers")).over(Window.partitionBy("category").orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a shard
+    return rows.withColumn("before", before).select("category", "before", "fits", F.posexplode("drivers").alias("at", "x")).select(F.col("x.id").alias("driver_id"), "category", (F.col("before") + F.col("at") + 1).alias("n"), "fits")
+
+
 @query("snk_manifest_documents", "SELECT category, count(*) AS n FROM drivers GROUP BY category", "drivers")
 def _(c: Catalog):
     e = c.drivers.withColumn("entry", F.struct(F.col("driver_id").alias("id"), "version"))
@@ -309,7 +348,7 @@ def _(c: Catalog):
     return back.groupBy(manifests.stem_of(F.col("file")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("snk_installer_shards")
+@query("snk_installer_shards", _packed("SELECT 'installers' AS category, doc_id AS pos, n_chars AS bytes FROM documents", 100000, 200))
 def _(c: Catalog):
     e = c.documents.select(F.lit("installers").alias("category"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("bytes"))
     return shards.pack(e, limit=100000, overhead=200)
@@ -383,12 +422,46 @@ def _(c: Catalog):
     return c.drivers.select("driver_id").join(g, "driver_id")
 
 
-@query("src_pe_files")
-def _(c: Catalog):
+#: Marks of installers, by pos; the last is an executable without one, and one file in 13 is none at all.
+_MARKS = [b"NSIS Error InstallShield", b"\0Inno Setup Setup Data", b"7z\xbc\xaf\x27\x1c", b"WinRAR SFX", b"WiX Burn", b"InstallShield", b"nothing"]
+
+
+def executable_tree(c: Catalog) -> str:
+    """A folder tree with an executable for each driver, in its pack's folder or at the top, with its facts as resources and an installer's mark: the folder."""
     path = shared_path(c.spark, "exes")
-    c.drivers.repartition("driver_id").select(F.concat(F.lit("MZ NSIS Error "), "driver_id")).write.option("maxRecordsPerFile", 1).text(path)
-    files = binary_files.read_files(c.spark, path, "*.txt")
-    return files.select(binary_files.installer_type(F.col("content")).alias("type"), "size")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for _, r in b.iterrows():
+                whole = pe_image.sample((r.pos // 1000, r.pos % 1000, r.zip_parts, 7), {"CompanyName": r.provider, "FileDescription": r.category}, f"icon {r.pack}".ljust(256).encode(), r.pos % 2 == 0)
+                name = f"{top}/{r.rel}"
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write((b"ZM" if r.pos % 13 == 0 else b"MZ") + whole[2:] + _MARKS[r.pos % 7])
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rel = F.when(F.col("pos") % 5 == 0, F.concat("driver_id", F.lit(".EXE"))).otherwise(F.concat("pack", F.lit("/x/"), "driver_id", F.lit(".exe")))
+    c.drivers.select("pos", "zip_parts", "provider", "category", "pack", rel.alias("rel")).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return path
+
+
+_REL = "CASE WHEN pos % 5 = 0 THEN concat(driver_id, '.EXE') ELSE concat(pack, '/x/', driver_id, '.exe') END"
+
+
+@query("src_pe_files", f"SELECT {_REL} AS path, split_part({_REL}, '/', 1) AS package, CASE WHEN pos % 13 = 0 THEN 'not-pe' ELSE {_KIND} END AS type, CASE WHEN pos % 13 = 0 THEN '' ELSE concat(pos // 1000, '.', pos % 1000, '.', zip_parts, '.7') END AS file_version, CASE WHEN pos % 13 = 0 THEN '' ELSE provider END AS company, CASE WHEN pos % 13 = 0 THEN '' ELSE substr(sha256(rpad(concat('icon ', pack), 256, ' ')), 1, 16) END AS icon_sha256 FROM drivers", "drivers")
+def _(c: Catalog):
+    return executables.read_executables(c.spark, executable_tree(c)).select("path", "package", "type", "file_version", "company", "icon_sha256")
+
+
+@query("src_pe_packages", f"SELECT package, count(*) AS exes FROM (SELECT split_part({_REL}, '/', 1) AS package FROM drivers) AS t GROUP BY package", "drivers")
+def _(c: Catalog):
+    from ..operators import aggregates
+
+    files = executables.read_executables(c.spark, executable_tree(c))
+    return aggregates.installer_packages(files.select("path", "size")).select("package", "exes")
 
 
 @query("snk_sqlite_installers", "SELECT concat('inst-', substr(sha256(sha256(html)), 1, 12)) AS id, count(*) AS n FROM pages GROUP BY html")

@@ -21,6 +21,11 @@ def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") ->
     docs.select("file", "value").write.mode(mode).partitionBy("file").text(path)
 
 
+def rewrite_documents(docs: DataFrame, path: str) -> None:
+    """Write (file, value) over the files of those names; other files below ``path`` stay as they are, byte for byte."""
+    docs.select("file", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
+
+
 def discover(docs: DataFrame) -> DataFrame:
     """Files that are manifests, in order of name."""
     return docs.where(F.col("file").rlike(r"\.manifest.*\.json$")).orderBy("file")

@@ -120,7 +120,8 @@ class Image:
         top = None if at is None else self.node(at, len(self.data))
         if top is None:
             return "", "", {}
-        numbers = struct.unpack_from("<6I", self.data, top.value) if top.value + 24 <= len(self.data) else (0,) * 6
+        fixed = self.data[top.value : top.value + 24]
+        numbers = struct.unpack("<6I", fixed) if len(fixed) == 24 else (0,) * 6
         dotted = lambda hi, lo: f"{hi >> 16}.{hi & 0xFFFF}.{lo >> 16}.{lo & 0xFFFF}"
         known = numbers[0] == FIXED_INFO
         strings: dict[str, str] = {}
@@ -145,8 +146,8 @@ FIELDS = ("file_version", "product_version", "company", "description", "icon_sha
 
 
 def metadata(data: bytes | None) -> tuple[str, ...]:
-    """``FIELDS`` of an executable; blanks for what it doesn't tell, names of 2 to 199 characters only."""
-    image = Image(data or b"")
+    """``FIELDS`` of an executable, given as bytes or as anything that slices to bytes; blanks for what it doesn't tell, names of 2 to 199 characters only."""
+    image = Image(b"" if data is None else data)
     file_version, product_version, strings = image.version()
     names = (strings.get(x, "") for x in ("CompanyName", "FileDescription"))
     return file_version, product_version, *(x if 2 <= len(x) <= 199 else "" for x in names), image.icon_hash()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hwcatalog.functions import ids, inf, registered, text, versions
 from hwcatalog.operators import aggregates, lineage, load, reconcile, search, shards
 from hwcatalog.plans import registry
-from hwcatalog.sources import manifests, pe_image
+from hwcatalog.sources import executables, manifests, pe_image
 
 SF = "/root/testdata/sf0.001"
 
@@ -229,7 +229,7 @@ def test_file_sources_read_all_drivers(spark):
     n = spark.read.parquet(f"{SF}/part.parquet").count()
     assert registry.queries()["src_inf_files"](spark, SF).count() == n
     exes = registry.queries()["src_pe_files"](spark, SF)
-    assert exes.count() == n and {r.type for r in exes.collect()} == {"NSIS"}
+    assert exes.count() == n and len({r.type for r in exes.collect()}) == 8
 
 
 def test_executables_cut_short_or_hostile():
@@ -252,6 +252,40 @@ def test_executables_cut_short_or_hostile():
     assert pe_image.metadata(bytes(loop))[4] == ""
 
 
+def test_executables_are_read_by_offset(spark, tmp_path):
+    """Files of 50 MB, one with its resources at the end, cost less than 1 MB; all else as from the whole bytes; hostile and broken files have rows too."""
+    small = pe_image.sample((31, 0, 101, 2111), {"CompanyName": "Acme GmbH é", "FileDescription": "Setup"}, b"icon" * 100)
+    start = int.from_bytes(small[small.index(b".rsrc") + 20 : small.index(b".rsrc") + 24], "little")
+    moved = bytearray(small[:start] + b"\0" * 50_000_000 + small[start:])
+    at = small.index(b".rsrc") + 20
+    moved[at : at + 4] = (start + 50_000_000).to_bytes(4, "little")
+    files = {"a/b/large.exe": small + b"WiX Burn" + b"x" * 50_000_000, "a/moved.EXE": bytes(moved), "top.exe": small, "a/text.exe": b"not one" * 20, "a/empty.exe": b"", "c/short.exe": small[:300], "c/readme.txt": b"MZ"}
+    rng = random.Random(3)
+    for i in range(40):
+        hostile = bytearray(small)
+        for _ in range(4):
+            hostile[rng.randrange(len(small))] = rng.randrange(256)
+        files[f"h/{i}.exe"] = bytes(hostile)
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    df = executables.read_executables(spark, f"file://{tmp_path}")
+    got = {r.path: r for r in df.collect()}
+    assert set(got) == {n for n in files if n.lower().endswith(".exe")}
+    for name, r in got.items():
+        whole = files[name]
+        assert r["size"] == len(whole) and r.package == name.split("/")[0]
+        want = pe_image.metadata(whole) if whole[:2] == b"MZ" and len(whole) >= 64 else ("",) * 5
+        assert (r.file_version, r.product_version, r.company, r.description, r.icon_sha256) == want
+        assert r.bytes_read <= min(len(whole), 1_000_000)
+    assert got["a/moved.EXE"].company == "Acme GmbH é" and got["a/b/large.exe"].type == "WiX-Bootstrapper" and got["a/text.exe"].type == "not-pe"
+    assert max(got[n].bytes_read for n in ("a/b/large.exe", "a/moved.EXE")) < 200_000
+    one = df.where("package = 'c'")
+    assert [r.path for r in one.collect()] == ["c/short.exe"] and [r.path for r in df.where("package = 'top.exe'").collect()] == ["top.exe"]
+    (tmp_path / "none").mkdir()
+    assert executables.read_executables(spark, f"file://{tmp_path}/none").collect() == []
+
+
 def test_pages_are_read_to_a_short_one(spark):
     rows = spark.range(57).select(F.col("id").alias("n"))
     asked = []

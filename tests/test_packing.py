@@ -1,12 +1,15 @@
 """Scans and exact packing against plain loops."""
 
+import json
 import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
-from hwcatalog.operators import load, packing, shards
+from hwcatalog.operators import packing, shards
 from hwcatalog.operators.scans import scan
+from hwcatalog.sources import manifests
 
 
 @pytest.mark.parametrize("segments", [1, 3, 200])
@@ -72,3 +75,42 @@ def test_one_large_category(spark):
         held += s + 1
     assert [r.a for r in got] == want and [r.shard for r in got] == list(range(1, len(want) + 1)) and all(r.k == r.b - r.a + 1 for r in got)
     assert packing.BLOCK * 10 <= n  # so it took many blocks
+
+
+def stored_files(root):
+    return {p.parent.name.split("=", 1)[1]: p.read_bytes() for p in root.glob("file=*/*.txt")}
+
+
+def test_saves_leave_sealed_shards(spark, tmp_path):
+    """Three saves in a row: every byte of sealed shards stays, sizes hold as written, nothing is lost and the order is kept."""
+    rng, root = random.Random(5), tmp_path / "m"
+    entry = lambda i, extra=0: json.dumps({"id": f"d{i}", "text": "é" * (rng.randint(1, 60) + extra)}, ensure_ascii=False, separators=(",", ":"))
+    split, want, before = 1500, {"Net": [], "\"Q\" x": []}, {}
+    for turn in range(4):
+        rows = [(c, i, f"d{i}", entry(i)) for c in want for i in range(40 * turn, 40 * turn + (40 if c == "Net" else 3))]
+        rows += [("Net", 39.5 + 40 * turn, "dbig", entry("big", 900))] if turn == 1 else []
+        for c, _, i, e in sorted(rows, key=lambda r: r[1]):
+            want[c].append((i, e))
+        docs = manifests.read_documents(spark, str(root)) if turn else spark.createDataFrame([], "file string, value string")
+        history = spark.createDataFrame([("Net", json.dumps({"p": [{"id": "h" * (1400 if turn == 2 else 20)}]}, separators=(",", ":")))], "category string, history string")
+        out = shards.save(docs, spark.createDataFrame([(c, int(2 * p), i, e) for c, p, i, e in rows], "category string, pos long, id string, entry string"), history, f"day {turn}", split).cache()
+        states = {r.file: r.state for r in out.collect()}
+        manifests.rewrite_documents(out, str(root))
+        files = stored_files(root)
+        for f, data in before.items():
+            if unquote(f) not in states:
+                assert files[f] == data  # sealed shards, byte for byte
+        before = files
+        for c, entries in want.items():
+            mine = sorted(((int(f.rsplit(".", 2)[1]) if f.rsplit(".", 2)[1].isdigit() else 1, f) for f in (unquote(x) for x in files) if f.startswith(c)), key=lambda x: x[0])
+            got = [json.loads(files[next(x for x in files if unquote(x) == f)]) for _, f in mine]
+            assert [d["shard_index"] for d in got] == list(range(1, len(got) + 1))
+            assert [(x["id"], x) for d in got for x in d["drivers"]] == [(i, json.loads(e)) for i, e in entries]
+            for d, follows in zip(got, got[1:], strict=False):
+                assert d["next_shard"] == f"{c}.manifest.{follows['shard_index']}.json" and d["note"].endswith(d["next_shard"])
+            assert "note" not in got[-1] and got[-1]["total_shards"] == len(got) and all(d["category"] == c for d in got)
+            assert (got[-1]["version_history"] != {}) == (c == "Net")
+        assert all(len(data) <= split or data.count(b'"id":"d') <= 1 for data in files.values())
+        assert {s for f, s in states.items() if f.startswith("Net")} == ({"new"} if turn == 0 else {"sealed", "new"})
+        assert len([f for f in files if "Q" in f]) == 1 and (turn == 0 or "grown" in states.values())
+    assert len(before) > 8
