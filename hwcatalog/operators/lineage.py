@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.versions import version_pieces
+from ..sources.scratch import cut, release
 
 
 def best_version(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,28 +38,31 @@ def supersede(prior: DataFrame, new: DataFrame) -> DataFrame:
     return out.select("driver_id", (F.col("enabled") & F.col("b").isNull()).alias("enabled"), F.when(F.col("is_new") == 1, F.col("s")).alias("supersedes"), F.col("b").alias("superseded_by"), F.when(F.col("b").isNotNull(), F.concat(F.lit("superseded by "), "b")).alias("note"))
 
 
-def version_chains(entries: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def version_chains(entries: DataFrame) -> DataFrame:
     """(driver_id, chain): entries joined by supersedes or superseded_by, either way; chain is the least id in it.
 
-    Labels move along links and jump to their label's label, so a chain of n entries takes about log n rounds.
+    Large and small stars in turn: an entry's neighbours are tied to the least of them, so a chain of n entries takes about log n rounds and no
+    round has more links than the one before. Rounds are written to the shared folder; entries without links take no part.
     """
-    spark = entries.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..sources.scratch import shared_path
-
-        spark.sparkContext.setCheckpointDir(shared_path(spark, "chains"))
     e = entries.select(F.col("driver_id").alias("a"), F.explode(F.array("supersedes", "superseded_by")).alias("b")).where("b IS NOT NULL AND a <> b")
-    e = e.union(e.select("b", "a")).distinct().checkpoint()
-    label = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("chain"))
-    label = label.union(entries.select(F.col("driver_id").alias("a")).distinct().join(label, "a", "left_anti").select("a", F.col("a").alias("chain"))).checkpoint()
-    while True:
-        near = e.join(label.select(F.col("a").alias("b"), F.col("chain").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = label.join(near, "a", "left").select("a", F.least("chain", F.coalesce("c", "chain")).alias("chain"), F.col("chain").alias("was"))
-        far = label.select(F.col("a").alias("h"), F.col("chain").alias("hc"))
-        step = step.join(far, F.col("chain") == F.col("h"), "left").select("a", F.least("chain", F.coalesce("hc", "chain")).alias("chain"), "was").checkpoint()
-        label = step.select("a", "chain")
-        if step.where("chain <> was").isEmpty():
-            return label.withColumnRenamed("a", "driver_id")
+    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "chains")
+    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = state(e)
+    while now[0]:
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        after = cut(small, "chains")
+        then = state(after)
+        release(e)
+        e, same, now = after, then == now, then
+        if same:
+            break
+    linked = e.select(F.col("a").alias("driver_id"), F.col("b").alias("chain")).union(e.select("b", "b").distinct())
+    rest = entries.select("driver_id").distinct().join(linked, "driver_id", "left_anti")
+    return linked.union(rest.select("driver_id", F.col("driver_id").alias("chain")))
 
 
 def with_head(members: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ARCH_BONUS, JACCARD_THRESHOLD
 from ..functions.text import normalize_class, normalize_provider
-from ..functions.versions import compare, local_newer, version_digits, version_pieces
+from ..functions.versions import compare, driver_date, version_chunks, version_digits, version_pieces
 
 
 def _set_key(c: str = "hwids"):
@@ -97,19 +97,47 @@ def duplicate_audit(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     return best.select("in_id", "driver_id", status.alias("status"), action.alias("action"))
 
 
+def _ids_and_class(d: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, ..., h, blank, cls) of records: each id in upper case once, and the type of their class."""
+    blank = F.coalesce("category", F.lit("")) == ""
+    ids = F.array_distinct(F.transform("hwids", lambda x: F.upper(x)))
+    return d.select(key, *more, blank.alias("blank"), normalize_class(F.col("category")).alias("cls"), F.explode(ids).alias("h")).where("h IS NOT NULL")
+
+
 def class_matches(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(local_id, driver_id) pairs that share an id and whose classes agree, or the remote has none. Disabled remotes count."""
-    x = local.select("local_id", F.col("category").alias("lc"), F.explode("hwids").alias("h")).withColumn("h", F.upper("h"))
-    y = remote.select("driver_id", F.col("category").alias("rc"), F.explode("hwids").alias("h")).withColumn("h", F.upper("h"))
-    both = x.join(y, "h").dropDuplicates(["local_id", "driver_id"])
-    return both.where((F.coalesce("rc", F.lit("")) == "") | (normalize_class(F.col("lc")) == normalize_class(F.col("rc")))).select("local_id", "driver_id")
+    """(local_id, driver_id) pairs that share an id and whose classes agree, or the remote has none. Disabled remotes count.
+
+    Ids and classes are joined together, so a pair whose classes differ is never made.
+    """
+    x, y = _ids_and_class(local, "local_id").drop("blank"), _ids_and_class(remote, "driver_id")
+    same = x.join(y.where("NOT blank").drop("blank"), ["h", "cls"]).select("local_id", "driver_id")
+    any_ = x.select("local_id", "h").join(y.where("blank").select("driver_id", "h"), "h").select("local_id", "driver_id")
+    return same.union(any_).distinct()
+
+
+def _newness(version: str, date: str) -> Column:
+    """What decides ``local_newer`` as one value in order: the version without zeros at its end, then whether the date can't be read, then the date."""
+    v = version_chunks(F.col(version))
+    end = F.array_max(F.transform(v, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    d = driver_date(F.col(date))
+    return F.named_struct(F.lit("v"), F.slice(v, F.lit(1), end), F.lit("unread"), d.isNull(), F.lit("d"), d)
 
 
 def classify_uploads(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(local_id, status): missing without a class match, updated if newer than every match, else present."""
-    m = class_matches(local, remote).join(local.select("local_id", F.col("version").alias("lv"), F.col("driver_date").alias("ld")), "local_id").join(remote.select("driver_id", F.col("version").alias("rv"), F.col("driver_date").alias("rd")), "driver_id")
-    per = m.groupBy("local_id").agg(F.bool_and(local_newer(F.col("lv"), F.col("ld"), F.col("rv"), F.col("rd"))).alias("newer"))
-    return local.select("local_id").join(per, "local_id", "left").select("local_id", F.when(F.col("newer").isNull(), "missing").when(F.col("newer"), "updated").otherwise("present").alias("status"))
+    """(local_id, status): missing without a class match, updated if newer than every match, else present.
+
+    Of all entries that have an id and a class only the newest can keep a local driver from being newer than all (of equal versions one
+    whose date can't be read, else the latest), so entries are reduced to one an id and class before local drivers meet them.
+    """
+    newest = _ids_and_class(remote, "driver_id", _newness("version", "driver_date").alias("n")).groupBy("h", "blank", F.when(~F.col("blank"), F.col("cls")).alias("cls")).agg(F.max("n").alias("n"))
+    x = _ids_and_class(local, "local_id").drop("blank")
+    same = x.join(newest.where("NOT blank").drop("blank"), ["h", "cls"]).select("local_id", "n")
+    any_ = x.select("local_id", "h").join(newest.where("blank").select("h", "n"), "h").select("local_id", "n")
+    top = same.union(any_).groupBy("local_id").agg(F.max("n").alias("n"))
+    both = local.select("local_id", _newness("version", "driver_date").alias("l")).join(top, "local_id", "left")
+    later = ~F.col("l.unread") & ~F.col("n.unread") & (F.col("l.d") > F.col("n.d"))
+    newer = F.when(F.col("l.v") == F.col("n.v"), F.coalesce(later, F.lit(False))).otherwise(F.col("l.v") > F.col("n.v"))
+    return both.select("local_id", F.when(F.col("n").isNull(), "missing").when(newer, "updated").otherwise("present").alias("status"))
 
 
 def conflicts(records: DataFrame) -> DataFrame:

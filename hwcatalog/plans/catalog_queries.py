@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import versions
-from ..operators import aggregates, lineage, load, reconcile, search, shards
+from ..operators import aggregates, id_table, lineage, load, reconcile, search, search_index, shards
+from ..sources.scratch import shared_path
 from .function_queries import TOKEN, VER_A, VER_B, VER_C, fill
 from .registry import query
 from .views import Catalog
@@ -37,6 +38,14 @@ def _(c: Catalog):
     return hits.join(d.select("driver_id", "display_name", "hwid_count"), "driver_id")
 
 
+@query("join_hwid_stored", r", q AS (SELECT hwid_string AS q FROM hwids GROUP BY hwid_string ORDER BY hwid_string LIMIT 20) SELECT q.q AS query, h.driver_id, 0 AS level FROM q JOIN hwids h ON h.hwid_string = q.q", "hwids")
+def _(c: Catalog):
+    path = shared_path(c.spark, "ids")
+    id_table.store(c.hwids, path)
+    asked = [r.h for r in c.hwids.groupBy(F.col("hwid_string").alias("h")).count().orderBy("h").limit(20).collect()]
+    return id_table.lookup(c.spark, path, asked).select("query", "driver_id", "level")
+
+
 @query("join_ids_ordered", "SELECT d.pos AS p, -d.pos AS pos, d.driver_id, display_name FROM drivers d WHERE d.enabled", "drivers")
 def _(c: Catalog):
     wanted = c.drivers.select((-F.col("pos")).alias("n"), "driver_id")  # asked for from the last to the first
@@ -362,6 +371,13 @@ def _(c: Catalog):
     return search.envelope(c.drivers, c.hwids, "wigdet blue", page=2, size=10)
 
 
+@query("search_indexed", _search_sql(["wigdet", "blue"]) + " SELECT driver_id, round(s0 + s1, 6) AS score FROM s WHERE s0 > 0.0001 AND s1 > 0.0001", "drivers")
+def _(c: Catalog):
+    index = search_index.build(c.drivers, shared_path(c.spark, "index"))
+    found, _ = search_index.indexed_search(index, "wigdet blue", where="enabled")
+    return found.select("driver_id", F.round("score", 6).alias("score"))
+
+
 @query("search_negation", _search_sql(["blue", "x64"]) + " SELECT driver_id, round(s0, 6) AS score FROM s WHERE s0 > 0.0001 AND s1 <= 0.0001", "drivers")
 def _(c: Catalog):
     return search.text_search(search.facet_filter(c.drivers), "blue -x64").select("driver_id", F.round("score", 6).alias("score"))

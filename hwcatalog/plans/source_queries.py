@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import inf, literals
-from ..operators import load, search, shards
+from ..operators import load, paging, search, shards
 from ..sources import binary_files, executables, listings, manifests, pe_image
 from ..sources.scratch import shared_path
 from .registry import query
@@ -281,10 +281,18 @@ def _(c: Catalog):
     return load.statements(c.drivers, c.hwids, c.driver_parts).select("driver_id", "n", "value")
 
 
-@query("src_api_client", "SELECT driver_id FROM drivers WHERE enabled AND category LIKE 'PROMO%'", "drivers")
+@query("src_api_client", "SELECT driver_id, cast((row_number() OVER (ORDER BY lower(display_name) NULLS FIRST, driver_id) - 1) // 100 + 1 AS integer) AS page FROM drivers WHERE enabled", "drivers")
 def _(c: Catalog):
-    kept = c.drivers.where("category LIKE 'PROMO%'")
-    return search.read_pages(lambda page, size: search.search(kept, c.hwids, page=page, size=size)).select("driver_id")
+    # every page of the service's list of enabled drivers, in one pass
+    return paging.pages(c.drivers.where("enabled"), [F.lower("display_name").asc_nulls_first(), "driver_id"], 100).select("driver_id", "page")
+
+
+@query("srt_page_stored", "SELECT driver_id, n FROM (SELECT driver_id, row_number() OVER (ORDER BY driver_id) AS n FROM drivers) AS t WHERE n > 160 AND n <= 280", "drivers")
+def _(c: Catalog):
+    path = shared_path(c.spark, "ordered")
+    paging.store(c.drivers, path, ["driver_id"], per_range=50)
+    fifth = paging.page(c.spark, path, 5, 40, per_range=50)
+    return fifth.unionByName(paging.page(c.spark, path, 0, 80, per_range=50, after=200)).select("driver_id", "n")
 
 
 def _loop(entries: str, group: str, start: str, step: str, names: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LISTING_LABELS
@@ -30,9 +30,10 @@ def find_folders(records: DataFrame, folders: DataFrame) -> DataFrame:
     named = folders.select(stem.alias("k"), "folder", F.lit(2).alias("rank"))
     holding = folders.select(F.explode(F.transform("files", lambda x: F.lower(x))).alias("k"), "folder", F.lit(3).alias("rank"))
     own = records.where(F.coalesce("pkg_path", F.lit("")) != "").select("published", "original", F.col("pkg_path").alias("folder"), F.lit(1).alias("rank"))
-    hit = records.withColumn("k", name).join(named.union(holding).where("k <> ''"), "k").select("published", "original", "folder", "rank")
-    w = Window.partitionBy("published", "original").orderBy("rank", "folder")
-    best = own.union(hit).withColumn("r", F.row_number().over(w)).where("r = 1").select("published", "original", "folder", "rank")
+    # one folder a name, before records meet them
+    first = named.union(holding).where("k <> ''").groupBy("k").agg(F.min(F.struct("rank", "folder")).alias("b"))
+    hit = records.withColumn("k", name).join(first, "k").select("published", "original", "b.folder", "b.rank")
+    best = own.union(hit).groupBy("published", "original").agg(F.min(F.struct("rank", "folder")).alias("b")).select("published", "original", "b.folder", "b.rank")
     return records.join(best, ["published", "original"], "left")
 
 

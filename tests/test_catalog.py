@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hwcatalog.functions import ids, inf, registered, text, versions
 from hwcatalog.operators import aggregates, lineage, load, reconcile, search, shards
 from hwcatalog.plans import registry
-from hwcatalog.sources import executables, manifests, pe_image
+from hwcatalog.sources import executables, listings, manifests, pe_image
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,6 +71,36 @@ def test_chains_with_cycles_and_gaps(spark):
     assert all(got[f"d{i:03}"] == f"d{i // 10 * 10:03}" for i in range(60)) and got["x"] == got["missing"] == "missing" and got["y"] == "y"
 
 
+def test_uploads_and_pairs_equal_all_pairs(spark):
+    """Statuses from one entry an id and class are those of all pairs; versions with zeros, dates that can't be read, blank classes, a generic id."""
+    rng = random.Random(6)
+    version = lambda: rng.choice(["1.2", "1.2.0", "1.10", "2", "v1.2-b", "", None])
+    date = lambda: rng.choice(["1/2/2020", "3/4/21", "x", "", None])
+    kind = lambda: rng.choice(["Net", "net", "Network", "Display", "", None, "odd "])
+    rows = lambda n, p: [(f"{p}{i}", rng.sample([f"h{k}" for k in range(12)], rng.randint(0, 3)) + (["HOT"] if rng.random() < 0.3 else []) + (["hot"] if rng.random() < 0.1 else []), kind(), version(), date()) for i in range(n)]
+    local = spark.createDataFrame(rows(60, "l"), "local_id string, hwids array<string>, category string, version string, driver_date string")
+    remote = spark.createDataFrame(rows(40, "r"), "driver_id string, hwids array<string>, category string, version string, driver_date string")
+    one = lambda d, p: d.select(*(F.col(c).alias(f"{p}{c}") for c in d.columns), text.normalize_class(F.col("category")).alias(f"{p}cls"), F.transform("hwids", lambda x: F.upper(x)).alias(f"{p}h"))
+    pairs = one(local, "l_").crossJoin(one(remote, "r_")).where(F.arrays_overlap("l_h", "r_h") & ((F.coalesce("r_category", F.lit("")) == "") | (F.col("l_cls") == F.col("r_cls"))))
+    newer = versions.local_newer(F.col("l_version"), F.col("l_driver_date"), F.col("r_version"), F.col("r_driver_date"))
+    want = {r.k: r.n for r in pairs.groupBy(F.col("l_local_id").alias("k")).agg(F.bool_and(newer).alias("n")).collect()}
+    got = {r.local_id: r.status for r in reconcile.classify_uploads(local, remote).collect()}
+    assert got == {f"l{i}": "missing" if f"l{i}" not in want else "updated" if want[f"l{i}"] else "present" for i in range(60)} and len(set(got.values())) == 3
+    mine = [tuple(r) for r in reconcile.class_matches(local, remote).collect()]
+    assert len(mine) == len(set(mine)) and set(mine) == {(r[0], r[1]) for r in pairs.select("l_local_id", "r_driver_id").collect()}
+
+
+def test_folders_equal_a_search(spark):
+    rng = random.Random(7)
+    folders = [(f"{rng.choice('abc')}.inf{rng.choice(['', '_amd64_1', '_x_2'])}", [f"{rng.choice('ABCDE')}.inf" for _ in range(rng.randint(0, 3))]) for _ in range(15)] + [("other", ["f.INF"])]
+    records = [(f"oem{i}", f"{rng.choice('abcdefg')}.INF", rng.choice([None, "", "C:\\own"]) if i % 4 == 0 else None) for i in range(40)]
+    got = {(r.published, r.original): (r.folder, r["rank"]) for r in listings.find_folders(spark.createDataFrame(records, "published string, original string, pkg_path string"), spark.createDataFrame(folders, "folder string, files array<string>")).collect()}
+    for p, o, own in records:
+        hits = [(2, f) for f, _ in folders if f.lower().split(".inf")[0] + ".inf" == o.lower() and ".inf" in f.lower()] + [(3, f) for f, x in folders if o.lower() in map(str.lower, x)]
+        best = (1, own) if own else min(hits, default=(None, None))
+        assert got[p, o] == (best[1], best[0])
+
+
 def test_reconcile_steps(spark):
     repo = "driver_id string, pos int, hwids array<string>, arch string, category string, provider string, version string, enabled boolean"
     r = spark.createDataFrame([("r1", 1, ["A", "B"], "x64", "Net", "Acme Inc", "1.0", True), ("r2", 2, ["C", "D", "E"], "x86", "Display", "Beta", "2.0", True), ("r3", 3, ["Z"], "x64", "Audio", "Gamma", "1", False)], repo)
