@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, de
 
     ``rules`` has host, path and action (allow or block); ``edges`` (u, v: urls that redirect or point to each other) are added
     to those found in the pages' html. A url's own rule decides; without one, an explicit allow among its aliases, then
-    a block, then ``default``. Aliases may be urls that have no page. Null urls and such without ``://`` have empty host and path
+    a block, then ``default``. Other spellings of an address are aliases of it, with or without links. Aliases may be urls that have no page. Null urls and such without ``://`` have empty host and path
     and fit no rule. Repeated rows get equal verdicts. Other columns are ignored.
     """
     found = page_edges(pages)
@@ -144,6 +144,9 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, de
     host, path = host_and_path(F.col("url"))
     match = lambda urls: match_rules(urls.distinct().select(F.col("url").alias("key"), host.alias("host"), path.alias("path")), rules)
     ruled = cut(match(rows.select("url").where("url IS NOT NULL")), "ruled")
+    # an address that no link leads to is a class of its own, whatever its spellings
+    alone = rows.where("url IS NOT NULL").join(ruled.select(F.col("key").alias("url")), "url", "left_anti").select(node(F.col("url")).alias("node")).distinct()
+    comps = comps.union(alone.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
     nodes = match(comps.select(F.col("node").alias("url")))
     voted = comps.join(nodes, comps.node == nodes.key, "left").groupBy("comp").agg(F.max((F.col("action") == "allow").cast("int")).alias("a"), F.max((F.col("action") == "block").cast("int")).alias("b"))
     inherited = comps.join(voted, "comp").select(F.col("node").alias("_n"), F.when(F.col("a") == 1, "allow").when(F.col("b") == 1, "block").alias("alias_action"))

@@ -159,6 +159,15 @@ def test_alias_targets_are_decoded_and_resolved(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
 
 
+def test_spellings_without_links(spark):
+    """A spelling that no rule fits shares the verdict of its address, though no page links to either."""
+    rules = spark.createDataFrame([("block", "x.com", "/de/"), ("allow", "x.com", "/de/ok")], "action string, host string, path string")
+    urls = ["http://x.com/de/a", "http://x.com:80/de/a", "HTTP://X.com:80/de/ok", "http://x.com:8080/de/a", "http://y.com:80/de/a", None, "no address", "http://x.com:80/de/a"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: ("x.com/de/", "block"), 1: (None, "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "block")}
+
+
 def test_spellings_of_a_url_are_one_node(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [
