@@ -12,6 +12,9 @@ from .hwid import is_generic, is_valid
 
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _lines(text: Column) -> Column:
     return F.transform(F.split(F.translate(text, "\r", "\n"), "\n"), lambda x: F.ltrim(F.translate(x, "\t", " ")))
 
@@ -22,35 +25,48 @@ def _pairs(lines: Column) -> Column:
     return F.transform(there, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.ltrim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
 
 
-def _section(text: Column, name: str) -> Column:
-    """The lines between a section's header and the next header."""
-    lines = _lines(text)
-    heads = F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("[")), F.struct(i.alias("i"), F.startswith(F.lower(x), F.lit(f"[{name}]")).alias("own")))), lambda h: h.isNotNull())
-    start = F.get(F.filter(heads, lambda h: h["own"]), F.lit(0))["i"]
-    stop = F.coalesce(F.get(F.filter(heads, lambda h: h["i"] > start), F.lit(0))["i"], F.size(lines))
-    return F.coalesce(F.slice(lines, start + 2, F.greatest(F.lit(0), stop - start - 1)), F.array().cast("array<string>"))
+def _section(lines: Column, name: str) -> Column:
+    """The lines between a section's first header and the next header: two cuts of the joined text, whatever the number of sections."""
+    whole = F.concat(F.lit("\n"), F.array_join(lines, "\n"))
+    at = F.instr(F.translate(whole, _UPPER, _LOWER), f"\n[{name}]")
+    rest = F.substring(whole, at + 1, F.length(whole))
+    header = F.instr(rest, "\n")
+    body = F.substring_index(F.substring(rest, header, F.length(rest)), "\n[", 1)  # begins with the header's line end
+    return F.when((at > 0) & (header > 0), F.split(F.substring(body, F.lit(2), F.length(body)), "\n")).otherwise(F.array().cast("array<string>"))
+
+
+def _field(pairs: Column, name: str) -> Column:
+    value = F.get(F.filter(pairs, lambda p: (F.lower(p["k"]) == name.lower()) & (p["v"] != "")), F.lit(0))["v"]
+    return F.coalesce(value if name == "DriverVer" else F.substring_index(value, ";", 1), F.lit(""))
 
 
 def field(text: Column, name: str) -> Column:
     """First value of a line ``name = value``, up to a semicolon; the version line runs to its end. Blank if there is none."""
-    value = F.get(F.filter(_pairs(_lines(text)), lambda p: (F.lower(p["k"]) == name.lower()) & (p["v"] != "")), F.lit(0))["v"]
-    return F.coalesce(value if name == "DriverVer" else F.substring_index(value, ";", 1), F.lit(""))
+    return _field(_pairs(_lines(text)), name)
 
 
-def strings(text: Column) -> Column:
-    """Entries of the [Strings] section: array of (upper-cased key, value), the last of a key counts."""
-    entries = F.filter(_pairs(_section(text, "strings")), lambda p: ~p["k"].rlike("[^A-Za-z0-9_.]"))
+def _strings(lines: Column) -> Column:
+    entries = F.filter(_pairs(_section(lines, "strings")), lambda p: ~p["k"].rlike("[^A-Za-z0-9_.]"))
     quoted = lambda v: F.when(F.startswith(v, F.lit('"')), F.substring_index(F.substring(v, 2, F.length(v)), '"', 1)).otherwise(F.substring_index(v, '"', 1))
     return F.transform(entries, lambda p: F.struct(F.upper(p["k"]).alias("k"), F.trim(quoted(p["v"])).alias("v")))
 
 
-def devices(text: Column) -> Column:
-    """Device lines ``%name% = section, id, ...``: structs of the name in its signs and the ids."""
+def strings(text: Column) -> Column:
+    """Entries of the [Strings] section: array of (upper-cased key, value), the last of a key counts."""
+    return _strings(_lines(text))
+
+
+def _devices(pairs: Column) -> Column:
     named = lambda p: F.startswith(p["k"], F.lit("%")) & F.endswith(p["k"], F.lit("%")) & (F.length(p["k"]) > 2) & (F.instr(p["v"], ",") > 1)
-    found = F.filter(_pairs(_lines(text)), named)
+    found = F.filter(pairs, named)
     return F.filter(F.transform(found, lambda p: F.struct(p["k"].alias("name"), F.trim(F.substring(p["v"], F.instr(p["v"], ",") + 1, F.length(p["v"]))).alias("ids"))), lambda d: d["ids"] != "")
 
 
+def devices(text: Column) -> Column:
+    """Device lines ``%name% = section, id, ...``: structs of the name in its signs and the ids."""
+    return _devices(_pairs(_lines(text)))
+
+
 def resolve(text: Column, table: Column) -> Column:
     """``text`` with each %name% that the table knows replaced, names compared without case; others stay."""
     latest = F.reverse(table)
@@ -65,7 +81,11 @@ def resolve(text: Column, table: Column) -> Column:
 
 
 def version(text: Column, table: Column) -> Column:
-    raw = resolve(field(text, "DriverVer"), table)
+    return _version(field(text, "DriverVer"), table)
+
+
+def _version(value: Column, table: Column) -> Column:
+    raw = resolve(value, table)
     return F.trim(F.when(raw.contains(","), F.regexp_extract(raw, r"(?s)^[^,]*,(.*)$", 1)).otherwise(raw))
 
 
@@ -96,28 +116,41 @@ def os_targets(text: Column) -> Column:
 
 def hwids(text: Column) -> Column:
     """Valid ids of the text and of its device lines, upper-cased, sorted."""
+    return _hwids(text, devices(text))
+
+
+def _hwids(text: Column, found: Column) -> Column:
     words = F.split(F.upper(F.translate(text, "\t\r\n,;=\"()[]<>'", "               ")), " ")
     plain = F.filter(words, lambda x: (F.instr(x, "\\") > 1) & F.substring_index(x, "\\", 1).isin(*HWID_PREFIXES))
-    listed = F.flatten(F.transform(devices(text), lambda d: F.split(d["ids"], ",")))
+    listed = F.flatten(F.transform(found, lambda d: F.split(d["ids"], ",")))
     listed = F.filter(F.transform(listed, lambda x: F.upper(F.trim(x))), lambda x: reduce(Column.__or__, (x.contains(part) for part in ("DEV_", "VID_", "PID_", "CC_"))))
     return F.array_sort(F.array_distinct(F.filter(F.array_union(plain, listed), is_valid)))
 
 
 def descriptions(text: Column, table: Column) -> Column:
     """Names of the device lines, resolved, distinct, the first ten."""
-    names = F.transform(devices(text), lambda d: resolve(F.concat(F.lit("%"), F.trim(F.btrim(d["name"], F.lit("%"))), F.lit("%")), table))
+    return _descriptions(devices(text), table)
+
+
+def _descriptions(found: Column, table: Column) -> Column:
+    names = F.transform(found, lambda d: resolve(F.concat(F.lit("%"), F.trim(F.btrim(d["name"], F.lit("%"))), F.lit("%")), table))
     return F.slice(F.array_distinct(F.filter(names, lambda x: x != "")), 1, 10)
 
 
 def parse_inf(files: DataFrame, text: str = "text") -> DataFrame:
-    """``files`` with version, category, provider, arch, os_targets, hwids, compatible_ids and descriptions of their INF text; empty texts are left out."""
+    """``files`` with version, category, provider, arch, os_targets, hwids, compatible_ids and descriptions of their INF text; empty texts are left out.
+
+    A text is split once: its lines, then its pairs, then its strings and devices are columns of their own, from which all fields are taken.
+    """
     t, table = F.col(text), F.col("_strings")
-    out = files.where(F.coalesce(t, F.lit("")) != "").withColumn("_strings", strings(t))
+    out = files.where(F.coalesce(t, F.lit("")) != "").withColumn("_lines", _lines(t))
+    out = out.withColumns({"_pairs": _pairs(F.col("_lines")), "_strings": _strings(F.col("_lines"))}).withColumn("_devices", _devices(F.col("_pairs")))
+    pairs = F.col("_pairs")
     out = out.withColumns(
         {
-            "version": version(t, table), "category": resolve(F.trim(field(t, "Class")), table),
-            "provider": F.trim(F.regexp_replace(resolve(F.trim(field(t, "Provider")), table), r'[%"]', "")),
-            "arch": arch(t), "os_targets": os_targets(t), "hwids": hwids(t), "descriptions": descriptions(t, table),
+            "version": _version(_field(pairs, "DriverVer"), table), "category": resolve(F.trim(_field(pairs, "Class")), table),
+            "provider": F.trim(F.regexp_replace(resolve(F.trim(_field(pairs, "Provider")), table), r'[%"]', "")),
+            "arch": arch(t), "os_targets": os_targets(t), "hwids": _hwids(t, F.col("_devices")), "descriptions": _descriptions(F.col("_devices"), table),
         }
     )
-    return out.withColumn("compatible_ids", F.filter("hwids", is_generic)).drop("_strings")
+    return out.withColumn("compatible_ids", F.filter("hwids", is_generic)).drop("_lines", "_pairs", "_strings", "_devices")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import duckdb
 import pytest
@@ -137,6 +138,21 @@ def test_inf(spark):
     assert r.descriptions == ["ACME", "Card One", "%unknown%"]  # a manufacturer line with a decoration reads as a device line
 
 
+def test_inf_sections_in_linear_time(spark):
+    """Thousands of sections cost a few times as much as hundreds; odd headers, spaces before them, and none at all."""
+    made = lambda k: "[Version]\nClass=%c%\n" + "".join(f"[s{i}]\nk{i}=v{i}\n" for i in range(k)) + " \t[sTrings] ; x\r\nc = \"Net\"\n d=2\n[After]\nc=no\n"
+    took = []
+    for k in (300, 300, 6000):
+        began = time.time()
+        r = inf.parse_inf(spark.createDataFrame([(made(k),)] * 4, "text string")).collect()
+        took.append(time.time() - began)
+        assert [x.category for x in r] == ["Net"] * 4
+    assert took[2] < 20 * took[1] + 5
+    texts = ["[Strings]", "[strings]\na=b", "x=1\n[Other]\na=1", "[Strings]\n[Strings]\na=2", "[STRINGS]extra\na=İ\nb=\"q;\" ; c"]
+    got = [[(e.k, e.v) for e in x.s] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", inf.strings(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [[], [("A", "b")], [], [], [("A", "İ"), ("B", "q;")]]
+
+
 def test_shards_hold_their_limit(spark):
     rows = [("c", i, 100 + i % 7 * 30) for i in range(200)] + [("c", 200, 5000), ("d", 0, 1)]
     got = shards.pack(spark.createDataFrame(rows, "category string, pos long, bytes long"), limit=1000, overhead=100).collect()
