@@ -89,7 +89,7 @@ class Buffered:
 def parse_headers(head: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     last = None
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
         if line[:1] in (" ", "\t") and last:  # a folded value goes on
             out[last] += " " + line.strip()
         elif ":" in line:
@@ -117,38 +117,124 @@ def _resync(b: Buffered) -> None:
             return
 
 
-def records(f, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of the records for which ``wanted(headers)``; payload is None unless ``payloads``."""
-    b = Buffered(f)
+class Inflated:
+    """What a gzip member holds, as a file: read on from the member's beginning in a buffered file, which is left at its end.
+
+    Where its data are damaged it ends there, ``broken``, and the buffered file is left at the damage.
+    """
+
+    def __init__(self, b: Buffered):
+        self.b, self.z, self.fresh, self.broken = b, zlib.decompressobj(31), True, False
+
+    def read(self, n: int) -> bytes:
+        while not self.z.eof and not self.broken:
+            feed, tail = self.z.unconsumed_tail, True
+            if not feed:
+                if not self.b.need(1):
+                    return b""  # the file ends within the member
+                feed, tail = self.b.buf[self.b.at : self.b.at + CHUNK], False
+                self.b.at += len(feed)
+            try:
+                out = self.z.decompress(feed, n)
+            except zlib.error:
+                self.broken = True
+                self.b.at -= len(feed) - self.fresh
+                return b""
+            self.fresh = self.fresh and tail
+            if self.z.eof:
+                self.b.at -= len(self.z.unused_data)
+            if out:
+                return out
+        return b""
+
+    def seek(self, n: int, whence: int) -> None:
+        while n > 0 and (x := self.read(min(n, CHUNK))):
+            n -= len(x)
+
+
+def _next_member(b: Buffered) -> None:
+    """To what looks like the beginning of a gzip member, or the file's end."""
+    while True:
+        at = b.buf.find(b"\x1f\x8b\x08", b.at)
+        if at >= 0:
+            b.at = at
+            return
+        b.at = max(b.at, len(b.buf) - 2)
+        if not b.need(len(b.buf) - b.at + 1):
+            b.at = len(b.buf)
+            return
+
+
+def records(f, wanted, payloads: bool, lost: list | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload) of the records for which ``wanted(headers)``; payload is None unless ``payloads``.
+
+    Members of a gzip file may hold any number of records, and header lines may end in LF alone. What is damaged is passed over up to the next
+    member or record, and told in ``lost``, an entry a place.
+    """
+    b, lost = Buffered(f), [] if lost is None else lost
+    while b.need(1):
+        if b.need(14) and b.buf[b.at : b.at + 2] == b"\x1f\x8b" and b.buf[b.at + 3] & 4 and b.buf[b.at + 12 : b.at + 14] == b"LX":
+            try:
+                yield from _member(b, wanted, payloads)  # one record, as this module writes them
+            except zlib.error:
+                lost.append("member")
+                b.at += 1
+                _next_member(b)
+        elif b.need(2) and b.buf[b.at : b.at + 2] == b"\x1f\x8b":
+            inner = Inflated(b)
+            yield from _plain(Buffered(inner), wanted, payloads, lost)
+            while inner.read(CHUNK):
+                pass
+            if inner.broken:
+                lost.append("member")
+                _next_member(b)
+        else:
+            yield from _plain(b, wanted, payloads, lost, one=True)
+
+
+def _head_end(b: Buffered, n: int) -> tuple[int, int]:
+    """Where the first n bytes from here have an empty line, and how long the line ends before it are; -1 without one."""
+    found = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := b.buf.find(mark, b.at, b.at + n)) >= 0]
+    return min(found, default=(-1, 0))
+
+
+def _plain(b: Buffered, wanted, payloads: bool, lost: list, one: bool = False) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Records as they are, up to the end; only the next with ``one``."""
     while b.need(1):
         if b.buf[b.at : b.at + 1] in b"\r\n":
             b.skip(1)
+            if one:
+                return
             continue
-        if b.need(2) and b.buf[b.at : b.at + 2] == b"\x1f\x8b":
-            yield from _member(b, wanted, payloads)
+        n = 4096
+        while b.need(n) and _head_end(b, n)[0] < 0:
+            n *= 2
+        end, line = _head_end(b, len(b.buf))
+        if end < 0:
+            lost.append("head")
+            b.at = len(b.buf)
+            return
+        h = parse_headers(b.buf[b.at : end])
+        b.skip(end + line - b.at)
+        size = number(h.get("content-length"))
+        if size is None:
+            lost.append("length")
+            b.at = max(0, b.at - 4)
+            _resync(b)
         else:
-            n = 4096
-            while b.need(n) and b.buf.find(b"\r\n\r\n", b.at, b.at + n) < 0:
-                n *= 2
-            end = b.buf.find(b"\r\n\r\n", b.at)
-            if end < 0:
-                return
-            h = parse_headers(b.buf[b.at : end])
-            b.skip(end + 4 - b.at)
-            size = number(h.get("content-length"))
-            if size is None:
-                b.at = max(0, b.at - 4)
-                _resync(b)
-                continue
             ok = wanted(h)
             data = None
             if ok and payloads:
                 if not b.need(size):
+                    lost.append("payload")
+                    b.at = len(b.buf)
                     return
                 data = b.buf[b.at : b.at + size]
             b.skip(size)
             if ok:
                 yield h, data
+        if one:
+            return
 
 
 def _member(b: Buffered, wanted, payloads: bool):
@@ -250,6 +336,26 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
 
 
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """(file, passed_over): how many damaged places a read of each file passes over; files without any aren't listed."""
+    files = spark.createDataFrame([(p.path,) for p in WarcReader(StructType([]), {"path": path}).partitions()], "file string")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                store, inner = open_store(name)
+                lost: list = []
+                with store.open_input_file(inner) as f:
+                    for _ in records(f, lambda h: True, True, lost):
+                        pass
+                if lost:
+                    found.append((name, len(lost)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], names=["file", "passed_over"])
+
+    return files.repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(run, "file string, passed_over long")
+
+
 class Written(WriterCommitMessage):
     def __init__(self, name: str):
         self.name = name

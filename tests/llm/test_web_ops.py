@@ -1,6 +1,7 @@
 """WARC source, URL filter and HTML extraction."""
 
 import gzip
+import random
 import hashlib
 import html
 import re
@@ -159,6 +160,35 @@ def test_alias_targets_are_decoded_and_resolved(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
 
 
+def test_warc_loses_no_record(spark, tmp_path):
+    """Many records of one member, a damaged member, LF header lines: all that is whole is read, and what isn't is counted."""
+    rec = lambda i, n=3000: warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>")], random.Random(i).randbytes(n))
+    (tmp_path / "w").mkdir()
+    put = lambda name, data: (tmp_path / "w" / name).write_bytes(data)
+    put("many.warc.gz", gzip.compress(b"".join(map(rec, range(300)))) + gzip.compress(rec(300)))
+    members = [bytearray(gzip.compress(rec(i))) for i in range(400, 405)]
+    members[1][200] ^= 0xFF
+    members[3][12] ^= 0xFF
+    put("bad.warc.gz", b"".join(members))
+    own = [bytearray(warc.member(rec(i))) for i in range(500, 504)]
+    own[1][300] ^= 0xFF
+    put("own.warc.gz", b"".join(own))
+    lf = b"".join(f"WARC/1.0\nWARC-Type: response\nWARC-Record-ID: <urn:{i}>\nContent-Length: 5\n\nab\n\nc\n\n".encode() for i in range(600, 603))
+    put("lf.warc", lf)
+    put("lf.warc.gz", gzip.compress(lf.replace(b":60", b":70")))
+    put("short.warc.gz", gzip.compress(rec(800)) + gzip.compress(rec(801))[:-500])
+    for name in ("payload", None):
+        df = spark.read.format("warc").schema("record_id string" + (", payload binary" if name else "")).load(f"file://{tmp_path}/w")
+        got = {r.record_id: r for r in df.where("record_id LIKE '<urn:%'").collect()}
+        ids = {int(k[5:-1]) for k in got}
+        assert ids - {401, 403, 501, 801} == {*range(301), 400, 402, 404, 500, 502, 503, 600, 601, 602, 700, 701, 702, 800}
+        if name:
+            assert not ids & {401, 403, 501, 801}
+            assert all(r.payload == (b"ab\n\nc" if 600 <= i < 800 else random.Random(i).randbytes(3000)) for i, r in ((int(k[5:-1]), r) for k, r in got.items()))
+    lost = {r.file.rsplit("/", 1)[1]: r.passed_over for r in warc.damage(spark, f"file://{tmp_path}/w").collect()}
+    assert set(lost) == {"bad.warc.gz", "own.warc.gz", "short.warc.gz"} and lost["bad.warc.gz"] >= 2
+
+
 def test_spellings_without_links(spark):
     """A spelling that no rule fits shares the verdict of its address, though no page links to either."""
     rules = spark.createDataFrame([("block", "x.com", "/de/"), ("allow", "x.com", "/de/ok")], "action string, host string, path string")
