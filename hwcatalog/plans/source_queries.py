@@ -144,7 +144,7 @@ def _(c: Catalog):
     return listings.parse_listing(texts).select("published", "original", "provider", "driver_version")
 
 
-@query("src_driverstore")
+@query("src_driverstore", ", f AS (SELECT pack, min(concat(pack, '.inf_amd64_', substr(driver_id, 5, 4))) AS folder FROM drivers GROUP BY pack) SELECT concat('oem', pos) AS published, concat(d.pack, '.INF') AS original, CASE WHEN pos % 9 = 0 THEN concat('C:', chr(92), 'own') ELSE folder END AS folder, CASE WHEN pos % 9 = 0 THEN 1 ELSE 2 END AS rank FROM drivers d JOIN f ON f.pack = d.pack", "drivers")
 def _(c: Catalog):
     recs = c.drivers.select(F.concat(F.lit("oem"), F.col("pos").cast("string")).alias("published"), F.concat("pack", F.lit(".INF")).alias("original"), F.when(F.col("pos") % 9 == 0, "C:\\own").alias("pkg_path"))
     folders = c.drivers.select(F.concat("pack", F.lit(".inf_amd64_"), F.substring("driver_id", 5, 4)).alias("folder"), F.array(F.concat("pack", F.lit(".inf"))).alias("files"))
@@ -200,7 +200,7 @@ for _name, _sql, _col in (
         return d.select("pos", s.alias("s")).select("pos", "s.date", "s.version")
 
 
-@query("src_inf_files")
+@query("src_inf_files", "SELECT trim(version) AS version, provider FROM drivers", "drivers")
 def _(c: Catalog):
     path = shared_path(c.spark, "infs")
     inf_texts(c).select("text").write.option("lineSep", "\n").option("maxRecordsPerFile", 1000).text(path)
