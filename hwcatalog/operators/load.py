@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,16 @@ def part_rows(items: DataFrame) -> DataFrame:
     return items.select(F.col("d.id").alias("driver_id"), F.explode(valid_parts(F.col("d.parts"))).alias("p")).select("driver_id", "p.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "driver_id", keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """``old`` with the rows of ``new`` put in by key; columns in ``keep`` stay as they were where a row was there. New rows are one a key."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "driver_id", keep: tuple[str, ...] = ("created_at",), merged: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` put in by key; columns in ``keep`` stay as they were where a row was there. New rows are one a key.
+
+    A column in ``merged`` becomes that function of its old and new value where there is a new row.
+    """
     n = new.alias("n")
     both = old.alias("o").join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     there = F.col(f"n.{key}").isNotNull()
-    pick = [F.coalesce(f"o.{c}", f"n.{c}").alias(c) if c in keep or c == key else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns]
+    put = lambda c: merged[c](F.col(f"o.{c}"), F.col(f"n.{c}")) if merged and c in merged else F.col(f"n.{c}")
+    pick = [F.coalesce(f"o.{c}", f"n.{c}").alias(c) if c in keep or c == key else F.when(there, put(c)).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns]
     return both.select(*pick)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import inf, literals
-from ..operators import load, paging, search, shards
+from ..operators import load, local_store, paging, search, shards, snapshots
 from ..sources import binary_files, executables, listings, manifests, pe_image
 from ..sources.scratch import shared_path
 from .registry import query
@@ -239,11 +239,27 @@ def _(c: Catalog):
 # ---- sinks
 
 
-@query("snk_driver_upsert", "SELECT driver_id, CASE WHEN pos % 3 = 0 THEN 'new' ELSE version END AS version, CASE WHEN pos % 2 = 0 THEN 1 ELSE 2 END AS created_at FROM drivers WHERE pos % 2 = 0 OR pos % 3 = 0", "drivers")
+_LISTS = ("descriptions", "os_targets")
+_OLD = {"supersedes": "cast(NULL AS varchar)", "superseded_by": "cast(NULL AS varchar)", "notes": "'first'", "updated_at": "'2024-01-01'"}
+_NEW = {"version": "concat(version, '.1')", "enabled": "false", "supersedes": "pack", "superseded_by": "cast(NULL AS varchar)", "notes": "'second'", "updated_at": "'2024-02-02'"}
+
+
+def _driver_columns(change: dict[str, str], created: str) -> str:
+    """SQL for all columns of the store's driver rows, some by an expression."""
+    return ", ".join(f"{change.get(x, x)} AS {x}" for x in load.DRIVER_COLUMNS) + f", '{created}' AS created_at"
+
+
+_SHOWN = ", ".join(f"array_to_string({x}, '|') AS {x}" if x in _LISTS else x for x in [*load.DRIVER_COLUMNS, "created_at"])
+
+
+@query("snk_driver_upsert", f"SELECT {_SHOWN} FROM (SELECT {_driver_columns(_OLD, 't1')} FROM drivers WHERE pos % 2 = 0 AND pos % 3 <> 0 UNION ALL SELECT {_driver_columns(_NEW, 't1')} FROM drivers WHERE pos % 2 = 0 AND pos % 3 = 0 UNION ALL SELECT {_driver_columns(_NEW, 't2')} FROM drivers WHERE pos % 2 <> 0 AND pos % 3 = 0) AS t", "drivers")
 def _(c: Catalog):
-    old = c.drivers.where("pos % 2 = 0").select("driver_id", "version", F.lit(1).alias("created_at"))
-    new = c.drivers.where("pos % 3 = 0").select("driver_id", F.lit("new").alias("version"), F.lit(2).alias("created_at"))
-    return load.upsert(old, new)
+    """A stored table of the drivers of even pos, then an upsert of every third: all columns, of which created_at stays."""
+    path = shared_path(c.spark, "drivers")
+    rows = lambda where, change, created: c.drivers.where(where).select(*(F.expr(change.get(x, x).replace("varchar", "string")).alias(x) for x in load.DRIVER_COLUMNS), F.lit(created).alias("created_at"))
+    snapshots.upsert(c.spark, path, rows("pos % 2 = 0", _OLD, "t1"))
+    snapshots.upsert(c.spark, path, rows("pos % 3 = 0", _NEW, "t2"))
+    return snapshots.read(c.spark, path).select(*(F.array_join(x, "|").alias(x) if x in _LISTS else x for x in [*load.DRIVER_COLUMNS, "created_at"]))
 
 
 @query("snk_children_replace", "SELECT driver_id, hwid_string FROM hwids WHERE driver_id NOT IN (SELECT driver_id FROM drivers WHERE pos % 4 = 0) UNION ALL SELECT driver_id, 'X' FROM drivers WHERE pos % 4 = 0", "hwids drivers")
@@ -364,11 +380,27 @@ def _(c: Catalog):
     return shards.pack(e, limit=100000, overhead=200)
 
 
-@query("snk_sqlite_local", "SELECT driver_id, count(*) AS n FROM drivers GROUP BY driver_id", "drivers")
+@query(
+    "snk_sqlite_local",
+    """, ps AS (SELECT driver_id, count(*) AS parts, sum(size_bytes) AS part_bytes FROM driver_parts GROUP BY driver_id)
+    SELECT d.driver_id, NULL AS reason, pack, provider, category, driver_type AS category_type, CASE WHEN pos % 3 = 0 AND pos % 19 <> 0 THEN concat(version, '+') ELSE version END AS version, arch, 2 AS hwid_count, zip_parts, coalesce(date_added, '2024-01-02') AS date_added,
+    coalesce(enabled, true) AS enabled, coalesce(ps.parts, 0) + CASE WHEN pos % 3 = 0 AND pos % 19 <> 0 THEN 1 ELSE 0 END AS parts, coalesce(part_bytes, 0) + CASE WHEN pos % 3 = 0 AND pos % 19 <> 0 THEN 7 ELSE 0 END AS part_bytes FROM drivers d LEFT JOIN ps ON ps.driver_id = d.driver_id
+    UNION ALL SELECT driver_id, 'hwids not a list', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM drivers WHERE pos % 3 = 0 AND pos % 19 = 0""",
+    "drivers driver_parts",
+)
 def _(c: Catalog):
-    path = shared_path(c.spark, "snapshot")
-    load.upsert(c.drivers.where("pos % 2 = 0").select("driver_id", "version"), c.drivers.select("driver_id", "version"), keep=()).write.parquet(path)
-    return c.spark.read.parquet(path).groupBy("driver_id").agg(F.count("*").alias("n"))
+    """All drivers with their parts saved as JSON entries, then every third with another version and one more part; of these some are bad and change nothing."""
+    path = shared_path(c.spark, "local")
+    p = c.driver_parts.groupBy("driver_id").agg(F.collect_list(F.struct("part_num", "filename", "size_bytes", "sha256", "url")).alias("parts"))
+    d = c.drivers.join(p, "driver_id", "left").select("pos", F.col("driver_id").alias("id"), "pack", "provider", "category", F.col("driver_type").alias("type"), "version", "arch", "zip_parts", "date_added", "enabled", F.array(F.lit("A"), F.lit("B")).alias("hwids"), "parts")
+    entries = lambda rows: rows.select("pos", F.to_json(F.struct(*(x for x in rows.columns if x != "pos"))).alias("value"))
+    local_store.save(c.spark, path, entries(d), "2024-01-02")
+    extra = F.array(F.struct(F.lit(9_999_999).alias("part_num"), F.lit(7).alias("size_bytes")))
+    later = d.where("pos % 3 = 0").withColumns({"version": F.concat("version", F.lit("+")), "parts": extra})
+    local_store.save(c.spark, path, entries(later.where("pos % 19 <> 0")).union(entries(later.where("pos % 19 = 0").withColumn("hwids", F.lit("A")))), "2024-01-02")
+    n = local_store.parts(c.spark, path).groupBy("driver_id").agg(F.count("*").alias("parts"), F.sum("size_bytes").alias("part_bytes"))
+    good = local_store.drivers(c.spark, path).join(n, "driver_id", "left").na.fill(0, ["parts", "part_bytes"]).withColumn("reason", F.lit(None).cast("string")).drop("supersedes", "superseded_by")
+    return good.unionByName(local_store.refused(c.spark, path).select("driver_id", "reason"), allowMissingColumns=True)
 
 
 @query("snk_index", "SELECT source_manifest AS filename, count(*) AS drivers FROM drivers GROUP BY 1", "drivers")
@@ -397,17 +429,36 @@ def _(c: Catalog):
     return shards.install_parts(c.drivers, c.driver_parts)
 
 
-@query("stream_incremental_load", "SELECT count(*) AS n FROM drivers", "drivers")
+@query(
+    "stream_incremental_load",
+    """, f AS (SELECT *, pos % 5 = 0 AS second, concat('b', pos // 2000, CASE WHEN pos % 5 = 0 THEN '.manifest.2.json' ELSE '.manifest.json' END) AS file FROM drivers)
+    SELECT driver_id, CASE WHEN second THEN version ELSE concat(version, '-b') END AS version, file AS source_manifest, 2 AS hwids, 1 AS parts FROM f WHERE second OR pos % 7 <> 3
+    UNION ALL SELECT driver_id, concat(version, '-moved'), concat('z', file), 2, 1 FROM f WHERE NOT second AND pos % 7 = 3 AND pos % 2 = 0""",
+    "drivers",
+)
 def _(c: Catalog):
-    from ..streaming.incremental import latest, load_stream
+    """Three runs of the stream: the second shards; the first shards; then newer first shards without every seventh driver, of which half have moved to another file."""
+    from ..streaming import incremental
 
     src, table, mark = (shared_path(c.spark, x) for x in ("in", "table", "mark"))
-    docs = manifest_docs(c)
-    manifests.write_documents(docs.where("file LIKE '%.2.json'"), src)
-    load_stream(c.spark, src, table, mark).awaitTermination()
-    manifests.write_documents(docs.where("file NOT LIKE '%.2.json'"), src, mode="append")
-    load_stream(c.spark, src, table, mark).awaitTermination()
-    return latest(c.spark, table).agg(F.count("*").alias("n"))
+
+    def write(rows: DataFrame, mode: str) -> None:
+        parts = F.array(F.struct(F.lit(1).alias("part_num"), F.lit("f").alias("filename"), "url"))
+        d = F.struct(F.col("driver_id").alias("id"), "version", F.array(F.concat(F.lit("A"), "driver_id"), F.concat(F.lit("B"), "version")).alias("hwids"), parts.alias("parts"))
+        docs = rows.withColumn("url", F.concat(F.lit("http://x/"), "driver_id")).groupBy("file").agg(F.collect_list(d).alias("drivers"))
+        manifests.write_documents(docs.select("file", F.to_json(F.struct("drivers")).alias("value")), src, mode)
+        incremental.load_stream(c.spark, src, table, mark).awaitTermination()
+
+    shards_ = c.drivers.withColumn("file", F.expr("concat('b', pos div 2000, CASE WHEN pos % 5 = 0 THEN '.manifest.2.json' ELSE '.manifest.json' END)"))
+    first = shards_.where("pos % 5 <> 0")
+    write(shards_.where("pos % 5 = 0"), "errorifexists")
+    write(first, "append")
+    stays = first.where("pos % 7 <> 3").withColumn("version", F.concat("version", F.lit("-b")))
+    moved = first.where("pos % 7 = 3 AND pos % 2 = 0").withColumns({"version": F.concat("version", F.lit("-moved")), "file": F.concat(F.lit("z"), "file")})
+    write(stays.union(moved), "append")
+    count = lambda rows, name: rows.groupBy("driver_id").agg(F.count("*").alias(name))
+    rows = incremental.drivers(c.spark, table).select("driver_id", "version", "source_manifest")
+    return rows.join(count(incremental.hwids(c.spark, table), "hwids"), "driver_id").join(count(incremental.parts(c.spark, table), "parts"), "driver_id")
 
 
 @query("search_browse_mode", "SELECT driver_id FROM drivers WHERE enabled ORDER BY lower(display_name) NULLS FIRST, driver_id LIMIT 25", "drivers")
