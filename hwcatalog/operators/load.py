@@ -88,6 +88,27 @@ def counters(rows: DataFrame) -> DataFrame:
     )
 
 
+REPORT = "driver_id string, status string, error string, bytes long"
+REPORT_SUMMARY = "generated_at string, total long, completed long, failed long, skipped long, downloaded_bytes long"
+
+
+def write_report(run: DataFrame, path: str, generated_at: str) -> None:
+    """A run's report as JSON: ``<path>/drivers`` with a row a driver (driver_id, status, error, bytes), ``<path>/summary`` with one row of totals.
+
+    The status is completed, failed or skipped; any other counts in the total alone. A report there already is replaced.
+    """
+    run.select("driver_id", "status", "error", "bytes").write.mode("overwrite").json(f"{path}/drivers")
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    rows = run.sparkSession.read.schema(REPORT).json(f"{path}/drivers")
+    total = rows.agg(F.count("*").alias("total"), n("completed"), n("failed"), n("skipped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("downloaded_bytes"))
+    total.select(F.lit(generated_at).alias("generated_at"), "*").write.mode("overwrite").json(f"{path}/summary")
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The drivers and the summary of a written report."""
+    return spark.read.schema(REPORT).json(f"{path}/drivers"), spark.read.schema(REPORT_SUMMARY).json(f"{path}/summary")
+
+
 def statements(drivers: DataFrame, hwids: DataFrame, parts: DataFrame) -> DataFrame:
     """(driver_id, source_manifest, n, bytes, value) per driver: its upsert, and its ids and parts deleted and put in anew, a statement a line.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inf, literals
 from ..operators import load, local_store, paging, search, shards, snapshots
+from ..schemas import INDEX
 from ..sources import binary_files, executables, listings, manifests, pe_image
 from ..sources.scratch import shared_path
 from .registry import query
@@ -319,9 +320,10 @@ def _loop(entries: str, group: str, start: str, step: str, names: str) -> str:
     r({group}, i, {names}) AS (SELECT {group}, i, {start} FROM e WHERE i = 1 UNION ALL SELECT e.{group}, e.i, {step} FROM r JOIN e ON e.{group} = r.{group} AND e.i = r.i + 1)"""
 
 
-def _packed(entries: str, limit: int, overhead: int) -> str:
+def _packed(entries: str, limit: int, overhead: int, then: str = "SELECT * FROM p") -> str:
+    """SQL of entries packed into shards, p (category, pos, bytes, shard), and a query of it."""
     new = f"r.held + e.bytes + 1 > {limit}"
-    return _loop(entries, "category", f"1, {overhead} + bytes + 1", f"CASE WHEN {new} THEN shard + 1 ELSE shard END, CASE WHEN {new} THEN {overhead} ELSE held END + e.bytes + 1", "shard, held") + " SELECT category, pos, bytes, shard FROM r JOIN e USING (category, i)"
+    return _loop(entries, "category", f"1, {overhead} + bytes + 1", f"CASE WHEN {new} THEN shard + 1 ELSE shard END, CASE WHEN {new} THEN {overhead} ELSE held END + e.bytes + 1", "shard, held") + f", p AS (SELECT category, pos, bytes, shard FROM r JOIN e USING (category, i)) {then}"
 
 
 _FULL = "r.n + e.n >= 50 OR r.b + e.bytes >= 4000"
@@ -403,11 +405,32 @@ def _(c: Catalog):
     return good.unionByName(local_store.refused(c.spark, path).select("driver_id", "reason"), allowMissingColumns=True)
 
 
-@query("snk_index", "SELECT source_manifest AS filename, count(*) AS drivers FROM drivers GROUP BY 1", "drivers")
+_HEAD = """concat('{"schema":"3","category":"', category, '","shard_index":', shard, ',"total_shards":', total, ',"drivers":[')"""
+_TAIL = """CASE WHEN shard < total THEN concat(',"next_shard":"', category, '.manifest.', shard + 1, '.json"') ELSE '' END"""
+
+
+@query(
+    "snk_index",
+    _packed(
+        """SELECT category, pos, length(concat('{"id":"', driver_id, '","version":"', version, '"}')) AS bytes FROM drivers""", 3000, 200,
+        f""", t AS (SELECT category, shard, sum(bytes) AS bytes, count(*) AS n, max(shard) OVER (PARTITION BY category) AS total FROM p GROUP BY category, shard)
+        SELECT concat(category, '.manifest', CASE WHEN shard > 1 THEN concat('.', shard) ELSE '' END, '.json') AS filename, cast(length({_HEAD}) + bytes + n - 1 + 1 + length({_TAIL}) + 2 AS bigint) AS size_bytes, shard = total AS active, CASE WHEN shard < total THEN 'sealed' ELSE '' END AS note FROM t
+        UNION ALL SELECT category, count(*), NULL, 'summary' FROM drivers GROUP BY category""",
+    ),
+    "drivers",
+)
 def _(c: Catalog):
-    s = c.drivers.groupBy("category", F.col("source_manifest").alias("filename")).agg(F.count("*").alias("size_bytes")).withColumn("shard", manifests.shard_of(F.col("filename")))
-    doc = shards.index_document(shards.seal(s), c.drivers.groupBy("category").agg(F.count("*").alias("n")))
-    return doc.select(F.explode(F.from_json("value", "manifest_shards array<struct<filename: string, size_bytes: bigint>>")["manifest_shards"]).alias("x")).select("x.filename", F.col("x.size_bytes").alias("drivers"))
+    """The index of shards as they lie in the store, with the sizes of their files, and the drivers of each category."""
+    e = c.drivers.withColumn("entry", F.struct(F.col("driver_id").alias("id"), "version"))
+    packed = shards.pack(e.withColumn("bytes", F.length(F.to_json("entry")).cast("long")), limit=3000, overhead=200)
+    path = shared_path(c.spark, "shards")
+    manifests.write_documents(shards.manifest_documents(e, packed), path)
+    files = manifests.file_sizes(c.spark, path)
+    s = files.select(manifests.stem_of(F.col("file")).alias("category"), manifests.shard_of(F.col("file")).alias("shard"), F.col("file").alias("filename"), "size_bytes")
+    summary = manifests.drivers(manifests.parse(manifests.read_documents(c.spark, path))).groupBy(manifests.stem_of(F.col("file")).alias("category")).agg(F.count("*").alias("n"))
+    i = shards.index_document(shards.seal(s), summary).select(F.from_json("value", INDEX).alias("i"))
+    listed = i.select(F.inline("i.manifest_shards")).select("filename", "size_bytes", "active", "note")
+    return listed.union(i.select(F.explode("i.category_summary")).select("key", "value", F.lit(None).cast("boolean"), F.lit("summary")))
 
 
 @query("snk_synclog", "SELECT count(*) + 1 AS n, max(id) + 1 AS last FROM sync_log", "sync_log")
@@ -416,12 +439,20 @@ def _(c: Catalog):
     return c.sync_log.unionByName(row).agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
 
-@query("snk_report", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    "snk_report",
+    """, d AS (SELECT concat('v', o_orderkey) AS driver_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status, CASE o_orderstatus WHEN 'O' THEN o_orderpriority END AS error, CASE o_orderstatus WHEN 'F' THEN o_orderkey % 1000 ELSE 0 END AS bytes FROM orders)
+    SELECT driver_id, status, error, cast(bytes AS bigint) AS bytes, cast(NULL AS bigint) AS total FROM d
+    UNION ALL SELECT 'run', 'completed', cast(count(*) FILTER (status = 'failed') AS varchar), cast(sum(bytes) AS bigint), count(*) FROM d""",
+)
 def _(c: Catalog):
-    rep = c.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    """A run's report, a row a driver, and its totals (with the failed ones as error), read back."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
+    run = c.orders.select(F.concat(F.lit("v"), "o_orderkey").alias("driver_id"), status.alias("status"), F.when(status == "failed", F.col("o_orderpriority")).alias("error"), F.when(status == "completed", F.col("o_orderkey") % 1000).otherwise(0).cast("long").alias("bytes"))
     path = shared_path(c.spark, "report")
-    rep.write.json(path)
-    return c.spark.read.schema("status string, n long").json(path)
+    load.write_report(run, path, "2024-01-02T03:04:05")
+    drivers, summary = load.read_report(c.spark, path)
+    return drivers.withColumn("total", F.lit(None).cast("long")).union(summary.select(F.lit("run"), F.lit("completed"), F.col("failed").cast("string"), "downloaded_bytes", "total"))
 
 
 @query("snk_install_plan", "SELECT driver_id, row_number() OVER (PARTITION BY driver_id ORDER BY part_num) AS n, filename, url, CASE WHEN length(sha256) = 64 THEN sha256 ELSE '' END AS sha256 FROM driver_parts WHERE url LIKE 'https://%' AND driver_id IN (SELECT driver_id FROM drivers) UNION ALL SELECT driver_id, 1, concat(cast(pos AS varchar), '.7z'), primary_url, '' FROM drivers WHERE driver_id NOT IN (SELECT driver_id FROM driver_parts)", "drivers driver_parts")

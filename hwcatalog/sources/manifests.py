@@ -26,6 +26,11 @@ def rewrite_documents(docs: DataFrame, path: str) -> None:
     docs.select("file", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
 
 
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size_bytes) of the documents below ``path``; their contents aren't read."""
+    return spark.read.format("binaryFile").load(path).groupBy("file").agg(F.sum("length").alias("size_bytes"))
+
+
 def discover(docs: DataFrame) -> DataFrame:
     """Files that are manifests, in order of name."""
     return docs.where(F.col("file").rlike(r"\.manifest.*\.json$")).orderBy("file")
