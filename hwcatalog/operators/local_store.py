@@ -60,8 +60,10 @@ def read_entries(items: DataFrame, today: str) -> DataFrame:
 def merge_parts(old: Column, new: Column) -> Column:
     """Parts by number: of those of one number the last; in order of number."""
     every = F.concat(F.coalesce(old, F.array().cast(f"array<{PART}>")), new)
-    last = F.map_from_entries(F.transform(F.array_distinct(F.transform(every, lambda x: x["part_num"])), lambda n: F.struct(n, F.element_at(F.filter(every, lambda x: x["part_num"] == n), -1))))
-    return F.array_sort(F.map_values(last))
+    placed = F.array_sort(F.transform(every, lambda x, i: F.struct(x["part_num"].alias("n"), i.alias("i"), x.alias("x"))))
+    pairs = F.zip_with(placed, F.slice(placed, 2, F.size(placed)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))  # each with the one after it
+    last = F.filter(pairs, lambda z: z["b"].isNull() | (z["b"]["n"] != z["a"]["n"]))
+    return F.transform(last, lambda z: z["a"]["x"])
 
 
 def save(spark: SparkSession, path: str, items: DataFrame, today: str, buckets: int = snapshots.BUCKETS, file_bytes: int = snapshots.FILE_BYTES) -> None:
