@@ -2,7 +2,8 @@
 
 Every element that is not mere text markup is a node, and every block of text a leaf below its element; a node is
 content or not. A node's own potential is a weighted sum of features (tag, words of its class, id and role, the share of links in
-the text below it; for a leaf its element's tag, its length, its links and how it ends); a parent and a child have a
+the text below it; for a leaf its element's tag, its length, its share of the page, its links, how it ends, telling words of
+its own and of the headings above it, and whether the page marks its article at all); a parent and a child have a
 potential for each pair of labels, by the child's tag. Sum-product messages go up and down the tree, so the
 marginals are exact. The weights are fitted by gradient ascent on the likelihood of labelled pages,
 which ``labelled_pages`` makes: many layouts with menus, notices, adverts, sidebars, forms and comments.
@@ -25,6 +26,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "template", "iframe", "textarea", "title", "select", "noembed", "noframes")
 #: Elements that only mark up text within a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark meter nobr output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
+#: Words of headings that name a part of a page, and of short blocks that are seldom an article's.
+HEADS = frozenset("comment comments response responses reply replies discussion related popular recommended trending newsletter subscribe share categories archives sponsored".split())
+SAYS = frozenset("copyright rights reserved cookie cookies privacy imprint terms subscribe newsletter login menu advertisement sponsored".split())
+HEADINGS = {f"h{i}": i for i in range(1, 7)}
+#: Words of class, id and role that mark an article, as its tag does.
+ARTICLE = frozenset("content article post entry story".split())
 #: Elements that are nested deeper than this hang from the element at this depth, as in browsers.
 DEEPEST = 512
 #: A start tag on the left ends an open element on the right (fixed by HTML, in the cases that matter for text).
@@ -45,15 +52,16 @@ TOKEN = re.compile(
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
+WORD = re.compile(r"[a-z]+|\u00a9")
 
 
 class Page:
     """Nodes of a page in page order, and its blocks of text, which are nodes too."""
 
-    __slots__ = ("parent", "depth", "tag", "names", "blocks")
+    __slots__ = ("parent", "depth", "tag", "names", "within", "blocks")
 
     def __init__(self):
-        self.parent, self.depth, self.tag, self.names = [-1], [0], ["html"], [()]
+        self.parent, self.depth, self.tag, self.names, self.within = [-1], [0], ["html"], [()], [False]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
 
     def add(self, parent: int, tag: str, names: tuple[str, ...] = ()) -> int:
@@ -61,6 +69,7 @@ class Page:
         self.depth.append(self.depth[parent] + 1)
         self.tag.append(tag)
         self.names.append(names)
+        self.within.append(self.within[parent] or tag == "article" or not ARTICLE.isdisjoint(names))  # a marked article or a part of one
         return len(self.tag) - 1
 
 
@@ -80,6 +89,7 @@ def parse(source: str | None) -> Page:
     """Read a page, however broken: unknown end tags are passed over, open elements end with their parents, a cut tag is dropped."""
     page, stack, text, linked, anchors, at = Page(), [(0, "html")], [], 0, 0, 0
     opened: dict[str, int] = {}
+    heads: list[tuple[int, int, set[str]]] = []  # headings above: place in the stack, rank, telling words
     source = source or ""
 
     def say(raw: str) -> None:
@@ -95,14 +105,26 @@ def parse(source: str | None) -> Page:
         if text:
             block = SPACE.sub(" ", "".join(text)).strip()
             if block:
-                page.blocks.append((page.add(stack[-1][0], "#text"), block, linked))
+                told: list[str] = []
+                said = set(WORD.findall(block.lower())) if len(block) <= 120 else set()
+                if rank := HEADINGS.get(stack[-1][1]):
+                    where = "in" if page.within[stack[-1][0]] else "under"
+                    heads[:] = [h for h in heads if h[1] < rank] + [(len(stack) - 1, rank, {f"{where}:{x}" for x in said & HEADS} if len(block) <= 40 else set())]
+                told += under()
+                told += [f"says:{x}" for x in sorted(said & SAYS)] + ["says:copyright"] * ("\u00a9" in said and "copyright" not in said)
+                page.blocks.append((page.add(stack[-1][0], "#text", tuple(told)), block, linked))
             text.clear()
         linked = 0
 
+    def under() -> list[str]:
+        """Telling words of the headings above, apart for those of a marked article."""
+        return sorted(set().union(*(h[2] for h in heads))) if heads else []
+
     def pop(to: int) -> None:
         for _, tag in stack[to:]:
             opened[tag] -= 1
         del stack[to:]
+        heads[:] = [h for h in heads if h[0] <= to]
 
     for m in TOKEN.finditer(source):
         say(source[at : m.start()])
@@ -141,14 +163,31 @@ def parse(source: str | None) -> Page:
                 break
         if tag == "html" or tag == "body" and opened.get("body"):
             continue
-        node = page.add(stack[min(len(stack), DEEPEST) - 1][0], tag, _names(attrs) if attrs else ())
+        node = page.add(stack[min(len(stack), DEEPEST) - 1][0], tag, (*(_names(attrs) if attrs else ()), *under()))
         opened[tag] = opened.get(tag, 0) + 1
         stack.append((node, tag))
     say(source[at:])
     close()
+    _place(page)
     return page
 
 
+def _place(page: Page) -> None:
+    """Give each leaf its share of the page's text and, where nothing marks the article, its tag and length in such a page.
+
+    Words that are seldom an article's tell nothing within an element that is marked as one.
+    """
+    total = sum(len(t) for _, t, _ in page.blocks)
+    bare = not any(page.within) and not any(t == "main" or "main" in n for t, n in zip(page.tag, page.names, strict=True))
+    for node, text, linked in page.blocks:
+        told = tuple(x for x in page.names[node] if not (page.within[node] and x.startswith("says:")))
+        told += (f"part:{sum(10 * len(text) >= x * total for x in (1, 3, 6, 9))}",)
+        if bare:
+            size = sum(len(text) >= x for x in (12, 40, 120))
+            told += ("bare:linked" if linked * 2 > len(text) else f"bare:{size}", f"bare:{page.tag[page.parent[node]]}")
+        page.names[node] = told
+
+
 class Forest:
     """Nodes of many pages as arrays: parents, levels, and a list of (node, feature)."""
 
@@ -161,6 +200,7 @@ class Forest:
         depth = np.array([d for p in pages for d in p.depth], np.int64)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if total else []
+        self.above = [self.parent[x] for x in self.levels]
         own, linked = np.zeros(total), np.zeros(total)
         leaf, size, end = [], [], []
         for p, s in zip(pages, start, strict=False):
@@ -193,23 +233,27 @@ class Forest:
 
     def marginals(self, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(P(label) per node, P(parent's, own label) per node) by sum-product, from log potentials (n, 2) and (tags, 2, 2)."""
-        up = unary.copy()
-        message = np.zeros_like(unary)
-        for level in self.levels[:0:-1]:  # children before parents
-            m = np.logaddexp.reduce(pair[self.tag[level]] + up[level][:, None, :], axis=2)
-            message[level] = m
-            np.add.at(up, self.parent[level], m)
-        down = np.zeros_like(unary)
-        joint = np.zeros((len(unary), 2, 2))
-        for level in self.levels[1:]:  # parents before children
-            rest = up[self.parent[level]] + down[self.parent[level]] - message[level]
-            both = rest[:, :, None] + pair[self.tag[level]]
-            down[level] = np.logaddexp.reduce(both, axis=1)
-            down[level] -= down[level].max(axis=1, keepdims=True)
-            both = both + up[level][:, None, :]
-            joint[level] = np.exp(both - np.logaddexp.reduce(both.reshape(len(level), 4), axis=1)[:, None, None])
-        belief = up + down
-        return np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None]), joint
+        n = len(unary)
+        up0, up1 = unary[:, 0].copy(), unary[:, 1].copy()
+        m0, m1, down0, down1 = (np.zeros(n) for _ in range(4))
+        joint = np.zeros((n, 2, 2))
+        for level, parent, (a, b, c, d) in zip(self.levels[:0:-1], self.above[:0:-1], (pair[self.tag[x]].reshape(-1, 4).T for x in self.levels[:0:-1]), strict=True):  # children before parents
+            x, y = up0[level], up1[level]
+            m0[level], m1[level] = np.logaddexp(a + x, b + y), np.logaddexp(c + x, d + y)
+            np.add.at(up0, parent, m0[level])
+            np.add.at(up1, parent, m1[level])
+        for level, parent in zip(self.levels[1:], self.above[1:], strict=True):  # parents before children
+            a, b, c, d = pair[self.tag[level]].reshape(-1, 4).T
+            r0, r1 = up0[parent] + down0[parent] - m0[level], up1[parent] + down1[parent] - m1[level]
+            both = np.stack([r0 + a, r0 + b, r1 + c, r1 + d], 1)
+            x, y = np.logaddexp(both[:, 0], both[:, 2]), np.logaddexp(both[:, 1], both[:, 3])
+            top = np.maximum(x, y)
+            down0[level], down1[level] = x - top, y - top
+            both += np.stack([up0[level], up1[level]] * 2, 1)
+            both = np.exp(both - both.max(axis=1, keepdims=True))
+            joint[level] = (both / both.sum(axis=1, keepdims=True)).reshape(-1, 2, 2)
+        belief = np.stack([up0 + down0, up1 + down1], 1)
+        return np.exp(belief - np.logaddexp(belief[:, 0], belief[:, 1])[:, None]), joint
 
 
 class Model:
@@ -231,7 +275,7 @@ class Model:
         return ["\n".join(text for node, text, _ in page.blocks if p[s + node] >= 0.5) for page, s in zip(pages, forest.start, strict=False)]
 
 
-def fit(labelled: list[tuple[str, set[str]]], rounds: int = 300, ridge: float = 0.001) -> Model:
+def fit(labelled: list[tuple[str, set[str]]], rounds: int = 200, ridge: float = 0.001) -> Model:
     """Fit a model to labelled pages: (html, the texts of its content blocks). Ascent with adaptive steps on the exact gradient.
 
     A leaf is content if its text is; an element takes the label that most of the text below it has. Words of class, id
@@ -263,7 +307,8 @@ def fit(labelled: list[tuple[str, set[str]]], rounds: int = 300, ridge: float =
         unary[:, 1] = np.bincount(forest.node, weight[forest.feature], minlength=len(forest.tag))
         p, joint = forest.marginals(unary, pair)
         guess = np.zeros_like(pair)
-        np.add.at(guess, forest.tag[child], joint[child])
+        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            guess[:, i, j] = np.bincount(forest.tag[child], joint[child, i, j], minlength=len(guess))
         for k, (x, g) in enumerate(((weight, truth - np.bincount(forest.feature, p[forest.node, 1], minlength=forest.features)), (pair, seen - guess))):
             g = g / len(pages) - ridge * x / 10
             m1[k] = 0.9 * m1[k] + 0.1 * g

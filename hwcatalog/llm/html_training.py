@@ -24,10 +24,18 @@ _ROLES = {"menu": "navigation menu menubar", "header": "banner", "footer": "cont
 ROLES = {k: v.split() for k, v in _ROLES.items()}
 
 
+#: Headings of readers' comments and of other parts.
+_COMMENT_HEADS = ["Comments", "Comment", "{} comments", "Responses", "{} responses", "Leave a reply", "Replies", "Discussion", "Reader comments"]
+_SIDE_HEADS = ["Related", "Popular", "Recommended", "Trending", "Related stories", "Categories", "Newsletter", "Sponsored"]
+#: Headings of an article's sections with words of those.
+_TOPICS = ["Discussion", "Related work", "Responses", "Popular culture", "Discussion and comments", "Newsletter", "Categories", "Trending topics", "Recommended reading", "Replies"]
+_FOOTERS = ["Copyright {} {}", "&copy; {} {}", "Copyright {} {}. All rights reserved.", "&copy; {} {} &middot; Privacy &middot; Terms", "All rights reserved."]
+
+
 def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, set[str]]]:
     """``n`` pages as (html, texts of content blocks), the same for the same seed."""
     rng = random.Random(seed)
-    return [_page(rng) for _ in range(n)]
+    return [_plain(rng) if rng.random() < 0.25 else _page(rng) for _ in range(n)]
 
 
 def _sentence(rng: random.Random, low: int = 3, high: int = 18) -> str:
@@ -69,6 +77,8 @@ def _junk(rng: random.Random, kind: str) -> str:
         return f"<{tag}{a}>{_links(rng)}</{tag}>" if tag != "ul" else f"<div{a or ' class=menu'}>{_links(rng)}</div>"
     if kind == "header":
         return rng.choice([f"<header{a}>{rng.choice(['', '<h1>' + _sentence(rng, 1, 4) + '</h1>', wrap(say())])}{_links(rng) if rng.random() < 0.6 else ''}{wrap(_sentence(rng, 1, 4))}</header>", f"<div{a or ' class=header'}>{wrap(_sentence(rng, 1, 5))}</div>"])
+    if kind == "footer" and rng.random() < 0.3:
+        return f"<{(tag := rng.choice(['footer', 'div', 'p', 'div']))}>{wrap(_owner(rng)) if tag != 'p' else _owner(rng)}</{tag}>"
     if kind == "footer":
         return rng.choice([f"<footer{a}>{wrap('&copy; ' + rng.choice(_WORDS) + '.example.com &middot; ' + say())}{_links(rng) if rng.random() < 0.4 else ''}</footer>", f"<div{a or ' class=footer'}>{wrap('&copy; ' + say())}</div>"])
     if kind == "side":
@@ -76,6 +86,8 @@ def _junk(rng: random.Random, kind: str) -> str:
         return rng.choice([f"<aside{a}>{body}</aside>", f"<aside{a}>{wrap(say())}</aside>", f"<div{a or ' class=sidebar'}>{body}</div>"])
     if kind == "form":
         return f'<form{a} action="/x">{wrap(say())}<label>{_sentence(rng, 1, 3)}</label><input name="q"><button>{rng.choice(_WORDS)}</button></form>'
+    if kind == "comments" and rng.random() < 0.3:
+        return _reader_comments(rng)
     if kind == "comments":
         one = lambda: rng.choice([f"<article{_label(rng, 'comments')}><p>{say()}</p></article>", f"<li{_label(rng, 'comments')}><p>{say()}</p></li>", f"<div{_label(rng, 'comments')}><h4>{rng.choice(_WORDS)}</h4><p>{say()}</p></div>", f"<p>{say()}</p>"])
         tag = rng.choice(["section", "div", "div", "ol"])
@@ -90,6 +102,59 @@ def _junk(rng: random.Random, kind: str) -> str:
     return f"<{tag}{a or f' class={NAMES[kind][0]}'}>{say() if tag in ('p', 'ul') else wrap(say())}</{tag}>" if kind != "share" else f"<div{a or ' class=share'}>{_links(rng)}</div>"
 
 
+def _owner(rng: random.Random) -> str:
+    return rng.choice(_FOOTERS).format(rng.randint(1995, 2026), rng.choice(_WORDS).capitalize())
+
+
+def _reader_comments(rng: random.Random) -> str:
+    """Readers' comments that only a heading tells."""
+    say = lambda: rng.choice([_sentence(rng, 2, 8), _sentence(rng), _prose(rng)])
+    h = rng.choice(["h2", "h2", "h3", "h3", "h4"])
+    head = f"<{h}>{rng.choice(_COMMENT_HEADS).format(rng.randint(1, 99))}</{h}>"
+    one, many = rng.choice([("<li>{}</li>", "<ol>{}</ol>"), ("<li><p>{}</p></li>", "<ul>{}</ul>"), ("<article><p>{}</p></article>", "{}"), ("<div><b>{name}</b> {}</div>", "{}"), ("<p>{}</p>", "<div>{}</div>"), ("<div><h5>{name}</h5><p>{}</p></div>", "{}")])
+    body = many.format("".join(one.format(say(), name=rng.choice(_WORDS).capitalize()) for _ in range(rng.randint(1, 5))))
+    tag = rng.choice(["section", "section", "div", ""])
+    return f"<{tag}>{head}{body}</{tag}>" if tag else head + body
+
+
+def _plain(rng: random.Random) -> tuple[str, set[str]]:
+    """Pages without names and with few telling tags: text alone, plain blocks, layout tables."""
+    good: set[str] = set()
+
+    def keep(text: str) -> str:
+        good.add(text)
+        return text
+
+    long_ = lambda: keep(" ".join(_sentence(rng, 8, 22) for _ in range(rng.choice([1, 1, 2, 4, 8]))))
+    r = rng.random()
+    if r < 0.15:  # a text without any block
+        text = keep(rng.choice([long_, lambda: _prose(rng), lambda: _sentence(rng, 1, 6)])())
+        return rng.choice(["{}", "<html><body>{}</body></html>", "<body>{}"]).format(text), good
+    form = rng.choice(["<div>{}</div>", "<div>{}</div>", "<p>{}</p>", "<div><p>{}</p></div>", "<p>{}"])
+    head = rng.choice(["", "", f"<h1>{keep(_sentence(rng, 1, 6).rstrip('.'))}</h1>"])
+    blocks = head + "".join(form.format(long_() if rng.random() < 0.8 else keep(_prose(rng))) for _ in range(rng.choice([1, 2, 2, 3, 5, 8])))
+    menu = "".join(rng.choice(["<a href='/{0}'>{1}</a> ", "<a href='/{0}'>{1}</a><br>"]).format(x, x.capitalize()) for x in rng.sample(_WORDS, rng.randint(2, 6)))
+    foot = _owner(rng)
+    if r < 0.4:  # a layout table
+        top = rng.choice(["", f"<tr><td colspan=2>{_sentence(rng, 1, 3).rstrip('.')}</td></tr>"])
+        end = rng.choice(["", f"<tr><td colspan=2>{foot}</td></tr>"])
+        cells = [f"<td>{rng.choice([menu, _links(rng)])}</td>", f"<td>{long_() if rng.random() < 0.3 else blocks}</td>"]
+        if rng.random() < 0.25:
+            cells.reverse()
+        body = f"<table>{top}<tr>{''.join(cells)}</tr>{end}</table>"
+    else:
+        if rng.random() < 0.5:
+            blocks = f"<div>{blocks}</div>"
+        before = rng.choice(["", "", f"<div>{menu}</div>", _links(rng), f"<nav>{_links(rng)}</nav>"])
+        side = rng.choice(["", "", "", f"<div><h3>{rng.choice(_SIDE_HEADS)}</h3>{_links(rng)}</div>"])
+        notes = _reader_comments(rng) if rng.random() < 0.35 else ""
+        end = rng.choice(["", f"<div>{foot}</div>", f"<p>{foot}</p>", f"<footer>{foot}</footer>", f"<hr>{foot}"])
+        body = f"{before}{blocks}{notes}{side}{end}"
+        if rng.random() < 0.3:
+            body = f"<div>{body}</div>"
+    return rng.choice([f"<html><body>{body}</body></html>", body]), good
+
+
 def _article(rng: random.Random, good: set[str]) -> str:
     """Content blocks, with unclosed tags and short blocks as real pages have them."""
 
@@ -122,7 +187,7 @@ def _article(rng: random.Random, good: set[str]) -> str:
             tag = rng.choice(["ul", "ol"])
             out.append(rng.choice(["", f"<h2>{keep(_sentence(rng, 1, 2).rstrip('.'))}</h2>"]) + f"<{tag}>" + "".join(f"<li><a href='/s'>{keep(x)}</a></li>" for x in items) + f"</{tag}>")
         elif r < 0.78:
-            out.append(f"<h2>{keep(_sentence(rng, 1, 6))}</h2>")
+            out.append(f"<h2>{keep(rng.choice(_TOPICS) if rng.random() < 0.12 else _sentence(rng, 1, 6))}</h2>")
         elif r < 0.86:
             out.append("<ul>" + "".join(f"<li>{keep(_sentence(rng))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
         elif r < 0.9:

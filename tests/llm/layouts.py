@@ -27,3 +27,23 @@ LAYOUTS = [
     (f"<main><article><h1>Tide</h1><p>{P}</p><article class='comment'><p>Great piece.</p></article></article></main>", f"Tide\n{P}"),
     (f"<div><div class='entry-content'><p>{P}</p><p>{Q}</p></div><div class='tags'><a href=1>sea</a>, <a href=2>river</a></div></div>", f"{P}\n{Q}"),
 ]
+
+#: Pages whose article no tag, class or role marks, and parts that only a heading, a link or a word tells.
+PLAIN = [
+    (P, P),
+    ("Short", "Short"),
+    (f"<body>{P}<br>{Q}</body>", f"{P} {Q}"),
+    (f"<p>{P}<p>{Q}<p>Short one.", f"{P}\n{Q}\nShort one."),
+    (f"<body><div>{P}</div><div>{Q}</div><div>{P}</div></body>", f"{P}\n{Q}\n{P}"),
+    (f"<div><div>{P}</div><div>{Q}</div></div><div>Copyright 2020 Acme</div>", f"{P}\n{Q}"),
+    (f"<div>{P}</div><div>{Q}</div><hr>&copy; 2020 Acme", f"{P}\n{Q}"),
+    (f"<article><h1>Mill</h1><p>{P}</p></article><section><h2>Comments</h2><ol><li><p>{Q}</p></li><li><p>Nice.</p></li></ol></section>", f"Mill\n{P}"),
+    (f"<article><h1>Mill</h1><p>{P}</p></article><section><h3>Responses</h3><article><p>{Q}</p></article></section>", f"Mill\n{P}"),
+    (f"<article><h1>Mill</h1><p>{P}</p><p>All rights reserved.</p></article><footer>All rights reserved.</footer>", f"Mill\n{P}\nAll rights reserved."),
+    (f"<article><h1>Trial</h1><h2>Methods</h2><p>{P}</p><h2>Discussion</h2><p>{Q}</p><p>{R}</p></article>", f"Trial\nMethods\n{P}\nDiscussion\n{Q}\n{R}"),
+    (f"<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td><h1>Mill</h1><p>{P}</p><p>{Q}</p></td></tr></table>", f"Mill\n{P}\n{Q}"),
+    (f"<table><tr><td>{MENU}</td><td>{P}</td></tr></table>", P),
+    (f"<body><h1>Mill</h1><div>{P}</div><div>{Q}</div><h3>3 comments</h3><ul><li>{R}</li><li>Me too.</li></ul></body>", f"Mill\n{P}\n{Q}"),
+    (f"<body><div><a href=/>Home</a> | <a href=/a>About</a></div><div><h2>Mill</h2><div>{P}</div><div>{Q}</div><div>{R}</div></div><div><h4>Related</h4>{MENU}</div></body>", f"Mill\n{P}\n{Q}\n{R}"),
+    (f"<body><div class='x1'><div class='x2'>{P}</div><div class='x2'>{Q}</div></div><div class='x9'>&copy; 2019 The Paper. All rights reserved.</div></body>", f"{P}\n{Q}"),
+]

@@ -17,7 +17,7 @@ from hwcatalog.llm import html_text, url_filter, warc
 from hwcatalog.llm.html_training import labelled_pages
 
 sys.path.insert(0, str(Path(__file__).parent))
-from layouts import LAYOUTS  # noqa: E402
+from layouts import LAYOUTS, PLAIN  # noqa: E402
 
 PAGES = "page_id long, url string, html string"
 
@@ -253,6 +253,11 @@ def test_extraction_of_layouts_by_hand():
     assert sum(x == want for x, (_, want) in zip(out, LAYOUTS, strict=True)) / len(LAYOUTS) >= 0.95
 
 
+def test_extraction_of_pages_that_mark_nothing():
+    out = html_text.trained().texts([h for h, _ in PLAIN])
+    assert [x for x, (_, want) in zip(out, PLAIN, strict=True) if x != want] == []
+
+
 def test_extraction_of_the_test_table():
     pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
     for source, text in zip(pages, html_text.trained().texts(list(pages)), strict=True):
