@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,19 @@ TEXTS = {"id": "driver_id", "pack": "pack", "provider": "provider", "category":
 LINKS = ["supersedes", "superseded_by"]
 PART_TEXTS = ["filename", "sha256", "url"]
 COLUMNS = [*TEXTS.values(), "hwid_count", "zip_parts", "date_added", "enabled", *LINKS, "parts"]
+#: A part as it is read: one cast a list, so that its fields are looked up once and not by a path for each use.
+RAW_PART = "struct<part_num: variant, filename: variant, sha256: variant, url: variant, size_bytes: variant>"
 PART = "struct<part_num: int, filename: string, size_bytes: bigint, sha256: string, url: string>"
 
 
+def _is_nested(x: Column) -> Column:
+    """True where a value is a list or an object."""
+    kind = F.schema_of_variant(x)
+    return F.coalesce(kind.startswith("ARRAY<") | kind.startswith("OBJECT<"), F.lit(False))
+
+
 def _nested(v: Column, name: str) -> Column:
-    """True where a field is a list or an object."""
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).rlike("^(ARRAY|OBJECT)<"), F.lit(False))
+    return _is_nested(F.try_variant_get(v, f"$.{name}", "variant"))
 
 
 def _get(v: Column, name: str, kind: str, absent: object) -> Column:
@@ -38,17 +47,22 @@ def read_entries(items: DataFrame, today: str) -> DataFrame:
     are no lists, or a part like that or without a number. Absent fields are empty; zip_parts 1, date_added ``today``, enabled true; of a part the number 1, the size 0.
     """
     v, p = F.col("_v"), F.col("_p")
-    ours = items.select("pos", "value", F.try_parse_json("value").alias("_v")).withColumn("_p", F.when(F.try_variant_get("_v", "$.parts", "variant").isNull(), F.array().cast("array<variant>")).otherwise(F.try_variant_get("_v", "$.parts", "array<variant>")))
+    got = F.try_variant_get("_v", "$.parts", "variant")
+    read = items.select("pos", "value", F.try_parse_json("value").alias("_v"))
+    ours = read.withColumn("_p", F.when(got.isNull(), F.array().cast(f"array<{RAW_PART}>")).otherwise(F.try_variant_get("_v", "$.parts", f"array<{RAW_PART}>")))  # null where a part is no object, too
+    is_object = v.isNotNull() & F.col("value").rlike(r"^[ \t\r\n]*\{")  # schema_of_variant would go through the whole entry
+    listed = F.try_variant_get("_v", "$.parts", "array<variant>").isNotNull()
     hwids = F.when(F.try_variant_get(v, "$.hwids", "variant").isNull(), F.lit(0)).otherwise(F.size(F.try_variant_get(v, "$.hwids", "array<variant>")))  # -1 of no list: size of null
     hwids = F.when(F.try_variant_get(v, "$.hwids", "variant").isNotNull() & F.try_variant_get(v, "$.hwids", "array<variant>").isNull(), F.lit(None).cast("int")).otherwise(hwids)
-    number = lambda x: _get(x, "part_num", "int", 1)
-    wrong = lambda x: x.isNull() | F.coalesce(~F.schema_of_variant(x).startswith("OBJECT"), F.lit(True)) | number(x).isNull() | F.array_contains(F.array(*(_nested(x, n) for n in [*PART_TEXTS, "size_bytes"])), True)
+    value = lambda x, name, kind, absent: F.when(x[name].isNull(), F.lit(absent).cast(kind)).otherwise(x[name].try_cast(kind))
+    number = lambda x: value(x, "part_num", "int", 1)
+    wrong = lambda x: x.isNull() | number(x).isNull() | functools.reduce(Column.__or__, (_is_nested(x[n]) for n in [*PART_TEXTS, "size_bytes"]))
     scalars = [*TEXTS, *LINKS, "zip_parts", "date_added", "enabled"]
-    part = lambda x: F.struct(number(x).alias("part_num"), _get(x, "filename", "string", "").alias("filename"), _get(x, "size_bytes", "bigint", 0).alias("size_bytes"), _get(x, "sha256", "string", "").alias("sha256"), _get(x, "url", "string", "").alias("url"))
+    part = lambda x: F.struct(number(x).alias("part_num"), value(x, "filename", "string", "").alias("filename"), value(x, "size_bytes", "bigint", 0).alias("size_bytes"), value(x, "sha256", "string", "").alias("sha256"), value(x, "url", "string", "").alias("url"))
     reason = (
-        F.when(F.coalesce(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(True)), "no JSON object").when(F.coalesce(_get(v, "id", "string", ""), F.lit("")) == "", "missing id")
+        F.when(~is_object, "no JSON object").when(F.coalesce(_get(v, "id", "string", ""), F.lit("")) == "", "missing id")
         .when(F.array_contains(F.array(*(_nested(v, n) for n in scalars)), True), "a list or object for a value").when(hwids.isNull(), "hwids not a list")
-        .when(p.isNull(), "parts not a list").when(F.exists(p, wrong), "a bad part")
+        .when(p.isNull() & ~listed, "parts not a list").when(p.isNull() | F.exists(p, wrong), "a bad part")
     )
     out = ours.select(
         "pos", "value", reason.alias("reason"), *(_get(v, n, "string", "").alias(c) for n, c in TEXTS.items()), hwids.alias("hwid_count"), _get(v, "zip_parts", "int", 1).alias("zip_parts"), _get(v, "date_added", "string", today).alias("date_added"),
