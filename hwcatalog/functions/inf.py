@@ -114,17 +114,17 @@ def os_targets(text: Column) -> Column:
     return F.array_distinct(F.transform(pairs, lambda v: F.coalesce(F.element_at(known, v), F.concat(F.lit("NT "), v))))
 
 
-def hwids(text: Column) -> Column:
-    """Valid ids of the text and of its device lines, upper-cased, sorted."""
-    return _hwids(text, devices(text))
+def hwids(text: Column, wide: bool = False) -> Column:
+    """Valid ids of the text and of its device lines, upper-cased, sorted; ``wide`` as in ``hwid.is_valid``."""
+    return _hwids(text, devices(text), wide)
 
 
-def _hwids(text: Column, found: Column) -> Column:
+def _hwids(text: Column, found: Column, wide: bool = False) -> Column:
     words = F.split(F.upper(F.translate(text, "\t\r\n,;=\"()[]<>'", "               ")), " ")
     plain = F.filter(words, lambda x: (F.instr(x, "\\") > 1) & F.substring_index(x, "\\", 1).isin(*HWID_PREFIXES))
     listed = F.flatten(F.transform(found, lambda d: F.split(d["ids"], ",")))
     listed = F.filter(F.transform(listed, lambda x: F.upper(F.trim(x))), lambda x: reduce(Column.__or__, (x.contains(part) for part in ("DEV_", "VID_", "PID_", "CC_"))))
-    return F.array_sort(F.array_distinct(F.filter(F.array_union(plain, listed), is_valid)))
+    return F.array_sort(F.array_distinct(F.filter(F.array_union(plain, listed), lambda x: is_valid(x, wide))))
 
 
 def descriptions(text: Column, table: Column) -> Column:
@@ -137,8 +137,8 @@ def _descriptions(found: Column, table: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(names, lambda x: x != "")), 1, 10)
 
 
-def parse_inf(files: DataFrame, text: str = "text") -> DataFrame:
-    """``files`` with version, category, provider, arch, os_targets, hwids, compatible_ids and descriptions of their INF text; empty texts are left out.
+def parse_inf(files: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
+    """``files`` with version, category, provider, arch, os_targets, hwids, compatible_ids and descriptions of their INF text; empty texts are left out; ``wide`` as in ``hwid.is_valid``.
 
     A text is split once: its lines, then its pairs, then its strings and devices are columns of their own, from which all fields are taken.
     """
@@ -150,7 +150,7 @@ def parse_inf(files: DataFrame, text: str = "text") -> DataFrame:
         {
             "version": _version(_field(pairs, "DriverVer"), table), "category": resolve(F.trim(_field(pairs, "Class")), table),
             "provider": F.trim(F.regexp_replace(resolve(F.trim(_field(pairs, "Provider")), table), r'[%"]', "")),
-            "arch": arch(t), "os_targets": os_targets(t), "hwids": _hwids(t, F.col("_devices")), "descriptions": _descriptions(F.col("_devices"), table),
+            "arch": arch(t), "os_targets": os_targets(t), "hwids": _hwids(t, F.col("_devices"), wide), "descriptions": _descriptions(F.col("_devices"), table),
         }
     )
     return out.withColumn("compatible_ids", F.filter("hwids", is_generic)).drop("_lines", "_pairs", "_strings", "_devices")
