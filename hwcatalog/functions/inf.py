@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ from .hwid import is_generic, is_valid
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often and in whatever lambda the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lines(text: Column) -> Column:
     return F.transform(F.split(F.translate(text, "\r", "\n"), "\n"), lambda x: F.ltrim(F.translate(x, "\t", " ")))
 
@@ -27,12 +33,18 @@ def _pairs(lines: Column) -> Column:
 
 def _section(lines: Column, name: str) -> Column:
     """The lines between a section's first header and the next header: two cuts of the joined text, whatever the number of sections."""
-    whole = F.concat(F.lit("\n"), F.array_join(lines, "\n"))
-    at = F.instr(F.translate(whole, _UPPER, _LOWER), f"\n[{name}]")
-    rest = F.substring(whole, at + 1, F.length(whole))
-    header = F.instr(rest, "\n")
-    body = F.substring_index(F.substring(rest, header, F.length(rest)), "\n[", 1)  # begins with the header's line end
-    return F.when((at > 0) & (header > 0), F.split(F.substring(body, F.lit(2), F.length(body)), "\n")).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def cut(rest: Column, header: Column) -> Column:
+        body = F.substring_index(F.substring(rest, header + 1, F.length(rest)), "\n[", 1)
+        return F.when(F.substring(rest, header, F.lit(2)) == "\n[", F.array(F.lit(""))).otherwise(F.split(body, "\n"))  # the next header may follow at once
+
+    def within(whole: Column) -> Column:
+        at = F.instr(F.translate(whole, _UPPER, _LOWER), f"\n[{name}]")
+        after = lambda at: _let(F.substring(whole, at + 1, F.length(whole)), lambda rest: _let(F.instr(rest, "\n"), lambda header: F.when(header > 0, cut(rest, header)).otherwise(none)))
+        return _let(at, lambda at: F.when(at > 0, after(at)).otherwise(none))
+
+    return _let(F.concat(F.lit("\n"), F.array_join(lines, "\n")), within)
 
 
 def _field(pairs: Column, name: str) -> Column:
@@ -69,13 +81,16 @@ def devices(text: Column) -> Column:
 
 def resolve(text: Column, table: Column) -> Column:
     """``text`` with each %name% that the table knows replaced, names compared without case; others stay."""
-    latest = F.reverse(table)
+    return _let(F.reverse(table), lambda latest: _resolve(text, latest))
+
+
+def _resolve(text: Column, latest: Column) -> Column:
+    """``resolve`` by a table whose first entry of a key counts."""
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)(%[A-Za-z0-9_.]+%|[^%]+|%)"), F.lit(1))
+    named = lambda p, key: F.coalesce(F.get(F.filter(latest, lambda e: e["k"] == key), F.lit(0))["v"], p)
 
     def value(p: Column) -> Column:
-        key = F.upper(F.btrim(p, F.lit("%")))
-        hit = F.get(F.filter(latest, lambda e: e["k"] == key), F.lit(0))
-        return F.when(p.rlike(r"^%[A-Za-z0-9_.]+%$"), F.coalesce(hit["v"], p)).otherwise(p)
+        return F.when(F.startswith(p, F.lit("%")) & (F.length(p) > 1), _let(F.upper(F.btrim(p, F.lit("%"))), lambda key: named(p, key))).otherwise(p)
 
     return F.trim(F.array_join(F.transform(pieces, value), ""))
 
@@ -133,7 +148,8 @@ def descriptions(text: Column, table: Column) -> Column:
 
 
 def _descriptions(found: Column, table: Column) -> Column:
-    names = F.transform(found, lambda d: resolve(F.concat(F.lit("%"), F.trim(F.btrim(d["name"], F.lit("%"))), F.lit("%")), table))
+    name = lambda d: F.concat(F.lit("%"), F.trim(F.btrim(d["name"], F.lit("%"))), F.lit("%"))
+    names = _let(F.reverse(table), lambda latest: F.transform(found, lambda d: _resolve(name(d), latest)))
     return F.slice(F.array_distinct(F.filter(names, lambda x: x != "")), 1, 10)
 
 

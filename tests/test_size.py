@@ -16,3 +16,11 @@ def test_ids_of_five_digits(spark):
     assert df.select(inf.hwids(F.col("text"), wide=True)).first()[0] == ["PCI\\VEN_10000&DEV_10001", "USB\\VID_10000&PID_10000"]
     assert inf.parse_inf(df, wide=True).first().hwids == ["PCI\\VEN_10000&DEV_10001", "USB\\VID_10000&PID_10000"]
     assert df.select(inf.hwids(F.col("text"))).first()[0] == []  # the catalog's own rule
+
+
+def test_strings_once_a_text(spark):
+    """The [Strings] section is cut out once, not anew for each name that is looked up in it."""
+    df = spark.createDataFrame([(INF,)], "text string").withColumn("s", inf.strings(F.col("text")))
+    named, described = df.select(inf.resolve(F.lit("%D%-%none%-%e%"), F.col("s")).alias("v")), df.select(inf.descriptions(F.col("text"), F.col("s")).alias("v"))
+    assert named.first().v == "One-%none%-Two" and described.first().v == ["One", "Two"]
+    assert plan(named).count("[strings]") == plan(described).count("[strings]") == 1
