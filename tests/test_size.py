@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from hwcatalog.functions import inf
-from hwcatalog.operators import search, search_index
+from hwcatalog.operators import reconcile, search, search_index
+from hwcatalog.plans import source_queries
 from hwcatalog.plans.views import Catalog
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,37 @@ def test_index_grows_with_texts_not_rows(spark, tmp_path):
 def test_spread_rows_stay_spread(spark):
     """A filter on what is made of the rows isn't put below the shuffle."""
     assert "Repartition" not in plan(Catalog(spark, SF).spread("drivers").where("length(display_name) > 3"))
+
+
+def test_pairs_that_cannot_share_enough_are_not_compared(spark):
+    """The bounds lose no pair, for sets with an empty id and a null among them, and are part of the join."""
+    rng = random.Random(5)
+    pool = [None, "", *(f"p{i}" for i in range(40))]
+    sets = {i: rng.sample(pool, rng.randint(1, 9)) for i in range(120)} | {i: rng.sample(pool[:9], rng.randint(1, 6)) for i in range(120, 200)}
+    df = spark.createDataFrame(list(sets.items()), "id long, hwids array<string>")
+    for least in (0.3, 0.5, 0.8):
+        got = reconcile.overlaps(df, df, least, ordered=True)
+        share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+        assert sorted((r.a_id, r.b_id) for r in got.collect()) == [(a, b) for a in sets for b in sets if a < b and share(sets[a], sets[b]) >= least - 1e-12]
+        assert "bit_count" in plan(got)
+
+
+def test_ladder_is_climbed_once(spark):
+    """A query's first rung is found before its drivers are looked up, whatever the case of the ids."""
+    ids = spark.createDataFrame([("PCI\\A", "d1"), ("pci\\a", "d1"), ("PCI\\A&B", "d2"), ("PCI\\C", "d3")], "hwid_string string, driver_id string")
+    got = search.hwid_lookup(ids, spark.createDataFrame([("PCI\\A&B&X",), ("pci\\A&Y",), ("PCI\\Z",)], "query string"))
+    assert plan(got).count("posexplode") == 1
+    assert sorted(map(tuple, got.collect())) == [("PCI\\A&B&X", "PCI\\A&B", 1, False, "d2"), ("pci\\A&Y", "pci\\A", 1, False, "d1")]
+
+
+def test_executables_are_made_by_all_cores(spark):
+    """The files are made of rows that are dealt to all cores, not by the one task that reads the rows."""
+    dealt = []
+
+    class Seen(Catalog):
+        def spread(self, name):
+            dealt.append(name)
+            return super().spread(name)
+
+    source_queries.executable_tree(Seen(spark, SF))
+    assert dealt == ["drivers"]
