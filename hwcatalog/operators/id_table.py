@@ -16,6 +16,8 @@ BUCKETS = 64
 FEW = 2000
 #: Bytes of a row group.
 ROW_GROUP = 1 << 20
+#: Ids that a row group's Bloom filter is made for: as many as it may hold at some 40 bytes a row.
+ROW_GROUP_IDS = 25_000
 
 
 def _bucket(key: str, buckets: int):
@@ -24,11 +26,13 @@ def _bucket(key: str, buckets: int):
 
 def store(hwids: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write ``hwids`` (hwid_string, driver_id and others) below ``path``, each pair once; rows with a null or empty id or no driver are left out."""
-    rows = hwids.where("coalesce(hwid_string, '') <> '' AND driver_id IS NOT NULL").dropDuplicates(["hwid_string", "driver_id"]).withColumn("key", F.upper("hwid_string"))
-    # an id that very many drivers have is dealt to several files of its bucket
-    spread = rows.withColumn("bucket", _bucket("key", buckets)).repartition("bucket", "key", F.pmod(F.xxhash64("driver_id"), F.lit(8)))
-    out = spread.sortWithinPartitions("bucket", "key", "driver_id").write.partitionBy("bucket")
-    out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.block.size", str(ROW_GROUP)).option("maxRecordsPerFile", 2_000_000).parquet(path)
+    rows = hwids.where("coalesce(hwid_string, '') <> '' AND driver_id IS NOT NULL").withColumn("key", F.upper("hwid_string"))
+    # an id that very many drivers have is dealt to several files of its bucket; equal pairs meet by the same deal
+    dealt = ["bucket", "key", "_deal"]
+    spread = rows.withColumn("bucket", _bucket("key", buckets)).withColumn("_deal", F.pmod(F.xxhash64("driver_id"), F.lit(8))).repartition(*dealt).dropDuplicates([*dealt, "hwid_string", "driver_id"]).drop("_deal")
+    out = spread.sortWithinPartitions("bucket", "key", "driver_id").write.partitionBy("bucket").option("compression", "zstd")
+    out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(ROW_GROUP_IDS))  # without a number each filter has a megabyte
+    out.option("parquet.block.size", str(ROW_GROUP)).option("maxRecordsPerFile", 2_000_000).parquet(path)
 
 
 def rows_of(spark: SparkSession, path: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
