@@ -115,7 +115,7 @@ def statements(drivers: DataFrame, hwids: DataFrame, parts: DataFrame) -> DataFr
     Columns that ``drivers`` lacks are null. A driver's statements stay together, so that a retry finds no half of them.
     """
     d = drivers.select(*(F.col(c) if c in drivers.columns else F.lit(None).cast("string").alias(c) for c in DRIVER_COLUMNS))
-    rows = lambda t, table, columns, order: t.select("driver_id", F.struct(*order, literals.insert(t, table, columns).alias("s")).alias("r")).groupBy("driver_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["s"]).alias("s"))
+    rows = lambda t, table, columns, order: t.select("driver_id", F.struct(*order, literals.insert(t, table, columns).alias("s")).alias("r")).groupBy("driver_id").agg(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["s"]).alias("s"))
     h = rows(hwids, "HWIDs", HWID_COLUMNS, ["hwid_string"]).withColumnRenamed("s", "h")
     p = rows(parts, "DriverParts", PART_COLUMNS, ["part_num", "filename"]).withColumnRenamed("s", "p")
     own = d.select("driver_id", "source_manifest", literals.upsert(d, "Drivers", DRIVER_COLUMNS, "driver_id").alias("u"), literals.delete(d, "HWIDs", "driver_id").alias("dh"), literals.delete(d, "DriverParts", "driver_id").alias("dp"))
@@ -131,7 +131,7 @@ def chunk_texts(blocks: DataFrame, batch: int = 5000, max_bytes: int = 40_000_00
     order = blocks.select("source_manifest", F.col("driver_id").alias("pos"), "n", "bytes")
     placed = chunks(order, batch, max_bytes).withColumnRenamed("pos", "driver_id")
     rows = blocks.join(placed, ["source_manifest", "driver_id"])
-    by = rows.groupBy("source_manifest", "chunk").agg(F.array_sort(F.collect_list(F.struct("driver_id", "value"))).alias("v"))
+    by = rows.groupBy("source_manifest", "chunk").agg(F.sort_array(F.collect_list(F.struct("driver_id", "value"))).alias("v"))
     return by.select("source_manifest", "chunk", F.array_join(F.transform("v", lambda x: x["value"]), "").alias("value"))
 
 
