@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from hwcatalog.functions import inf
-from hwcatalog.operators import reconcile, search, search_index
-from hwcatalog.plans import source_queries
+import __spark_entry__
+from hwcatalog.functions import hwid, inf
+from hwcatalog.operators import id_table, reconcile, search, search_index
+from hwcatalog.plans import source_queries, views
 from hwcatalog.plans.views import Catalog
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,68 @@ def test_executables_are_made_by_all_cores(spark):
 
     source_queries.executable_tree(Seen(spark, SF))
     assert dealt == ["drivers"]
+
+
+def test_views_deal_keys_not_texts(spark, monkeypatch):
+    """Ids and entries have the rows of their SQL, but are made of distinct keys: no text is a grouping key."""
+    made = Catalog(spark, SF)
+    mine = {n: getattr(made, n) for n in views.MADE}
+    assert all("RepartitionByExpression [l_partkey" in plan(d) and "Aggregate [driver_id" not in plan(d) for d in mine.values())
+    monkeypatch.setattr(views, "MADE", {})
+    by_sql = Catalog(spark, SF)
+    for n, d in mine.items():
+        sql = getattr(by_sql, n)
+        assert d.dtypes == sql.dtypes and d.count() == sql.count() and d.exceptAll(sql).isEmpty()
+    numbers = spark.createDataFrame([(n,) for n in (0, 1, 4095, 65535, 65536, -1, None)], "n long")
+    assert numbers.select(views._hex(F.col("n")).alias("a"), F.format_string("%04X", "n").alias("b")).where("NOT (a <=> b)").isEmpty()
+
+
+def test_ladder_splits_an_id_once(spark):
+    """The id isn't split anew for each step."""
+    df = spark.createDataFrame([("PCI\\A&B&&C",), ("PCI\\",), ("\\A",), ("A&B",), ("",), (None,)], "h string").select("h", hwid.ladder(F.col("h")).alias("l"))
+    assert plan(df).count("split(") == 1
+    assert [r.l for r in df.collect()] == [["PCI\\A&B&C", "PCI\\A&B", "PCI\\A"], ["PCI\\"], ["\\A"], ["A&B"], [""], [None]]
+
+
+def test_entries_are_made_once(spark):
+    """Queries that read the entries several times read them from the shared folder."""
+    for name in ("join_reconcile", "join_hwid_class", "classify_upload", "join_conflict"):
+        assert "l_partkey" not in plan(__spark_entry__.queries()[name](spark, SF))
+
+
+def test_classes_are_read_once_a_record(spark):
+    """What is made of a record isn't made anew for each of its ids."""
+    df = spark.createDataFrame([("a", "Net", ["x", "X", None], "1"), ("b", None, [], "2")], "id string, category string, hwids array<string>, v string")
+    got = reconcile._ids_and_class(df, "id", F.reverse("v").alias("n"))
+    above = plan(got).split("Generate")[0]
+    assert "category" not in above and "reverse" not in above
+    assert {(r.id, r.n, r.blank, r.h) for r in got.collect()} == {("a", "1", False, "X")}
+
+
+def test_ids_of_one_file_are_not_counted(spark):
+    """Distinct files, versions and archs are counted for ids of several files alone."""
+    rows = [("f1", "1", "x", ["a", "b", "c"]), ("f2", "2", "x", ["a", "d"]), ("f2", "3", "y", ["e"]), ("f1", "1", "x", ["d", "a"]), (None, "9", "z", ["b", "d"]), ("f3", "1", "x", ["c"])]
+    got = reconcile.conflicts(spark.createDataFrame(rows, "file string, version string, arch string, hwids array<string>"))
+    assert "LeftSemi" in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 2, 1), ("d", 2, 3, 2)]
+
+
+def test_best_entries_come_from_narrow_rows(spark):
+    """The steps of a comparison don't carry the ids, nor their joined text."""
+    seen = []
+    whole = reconcile.cut
+    reconcile.cut = lambda d, what="cut": seen.append((what, d.columns)) or whole(d, what)
+    try:
+        __spark_entry__.queries()["join_reconcile"](spark, SF).count()
+    finally:
+        reconcile.cut = whole
+    assert {"k", "h"}.isdisjoint(dict(seen)["steps"])
+
+
+def test_stored_ids_have_small_filters(spark, tmp_path):
+    """A pair that comes twice is stored once by the one deal of the rows, and a Bloom filter is as large as its row group needs."""
+    ids = spark.range(3000).select(F.concat(F.lit("PCI\\VEN_"), F.col("id").cast("string")).alias("hwid_string"), F.lit("d").alias("driver_id"))
+    id_table.store(ids.union(ids), f"file://{tmp_path}/ids", buckets=1)
+    assert spark.read.parquet(f"file://{tmp_path}/ids").count() == 3000
+    assert max(f.stat().st_size for f in (tmp_path / "ids").rglob("*.parquet")) < 500_000
+    assert id_table.lookup(spark, f"file://{tmp_path}/ids", ["pci\\ven_77&x"], buckets=1).first().driver_id == "d"
