@@ -77,7 +77,7 @@ def pack_name(rows: DataFrame) -> DataFrame:
 def folder_groups(files: DataFrame) -> DataFrame:
     """(folder, files) with names in order."""
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    return files.groupBy(folder.alias("folder")).agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return files.groupBy(folder.alias("folder")).agg(F.sort_array(F.collect_list("path")).alias("files"))
 
 
 def folder_records(rows: DataFrame) -> DataFrame:

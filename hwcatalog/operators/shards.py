@@ -27,7 +27,7 @@ def shard_file(category: Column, shard: Column) -> Column:
 def manifest_documents(entries: DataFrame, packed: DataFrame) -> DataFrame:
     """(file, value): the JSON document of each shard; all but the last of a category are sealed and name the next."""
     rows = entries.join(packed.select("category", "pos", "shard"), ["category", "pos"])
-    docs = rows.groupBy("category", "shard").agg(F.array_sort(F.collect_list(F.struct("pos", "entry"))).alias("e"))
+    docs = rows.groupBy("category", "shard").agg(F.sort_array(F.collect_list(F.struct("pos", "entry"))).alias("e"))
     last = F.max("shard").over(Window.partitionBy("category"))
     docs = docs.withColumn("total", last)
     nxt = F.when(F.col("shard") < F.col("total"), shard_file(F.col("category"), F.col("shard") + 1))
@@ -81,7 +81,7 @@ def save(docs: DataFrame, new: DataFrame, history: DataFrame | None = None, upda
     most = F.lit(10_000_000)
     room = F.floor(F.lit(split * share)) - F.octet_length(shard_document(F.col("category"), most, most, today, none, F.lit("{}"), shard_file(F.col("category"), most)))
     heads = cut(heads.withColumn("room", room.cast("long")), "heads")
-    whole = lambda rows, *by: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part", "pos", "entry"))).alias("e")).withColumn("e", F.transform("e", lambda x: x["entry"]))
+    whole = lambda rows, *by: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "pos", "entry"))).alias("e")).withColumn("e", F.transform("e", lambda x: x["entry"]))
     at = F.greatest(F.col("shard"), F.lit(1))
     grown = whole(line.join(heads.where("fits").select("category"), "category"), "category").join(heads, "category")
     grown = grown.select(shard_file(F.col("category"), at).alias("file"), shard_document(F.col("category"), at, at, today, F.col("e"), F.col("history"), no_file).alias("value"), F.when(F.col("shard") == 0, "new").otherwise("grown").alias("state"))
@@ -112,8 +112,8 @@ def seal(shards: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
 
 def index_document(shards: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: the index as JSON text, from sealed shards and (category, n) counts."""
-    s = shards.agg(F.array_sort(F.collect_list(F.struct("filename", "size_bytes", (~F.col("sealed")).alias("active"), F.when(F.col("sealed"), "sealed").otherwise("").alias("note")))).alias("manifest_shards"))
-    c = summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_summary"))
+    s = shards.agg(F.sort_array(F.collect_list(F.struct("filename", "size_bytes", (~F.col("sealed")).alias("active"), F.when(F.col("sealed"), "sealed").otherwise("").alias("note")))).alias("manifest_shards"))
+    c = summary.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("category_summary"))
     return s.crossJoin(c).select(F.to_json(F.struct(F.lit("2").alias("schema"), "manifest_shards", "category_summary")).alias("value"))
 
 

@@ -16,14 +16,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("file") if "file" in raw.columns else F.col("_metadata.file_name").alias("file"), "value")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """(file, value) dealt by name to a fixed number of tasks: what is written costs by files, and by bytes alone few small documents' tasks would be put together."""
+    return docs.select("file", "value").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write (file, value) as one folder a file."""
-    docs.select("file", "value").write.mode(mode).partitionBy("file").text(path)
+    dealt(docs).write.mode(mode).partitionBy("file").text(path)
 
 
 def rewrite_documents(docs: DataFrame, path: str) -> None:
     """Write (file, value) over the files of those names; other files below ``path`` stay as they are, byte for byte."""
-    docs.select("file", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
+    dealt(docs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
