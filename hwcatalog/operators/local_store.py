@@ -86,13 +86,14 @@ def save(spark: SparkSession, path: str, items: DataFrame, today: str, buckets:
     An entry replaces the one of its id; of repeated ids the last by pos counts. Parts replace those of their number and others stay, also parts of earlier
     repeats. Saving the same again changes nothing.
     """
-    held = cut(read_entries(items, today), "entries")
+    read = read_entries(items, today)
+    held = cut(read.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))), "entries")  # the texts of good entries aren't needed again
     try:
         bad = held.where("reason IS NOT NULL").groupBy(F.sha2(F.coalesce("value", F.lit("")), 256).alias("digest")).agg(F.first("driver_id").alias("driver_id"), F.first("reason").alias("reason"), F.first("value").alias("value"))
         snapshots.upsert(spark, f"{path}/refused", bad, "digest", (), buckets, file_bytes)
         good = held.where("reason IS NULL")
         last = [c for c in COLUMNS if c not in ("driver_id", "parts")]
-        one = good.groupBy("driver_id").agg(*(F.max_by(c, "pos").alias(c) for c in last), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("parts"))
+        one = good.groupBy("driver_id").agg(*(F.max_by(c, "pos").alias(c) for c in last), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("parts"))
         rows = one.withColumn("parts", merge_parts(F.lit(None), F.col("parts"))).select(*COLUMNS)
         snapshots.upsert(spark, f"{path}/drivers", rows, "driver_id", (), buckets, file_bytes, {"parts": merge_parts})
     finally:

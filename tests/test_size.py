@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from hwcatalog.functions import hwid, inf
-from hwcatalog.operators import id_table, reconcile, search, search_index
+from hwcatalog.operators import id_table, local_store, reconcile, search, search_index
 from hwcatalog.plans import source_queries, views
 from hwcatalog.plans.views import Catalog
+from hwcatalog.sources import manifests
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,3 +166,22 @@ def test_stored_ids_have_small_filters(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/ids").count() == 3000
     assert max(f.stat().st_size for f in (tmp_path / "ids").rglob("*.parquet")) < 500_000
     assert id_table.lookup(spark, f"file://{tmp_path}/ids", ["pci\\ven_77&x"], buckets=1).first().driver_id == "d"
+
+
+def test_documents_are_written_by_many_tasks(spark):
+    """A few small documents from one task, which are one file each, aren't left to one task."""
+    docs = spark.range(40, numPartitions=1).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("{}").alias("value"))
+    assert manifests.dealt(docs).rdd.getNumPartitions() == 3
+    assert manifests.dealt(docs).count() == 40
+
+
+def test_second_save_makes_no_parts_again(spark, monkeypatch):
+    """Parts are gathered from the line items for the first save alone, and texts of good entries aren't kept."""
+    saved, held = [], []
+    save, cut = local_store.save, local_store.cut
+    monkeypatch.setattr(local_store, "save", lambda s, path, items, *more: saved.append(plan(items)) or save(s, path, items, *more))
+    monkeypatch.setattr(local_store, "cut", lambda d, what: held.append(cut(d, what)) or held[-1])
+    monkeypatch.setattr(local_store, "release", lambda d: None)
+    __spark_entry__.queries()["snk_sqlite_local"](spark, SF).count()
+    assert ["l_partkey" in p for p in saved] == [True, False]
+    assert all(h.where("(value IS NULL) <> (reason IS NULL)").isEmpty() for h in held)
