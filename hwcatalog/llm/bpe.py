@@ -12,11 +12,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import defaultdict
+import sys
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,6 +157,12 @@ class TokenTable:
         with np.errstate(over="ignore"):
             sums = np.array([sum(int(self.byte[c]) * int(self.up[k]) for k, c in enumerate(t)) & (2**64 - 1) for t in short], np.uint64)
             keys = self._key(sums, np.array([len(t) for t in short], np.uint64))
+            # of each token its sum and length, for the sums of pairs
+            self.sums, self.sizes = np.zeros(max(ranks.bytes) + 1, np.uint64), np.zeros(max(ranks.bytes) + 1, np.int64)
+            at = np.array(list(short.values()), np.int64)
+            self.sums[at], self.sizes[at] = sums, [len(t) for t in short]
+        #: The two tokens that each is made of, -1 for single bytes; -2 until they are asked for.
+        self.parts = np.full((len(self.sums), 2), -2, np.int64)
         order = np.argsort(keys)
         self.keys, self.tokens = np.append(keys[order], ~np.uint64(0)), np.append(np.array(list(short.values()), np.int64)[order], -1)
         self.first = np.searchsorted(self.keys, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
@@ -168,9 +175,9 @@ class TokenTable:
         x = (sums + n) * np.uint64(0x9E3779B97F4A7C15)
         return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    def slices(self, sums: np.ndarray, n: int) -> np.ndarray:
+    def slices(self, sums: np.ndarray, n) -> np.ndarray:
         """Token id, or -1, of slices of n bytes given by their sums."""
-        keys = self._key(sums, np.uint64(n))
+        keys = self._key(sums, np.asarray(n, np.uint64))
         at = self.first[(keys >> np.uint64(46)).astype(np.int64)]
         while (more := self.keys[at] < keys).any():
             at = at + more
@@ -188,7 +195,7 @@ class TokenTable:
             if not len(open_):
                 return held
         new, back = np.unique(keys[open_], return_inverse=True)
-        told = np.fromiter((self.ranks.stable(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()), bool, len(new))
+        told = self._borders_hold(new >> 32, new & 0xFFFFFFFF)
         held[open_] = told[back]
         self.fresh, self.fresh_holds = _merged(self.fresh, self.fresh_holds, new, told)
         if len(self.fresh) > 20_000:
@@ -198,35 +205,57 @@ class TokenTable:
             self.fresh, self.fresh_holds = self.fresh[:1], self.fresh_holds[:1]
         return held
 
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The encodings of pieces of one length, at most LONG: the prefix tables of all, a prefix at a time."""
+    def _borders_hold(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Ranks.stable`` of many pairs of at most LONG bytes together."""
+        held, open_, before = np.ones(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 40)
+        while len(open_):
+            with np.errstate(over="ignore"):
+                over = self.slices(self.sums[left] + self.sums[right] * self.up[self.sizes[left]], self.sizes[left] + self.sizes[right])
+            breaks = (over >= 0) & (over < before)
+            held[open_[breaks]] = False
+            both = np.concatenate([left, right])
+            for t in np.unique(both[self.parts[both, 0] == -2]).tolist():
+                self.parts[t] = self.ranks.parts(t) or (-1, -1)
+            has_left, has_right, later = self.parts[left, 0] >= 0, self.parts[right, 0] >= 0, left > right
+            side = np.where(later, ~has_left, has_right)
+            before = np.where(side, right + 1, left)
+            left, right = np.where(side, left, self.parts[left, 1]), np.where(side, self.parts[right, 0], right)
+            go = ~breaks & (has_left | has_right)
+            open_, before, left, right = open_[go], before[go], left[go], right[go]
+        return held
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The encodings, as bytes of 32-bit ids, of pieces of at most LONG bytes, longest first: the prefix tables of all, a prefix at a time."""
         size, k = len(pieces[0]), len(pieces)
-        data = np.frombuffer(b"".join(pieces), np.uint8).reshape(k, size)
+        sizes = np.fromiter(map(len, pieces), np.int64, k)
+        data = np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8).reshape(k, size)
         with np.errstate(over="ignore"):
             total = np.zeros((size + 1, k), np.uint64)
             np.cumsum(self.byte[data].T * self.up[:size, None], axis=0, out=total[1:])
-            last = np.full((size + 1, k), -1, np.int64)
-            width = np.zeros((size + 1, k), np.int64)
+            last = np.full((size + 1, k), -1, np.int32)
+            width = np.zeros((size + 1, k), np.int8)
             for i in range(1, size + 1):
-                open_ = np.arange(k)
+                open_ = np.arange(np.searchsorted(-sizes, -i, "right"))
                 for n in range(i, 0, -1):
                     tok = self.slices((total[i, open_] - total[i - n, open_]) * self.down[i - n], n)
                     hit = np.flatnonzero(tok >= 0)
                     if n < i and len(hit):
-                        hit = hit[self.stable(last[i - n, open_[hit]], tok[hit])]
+                        hit = hit[self.stable(last[i - n, open_[hit]].astype(np.int64), tok[hit])]
                     if len(hit):
                         last[i, open_[hit]], width[i, open_[hit]] = tok[hit], n
                         open_ = np.delete(open_, hit)
                         if not len(open_):
                             break
-        out: list[list[int]] = [[] for _ in pieces]
-        rows, at = np.arange(k), np.full(k, size)
+        # read off backwards, the last token of each piece in the last column
+        ids, at, n = np.zeros((k, size), np.int32), sizes.copy(), np.zeros(k, np.int64)
+        rows = np.arange(k)
         while len(rows):
-            for r, t in zip(rows.tolist(), last[at, rows].tolist(), strict=True):
-                out[r].append(t)
-            at = at - width[at, rows]
-            rows, at = rows[at > 0], at[at > 0]
-        return [tuple(x[::-1]) for x in out]
+            n[rows] += 1
+            ids[rows, size - n[rows]] = last[at[rows], rows]
+            at[rows] -= width[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        data, ends = ids.tobytes(), np.arange(1, k + 1) * size * 4
+        return [data[i:j] for i, j in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)]
 
 
 class TextEncoder:
@@ -243,24 +272,31 @@ class TextEncoder:
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WS}").replace(r"\s", f"[{WS}]").replace(r"\S", f"[^{WS}]"))
         self.plain = tuple(x for x in pattern.split("|") if not re.fullmatch(r"'(?:\w+|\(\?:\[?\w+\]?)\)?", x)) == CUT
         self.odd = re.compile(rf"\A | \Z| [{WS}]|[{WS}] ")
+        #: What ``cuts`` has to see to, in the syntax of Arrow's expressions: odd spaces, a NUL, no text.
+        ws = WS.encode().decode("unicode_escape")
+        self.special = rf"\A | \z| [{ws}]|[{ws}] |\x00|\A\z"
         self.space = re.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
-        self.text = [str(i) for i in range(max(self.ranks.bytes) + 1)]
-        #: Encodings of cuts in two generations; the older goes when the newer is full.
+        order = range(max(self.ranks.bytes) + 1)
+        #: What an id is written as, by id: its bytes, and a space with its decimal digits.
+        self.bytes = pa.array([self.ranks.bytes.get(i, b"") for i in order], pa.binary())
+        self.digits = pa.array([b" %d" % i for i in order], pa.binary())
+        #: Encodings of cuts, as bytes of 32-bit ids, in two generations; the older goes when the newer is full.
         self.half, self.seen, self.old = remembered // 2, {}, {}
 
-    def _encode_pieces(self, pieces: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        out, by = {}, defaultdict(list)
+    def _encode_pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The encodings of pieces, as bytes of 32-bit ids."""
+        out, rest = {}, []
         for p in pieces:
             whole = self.ranks.ids.get(p)
             if whole is not None:
-                out[p] = (whole,)
+                out[p] = whole.to_bytes(4, sys.byteorder)
             elif len(p) > LONG:
-                out[p] = tuple(PrefixTable(self.ranks, p).tokens())
+                out[p] = np.array(PrefixTable(self.ranks, p).tokens(), np.int32).tobytes()
             else:
-                by[len(p)].append(p)
-        for group in by.values():
-            for i in range(0, len(group), 20_000):
-                out.update(zip(group[i : i + 20_000], self.table.encode(group[i : i + 20_000]), strict=True))
+                rest.append(p)
+        rest.sort(key=len, reverse=True)
+        for i in range(0, len(rest), 20_000):
+            out.update(zip(rest[i : i + 20_000], self.table.encode(rest[i : i + 20_000]), strict=True))
         return out
 
     def _split(self, part: str) -> list[bytes]:
@@ -290,22 +326,51 @@ class TextEncoder:
         rest.insert(0, "\0" + first)
         return rest
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Token ids of whole texts. Very long texts take memory in proportion, all else is bounded."""
-        cuts, seen = [self.cuts(x) for x in texts], self.seen
-        new = set(chain.from_iterable(cuts)).difference(seen)
-        seen.update((c, self.old[c]) for c in new if c in self.old)
-        split = {c: self._split(c[1:] if c[0] == "\0" else c if c[0] == " " else " " + c) for c in new.difference(self.old)}
+    def _words(self, texts: list[str | None]) -> pa.ListArray:
+        """The cuts of each text; most texts are cut by Arrow."""
+        try:
+            whole = pa.array([x or "" for x in texts], pa.string())
+        except UnicodeEncodeError:  # lone surrogates become question marks, which are marks too
+            return self._words([x and x.encode("utf-8", "replace").decode() for x in texts])
+        special = pc.match_substring_regex(whole, self.special) if self.plain else pa.array([True] * len(texts), pa.bool_())
+        out = pc.split_pattern(pc.binary_join_element_wise("\0", whole.filter(pc.invert(special)), ""), " ")
+        if len(out) < len(texts):
+            at = special.to_numpy(zero_copy_only=False)
+            out = pa.concat_arrays([out, pa.array([self.cuts(texts[k]) for k in np.flatnonzero(at)], out.type)])
+            out = out.take(pa.array(np.argsort(np.argsort(at, kind="stable"))))
+        return out
+
+    def encode_lists(self, texts: list[str | None]) -> pa.ListArray:
+        """Token ids of whole texts, a list a text. Very long texts take memory in proportion, all else is bounded.
+
+        Arrow tells the cuts of all texts apart, so only distinct ones are looked up here, and puts the lists together by their numbers.
+        """
+        words = self._words(texts)
+        coded, seen = words.flatten().dictionary_encode(), self.seen
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(seen.get, distinct))
+        new = [(k, c) for k, c in enumerate(distinct) if found[k] is None]
+        split = {}
+        for k, c in new:
+            if (known := self.old.get(c)) is not None:
+                found[k] = seen[c] = known
+            else:
+                split[k] = self._split(c[1:] if c[0] == "\0" else c if c[0] == " " else " " + c)
         ids = self._encode_pieces({p for x in split.values() for p in x})
-        for c, x in split.items():
-            seen[c] = ids[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, x)))
-        out = [list(chain.from_iterable(map(seen.__getitem__, x))) for x in cuts]
-        for c in split:  # what is unlikely to come again
-            if c[0] == "\0" or len(c) >= 64:
-                del seen[c]
+        for k, x in split.items():
+            found[k] = ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x))
+            if len(c := distinct[k]) < 64 and c[0] != "\0":  # others are unlikely to come again
+                seen[c] = found[k]
         if len(seen) > self.half:
             self.seen, self.old = {}, seen
-        return out
+        ends = lambda sizes: np.cumsum(np.fromiter(chain((0,), map(len, sizes)), np.int64, len(sizes) + 1))
+        table = pa.LargeListArray.from_arrays(pa.array(ends(found) // 4), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        lists = table.take(coded.indices)
+        return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[words.offsets.to_numpy()], pa.int32()), lists.values)
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of whole texts."""
+        return self.encode_lists(texts).to_pylist()
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0]
@@ -313,6 +378,20 @@ class TextEncoder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.ranks.bytes.__getitem__, ids))
 
+    def written(self, ids: pa.Array, table: pa.BinaryArray, most: int = 1 << 20):
+        """What ``table`` has for the ids, end to end, in buffers of at most so many ids."""
+        for i in range(0, len(ids), most):
+            yield table.take(ids.slice(i, most)).buffers()[2]
+
+    def digests(self, ids: pa.Array) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by one space, and of the decoded bytes."""
+        a, b = hashlib.sha256(), hashlib.sha256()
+        for k, x in enumerate(self.written(ids, self.digits)):
+            a.update(memoryview(x)[k == 0 :])
+        for x in self.written(ids, self.bytes):
+            b.update(x)
+        return a.hexdigest(), b.hexdigest()
+
 
 def runs(texts: list[str | None], most: int = 4_000_000):
     """Cut a list of texts into runs of about ``most`` characters: (first, after last)."""
@@ -347,7 +426,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             texts = batch.column(at).to_pylist()
             for i, j in runs(texts):
                 part = batch.slice(i, j - i)
-                lists = pa.array(enc.encode_batch(texts[i:j]), pa.list_(pa.int32()))
+                lists = enc.encode_lists(texts[i:j])
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -380,8 +459,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             rows, texts = [], batch.column(1).to_pylist()
             for i, j in runs(texts):
-                for ids in enc.encode_batch(texts[i:j]):
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(enc.text.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()))
+                lists = enc.encode_lists(texts[i:j])
+                ends = lists.offsets.to_pylist()
+                rows += ((b - a, *enc.digests(lists.values.slice(a, b - a))) for a, b in zip(ends, ends[1:], strict=False))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

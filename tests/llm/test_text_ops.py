@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -130,6 +131,39 @@ def test_bpe_long_piece_and_small_memory(reference):
         assert enc.encode_batch(texts) == [reference.encode_ordinary(t or "") for t in texts]
 
 
+def test_cuts_are_looked_up_once_a_run(reference):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    enc = bpe.TextEncoder(PATH, P.PATTERN)
+    enc.seen = Counted()
+    texts = [f"the thing{i % 7} of\t word {i % 5}." * 40 for i in range(50)] + ["a  b", None, "", " x", "y \0z", "y "]
+    assert enc.encode_batch(texts) == [reference.encode_ordinary(t or "") for t in texts]
+    assert enc.seen.asked < 1000  # of 12,000 cuts
+
+
+def test_pairs_judged_together(encoder):
+    rng = np.random.default_rng(3)
+    short = np.array([i for t, i in encoder.ranks.ids.items() if len(t) <= bpe.LONG // 2])
+    left, right = rng.choice(short, 5000), rng.choice(short[:2000], 5000)
+    assert encoder.table._borders_hold(left, right).tolist() == [encoder.ranks.stable(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+
+
+def test_digests_of_long_texts(encoder):
+    ids = encoder.encode_lists(["the thing of é 日本 " * 50]).values
+    parts = list(encoder.written(ids, encoder.digits, most=7))
+    assert len(parts) > 20 and b"".join(parts) == b"".join(b" %d" % i for i in ids.to_pylist())
+    assert encoder.digests(ids) == (hashlib.sha256(" ".join(map(str, ids.to_pylist())).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids.to_pylist())).hexdigest())
+
+
 def test_round_trip_query(spark, reference):
     docs = [(1, "s", "Hello there, wörld"), (2, "s", None), (2, "s", ""), (None, "s", "a  b\n")]
     got = bpe.round_trip(spark.createDataFrame(docs, SCHEMA), PATH, P.PATTERN).collect()
