@@ -72,6 +72,30 @@ def test_chains_with_cycles_and_gaps(spark):
     assert all(got[f"d{i:03}"] == f"d{i // 10 * 10:03}" for i in range(60)) and got["x"] == got["missing"] == "missing" and got["y"] == "y"
 
 
+def test_chain_rounds_shrink(spark, monkeypatch):
+    """The links of all rounds together are less than three times those of the table; chains of many lengths, a star, a pair and a loop."""
+    rng, want, links = random.Random(8), {}, []
+    for size in [2] * 20 + [60] * 20 + [700]:
+        ids = [f"c{rng.getrandbits(48):x}" for _ in range(size)]
+        want |= dict.fromkeys(ids, min(ids))
+        links += zip(ids, ids[1:] + ids[:1] if size == 60 else ids[1:], strict=False)
+    want |= {f"s{i}": "s0" for i in range(200)}
+    links += [(f"s{i}", "s57") for i in range(200)]
+    sizes, cut = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df, what="cut": sizes.append((what, (out := cut(df, what)).count())) or out)
+    rows = [(a, b, None) if i % 2 else (b, None, a) for i, (a, b) in enumerate(links)]
+    got = lineage.version_chains(spark.createDataFrame(rows, "driver_id string, supersedes string, superseded_by string")).collect()
+    assert {r.driver_id: r.chain for r in got} == want and len(got) == len(want)
+    assert sum(n for what, n in sizes if what == "chains") < 3 * len(links)
+
+
+def test_chain_numbers_that_clash(spark):
+    number = lambda seed, c: F.when(seed == 0, F.length(c).cast("long")).otherwise(F.xxhash64(seed, c))
+    ids, links = lineage._numbered(spark.createDataFrame([("aa", "b"), ("b", "cc"), ("cc", "b")], "a string, b string"), number)
+    of = {r.n: r.id for r in ids.collect()}
+    assert sorted(of.values()) == ["aa", "b", "cc"] and {frozenset((of[r.a], of[r.b])) for r in links.collect()} == {frozenset(("aa", "b")), frozenset(("b", "cc"))} and links.count() == 2
+
+
 def test_uploads_and_pairs_equal_all_pairs(spark):
     """Statuses from one entry an id and class are those of all pairs; versions with zeros, dates that can't be read, blank classes, a generic id."""
     rng = random.Random(6)
