@@ -37,9 +37,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
                 f = store.open_output_stream(f"{where}/{name}")
             texts = batch.column(1).to_pylist()
             for i, j in runs(texts):
-                for x in enc.encode_batch(texts[i:j]):
-                    x.append(end)
-                    f.write(np.array(x, kind).tobytes())
+                lists = enc.encode_lists(texts[i:j])
+                f.write(np.insert(lists.values.to_numpy(), lists.offsets.to_numpy()[1:], end).astype(kind).tobytes())
             ids.append(batch.column(0))
         if f is None:
             return
