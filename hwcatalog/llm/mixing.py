@@ -42,7 +42,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
         if not d or (n, d) == (num, den):
             break
         num, den = n, d
-    target = F.when(capped, (F.col("source_size") * most).cast("double")).otherwise((F.col("w") * F.lit(num)).cast("double") / F.lit(den))
+    target = F.when(capped, (F.col("source_size") * most).cast("double")).otherwise((F.col("w").cast("long") * F.lit(num)).cast("double") / F.lit(den))
     return ranked.select("source", "source_size", target.alias("target"))
 
 

@@ -343,3 +343,13 @@ def test_mixing(spark, group, monkeypatch):
 def test_mixing_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.take(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_targets_of_billions_of_words(spark):
+    """Words times weight pass 32 bits before the number of words itself does, and after."""
+    for words in (300_000_000, 900_000_000, 10**15):
+        sizes = {"a": words, "b": words, "c": words + 1, None: words // 3, "tiny": 5}
+        out = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        want = targets(sizes)
+        assert {r.source: r.source_size for r in out} == sizes
+        assert all(abs(r.target - want[r.source]) <= 1e-9 * words for r in out)
