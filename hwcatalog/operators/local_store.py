@@ -11,6 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..sources.scratch import cut, release
 from . import snapshots
 
@@ -91,13 +92,25 @@ def save(spark: SparkSession, path: str, items: DataFrame, today: str, buckets:
     try:
         bad = held.where("reason IS NOT NULL").groupBy(F.sha2(F.coalesce("value", F.lit("")), 256).alias("digest")).agg(F.first("driver_id").alias("driver_id"), F.first("reason").alias("reason"), F.first("value").alias("value"))
         snapshots.upsert(spark, f"{path}/refused", bad, "digest", (), buckets, file_bytes)
-        good = held.where("reason IS NULL")
-        last = [c for c in COLUMNS if c not in ("driver_id", "parts")]
-        one = good.groupBy("driver_id").agg(*(F.max_by(c, "pos").alias(c) for c in last), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("parts"))
-        rows = one.withColumn("parts", merge_parts(F.lit(None), F.col("parts"))).select(*COLUMNS)
+        rows = scratch.cut(_one_an_id(held.where("reason IS NULL")), "rows")
+    finally:
+        release(held)  # of all parts there are two copies at a time, not three
+    try:
         snapshots.upsert(spark, f"{path}/drivers", rows, "driver_id", (), buckets, file_bytes, {"parts": merge_parts})
     finally:
-        release(held)
+        release(rows)
+
+
+def _one_an_id(good: DataFrame) -> DataFrame:
+    """``COLUMNS`` of entries, one an id. Only entries of an id that comes again are dealt, with their parts; of the others the id alone."""
+    twice = scratch.cut(good.groupBy("driver_id").count().where("count > 1").select("driver_id"), "repeated")
+    single = good if twice.isEmpty() else good.join(twice, "driver_id", "left_anti")
+    rows = single.withColumn("parts", merge_parts(F.lit(None), F.col("parts"))).select(*COLUMNS)
+    if single is good:
+        return rows
+    last = [c for c in COLUMNS if c not in ("driver_id", "parts")]
+    one = good.join(twice, "driver_id", "left_semi").groupBy("driver_id").agg(*(F.max_by(c, "pos").alias(c) for c in last), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"])).alias("parts"))
+    return rows.unionByName(one.withColumn("parts", merge_parts(F.lit(None), F.col("parts"))).select(*COLUMNS))
 
 
 def drivers(spark: SparkSession, path: str) -> DataFrame | None:

@@ -10,6 +10,7 @@ Rows need a key (a null one is an error). A table's columns are those of its fir
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import cut, release, remove
+from ..sources.scratch import cut, release, remove, stored_bytes, swept
 from . import load
 
 BUCKETS = 64
 #: Bytes at which a file ends and another begins, by the mean JSON size of the rows put in.
 FILE_BYTES = 15 << 20
+#: Bytes of stored files, old and new ones, that an upsert changes in one go: what it shuffles takes a few times as much of the disk, however large the table.
+AT_ONCE = 1 << 30
 #: Name of the folders of buckets; a table can't have a column of this name.
 BUCKET = "_bucket"
 
@@ -105,28 +108,37 @@ def lookup(spark: SparkSession, path: str, key: str, values: list[str]) -> DataF
     return _rows(spark, path, m, [r.b for r in asked.collect()]).where(F.col(key).isin(values))
 
 
-def commit(spark: SparkSession, path: str, keys: DataFrame, key: str, change: Callable[[DataFrame | None], DataFrame], buckets: int = BUCKETS, rows_per_file: int = 0) -> Mark | None:
+def commit(spark: SparkSession, path: str, keys: DataFrame, key: str, change: Callable[..., DataFrame], buckets: int = BUCKETS, rows_per_file: int = 0, at_once: int = 0) -> Mark | None:
     """Put ``change(rows)`` in the place of the rows that share a bucket with ``keys``; the new mark.
 
     ``change`` gets the stored rows of those buckets (None in a table without commits) and returns all that shall be there; rows of other buckets are an error.
+    With ``at_once``, where ``keys`` were cut, buckets whose files and those of ``keys`` have more bytes are changed in several goes, each written before the next begins, and all
+    by one mark: ``change`` gets the rows of one go's buckets, and a condition that holds for the keys of those buckets.
     """
     m = mark(spark, path)
     n = m.buckets if m else buckets
     touched = [r.b for r in keys.select(bucket_of(key, n).alias("b")).distinct().collect()]  # one number a bucket
     if not touched:
         return m
-    out = change(m and _rows(spark, path, m, touched))
-    if BUCKET in out.columns:
-        raise ValueError(f"a column named {BUCKET}")
-    if m and sorted(out.columns) != sorted(StructType.fromJson(json.loads(m.schema)).names):
-        raise ValueError(f"other columns than the table's: {out.columns}")
-    b = bucket_of(key, n)
-    dealt = out.withColumn(BUCKET, F.when(b.isin(touched), b).otherwise(F.raise_error(F.lit("a row of a bucket that isn't touched")).cast("int")))
-    folder = f"data/{uuid.uuid4().hex}"
-    # a bucket's rows in few files; a large bucket is split by adaptive execution
-    dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/{folder}")
-    made = {int(x.split("=")[1]): folder for x in _names(spark, f"{path}/{folder}") if x.startswith(f"{BUCKET}=")}
-    folders = {b: f for b, f in (m.folders if m else {}).items() if b not in touched} | made
+    goes = 1
+    if at_once:
+        there = [f"{path}/{m.folders[b]}/{BUCKET}={b}" for b in touched if b in m.folders] if m else []
+        goes = min(len(touched), max(1, math.ceil(stored_bytes(spark, keys._cut_path, *there) / at_once)))
+    folders, b = {x: f for x, f in (m.folders if m else {}).items() if x not in touched}, bucket_of(key, n)
+    for i in range(goes):
+        part = sorted(touched)[i::goes]
+        old = m and _rows(spark, path, m, part)
+        out = change(old, b.isin(part)) if goes > 1 else change(old)
+        if BUCKET in out.columns:
+            raise ValueError(f"a column named {BUCKET}")
+        if m and sorted(out.columns) != sorted(StructType.fromJson(json.loads(m.schema)).names):
+            raise ValueError(f"other columns than the table's: {out.columns}")
+        dealt = out.withColumn(BUCKET, F.when(b.isin(part), b).otherwise(F.raise_error(F.lit("a row of a bucket that isn't touched")).cast("int")))
+        folder = f"data/{uuid.uuid4().hex}"
+        # a bucket's rows in few files; a large bucket is split by adaptive execution
+        with swept(spark):
+            dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/{folder}")
+        folders |= {int(x.split("=")[1]): folder for x in _names(spark, f"{path}/{folder}") if x.startswith(f"{BUCKET}=")}
     new = Mark(m.version + 1 if m else 1, n, m.schema if m else out.schema.json(), folders)
     _put(spark, path, new)
     return new
@@ -137,18 +149,21 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str = "driver_id
 
     ``merged`` makes a column's value from the old one (null of a new row) and the new one.
     """
-    held = cut(new, "upsert")
+    mine = getattr(new, "_cut_path", None) is None  # what the caller has cut isn't written again
+    held = cut(new, "upsert") if mine else new
     try:
         mean = held.agg(F.avg(F.octet_length(F.to_json(F.struct(*held.columns))))).first()[0] or 1
 
-        def change(old: DataFrame | None) -> DataFrame:
+        def change(old: DataFrame | None, those: Column | None = None) -> DataFrame:
             if old is not None and sorted(old.columns) != sorted(held.columns):
                 raise ValueError(f"other columns than the table's: {held.columns}")
-            return held if old is None else load.upsert(old, held, key, keep, merged)
+            rows = held if those is None else held.where(those)
+            return rows if old is None else load.upsert(old, rows, key, keep, merged)
 
-        return commit(spark, path, held, key, change, buckets, max(1, int(file_bytes / mean)))
+        return commit(spark, path, held, key, change, buckets, max(1, int(file_bytes / mean)), AT_ONCE)
     finally:
-        release(held)
+        if mine:
+            release(held)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:

@@ -185,3 +185,16 @@ def test_second_save_makes_no_parts_again(spark, monkeypatch):
     __spark_entry__.queries()["snk_sqlite_local"](spark, SF).count()
     assert ["l_partkey" in p for p in saved] == [True, False]
     assert all(h.where("(value IS NULL) <> (reason IS NULL)").isEmpty() for h in held)
+
+
+def test_parts_are_gathered_by_number(spark, monkeypatch):
+    """A driver's parts are those of the view, and are gathered where they are numbered, not dealt again by driver_id."""
+    c = Catalog(spark, SF)
+    lists = c.drivers.join(views.part_lists(c), "pos").select("driver_id", F.inline("parts"))
+    every = c.driver_parts.select(lists.columns)
+    assert lists.count() == every.count() and lists.exceptAll(every).isEmpty() and [t for _, t in lists.dtypes] == [t for _, t in every.dtypes]
+    saved = []
+    save = local_store.save
+    monkeypatch.setattr(local_store, "save", lambda s, path, items, *more: saved.append(plan(items)) or save(s, path, items, *more))
+    __spark_entry__.queries()["snk_sqlite_local"](spark, SF).count()
+    assert "Aggregate [driver_id" not in saved[0] and "Aggregate [l_partkey" in saved[0]

@@ -42,6 +42,37 @@ def test_upsert_writes_its_buckets_alone(spark, tmp_path):
     assert snapshots.versions(spark, path) == [2] and rows_of(snapshots.read(spark, path)) == rows_of(load.upsert(old, new)) and len(folders(tmp_path)) < len(after)
 
 
+def test_upsert_in_several_goes(spark, tmp_path, monkeypatch):
+    """Buckets that hold much are written one after another, put in by one mark, and hold what one go would put there."""
+    old = spark.range(300).select(F.concat(F.lit("d"), "id").alias("driver_id"), F.lit("1").alias("version"), F.lit("t0").alias("created_at"))
+    new = spark.range(250, 350).select(F.concat(F.lit("d"), "id").alias("driver_id"), F.lit("2").alias("version"), F.lit("t1").alias("created_at"))
+    whole = lambda o, n: F.concat_ws("+", o, n)
+    for at_once, goes in ((1 << 30, 1), (1, 8)):
+        monkeypatch.setattr(snapshots, "AT_ONCE", at_once)
+        path = f"file://{tmp_path}/{goes}"
+        marks = [snapshots.upsert(spark, path, rows, buckets=8, merged={"version": whole}) for rows in (old, new)]
+        assert [(m.version, len(m.folders), len(set(m.folders.values()))) for m in marks] == [(1, 8, goes), (2, 8, goes)]
+        want = load.upsert(old, new, merged={"version": whole})
+        assert rows_of(snapshots.read(spark, path)) == rows_of(want) and rows_of(snapshots.read(spark, path, 1)) == rows_of(old)
+    with pytest.raises(Exception, match="without driver_id"):
+        snapshots.upsert(spark, path, spark.createDataFrame([("a", "1", "t"), (None, "1", "t")], SCHEMA))
+    made = snapshots.cut(new)
+    with pytest.raises(Exception, match="isn't touched"):
+        snapshots.commit(spark, path, made, "driver_id", lambda rows, those: made, at_once=1)  # a go may only return its own buckets' rows
+    assert snapshots.upsert(spark, path, made, merged={"version": whole}) and made.count() == 100  # what the caller has cut is the caller's to release
+
+
+def test_what_a_write_shuffled_goes_with_it(spark, tmp_path):
+    files = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(1000).select(F.concat(F.lit("d"), "id").alias("driver_id"), F.lit("1").alias("version"), F.lit("t").alias("created_at"))
+    before = files()
+    held = snapshots.cut(rows.repartition(7, "version"))
+    assert files() <= before
+    snapshots.upsert(spark, f"file://{tmp_path}/t", held)
+    snapshots.upsert(spark, f"file://{tmp_path}/t", held.where("driver_id < 'd5'"))
+    assert files() <= before + 12  # of the few numbers that are asked for, not of the rows
+
+
 def test_failed_and_rival_writes(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/t"
     old = spark.createDataFrame([("a", "1", "t0"), ("b", "1", "t0")], SCHEMA)
@@ -109,6 +140,19 @@ def test_local_store(spark, tmp_path):
         assert rows_of(local_store.parts(spark, path).where("driver_id = 'd1'")) == [("d1", 1, "new", 0, "", ""), ("d1", 2, "last", 0, "", "")]
 
 
+def test_entries_that_come_once_are_not_dealt(spark, tmp_path, monkeypatch):
+    """The parts of an id that comes once stay where they are; where some ids come again, all the same is saved."""
+    seen = []
+    made = local_store._one_an_id
+    monkeypatch.setattr(local_store, "_one_an_id", lambda good: seen.append(made(good)) or seen[-1])
+    for texts in ([entry(i) for i in range(20)], [entry(i % 15, version=str(i), parts=[{"part_num": 1 + i // 15}]) for i in range(20)]):
+        local_store.save(spark, f"file://{tmp_path}/{len(seen)}", spark.createDataFrame(list(enumerate(texts)), "pos long, value string"), "2024-01-02")
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in seen]
+    assert "Aggregate" not in plans[0] and "Join" not in plans[0] and "LeftAnti" in plans[1]
+    assert rows_of(local_store.drivers(spark, f"file://{tmp_path}/1").select("driver_id", "version")) == sorted((f"d{i}", str(i + 15 if i < 5 else i)) for i in range(15))
+    assert rows_of(local_store.parts(spark, f"file://{tmp_path}/1").select("driver_id", "part_num")) == sorted([(f"d{i}", 1) for i in range(15)] + [(f"d{i}", 2) for i in range(5)])
+
+
 def document(ids, **more):
     return json.dumps({"schema": "3", "drivers": [{"id": i, "version": str(v), "hwids": [f"H{i}{v}"], "parts": [{"part_num": 1, "filename": "f", "url": f"u{v}"}]} for i, v in ids]} | more)
 
