@@ -1,23 +1,33 @@
 """Executables of a folder tree as a Python data source: files are read by offset, never whole.
 
 Of each file the head (for the installer's marks and the section table), then the blocks that the resource tree, the version
-resource and the icon lead to are read; so a file costs little, however large it is. A driver lists the tree, as Spark's own
-file sources do; each partition reads a run of its files. Paths are any that pyarrow can open (``file:``, ``hdfs:``, ``s3:``, ...).
+resource and the icon lead to are read; so a file costs little, however large it is. Tasks list the tree, level by level, into a table in
+the shared folder, and each partition reads the files that one part of that table names: the driver knows the names of its parts alone,
+never those of the files. Paths are any that pyarrow can open (``file:``, ``hdfs:``, ``s3:``, ...).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from . import pe_image
 from .binary_files import INSTALLER_SIGNATURES, LOOK_AT, SEVEN_ZIP
+from .scratch import cut, release
 
 SCHEMA = "path string, package string, size long, type string, " + ", ".join(f"{n} string" for n in pe_image.FIELDS) + ", bytes_read long"
-#: Files of a partition, and bytes of a block that is read at once.
+#: Files of a partition where ``PARTS`` partitions are enough, and bytes of a block that is read at once.
 FILES, BLOCK = 500, 16384
+#: Tasks that list a level or read the files at most, and entries of a folder that a task holds at once.
+PARTS, ENTRIES = 2000, 10_000
 #: Blocks of one file that are read at most; a tree that leads to more is hostile, and what lies beyond reads as empty.
 MOST_BLOCKS = 64
 
@@ -69,45 +79,93 @@ def package_of(path: str) -> str:
     return path.split("/", 1)[0]
 
 
-class Run(InputPartition):
-    """A run of files: (path below the top, size)."""
+def _children(system, top: str, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path below the top, size, is a folder) of what lies in a folder; a local one is never held as a whole."""
+    from pyarrow import fs
 
-    def __init__(self, files: list[tuple[str, int]]):
-        self.files = files
+    at = f"{top}/{folder}" if folder else top
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for e in found:
+                if e.is_dir():
+                    yield os.path.join(folder, e.name), 0, True
+                elif e.is_file():
+                    yield os.path.join(folder, e.name), e.stat().st_size, False
+    else:
+        for f in system.get_file_info(fs.FileSelector(at)):
+            if f.type in (fs.FileType.File, fs.FileType.Directory):
+                yield f.path[len(top) :].lstrip("/"), f.size or 0, f.type == fs.FileType.Directory
+
+
+def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path, size) of the files below ``path`` that end with ``suffix`` in any case: a table in the shared folder, in parts of like numbers of files.
+
+    Each level of folders is listed by tasks, so names of files never come to the driver. A folder that can't be listed is an error.
+    """
+
+    def entries(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(path)
+        top = top.rstrip("/")
+        for b in batches:
+            for folder in b["path"]:
+                found = _children(system, top, folder)
+                while some := list(itertools.islice(found, ENTRIES)):
+                    yield pd.DataFrame(some, columns=["path", "size", "is_dir"])
+
+    levels, folders, n = [], spark.createDataFrame([("",)], "path string"), 1
+    while n:
+        levels.append(cut(folders.repartition(min(n, PARTS), "path").mapInPandas(entries, "path string, size long, is_dir boolean"), "level"))
+        folders = levels[-1].where("is_dir").select("path")
+        n = folders.count()
+    files = functools.reduce(DataFrame.union, levels).where(~F.col("is_dir") & F.endswith(F.lower("path"), F.lit(suffix.lower()))).select("path", "size")
+    out = cut(files.repartition(min(PARTS, max(1, math.ceil(files.count() / FILES))), "path"), "files")
+    for level in levels:
+        release(level)
+    return out
+
+
+class Part(InputPartition):
+    """A part of the listing: its path, none of an empty listing."""
+
+    def __init__(self, path: str | None):
+        self.path = path
 
 
 class Reader(DataSourceReader):
-    def __init__(self, root: str, suffix: str, per_task: int):
-        self.root, self.suffix, self.per_task, self.package = root, suffix, per_task, None
+    def __init__(self, root: str, listing: str):
+        self.root, self.listing, self.package = root, listing, None
 
     def pushFilters(self, filters: list[Filter]):
-        """A package asked for by name is looked for in its own folder alone."""
+        """Of a package asked for by name its own files alone are opened."""
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("package",) and self.package is None:
                 self.package = f.value
             yield f  # Spark asks it again, which costs nothing
 
-    def _system(self):
+    def partitions(self) -> list[Part]:
         from pyarrow import fs
 
-        return fs.FileSystem.from_uri(self.root)
+        system, top = fs.FileSystem.from_uri(self.listing)
+        return [Part(f.path) for f in system.get_file_info(fs.FileSelector(top)) if f.path.endswith(".parquet")] or [Part(None)]
 
-    def partitions(self) -> list[Run]:
+    def _listed(self, part: Part) -> Iterator[tuple[str, int]]:
+        from pyarrow import fs, parquet
+
+        if part.path is None:
+            return
+        with fs.FileSystem.from_uri(self.listing)[0].open_input_file(part.path) as file:
+            for b in parquet.ParquetFile(file).iter_batches(ENTRIES, columns=["path", "size"]):
+                yield from zip(b["path"].to_pylist(), b["size"].to_pylist(), strict=True)
+
+    def read(self, partition: Part) -> Iterator[tuple]:
         from pyarrow import fs
 
-        system, top = self._system()
-        top = top.rstrip("/")
-        start = top if self.package is None else f"{top}/{self.package}"
-        if self.package is not None and system.get_file_info(start).type != fs.FileType.Directory:
-            found = [system.get_file_info(start)]
-        else:
-            found = system.get_file_info(fs.FileSelector(start, recursive=True))
-        files = sorted((f.path[len(top) :].lstrip("/"), f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(self.suffix))
-        return [Run(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)] or [Run([])]
-
-    def read(self, partition: Run) -> Iterator[tuple]:
-        system, top = self._system()
-        for path, size in partition.files:
+        system, top = fs.FileSystem.from_uri(self.root)
+        for path, size in self._listed(partition):
+            if self.package is not None and package_of(path) != self.package:
+                continue
             try:
                 with system.open_input_file(f"{top.rstrip('/')}/{path}") as file:
                     found = describe(file, size)
@@ -117,7 +175,7 @@ class Reader(DataSourceReader):
 
 
 class Executables(DataSource):
-    """``spark.read.format("executables").load(path)``; options suffix (``.exe``) and filesPerTask."""
+    """``spark.read.format("executables").option("listing", folder).load(path)``: the files that a stored table of ``list_files`` names."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,15 +185,15 @@ class Executables(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], self.options.get("suffix", ".exe").lower(), int(self.options.get("filespertask", FILES)))
+        return Reader(self.options["path"], self.options["listing"])
 
 
 def read_executables(spark: SparkSession, path: str, suffix: str = ".exe") -> DataFrame:
     """(path, package, size, type, ``pe_image.FIELDS``, bytes_read) of the executables below ``path``: path and package are below it.
 
     type is the kind of installer by the first mark in the file's head, ``not-pe`` of files that are no executables, ``unreadable`` of those
-    that can't be opened. An empty folder gives no rows.
+    that can't be opened. An empty folder gives no rows. The tree is listed when this is called; files that come later have no rows.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Executables)
-    return spark.read.format("executables").option("suffix", suffix).load(path)
+    return spark.read.format("executables").option("listing", list_files(spark, path, suffix)._cut_path).load(path)

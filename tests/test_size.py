@@ -9,7 +9,7 @@ from hwcatalog.functions import hwid, inf
 from hwcatalog.operators import id_table, local_store, reconcile, search, search_index
 from hwcatalog.plans import source_queries, views
 from hwcatalog.plans.views import Catalog
-from hwcatalog.sources import manifests
+from hwcatalog.sources import executables, manifests
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,3 +198,30 @@ def test_parts_are_gathered_by_number(spark, monkeypatch):
     monkeypatch.setattr(local_store, "save", lambda s, path, items, *more: saved.append(plan(items)) or save(s, path, items, *more))
     __spark_entry__.queries()["snk_sqlite_local"](spark, SF).count()
     assert "Aggregate [driver_id" not in saved[0] and "Aggregate [l_partkey" in saved[0]
+
+
+def test_executables_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """A driver plans by the parts of a listing that tasks have made: what it is given grows with their bounded number, not with the files."""
+    import pickle
+
+    for i in range(300):
+        at = tmp_path / "t" / ("" if i % 3 else f"p{i % 9}/x")
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{'a' * 60}{i}.exe").write_bytes(b"no")
+    (tmp_path / "t/p0/y z/none").mkdir(parents=True)
+    (tmp_path / "t/p0/y z/ä %41.EXE").write_bytes(b"MZ")
+    (tmp_path / "t/p0/read.me").write_bytes(b"")
+    monkeypatch.setattr(executables, "PARTS", 5)
+    monkeypatch.setattr(executables, "FILES", 10)
+    monkeypatch.setattr(executables, "ENTRIES", 7)
+    want = sorted((str(f.relative_to(tmp_path / "t")), f.stat().st_size) for f in (tmp_path / "t").rglob("*") if f.suffix.lower() == ".exe")
+    files = executables.list_files(spark, f"file://{tmp_path}/t", ".exe")
+    assert sorted(map(tuple, files.collect())) == want and len(want) == 301
+    planned = executables.Reader(f"file://{tmp_path}/t", files._cut_path).partitions()
+    assert len(planned) == 5 and len(pickle.dumps(planned)) < 2000
+    got = executables.read_executables(spark, f"file://{tmp_path}/t")
+    assert got.rdd.getNumPartitions() == 5 and sorted((r.path, r["size"]) for r in got.collect()) == want
+    monkeypatch.setattr(executables, "describe", None)  # in this process alone
+    reader = executables.Reader(f"file://{tmp_path}/t", files._cut_path)
+    reader.package = "none of them"
+    assert [r for p in planned for r in reader.read(p)] == []  # no file of another package is opened
